@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "licenses"]
+MODULES = ["quality", "token_counts", "secrets_scan", "mixing", "licenses"]
 
 
 def _all(name: str) -> dict:
