@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "token_counts", "secrets_scan", "mixing", "licenses"]
+MODULES = ["line_dedup", "token_counts", "quality", "secrets_scan", "licenses", "mixing"]
 
 
 def _all(name: str) -> dict:
