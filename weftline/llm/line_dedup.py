@@ -68,8 +68,9 @@ class Chunks:
         total = np.concatenate(([0], np.cumsum(filled)))
         self.several = (total[stop + 1] - total[begin]) >= 2
         # two keys from the hashes of a chunk's lines, from prefix sums over powers
-        power = np.cumprod(np.concatenate(([1], np.full(n, _K, np.uint64))).astype(np.uint64), dtype=np.uint64)
-        inverse = np.cumprod(np.concatenate(([1], np.full(n, pow(int(_K), -1, 1 << 64), np.uint64))).astype(np.uint64), dtype=np.uint64)
+        power, inverse = np.full(n + 1, _K, np.uint64), np.full(n + 1, pow(int(_K), -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
         self.keys = []
         for salt in (0x51, 0xA3):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_text.mix(hashes ^ np.uint64(salt)) * power[:n], dtype=np.uint64)))
