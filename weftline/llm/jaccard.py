@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import _text
@@ -220,6 +220,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, least
     return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "node", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest doc_id of each group of linked ones.
+
+    Rows without a doc_id stay; of rows that share the doc_id, the one with the
+    smallest hash of its text stays.
+    """
+    found = jaccard_components(docs, words, percent)
+    stay = cut(found.where("component_id = doc_id").groupBy("doc_id").count())
+    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
+    if not stay.where("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        names = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+        kept = kept.select("doc_id", "text", F.struct(*docs.columns).alias("row")).withColumn("at", F.row_number().over(order)).where("at = 1").select(*names)
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def op8_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 

@@ -15,7 +15,7 @@ Only `doc_id`, `text` and `source` are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm._graph import cut, table
@@ -24,22 +24,18 @@ from weftline.llm._graph import cut, table
 SLICES = 4096
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 7) -> DataFrame:
-    """One row per document with the words that the mix takes from it.
+def _sizes(docs: DataFrame, seed: int) -> list[Column]:
+    """A row's words and its random number, the same in every run."""
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    return [words.alias("size"), (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))).alias("u")]
 
-    `weights` repeat over the sources in code point order, `share` is the part
-    of all words that the mix holds, `most` the largest number of copies.
-    Returns doc_id, source, size, source_size, target, copies and taken.
-    """
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """One row a source: size, target, whole copies, words still needed, and where
+    in the random order they end: within slice `edge`, or before slice `stop`."""
     n = len(weights)
-    sized = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))).alias("u"),
-    )
-    sized = cut(sized)
-    slices = sized.groupBy("source", F.floor(F.col("u") * SLICES).alias("slice")).agg(F.sum("size").alias("words"))
+    slices = cut(sized.groupBy("source", F.floor(F.col("u") * SLICES).alias("slice")).agg(F.sum("size").alias("words")))
     totals = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
     # one row a source from here on
     every, by_code, by_ratio = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", "rank")
@@ -78,16 +74,45 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     plan = targets.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source").withColumnRenamed("source", "its_source")
     # Without an edge the need ends between two slices: the first that isn't needed.
     none_left = sliced.alias("s").join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("words_before") >= F.col("need"))).groupBy(F.col("s.source").alias("stop_source")).agg(F.min("slice").alias("stop"))
-    plan = plan.join(none_left, F.col("its_source").eqNullSafe(F.col("stop_source")), "left").drop("stop_source")
-    full = sized.join(plan, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("slice", F.floor(F.col("u") * SLICES)).withColumn("p", F.try_divide("need", "source_size"))
+    return plan.join(none_left, F.col("its_source").eqNullSafe(F.col("stop_source")), "left").drop("stop_source")
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows (source, size, u, ...) with source_size, target and copies."""
+    names = rows.columns
+    full = rows.join(plan, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("slice", F.floor(F.col("u") * SLICES)).withColumn("p", F.try_divide("need", "source_size"))
     odds = F.try_divide(F.col("u") * (1 - F.col("p")), (1 - F.col("u")) * F.col("p"))
     in_edge = F.col("edge").isNotNull() & (F.col("slice") == F.col("edge"))
     clear = full.where(~in_edge).withColumn("extra", F.when((F.col("slice") < F.coalesce("edge", "stop", F.lit(SLICES))) & (F.col("size") > 0), 1).otherwise(0))
+    # only the slice in which a source's words end is ranked row by row
     running = Window.partitionBy("source").orderBy("odds", "size").rowsBetween(Window.unboundedPreceding, -1)
     near = full.where(in_edge).withColumn("odds", odds).withColumn("so_far", F.col("words_before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
     near = near.withColumn("extra", F.when((2 * F.col("so_far") + F.col("size") <= 2 * F.col("need")) & (F.col("size") > 0), 1).otherwise(0))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies")]
-    return clear.select(*columns).union(near.select(*columns)).withColumn("taken", F.col("copies") * F.col("size"))
+    columns = [*names, "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies")]
+    return clear.select(*columns).union(near.select(*columns))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 7) -> DataFrame:
+    """One row per document with the words that the mix takes from it.
+
+    `weights` repeat over the sources in code point order, `share` is the part
+    of all words that the mix holds, `most` the largest number of copies.
+    Returns doc_id, source, size, source_size, target, copies and taken.
+    """
+    sized = cut(docs.select("doc_id", "source", *_sizes(docs, seed)))
+    done = _taken(sized, _plan(sized, weights, share, most)).drop("u")
+    return done.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 7) -> DataFrame:
+    """The documents of the mix, with all their columns, each as often as it is taken.
+
+    Texts are never shuffled but for those of the slices in which targets end.
+    """
+    plan = _plan(docs.select("source", *_sizes(docs, seed)), weights, share, most)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", *_sizes(docs, seed))
+    taken = _taken(rows, plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select("row.*")
 
 
 def op10_mix(spark, sf_dir):

@@ -232,6 +232,18 @@ def fit_field(sample: list[tuple[np.ndarray, int]]) -> Field:
     return Field().fit(chains)
 
 
+def _judge(x: Lines, chain: Field, share: float) -> dict[str, np.ndarray]:
+    """The verdicts on the texts of a batch."""
+    scores = chain.scores(x.features)
+    content = np.empty(len(scores), bool)
+    for a, b in zip(x.line_at[:-1].tolist(), x.line_at[1:].tolist(), strict=True):
+        content[a:b] = chain.viterbi(scores[a:b]) == 0
+    sums = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[x.line_at])
+    part = sums(x.line_words * content) / np.maximum(x.n_words, 1)
+    failed = (x.n_words < 50) | (100 * x.n_repeat_words > 50 * x.n_words)
+    return {"base_failed": failed, "n_lines": np.diff(x.line_at), "n_content_lines": sums(content), "content_share": part, "kept": ~failed & (part >= share)}
+
+
 def label_quality(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
     """doc_id, the base counts, base_failed, n_lines, n_content_lines, content_share, kept."""
     emit, move = field.emit, field.move
@@ -240,19 +252,24 @@ def label_quality(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -
         chain = Field(emit, move)
         for batch, data, at in _text.groups(batches):
             x = Lines(data, at)
-            scores = chain.scores(x.features)
-            content = np.empty(len(scores), bool)
-            for a, b in zip(x.line_at[:-1].tolist(), x.line_at[1:].tolist(), strict=True):
-                content[a:b] = chain.viterbi(scores[a:b]) == 0
-            sums = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[x.line_at])
-            part = sums(x.line_words * content) / np.maximum(x.n_words, 1)
-            failed = (x.n_words < 50) | (100 * x.n_repeat_words > 50 * x.n_words)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": x.n_words, "word_chars": x.word_chars, "n_symbols": x.n_symbols, "n_dup_lines": x.n_dup_lines, "n_repeat_words": x.n_repeat_words, "base_failed": failed, "n_lines": np.diff(x.line_at), "n_content_lines": sums(content), "content_share": part, "kept": ~failed & (part >= share)})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": x.n_words, "word_chars": x.word_chars, "n_symbols": x.n_symbols, "n_dup_lines": x.n_dup_lines, "n_repeat_words": x.n_repeat_words, **_judge(x, chain, share)})
 
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_content_lines long, content_share double, kept boolean")
 
 
+def keep_quality(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:
+    """The documents that the base rule and the field retain, with all columns."""
+    emit, move = field.emit, field.move
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Field(emit, move)
+        for batch, data, at in _text.groups(batches):
+            yield batch.filter(pa.array(_judge(Lines(data, at), chain, share)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return label_quality(docs, fit_field(training_chains(docs, table(spark, sf_dir, "labels"))))
