@@ -16,11 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Drops the shuffle files of a plan once it has run.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints; one of our own only where none is named."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a Parquet table in the shared folder; the lineage ends there."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster names."""
+    """Cut the lineage with a checkpoint in the folder that the cluster names.
+
+    Nothing reads the shuffle files of the plan again, so they go at once.
+    """
     spark = df.sparkSession
     _folder(spark)
-    return df.checkpoint()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan made after the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

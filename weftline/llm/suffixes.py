@@ -376,7 +376,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ho
 
     exchanged = keyed.join(needed.select("k1", "k2", "shared", "hot"), ["k1", "k2"]).mapInArrow(runs, "bucket long, run binary")
     spans = exchanged.groupBy("bucket").applyInArrow(merge, "k1 long, k2 long, s long, e long")
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return cut(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = HOT) -> DataFrame:
