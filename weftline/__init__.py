@@ -1,0 +1 @@
+"""Multimodal sequence analytics as Spark DataFrame transformations."""
