@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token ids (operator 2): doc_id, source, n_tokens, ids."""
-    coded = sentencepiece_scan.encode(docs.select("doc_id", "source", "text"))
+    coded = sentencepiece_scan.encode(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"])
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

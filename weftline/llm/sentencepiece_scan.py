@@ -15,8 +15,8 @@ the encoding is the one path of weight 0 through a graph whose edges weigh 0
 
 Pieces never go over a word start (a space after another character), where all
 states meet; a chunk needs the graph only up to its first and from its last word
-start, and takes the words between from the library, with a bounded cache. Texts
-up to `giant` characters are single chunks, encoded word by word.
+start, and takes the text between from the library. Texts up to `giant`
+characters are single chunks.
 
 Results equal those of the library on the whole text. Defined cases: a null or
 empty text has no ids and decodes to an empty text; the word-start mark in a
@@ -27,7 +27,6 @@ and an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,10 +40,7 @@ from weftline.llm._graph import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of the longest text that is one chunk.
 CHUNK, GIANT = 1 << 14, 1 << 15
-#: Words that a task remembers.
-CACHE = 400_000
 MARK = "▁"
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 IMPOSSIBLE = -np.inf
 
 
@@ -67,7 +63,6 @@ class Model:
         for i in range(n):
             raw[i] = bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
         self.raw = raw
-        self.cache: dict[str, tuple[int, ...]] = {}
         self.stable = lru_cache(1 << 18)(self._stable)
         self.whole = lru_cache(1 << 16)(lambda s: len(s) == 1 or (s in self.ids and self.merged(s) == [s]))
 
@@ -93,23 +88,11 @@ class Model:
         i = self.ids.get(s)
         return [i] if i is not None else [self.bytes[b] for b in s.encode()]
 
-    def words(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts in mark form that begin with a word start, or are empty."""
-        split = [_SEGMENT.findall(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({s for segments in split for s in segments if s not in cache})
-        # the library adds the mark that is left off here; it adds none to an empty text
-        for s, ids in zip(new, self.sp.encode([s[1:] for s in new], num_threads=1) if new else [], strict=True):
-            cache[s] = tuple(ids) if len(s) > 1 else tuple(self.piece_ids(s))
-        out = []
-        for segments in split:
-            ids: list[int] = []
-            for s in segments:
-                ids += cache[s]
-            out.append(ids)
-        return out
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        """Ids by the library, of texts in mark form that begin with a word start or are empty."""
+        # the library adds the mark that is left off here, but none to an empty text
+        ids = self.sp.encode([t[1:] for t in texts], num_threads=1)
+        return [self.piece_ids(t) if len(t) == 1 else i for t, i in zip(texts, ids, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -230,7 +213,7 @@ class Chunk:
             out += self.model.piece_ids(self.text[s:e])
         if self.a >= 0:
             stop = self.high if self.end is None else self.b
-            out += self.model.words([self.text[self.a : stop]])[0]
+            out += self.model.plain([self.text[self.a : stop]])[0]
             if self.end is not None:
                 for s, e in self._back(self.tail, 0, self.end[o], [None]):
                     out += self.model.piece_ids(self.text[s:e])
@@ -273,16 +256,21 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+def rows_of(batch: pa.RecordBatch, names: list[str]) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield batch.select(names).slice(i, 1).to_pylist()[0]
+
+
 def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int = GIANT, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, with `ids` (array of int) and `n_chunks`.
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int = GIANT, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns of `docs`, or those in `keep`, with `ids` (array of int) and `n_chunks`.
 
     `model` is the path of a byte-pair SentencePiece model that every executor has.
     """
-    names = docs.columns
+    names = docs.columns if keep is None else keep
     carried = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
     row_type = carried.schema["row"].dataType.simpleString()
     is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
@@ -292,7 +280,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                ids = m.words([marked(t or "") for t in batch.column("text").to_pylist()])
+                ids = m.plain([marked(t or "") for t in batch.column("text").to_pylist()])
                 yield pa.record_batch({"row": batch.column("row"), "ids": pa.array(ids, pa.list_(pa.int32())), "n_chunks": pa.array([int(bool(i)) for i in ids], pa.int64())})
 
     done = carried.where(~is_giant).mapInArrow(small, f"row {row_type}, ids array<int>, n_chunks long")
@@ -315,7 +303,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
         m = load(model)
         for batch in batches:
             out = []
-            for r in batch.select(["i", "n", "low", "high", "piece"]).to_pylist():
+            for r in rows_of(batch, ["i", "n", "low", "high", "piece"]):
                 w = Chunk(m, r["piece"], r["low"], r["high"], r["i"] == 0, r["i"] == r["n"] - 1).matrix()
                 out.append((w.shape[1], np.isfinite(w).astype(np.uint8).tobytes()))
             yield pa.record_batch({"k1": batch.column("k1"), "k2": batch.column("k2"), "i": batch.column("i"), "width": pa.array([w for w, _ in out], pa.int32()), "open": pa.array([b for _, b in out], pa.binary())})
@@ -329,8 +317,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            ids = [Chunk(m, r["piece"], r["low"], r["high"], r["i"] == 0, r["i"] == r["n"] - 1).ids(r["enter"], r["leave"]) for r in batch.select(["i", "n", "low", "high", "piece", "enter", "leave"]).to_pylist()]
-            yield pa.record_batch({"k1": batch.column("k1"), "k2": batch.column("k2"), "i": batch.column("i"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                ids = [Chunk(m, r["piece"], r["low"], r["high"], r["i"] == 0, r["i"] == r["n"] - 1).ids(r["enter"], r["leave"]) for r in rows_of(part, ["i", "n", "low", "high", "piece", "enter", "leave"])]
+                yield pa.record_batch({"k1": part.column("k1"), "k2": part.column("k2"), "i": part.column("i"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     states = chunks.mapInArrow(transfer, "k1 long, k2 long, i int, width int, open binary").groupBy("k1", "k2").applyInArrow(scan, "k1 long, k2 long, i int, enter int, leave int")
     traced = chunks.join(states, ["k1", "k2", "i"]).mapInArrow(trace, "k1 long, k2 long, i int, ids array<int>")
@@ -345,12 +335,17 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col:
     carried = tokens.select(F.struct(*[n for n in names if n != ids_col]).alias("row"), F.col(ids_col).alias("ids"))
     row_type = carried.schema["row"].dataType.simpleString()
 
+    def texts(m: Model, ids: pa.ListArray) -> list[str]:
+        at, flat = np.asarray(ids.offsets).tolist(), ids.values.to_numpy(zero_copy_only=False)
+        flat = flat[at[0] : at[-1]].tolist()
+        return [m.decode(flat[a - at[0] : b - at[0]]) if ok else "" for a, b, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                yield pa.record_batch({"row": batch.column("row"), "ids": batch.column("ids"), "out": pa.array([m.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())})
+                yield pa.record_batch({"row": batch.column("row"), "ids": batch.column("ids"), "out": pa.array(texts(m, batch.column("ids")), pa.string())})
 
     done = carried.mapInArrow(run, f"row {row_type}, ids array<int>, out string")
     return done.select(*[F.col("ids").alias(n) if n == ids_col else F.col(f"row.`{n}`").alias(n) for n in names], F.col("out").alias(out_col))
@@ -358,7 +353,8 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col:
 
 def encoded_summary(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, n_chunks, ids_hash, decoded_sha256 and round_trip."""
-    coded = encode(docs.select("doc_id", "text"), model).select("doc_id", "ids", "n_chunks", F.sha2(F.coalesce(F.replace("text", F.lit(MARK), F.lit(" ")), F.lit("")), 256).alias("want"))
+    want = F.sha2(F.coalesce(F.replace("text", F.lit(MARK), F.lit(" ")), F.lit("")), 256)
+    coded = encode(docs.select("doc_id", "text", want.alias("want")), model, keep=["doc_id", "want"])
     back = decode(coded, model)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_chunks", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("want")).alias("round_trip"))
 
