@@ -1,2 +1,160 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Corpus queries: splits, caps, vocabularies, joins and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from weftline.operators import corpus as C
+from weftline.plans._tables import r6, table
+
+
+def deterministic_split(spark, sf_dir):
+    return C.random_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def fraction_cap(spark, sf_dir):
+    return C.fraction_cap(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 0.3)
+
+
+def split_rule(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat((F.col("doc_id") % 12).cast("string"), F.lit("_"), "source", F.lit("_"), F.col("doc_id").cast("string")).alias("id"))
+    rules = d.select("id", F.when(F.col("doc_id") % 5 == 0, "val").when(F.col("doc_id") % 17 == 0, "additional").otherwise("train").alias("type"))
+    return C.split_rule(d, rules, "train", [1, 3, 5], additional=True)
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def vocab_build(spark, sf_dir):
+    return C.vocabulary(C.tokens_of(_docs(spark, sf_dir)))
+
+
+def vocab_trim(spark, sf_dir):
+    return C.vocabulary(C.tokens_of(_docs(spark, sf_dir)), 5)
+
+
+def vocab_merge(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return C.merge_vocabularies(C.vocabulary(C.tokens_of(d.where("lang = 'en'"))), C.vocabulary(C.tokens_of(d.where("lang = 'de'"))))
+
+
+def oov_encode(spark, sf_dir):
+    t = C.tokens_of(_docs(spark, sf_dir))
+    coded = C.encode_words(t, C.vocabulary(t, 20))
+    return coded.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("id") == 3).cast("int")).alias("unknown"), F.sum(F.col("id") * (F.col("pos") + 1)).alias("checksum"))
+
+
+def cross_tasks(spark, sf_dir):
+    tasks = spark.createDataFrame([("a2t", "audio to text"), ("t2a", "text to audio"), ("a2f", "audio to face")], "task string, prompt string")
+    return C.with_tasks(table(spark, sf_dir, "conversations").select("conv_id", "turn"), tasks)
+
+
+def variant_pick(spark, sf_dir):
+    v = F.array(*[F.lit(x) for x in ("one", "two", "three", "four", "five")])
+    return table(spark, sf_dir, "documents").select("doc_id", C.pick_variant(F.col("doc_id"), v).alias("variant"))
+
+
+def mirrored_union(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    plain = e.select(F.col("vec_id").cast("string").alias("id"), "label")
+    mirror = e.where("vec_id % 3 = 0").select(F.concat(F.lit("M_"), F.col("vec_id").cast("string")).alias("id"), "label")
+    return C.with_mirrors(plain.union(mirror))
+
+
+def semi_missing(spark, sf_dir):
+    """Documents that have labels and a benchmark entry under the same number."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return C.complete_only(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", table(spark, sf_dir, "labels"), b)
+
+
+def anti_done(spark, sf_dir):
+    return C.not_done(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+def union_last_wins(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return C.union_datasets(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"))
+
+
+def left_default(spark, sf_dir):
+    d, lb = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    return d.join(lb, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+
+
+def utterance_join(spark, sf_dir):
+    """Texts and tokens of utterances on a composite key; missing texts drop out."""
+    e = table(spark, sf_dir, "events")
+    key = ["user_id", "event_type", "part"]
+    tokens = e.select("user_id", "event_type", (F.col("event_id") % 7).alias("part"), "event_id").groupBy(*key).agg(F.count("*").alias("n_tokens"))
+    texts = e.where("value > 30").select("user_id", "event_type", (F.col("event_id") % 7).alias("part"), "value").groupBy(*key).agg(F.max("value").alias("top"))
+    return tokens.join(texts, key)
+
+
+def rejection_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    reason = F.when(F.col("n_chars") < 200, "too short").when(F.col("n_chars") > 8000, "too long").when(F.col("lang") != "en", "language").otherwise("kept")
+    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def range_labels(spark, sf_dir):
+    """An emotion label from ranges of a number in the id, after a remap of ids."""
+    k = F.when(F.col("doc_id") % 120 == 30, 8).when(F.col("doc_id") % 120 == 28, 14).when(F.col("doc_id") % 120 == 27, 19).otherwise(F.col("doc_id") % 120)
+    d = table(spark, sf_dir, "documents").select("doc_id", (k - 1).alias("k"))
+    label = F.when(F.col("k").between(1, 64), 0).when(F.col("k").between(65, 72), 1).when(F.col("k").between(73, 80), 2).when(F.col("k").between(81, 118), 3).otherwise(0)
+    return d.select("doc_id", "k", label.alias("emotion"))
+
+
+def top_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return o.withColumn("rank", rank).where("rank <= 5").select("o_orderpriority", "rank", "o_orderkey", "o_totalprice")
+
+
+def two_level_means(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    per = li.groupBy("l_orderkey").agg(F.avg("l_quantity").alias("m"))
+    return per.join(o, per.l_orderkey == o.o_orderkey).groupBy("o_orderpriority").agg(r6(F.avg("m")).alias("mean_of_means"), F.count("*").alias("n_orders"))
+
+
+def color_keys(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("source").distinct()
+    return s.select("source", F.concat(F.lit("#"), F.substring(F.md5("source"), 1, 6)).alias("color"), F.element_at(F.split("source", "c"), -1).alias("number"))
+
+
+QUERIES = {f.__name__: f for f in (deterministic_split, fraction_cap, split_rule, vocab_build, vocab_trim, vocab_merge, oov_encode, cross_tasks, variant_pick, mirrored_union, semi_missing, anti_done, union_last_wins, left_default, utterance_join, rejection_counts, range_labels, top_orders, two_level_means, color_keys)}
+_WORDS = r"""w0 AS (SELECT doc_id, lang, list_filter(string_split_regex(translate(text, ',.?!', '    '), '[ \t\n\v\f\r]+'), lambda w: len(w) > 0) AS ws FROM documents),
+w AS (SELECT doc_id, lang, unnest(generate_series(0, len(ws) - 1)) AS pos, unnest(ws) AS word FROM w0)"""
+_VOCAB = "SELECT word, n, row_number() OVER (ORDER BY first) + 3 AS id FROM (SELECT word, COUNT(*) AS n, MIN(struct_pack(d := doc_id, p := pos)) AS first FROM w {where} GROUP BY word HAVING COUNT(*) >= {least})"
+ORACLE = {
+    "deterministic_split": """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) - 1 AS p, COUNT(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN p < floor(n * 0.8) THEN 'train' WHEN p < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM a""",
+    "fraction_cap": """WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, COUNT(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT doc_id, source FROM a WHERE k <= round_even(n * 0.3, 0)""",
+    "split_rule": """SELECT (doc_id % 12) || '_' || source || '_' || doc_id AS id, doc_id FROM documents
+WHERE doc_id % 5 <> 0 AND ((doc_id % 17 <> 0 AND doc_id % 12 IN (1, 3, 5)) OR doc_id % 17 = 0)""",
+    "vocab_build": f"WITH {_WORDS} " + _VOCAB.format(where="", least=1),
+    "vocab_trim": f"WITH {_WORDS} " + _VOCAB.format(where="", least=5),
+    "vocab_merge": f"""WITH {_WORDS}, en AS ({_VOCAB.format(where="WHERE lang = 'en'", least=1)}), de AS ({_VOCAB.format(where="WHERE lang = 'de'", least=1)}),
+u AS (SELECT 0 AS o, id, word, n FROM en UNION ALL SELECT 1, id, word, 1 FROM de), g AS (SELECT word, CAST(SUM(n) AS BIGINT) AS n, MIN(struct_pack(o := o, i := id)) AS first FROM u GROUP BY word)
+SELECT word, n, row_number() OVER (ORDER BY first) + 3 AS id FROM g""",
+    "oov_encode": f"""WITH {_WORDS}, v AS ({_VOCAB.format(where="", least=20)}), x AS (SELECT w.doc_id, w.pos, COALESCE(v.id, 3) AS id FROM w LEFT JOIN v USING (word))
+SELECT doc_id, COUNT(*) AS n, CAST(SUM(CASE WHEN id = 3 THEN 1 ELSE 0 END) AS BIGINT) AS unknown, CAST(SUM(id * (pos + 1)) AS BIGINT) AS checksum FROM x GROUP BY doc_id""",
+    "cross_tasks": "SELECT conv_id, turn, task, prompt FROM conversations, (VALUES ('a2t', 'audio to text'), ('t2a', 'text to audio'), ('a2f', 'audio to face')) t(task, prompt)",
+    "variant_pick": "SELECT doc_id, (['one', 'two', 'three', 'four', 'five'])[CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 5 + 1] AS variant FROM documents",
+    "mirrored_union": "SELECT CAST(vec_id AS VARCHAR) AS id, label, FALSE AS mirrored FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT 'M_' || vec_id, label, TRUE FROM embeddings WHERE vec_id % 3 = 0",
+    "semi_missing": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT item_id FROM benchmark)",
+    "anti_done": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "union_last_wins": "SELECT doc_id AS id, NULL AS lang, quality FROM labels UNION ALL SELECT doc_id, lang, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "left_default": "SELECT d.doc_id, COALESCE(quality, 1) AS quality, COALESCE(toxic, 0) AS toxic FROM documents d LEFT JOIN labels USING (doc_id)",
+    "utterance_join": """WITH a AS (SELECT user_id, event_type, event_id % 7 AS part, COUNT(*) AS n_tokens FROM events GROUP BY ALL), b AS (SELECT user_id, event_type, event_id % 7 AS part, MAX(value) AS top FROM events WHERE value > 30 GROUP BY ALL)
+SELECT * FROM a JOIN b USING (user_id, event_type, part)""",
+    "rejection_counts": "SELECT CASE WHEN n_chars < 200 THEN 'too short' WHEN n_chars > 8000 THEN 'too long' WHEN lang <> 'en' THEN 'language' ELSE 'kept' END AS reason, COUNT(*) AS n FROM documents GROUP BY 1",
+    "range_labels": """WITH a AS (SELECT doc_id, CASE doc_id % 120 WHEN 30 THEN 8 WHEN 28 THEN 14 WHEN 27 THEN 19 ELSE doc_id % 120 END - 1 AS k FROM documents)
+SELECT doc_id, k, CASE WHEN k BETWEEN 1 AND 64 THEN 0 WHEN k BETWEEN 65 AND 72 THEN 1 WHEN k BETWEEN 73 AND 80 THEN 2 WHEN k BETWEEN 81 AND 118 THEN 3 ELSE 0 END AS emotion FROM a""",
+    "top_orders": """WITH a AS (SELECT o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank, o_orderkey, o_totalprice FROM orders) SELECT * FROM a WHERE rank <= 5""",
+    "two_level_means": "WITH p AS (SELECT l_orderkey, AVG(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT o_orderpriority, round(AVG(m), 6) + 0.0 AS mean_of_means, COUNT(*) AS n_orders FROM p JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "color_keys": "SELECT DISTINCT source, '#' || substr(md5(source), 1, 6) AS color, string_split(source, 'c')[-1] AS number FROM documents",
+}
