@@ -3,10 +3,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def _parts(v: Column, n: int) -> list[Column]:
     return [F.get(v, i) for i in range(n)]
 
@@ -25,60 +32,83 @@ def _cross(a: list[Column], b: list[Column]) -> list[Column]:
 
 
 def quaternion_to_matrix(q: Column) -> Column:
-    w, x, y, z = _unit(_parts(q, 4))
+    return _let(q, lambda p: _let(F.array(*_unit(_parts(p, 4))), _to_matrix))
+
+
+def _to_matrix(q: Column) -> Column:
+    w, x, y, z = _parts(q, 4)
     return F.array(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y))
 
 
 def matrix_to_quaternion(m: Column) -> Column:
     """The quaternion with a positive real part; the largest part is the divisor."""
+    return _let(m, lambda v: _let(_doubled(v), lambda d: standardize(_divided(v, d))))
+
+
+def _doubled(m: Column) -> Column:
+    """Twice the absolute parts of the quaternion, from the diagonal."""
     a = _parts(m, 9)
     part = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    w, x, y, z = part(1 + a[0] + a[4] + a[8]), part(1 + a[0] - a[4] - a[8]), part(1 - a[0] + a[4] - a[8]), part(1 - a[0] - a[4] + a[8])
-    rows = {
-        "w": [w * w, a[7] - a[5], a[2] - a[6], a[3] - a[1]],
-        "x": [a[7] - a[5], x * x, a[3] + a[1], a[2] + a[6]],
-        "y": [a[2] - a[6], a[3] + a[1], y * y, a[5] + a[7]],
-        "z": [a[3] - a[1], a[6] + a[2], a[7] + a[5], z * z],
-    }
-    made = {k: F.transform(F.array(*v), lambda e, d=d: F.try_divide(e, 2 * d)) for (k, v), d in zip(rows.items(), (w, x, y, z), strict=True)}
-    top = F.greatest(w, x, y, z)
-    return standardize(F.when(w == top, made["w"]).when(x == top, made["x"]).when(y == top, made["y"]).otherwise(made["z"]))
+    return F.array(part(1 + a[0] + a[4] + a[8]), part(1 + a[0] - a[4] - a[8]), part(1 - a[0] + a[4] - a[8]), part(1 - a[0] - a[4] + a[8]))
+
+
+def _divided(m: Column, doubled: Column) -> Column:
+    a, d = _parts(m, 9), _parts(doubled, 4)
+    rows = [
+        [d[0] * d[0], a[7] - a[5], a[2] - a[6], a[3] - a[1]],
+        [a[7] - a[5], d[1] * d[1], a[3] + a[1], a[2] + a[6]],
+        [a[2] - a[6], a[3] + a[1], d[2] * d[2], a[5] + a[7]],
+        [a[3] - a[1], a[6] + a[2], a[7] + a[5], d[3] * d[3]],
+    ]
+    made = [F.array(*[F.try_divide(x, 2 * d[i]) for x in row]) for i, row in enumerate(rows)]
+    top = F.greatest(*d)
+    return F.when(d[0] == top, made[0]).when(d[1] == top, made[1]).when(d[2] == top, made[2]).otherwise(made[3])
 
 
 def standardize(q: Column) -> Column:
-    return F.when(F.get(q, 0) < 0, F.transform(q, lambda x: -x)).otherwise(q)
+    return _let(q, lambda v: F.when(F.get(v, 0) < 0, F.transform(v, lambda x: -x)).otherwise(v))
 
 
 def multiply(a: Column, b: Column) -> Column:
+    return _let(a, lambda p: _let(b, lambda q: _product(p, q)))
+
+
+def _product(a: Column, b: Column) -> Column:
     w1, x1, y1, z1 = _parts(a, 4)
     w2, x2, y2, z2 = _parts(b, 4)
     return F.array(w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2, w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2, w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2, w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2)
 
 
 def invert(q: Column) -> Column:
-    w, x, y, z = _parts(q, 4)
-    return F.array(w, -x, -y, -z)
+    return F.transform(q, lambda x, i: F.when(i == 0, x).otherwise(-x))
 
 
 def apply(q: Column, point: Column) -> Column:
     p = F.concat(F.array(F.lit(0.0)), point)
-    return F.slice(multiply(multiply(q, p), invert(q)), 2, 3)
+    return _let(q, lambda r: F.slice(multiply(multiply(r, p), invert(r)), 2, 3))
 
 
 def axis_angle_to_quaternion(v: Column) -> Column:
     """With the series of sin(a / 2) / a for small angles."""
-    a = _parts(v, 3)
-    angle = F.sqrt(_dot(a, a))
-    k = F.when(angle < 1e-6, 0.5 - angle * angle / 48).otherwise(F.try_divide(F.sin(angle / 2), angle))
-    return F.array(F.cos(angle / 2), *[x * k for x in a])
+
+    def made(u: Column, angle: Column) -> Column:
+        k = F.when(angle < 1e-6, 0.5 - angle * angle / 48).otherwise(F.try_divide(F.sin(angle / 2), angle))
+        return F.concat(F.array(F.cos(angle / 2)), _let(k, lambda s: F.transform(u, lambda x: x * s)))
+
+    return _let(v, lambda u: _let(F.sqrt(_dot(_parts(u, 3), _parts(u, 3))), lambda angle: made(u, angle)))
 
 
 def quaternion_to_axis_angle(q: Column) -> Column:
-    w, *v = _parts(q, 4)
-    size = F.sqrt(_dot(v, v))
-    angle = 2 * F.atan2(size, w)
-    k = F.when(F.abs(angle) < 1e-6, 0.5 - angle * angle / 48).otherwise(F.try_divide(F.sin(angle / 2), angle))
-    return F.array(*[F.try_divide(x, k) for x in v])
+
+    def made(u: Column, angle: Column) -> Column:
+        k = F.when(F.abs(angle) < 1e-6, 0.5 - angle * angle / 48).otherwise(F.try_divide(F.sin(angle / 2), angle))
+        return _let(k, lambda s: F.transform(F.slice(u, 2, 3), lambda x: F.try_divide(x, s)))
+
+    def of(u: Column) -> Column:
+        w, *v = _parts(u, 4)
+        return _let(2 * F.atan2(F.sqrt(_dot(v, v)), w), lambda angle: made(u, angle))
+
+    return _let(q, of)
 
 
 def axis_angle_to_matrix(v: Column) -> Column:
@@ -91,11 +121,16 @@ def matrix_to_axis_angle(m: Column) -> Column:
 
 def sixd_to_matrix(d: Column) -> Column:
     """Gram-Schmidt on two rows; the third is their cross product."""
-    x = _parts(d, 6)
-    a = _unit(x[:3])
-    k = _dot(a, x[3:])
-    b = _unit([v - k * u for u, v in zip(a, x[3:], strict=True)])
-    return F.array(*a, *b, *_cross(a, b))
+
+    def second(a: Column, x: Column) -> Column:
+        u, v = _parts(a, 3), _parts(x, 6)[3:]
+        rest = _let(_dot(u, v), lambda k: F.array(*[q - k * p for p, q in zip(u, v, strict=True)]))
+        return _let(rest, lambda r: F.array(*_unit(_parts(r, 3))))
+
+    def rows(a: Column, b: Column) -> Column:
+        return F.concat(a, b, F.array(*_cross(_parts(a, 3), _parts(b, 3))))
+
+    return _let(d, lambda x: _let(F.array(*_unit(_parts(x, 6)[:3])), lambda a: _let(second(a, x), lambda b: rows(a, b))))
 
 
 def matrix_to_sixd(m: Column) -> Column:
@@ -114,12 +149,14 @@ def euler_to_matrix(angles: Column, order: str = "XYZ") -> Column:
 
 def slerp(a: Column, b: Column, t: float) -> Column:
     """Spherical interpolation along the shorter way."""
-    p, q = _parts(a, 4), _parts(b, 4)
-    d = _dot(p, q)
-    sign = F.when(d < 0, -1.0).otherwise(1.0)
-    c = F.least(F.abs(d), F.lit(1.0))
-    angle = F.acos(c)
-    near = F.sin(angle) < 1e-6
-    u = F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * angle), F.sin(angle)))
-    v = F.when(near, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle)))
-    return F.array(*[u * x + v * sign * y for x, y in zip(p, q, strict=True)])
+
+    def blend(p: Column, q: Column, d: Column) -> Column:
+        return _let(F.acos(F.least(F.abs(d), F.lit(1.0))), lambda g: weighted(p, q, d, g))
+
+    def weighted(p: Column, q: Column, d: Column, g: Column) -> Column:
+        near = F.sin(g) < 1e-6
+        u = F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * g), F.sin(g)))
+        v = F.when(near, t).otherwise(F.try_divide(F.sin(t * g), F.sin(g))) * F.when(d < 0, -1.0).otherwise(1.0)
+        return _let(F.array(u, v), lambda w: F.zip_with(p, q, lambda x, y: F.get(w, 0) * x + F.get(w, 1) * y))
+
+    return _let(a, lambda p: _let(b, lambda q: _let(_dot(_parts(p, 4), _parts(q, 4)), lambda d: blend(p, q, d))))

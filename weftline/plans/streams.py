@@ -1,2 +1,53 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Windowed queries over events; the streaming operators as batches, and a stream
+that runs to its end."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from weftline.plans._tables import r6, table
+from weftline.streaming import windows
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def activity_windows(spark, sf_dir):
+    x = windows.activity_windows(_events(spark, sf_dir))
+    return x.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def session_activity(spark, sf_dir):
+    x = windows.sessions(_events(spark, sf_dir))
+    return x.select("user_id", F.unix_timestamp("start").alias("start_s"), "n")
+
+
+def online_metrics(spark, sf_dir):
+    x = windows.online_means(table(spark, sf_dir, "events").withColumn("w", F.col("event_id") % 5 + 1), "event_type", "value", "w")
+    return x.select("event_type", r6(F.col("mean")).alias("mean"), "weight")
+
+
+def silence_split(spark, sf_dir):
+    """Users' events as a stream of sample chunks, split at silences.
+
+    The stream reads the files that are there, runs to its end and keeps its
+    rows in a memory table of its own.
+    """
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    chunks = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.array_repeat(F.when(F.col("value") > 8, F.col("value")).otherwise(0.0), 4).alias("samples"), F.lit(False).alias("last"))
+    name = f"silence_{uuid.uuid4().hex}"
+    q = windows.split_at_silence(chunks, rate=100, silence=0.08).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("stream_id", "part", F.size("samples").cast("long").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (activity_windows, session_activity, online_metrics, silence_split)}
+ORACLE = {
+    "activity_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, COUNT(*) AS n, round(SUM(value), 4) AS total FROM events GROUP BY ALL",
+    "session_activity": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+b AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, CAST(floor(epoch(MIN(ts))) AS BIGINT) AS start_s, COUNT(*) AS n FROM b GROUP BY user_id, s""",
+    "online_metrics": "SELECT event_type, round(SUM(value * (event_id % 5 + 1)) / SUM(event_id % 5 + 1), 6) + 0.0 AS mean, CAST(SUM(event_id % 5 + 1) AS BIGINT) AS weight FROM events GROUP BY 1",
+}
