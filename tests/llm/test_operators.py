@@ -210,15 +210,15 @@ def linked(sets, ids, ok):
     return [None if i is None else root(i) for i in ids]
 
 
-@pytest.mark.parametrize(("words", "percent", "least"), [(4, 85, 20_000), (5, 80, 0)])
-def test_jaccard(docs, rows, none, words, percent, least):
+@pytest.mark.parametrize(("words", "percent", "block"), [(4, 85, 1024), (5, 80, 3)])
+def test_jaccard(docs, rows, none, words, percent, block):
     def shingles(t):
         w = (t or "").encode().lower().split()
         return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) or frozenset([tuple(w)] if w else [])
 
     sets, ids = [shingles(r[1]) for r in rows], [r[0] for r in rows]
     roots = linked(sets, ids, lambda a, b: 100 * len(a & b) >= percent * len(a | b))
-    got = jaccard.jaccard_components(docs, words, percent, least)
+    got = jaccard.jaccard_components(docs, words, percent, block)
     assert sort(got.collect()) == sort(zip(ids, map(len, sets), roots, strict=True))
     assert jaccard.jaccard_components(none, words, percent).collect() == []
     kept = jaccard.keep_one(docs, words, percent)

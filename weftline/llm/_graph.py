@@ -71,39 +71,50 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a task's links, in parts of a bounded size."""
     a, b = [], []
+
+    def pack() -> list[tuple[int, int]]:
+        return forest(np.concatenate(a), np.concatenate(b)) if a else []
+
+    def out(kept: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch({"u": pa.array([x for x, _ in kept], pa.int64()), "v": pa.array([y for _, y in kept], pa.int64())})
+
     for batch in batches:
         a.append(batch.column(0).to_numpy(zero_copy_only=False))
         b.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if sum(map(len, a)) > 500_000:
-            kept = forest(np.concatenate(a), np.concatenate(b))
+        if sum(map(len, a)) > 1_000_000:
+            kept = pack()
+            if len(kept) > 500_000:
+                yield out(kept)
+                kept = []
             a, b = [np.array([x for x, _ in kept], np.int64)], [np.array([y for _, y in kept], np.int64)]
-    if a:
-        kept = forest(np.concatenate(a), np.concatenate(b))
-        yield pa.record_batch({"u": pa.array([x for x, _ in kept], pa.int64()), "v": pa.array([y for _, y in kept], pa.int64())})
+    yield out(pack())
+
+
+def _only_stars(links: DataFrame) -> bool:
+    """Whether each node has one link up or some from below, and not both."""
+    ends = links.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (u, v) of longs.
 
     Each task first keeps a spanning forest of its links. Then large and small
-    stars alternate until nothing changes, in a logarithmic number of rounds.
+    stars alternate until only stars are left, in a logarithmic number of rounds.
     No star is gathered in a task: its smallest node is an aggregate. Links with
     a null end and loops are left out; nodes without links do not appear.
     """
     links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    links = cut(links.mapInArrow(_contract, "u long, v long").where("u > v").distinct())
-    before = None
-    while True:
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, 1)
+    links = cut(links.coalesce(tasks).mapInArrow(_contract, "u long, v long").where("u > v").distinct())
+    while not _only_stars(links):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         links = cut(small)
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    roots = links.groupBy("v").count().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

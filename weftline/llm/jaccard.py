@@ -1,23 +1,27 @@
 """N-gram Jaccard join by several global token orders (operator 8).
 
 Tokens are the hashes of word shingles. In any global order of tokens, two sets
-with a Jaccard similarity of at least t share a token among the first
-n - ceil(t n) + 1 of each. Candidates must pass this filter under two orders,
-and the length filter, before their sets are compared exactly.
+with a Jaccard similarity of at least t share at least l tokens among the first
+n - ceil(t n) + l of each, for every l; here l is about half of the unavoidable
+difference. Candidates must pass this filter under two orders, and the length
+filter, before their sets are compared exactly. A set with fewer than l prefix
+tokens that any other set has cannot pass and is out at once.
 
 Both orders are rare-first by counts over the whole corpus, from two count
 sketches of a fixed size with independent slots and opposite tie-breaks. An
 order only decides speed: any order gives the same links.
 
 1. One pass hashes each text's set; documents with equal sets form a class.
-2. Prefix tokens of the classes are counted; those of one class are dropped.
-3. Classes that still share a token under the first order give their sets and
-   their prefixes under the second.
-4. Every list of classes with a common token is first compared with one of its
-   members, and links are contracted to components; this repeats with other
-   members while it pays. What is left, all pairs of a list that are in
-   different components, is compared in full. So a group of near copies costs
-   rows in proportion to its size, and no link between components is lost.
+2. Prefix tokens of the classes are counted; those of one class are dropped, and
+   then the classes with too few left.
+3. The other classes give their sets and their prefixes under both orders.
+4. Classes that are connected by common prefix tokens form a region; only inside
+   a region can sets link. Each token adds one link to its smallest class, so
+   finding regions costs rows in proportion to the tokens.
+5. Regions are cut into blocks of a fixed size; each pair of blocks is a task
+   group of its own. There the filters under both orders and the lengths are
+   intersected, and pairs that pass are compared exactly by counting common
+   tokens. A group returns a spanning forest of its links, never the pairs.
 
 Defined cases: a null or blank text has an empty set, links with nothing and is
 its own component; texts of fewer words than a shingle are one token; rows with
@@ -40,6 +44,8 @@ from weftline.llm._graph import components, cut, table
 
 #: Slots of each sketch; 4 bytes each are broadcast, whatever the size of the corpus.
 SLOTS_LOG2, BLOCKS = 19, 16
+#: Sets of a block of a region.
+BLOCK = 1024
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,13 +76,18 @@ def _slots(tokens: np.ndarray, which: int) -> np.ndarray:
     return ((tokens >> np.uint64(64 - SLOTS_LOG2 if which == 0 else 12)) & np.uint64((1 << SLOTS_LOG2) - 1)).astype(np.int64)
 
 
+def _least_shared(n: int, percent: int) -> int:
+    """Prefix tokens that a partner of a set of n tokens must share with it."""
+    return 1 + (n - (percent * n + 99) // 100 + 1) // 2
+
+
 def _prefix(tokens: np.ndarray, sketch: np.ndarray, which: int, percent: int) -> np.ndarray:
     """The first tokens under an order: by count, then by value or reverse value."""
     n = len(tokens)
     if not n:
         return tokens
     tokens = tokens[::-1] if which else tokens
-    return tokens[np.argsort(sketch[_slots(tokens, which)], kind="stable")[: n - (percent * n + 99) // 100 + 1]]
+    return tokens[np.argsort(sketch[_slots(tokens, which)], kind="stable")[: n - (percent * n + 99) // 100 + _least_shared(n, percent)]]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -124,21 +135,51 @@ def _sets_and_sketches(docs: DataFrame, words: int) -> tuple[DataFrame, list[np.
     return both.where("block is null").select("doc_id", "n", "k1", "k2"), sketches
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the similarity, compared exactly."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = x.values.to_numpy(), y.values.to_numpy()
-                k = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * k >= percent * (len(a) + len(b) - k))
-            yield pa.record_batch({"u": batch.column("u"), "v": batch.column("v")}).filter(pa.array(keep, pa.bool_()))
-
-    s = sets.select("node", "tokens")
-    full = pairs.join(s.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(s.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
-    return full.mapInArrow(run, "u long, v long")
+def _common(arrays: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the arrays share, by lists of each token."""
+    counts = np.zeros((len(arrays), len(arrays)), np.int32)
+    tokens = np.concatenate(arrays)
+    owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    edges = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True])))
+    for i in np.flatnonzero(np.diff(edges) > 1).tolist():
+        who = owner[edges[i] : edges[i + 1]]
+        counts[who[:, None], who] += 1
+    return counts
+
+
+def _block_links(group: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a group of one or two blocks."""
+    lists = {c: [x.values.to_numpy() for x in group.column(c)] for c in ("first", "second", "tokens")}
+    n = np.array([len(t) for t in lists["tokens"]])
+    least = 1 + (n - (percent * n + 99) // 100 + 1) // 2
+    need = np.minimum(least[:, None], least)
+    fit = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+    np.fill_diagonal(fit, False)
+    if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
+        left = np.asarray(group.column("left"))
+        fit &= left[:, None] != left
+    for c in ("first", "second"):
+        if fit.any():
+            fit &= _common(lists[c]) >= need
+    some = np.flatnonzero(fit.any(1))
+    if not len(some):
+        return []
+    k = _common([lists["tokens"][i] for i in some])
+    link = fit[np.ix_(some, some)] & (100 * k >= percent * (n[some][:, None] + n[some] - k))
+    node = group.column("node").to_numpy()[some]
+    out, todo = [], link.any(1)
+    while todo.any():
+        seen = np.zeros(len(some), bool)
+        front = np.array([int(np.argmax(todo))])
+        while len(front):
+            seen[front] = True
+            front = np.flatnonzero(link[front].any(0) & ~seen)
+        members = node[seen]
+        out += [(int(x), int(members.min())) for x in members if x != members.min()]
+        todo &= ~seen
+    return out
 
 
 def _same_id(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -150,73 +191,56 @@ def _same_id(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
     return cut(member.join(least, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, least_pairs: int = 20_000, rounds: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs`.
 
-    Documents link when 100 * |A and B| >= percent * |A or B|. `least_pairs`
-    and `rounds` only say how long comparing with single members goes on before
-    all other pairs are compared.
+    Documents link when 100 * |A and B| >= percent * |A or B|. `block` is the
+    largest number of sets that one side of a task group holds.
     """
     sets, sketches = _sets_and_sketches(docs, words)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
             found = token_sets(data, at, words)
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "first": _lists([_prefix(s, sketches[0], 0, percent) for s in found])})
+            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "least": pa.array([_least_shared(len(s), percent) for s in found], pa.int32()), "first": _lists([_prefix(s, sketches[0], 0, percent) for s in found])})
 
     # a class of equal sets is one node, named by its smallest doc_id
     classes = cut(sets.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node")))
-    named = classes.groupBy("node").agg(F.count("*").alias("texts"), F.max("n").alias("n"))
-    firsts = docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, first array<long>")
-    tokens = cut(firsts.join(named.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "first"))
-    posts = tokens.select("node", F.explode("first").alias("token"))
-    shared = posts.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token")
-    posts = cut(posts.join(shared, "token").distinct())
-    nodes = posts.select("node").distinct()
+    firsts = docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, least int, first array<long>")
+    named = classes.select(F.col("node").alias("doc_id")).distinct()
+    tokens = cut(firsts.join(named, "doc_id").select(F.col("doc_id").alias("node"), "least", "first"))
+    posts = tokens.select("node", "least", F.explode("first").alias("token"))
+    for _ in range(2):  # sets that are out may leave tokens of one set behind
+        shared = posts.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
+        posts = cut(posts.join(shared, "token"))
+        enough = posts.groupBy("node", "least").agg(F.count("*").alias("m")).where("m >= least").select("node").distinct()
+        posts = posts.join(enough, "node", "left_semi")
+    posts = cut(posts.select("node", "token").distinct())
+    nodes = cut(posts.select("node").distinct())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
             found = token_sets(data, at, words)
-            yield pa.record_batch({"node": batch.column("doc_id").cast(pa.int64()), "n": np.array([len(s) for s in found], np.int64), "second": _lists([_prefix(s, sketches[1], 1, percent) for s in found]), "tokens": _lists(found)})
+            yield pa.record_batch({"node": batch.column("doc_id").cast(pa.int64()), "n": np.array([len(s) for s in found], np.int64), "first": _lists([_prefix(s, sketches[0], 0, percent) for s in found]), "second": _lists([_prefix(s, sketches[1], 1, percent) for s in found]), "tokens": _lists(found)})
 
-    pulled = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(whole, "node long, n long, second array<long>, tokens array<long>")
+    pulled = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(whole, "node long, n long, first array<long>, second array<long>, tokens array<long>")
     full = cut(pulled.where("n > 0"))
-    heads = full.select("node", "n", "second")
-    links = _same_id(sets, classes)
-    for i in range(rounds + 1):
-        found = components(links) if links is not None else None
-        state = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c")) if found is not None else nodes.select("node", F.col("node").alias("c"))
-        placed = posts.join(state, "node")
-        lists = placed.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        left, size = lists.where("m * m > own").agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
-        if not left:
-            break
-        last = i == rounds or left <= max(least_pairs, 2 * size)
-        if last:
-            a, b = placed.alias("a"), placed.alias("b")
-            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        else:
-            pick = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("by"), "node", "c")).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.c").alias("pc"))
-            pairs = placed.join(pick, "token").where("c <> pc").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-        pairs = pairs.distinct()
-        # the other filters: lengths and the second order
-        h = heads.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("second").alias("su"))
-        g = heads.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("second").alias("sv"))
-        fit = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & F.arrays_overlap("su", "sv")
-        pairs = pairs.join(h, "u").join(g, "v").where(fit).select("u", "v").distinct()
-        new = _verify(pairs, full, percent)
-        new = cut((new.union(links) if links is not None else new).distinct())
-        if links is not None and not last and new.count() == links.count():
-            rounds = i + 1  # single members no longer find links: compare the rest next
-        links = new
-        if last:
-            break
-    groups = components(links) if links is not None else None
-    member = sets.join(classes, ["n", "k1", "k2"], "left")
-    if groups is not None:
-        member = member.join(groups.withColumnRenamed("component", "found"), "node", "left")
-    else:
-        member = member.withColumn("found", F.lit(None).cast("long"))
+    least = posts.groupBy("token").agg(F.min("node").alias("v"))
+    regions = components(posts.join(least, "token").select(F.col("node").alias("u"), "v").where("u <> v").distinct()).withColumnRenamed("component", "region")
+    sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = regions.join(sizes, "region").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "region", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") <= F.col("other")).alias("left"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        found = _block_links(group, percent)
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    links = full.join(dealt, "node").groupBy("region", "lo", "hi").applyInArrow(compare, "u long, v long")
+    same = _same_id(sets, classes)
+    groups = components(links.union(same) if same is not None else links).withColumnRenamed("component", "found")
+    # every class, with the components of those that have links
+    member = sets.join(classes, ["n", "k1", "k2"], "left").join(groups, "node", "left")
     return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "node", "doc_id").alias("component_id"))
 
 
@@ -240,4 +264,19 @@ def op8_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+ORACLE = {
+    "op8_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
+), n AS (SELECT w.doc_id, COUNT(s.sh) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id
+), p AS (SELECT a.doc_id AS u, b.doc_id AS v, COUNT(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)
+), e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, COALESCE(MIN(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
+"""
+}
 QUERIES = {"op8_jaccard": op8_jaccard}
