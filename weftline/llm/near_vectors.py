@@ -167,4 +167,19 @@ def op4_near_vectors(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE = {
+    "op4_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+), c AS (SELECT vec_id, least(vec_id, COALESCE((SELECT MIN(v) FROM r WHERE u = vec_id), vec_id)) AS component_id FROM embeddings)
+SELECT vec_id, (SELECT COUNT(*) FROM l WHERE u = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM c
+"""
+}
 QUERIES = {"op4_near_vectors": op4_near_vectors}
