@@ -48,7 +48,7 @@ HOT = 10_000
 #: Bytes of suffixes that a task sorts at once, and suffixes of an average exchange group.
 RUN_BYTES, GROUP = 24 << 20, 8192
 #: Window starts that are handled at once in a long text.
-STARTS = 1 << 21
+STARTS = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
 SEPARATOR = b"\xff"  # in no UTF-8 text
 
@@ -327,7 +327,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ho
 
     found = cut(keyed.mapInArrow(anchors, "k1 long, k2 long, anchors array<long>").where(F.size("anchors") > 0))
     places = found.select("k1", "k2", F.explode("anchors").alias("h"))
-    shared = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # cut, so that the join gets an exchange of its own and hot anchors can be split
+    shared = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     needed = cut(places.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"), F.count("*").alias("m")))
     buckets = max(64, (needed.agg(F.sum("m")).first()[0] or 0) // GROUP)
 
