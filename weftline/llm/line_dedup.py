@@ -103,7 +103,8 @@ def removed_chunks(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE) ->
 
     chunks = cut(keyed.mapInArrow(places, f"_id {id_type}, _t long, n int, h long, g long"))
     place = F.struct("_id", "_t", "n")
-    repeated = chunks.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("h", "g")
+    # cut, so that the joins get exchanges of their own and hot chunks can be split
+    repeated = cut(chunks.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("h", "g"))
     marks = cut(chunks.join(repeated, ["h", "g"]))
     wanted = marks.groupBy("_id", "_t").agg(F.collect_set("n").alias("wanted"))
 
@@ -118,7 +119,7 @@ def removed_chunks(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE) ->
     pulled = keyed.alias("d").join(wanted.alias("w"), _same("d", "w")).select("d._id", "d._t", "text", "wanted")
     bytes_ = pulled.mapInArrow(texts, f"_id {id_type}, _t long, n int, h long, g long, chunk binary")
     compared = bytes_.groupBy("h", "g", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    kept = compared.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts = 1 and first <> last").select("h", "g", "first")
+    kept = cut(compared.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts = 1 and first <> last").select("h", "g", "first"))
     return marks.join(kept, ["h", "g"]).where(place != F.col("first")).groupBy("_id", "_t").agg(F.collect_set("n").alias("gone"))
 
 
