@@ -22,6 +22,8 @@ from weftline.llm._graph import cut, table
 
 #: Slices of the random order; words are summed by slice before any ranking.
 SLICES = 4096
+#: Sources whose targets are sent to every task.
+MOST_BROADCAST = 20_000
 
 
 def _sizes(docs: DataFrame, seed: int) -> list[Column]:
@@ -80,6 +82,9 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows (source, size, u, ...) with source_size, target and copies."""
     names = rows.columns
+    plan = cut(plan)
+    if plan.count() <= MOST_BROADCAST:  # else a shuffled join, of which large partitions can be split
+        plan = F.broadcast(plan)
     full = rows.join(plan, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("slice", F.floor(F.col("u") * SLICES)).withColumn("p", F.try_divide("need", "source_size"))
     odds = F.try_divide(F.col("u") * (1 - F.col("p")), (1 - F.col("u")) * F.col("p"))
     in_edge = F.col("edge").isNotNull() & (F.col("slice") == F.col("edge"))
