@@ -236,7 +236,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
         found = _block_links(group, percent)
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    links = full.join(dealt, "node").groupBy("region", "lo", "hi").applyInArrow(compare, "u long, v long")
+    links = cut(full.join(dealt, "node").groupBy("region", "lo", "hi").applyInArrow(compare, "u long, v long"))
     same = _same_id(sets, classes)
     groups = components(links.union(same) if same is not None else links).withColumnRenamed("component", "found")
     # every class, with the components of those that have links
