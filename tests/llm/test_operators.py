@@ -285,6 +285,29 @@ def test_suffixes(docs, rows, none, length, block, hot):
     assert suffixes.remove_repeats(none, length, block, hot).collect() == []
 
 
+def test_settled_spans_of_copies_share_no_bucket():
+    windows, copies, held, groups = 100, 500, suffixes._Runs(64), collections.Counter()
+    for flush in range(4):  # a passage of one hot anchor in many documents; the last row of each flush is equal
+        for doc in range(copies):
+            starts, key = np.arange(windows), copies * flush + doc if doc < copies - 1 else -1
+            held.windows.append(np.column_stack((starts * 7919 << 20, starts, np.full(windows, key), np.full(windows, 1), starts, starts + 200)))
+        for bucket, blob in held.rows():
+            groups[bucket] += len(suffixes.zstandard.ZstdDecompressor().decompress(blob))
+    assert max(groups.values()) < 20_000  # of 6.4 MB of unmerged spans
+    assert sum(n for bucket, n in groups.items() if bucket < 0) == 4 * copies * 32
+
+
+def test_runs_without_settled_spans():
+    held = suffixes._Runs(64)
+    held.items.append((3, b"ab" + suffixes.SEPARATOR, (1, 1, 0)))
+    assert [bucket for bucket, _ in held.rows()] == [3]
+
+
+def test_merged_spans_join_what_overlaps():
+    spans = np.array([(2, 1, 0, 3), (1, 1, 2, 4), (1, 1, 0, 9), (1, 1, 5, 7), (1, 1, 8, 12), (1, 1, 13, 14), (1, 2, 0, 1)])
+    assert suffixes.merged(spans).tolist() == [[1, 1, 0, 12], [1, 1, 13, 14], [1, 2, 0, 1], [2, 1, 0, 3]]
+
+
 def test_loser_tree_merges_with_common_prefixes():
     r = random.Random(2)
     for k in range(1, 9):

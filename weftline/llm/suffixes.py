@@ -11,7 +11,8 @@ removed. Only suffixes that can matter are sorted, and no repeat is lost:
    follows it, reversed. Each task sorts the suffixes of its documents, front
    codes them (the length of the prefix shared with the one before, and the
    rest) and exchanges these runs by anchor. Suffixes that a task has more than
-   once are settled there and sent once, without their places.
+   once are settled there and sent once, without their places; the spans of
+   these places are merged by document and exchanged apart from all runs.
 3. A loser tree merges the runs of an anchor range. Each string carries the
    length of its common prefix with the last output, so known prefixes are never
    compared again; the merge also yields the common prefix of neighbours.
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,15 +182,50 @@ def front_decode(shared: bytes, sizes: bytes, rests: bytes) -> Iterator[tuple[in
         yield k, before
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """The rows (k1, k2, start, end), sorted, with overlapping spans of a document as one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    doc = np.zeros(len(spans), bool)
+    doc[1:] = (spans[1:, :2] != spans[:-1, :2]).any(1)
+    # the furthest end so far in the document: ends are lifted by document to be one running maximum
+    lift = np.cumsum(doc) * (int(spans[:, 3].max()) + 1)
+    reach = np.maximum.accumulate(spans[:, 3] + lift)
+    new = doc.copy()
+    new[0] = True
+    new[1:] |= spans[1:, 2] + lift[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return np.column_stack((spans[at, :3], np.maximum.reduceat(spans[:, 3], at)))
+
+
 class _Runs:
     """Collects the suffixes of a task and turns them into rows to exchange."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, task: int = 0):
         self.buckets, self.items, self.bytes = buckets, [], 0
         self.windows: list[np.ndarray] = []
+        self.task, self.flushes = task, 0
+
+    def _settled(self, spans: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, spans): the settled spans, merged by document, in buckets below 0.
+
+        Buckets hang on the document and the flush: spans of a document meet again
+        in the last aggregate only, and neither copies nor equal rows share a bucket.
+        """
+        spans = merged(spans)
+        if not len(spans):
+            return
+        salt = _text.mix(np.array([self.task << 32 | self.flushes], np.uint64))
+        to = _text.mix(spans[:, 0].view(np.uint64) ^ _text.mix(spans[:, 1].view(np.uint64)) ^ salt) % np.uint64(self.buckets)
+        order = np.argsort(to, kind="stable")
+        edges = np.flatnonzero(np.diff(to[order], prepend=to[order][:1] + np.uint64(1)))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(spans)], strict=True):
+            yield -1 - int(to[order[a]]), spans[order[a:b]].tobytes()
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob): a front-coded run, windows, and settled spans."""
+        """(bucket, blob): front-coded runs and windows, and apart from them settled spans."""
+        settled: list[np.ndarray] = []
         self.items.sort(key=lambda x: x[:2])
         items, n, i = self.items, len(self.items), 0
         pack = zstandard.ZstdCompressor(level=1)
@@ -209,7 +246,8 @@ class _Runs:
                     refs.append((0, 0, -1))
                 strings.append(z)
                 i = j
-            per[bucket] = [*front_code(strings), np.array(refs, np.int64).tobytes(), np.array(spans, np.int64).tobytes(), b""]
+            settled.append(np.array(spans, np.int64).reshape(-1, 4))
+            per[bucket] = [*front_code(strings), np.array(refs, np.int64).tobytes(), b""]
         if self.windows:
             w = np.concatenate(self.windows)
             w = w[np.lexsort((w[:, 1], w[:, 0]))]
@@ -217,20 +255,21 @@ class _Runs:
             same[1:] = (w[1:, :2] == w[:-1, :2]).all(1)
             several = same.copy()
             several[:-1] |= same[1:]
-            spans = np.column_stack((w[several, 2], w[several, 3], w[several, 4], w[several, 5]))
+            settled.append(w[several, 2:])
             w = w[~same]
             w[several[~same], 4] = -1
             to = (w[:, 0].view(np.uint64) >> np.uint64(7)) % np.uint64(self.buckets)
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order], prepend=to[order][:1] + np.uint64(1)))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(w)], strict=True):
-                per.setdefault(int(to[order[a]]), [b""] * 6)[5] = w[order[a:b]].tobytes()
-            if len(spans):
-                first = per.setdefault(int(to[order[0]]), [b""] * 6)
-                first[4] += spans.tobytes()
+                per.setdefault(int(to[order[a]]), [b""] * 5)[4] = w[order[a:b]].tobytes()
         self.items, self.windows, self.bytes = [], [], 0
         for bucket, parts in per.items():
             yield bucket, pack.compress(marshal.dumps(tuple(parts)))
+        if settled:
+            for bucket, spans in self._settled(np.concatenate(settled)):
+                yield bucket, pack.compress(spans)
+        self.flushes += 1
 
 
 def _settle(group: list[list], length: int, block: int, out: list) -> None:
@@ -276,7 +315,7 @@ def _merge(blobs: list[bytes], length: int, block: int) -> np.ndarray:
     """Repeated spans (k1, k2, start, end) of one exchange group."""
     unpack = zstandard.ZstdDecompressor()
     parts = [marshal.loads(unpack.decompress(b)) for b in blobs]
-    done = [np.frombuffer(p[4], np.int64).reshape(-1, 4) for p in parts]
+    done: list[np.ndarray] = []
 
     def run(p) -> Iterator[tuple[int, bytes, tuple]]:
         refs = np.frombuffer(p[3], np.int64).reshape(-1, 3).tolist()
@@ -298,7 +337,7 @@ def _merge(blobs: list[bytes], length: int, block: int) -> np.ndarray:
             group.append([z[:right], z[right + 1 :], places, [ref], lcp])
     if group:
         _settle(group, length, block, out)
-    windows = [np.frombuffer(p[5], np.int64).reshape(-1, 6) for p in parts]
+    windows = [np.frombuffer(p[4], np.int64).reshape(-1, 6) for p in parts]
     w = np.concatenate(windows)
     if len(w):
         w = w[np.lexsort((w[:, 1], w[:, 0]))]
@@ -333,7 +372,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ho
     buckets = max(64, (needed.agg(F.sum("m")).first()[0] or 0) // GROUP)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Runs(buckets)
+        held = _Runs(buckets, TaskContext.get().partitionId())
         for batch, data, at in _text.groups(batches):
             raw = data.tobytes()
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
@@ -366,13 +405,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ho
             yield pa.record_batch({"bucket": pa.array([b for b, _ in rows[i : i + 1000]], pa.int64()), "run": pa.array([r for _, r in rows[i : i + 1000]], pa.binary())})
 
     def merge(group: pa.Table) -> pa.Table:
-        spans = _merge(group.column("run").to_pylist(), length, block)
-        spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
-        if len(spans):  # overlapping spans of a document become one
-            new = np.ones(len(spans), bool)
-            new[1:] = (spans[1:, :2] != spans[:-1, :2]).any(1) | (spans[1:, 2] > spans[:-1, 3])
-            at = np.flatnonzero(new)
-            spans = np.column_stack((spans[at, :3], np.maximum.reduceat(spans[:, 3], at)))
+        blobs = group.column("run").to_pylist()
+        if group.column("bucket")[0].as_py() < 0:
+            unpack = zstandard.ZstdDecompressor()
+            spans = np.concatenate([np.frombuffer(unpack.decompress(b), np.int64) for b in blobs]).reshape(-1, 4)
+        else:
+            spans = _merge(blobs, length, block)
+        spans = merged(spans)
         return pa.table({"k1": spans[:, 0], "k2": spans[:, 1], "s": spans[:, 2], "e": spans[:, 3]})
 
     exchanged = keyed.join(needed.select("k1", "k2", "shared", "hot"), ["k1", "k2"]).mapInArrow(runs, "bucket long, run binary")
