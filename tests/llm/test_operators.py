@@ -332,6 +332,40 @@ def test_licenses(spark, none):
     assert all(re.search(licenses.MARKS, s) for s in licenses.SENTENCES)
 
 
+STANDARD = {
+    "Apache-2.0": 'Copyright 2020 A. Body\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.',
+    "MIT": 'Copyright 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE',
+    "GPL-3.0": "a - a program.\nCopyright (C) 2020  A. Body\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy",
+    "BSD-3-Clause,BSD-2-Clause": "Copyright (c) 2020, A. Body\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "All-Rights-Reserved": "Copyright 2020 A. Body.\nAll rights reserved.",
+}
+
+
+def test_licenses_of_standard_headers(spark):
+    headers = list(STANDARD.items())
+    later = STANDARD["GPL-3.0"].replace("software:", "software;")
+    headers += [("GPL-3.0", later), ("GPL-2.0", later.replace("version 3", "version 2")), ("Apache-2.0", STANDARD["Apache-2.0"].replace("http:", "https:"))]
+    name = "BSD-3-Clause,BSD-2-Clause"
+    bullets = STANDARD[name]
+    for i in "123":
+        bullets = bullets.replace(f"{i}. ", "* ")
+    headers += [(name, STANDARD[name].replace("met:\n\n", "met:\n")), (name, bullets), (name, bullets.replace("met:\n\n", "met:\n")), ("BSD-2-Clause", STANDARD[name].split("3. ")[0])]
+    headers += [(n, f"SPDX-License-Identifier: {x}") for n, x in (("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-3.0", "GPL-3.0-or-later"), ("BSD-3-Clause", "BSD-3-Clause"))]
+    headers += [("MIT", "SPDX-License-Identifier:\nMIT")]
+    marked = lambda t, first, mark, last: first + "\n".join((mark + line).rstrip() for line in t.split("\n")) + last
+    cases = [(n, marked(t, *m)) for n, t in headers for m in (("", "", ""), ("", "# ", "\n"), ("", "// ", "\n"), ("/*\n", " * ", "\n */\n"))]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame).collect()}
+    assert [(n, t) for i, (n, t) in enumerate(cases) if got[i] != n] == []
+    import re
+
+    assert all(re.search(licenses.MARKS, s) for s in licenses.SPLIT_SENTENCES)
+    assert {n for n, _ in licenses.RULES} == {x for n, _ in headers for x in n.split(",")}
+
+
 def targets(sizes, weights, most=3):
     total, left, out = sum(sizes), list(range(len(sizes))), {}
     while left:

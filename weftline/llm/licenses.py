@@ -5,7 +5,12 @@ spaces) and looked up among known licence sentences. The identifiers, in order,
 are matched against licence rules: ordered sequences that may have other known
 sentences between them. Sentences are cut twice, once with a line break as a
 boundary and once with it as a space, so that both one-line notices and wrapped
-licence texts are recognised; a licence counts if either sequence matches.
+licence texts are recognised; a licence counts if either sequence matches. Lines
+without letters and digits (empty or only comment marks) and a colon before a
+line break end a sentence of the second kind.
+
+The SQL check knows SENTENCES, RULES and BY_STOP only; it equals the query on
+texts without the notices of SPLIT_SENTENCES and without such boundaries.
 
 Defined cases: a null or empty text has no sentence and no licence; repeated
 sentences repeat in the sequence; every row is judged alone, so repeated rows,
@@ -81,10 +86,30 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync4.long"]),
     ("All-Rights-Reserved", ["reserved"]),
 ]
+# Sentences of standard notices as the boundaries cut them, at semicolons
+# and before a URL on a line of its own, and the rules that need them.
+_GPL_GRANT = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license or at your option any later version"
+SPLIT_SENTENCES = {
+    "you may obtain a copy of the license at": "apache2.at",
+    "http www apache org licenses license 2 0": "apache2.url",
+    "https www apache org licenses license 2 0": "apache2.url",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2.copy",
+    _GPL_GRANT.format(3): "gpl3.grant",
+    _GPL_GRANT.format(2): "gpl2.grant",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl.hope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl.implied",
+}
+SPLIT_RULES = [
+    ("Apache-2.0", ["apache2.comply", "apache2.at", "apache2.url", "apache2.asis"]),
+    ("GPL-3.0", ["gpl3.grant", "gpl.hope", "gpl.implied", "gpl.details"]),
+    ("GPL-2.0", ["gpl2.grant", "gpl.hope", "gpl.implied", "gpl.details"]),
+]
 #: A superset of the texts with a known sentence: each holds one of these words.
 MARKS = "(?i)licen[sc]e|copyright|warranty|redistribut|all[^A-Za-z0-9]+rights[^A-Za-z0-9]+reserved"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BY_LINE, BY_STOP = r"[.;!?]+[ \t\r\n\f]+|\n", r"[.;!?]+[ \t\r\n\f]+|\n[ \t\r\f]*\n"
+#: BY_STOP with lines of marks only, and with colons before a line break.
+BY_BREAK = r"[.;!?]+[ \t\r\n\f]+|\n[^\p{L}\p{N}\n]*\n|(?<!identifier):[^\p{L}\p{N}\n]*\n"
 
 
 def _known(boundary: str, sentences: dict[str, str]) -> Column:
@@ -105,9 +130,9 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     Licences are comma-joined in the order of the rules, each once. `marks` is a
     pattern that every known sentence matches; it spares other texts the work.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = sentences or SENTENCES | SPLIT_SENTENCES, rules or RULES + SPLIT_RULES
     marked = F.coalesce(F.col("text").rlike(marks), F.lit(False))
-    found = docs.select("doc_id", *[F.when(marked, _known(cut, sentences)).otherwise(F.lit(",,")).alias(name) for name, cut in (("by_line", BY_LINE), ("by_stop", BY_STOP))])
+    found = docs.select("doc_id", *[F.when(marked, _known(cut, sentences)).otherwise(F.lit(",,")).alias(name) for name, cut in (("by_line", BY_LINE), ("by_stop", BY_BREAK))])
     names = list(dict.fromkeys(name for name, _ in rules))
     hit = {name: reduce(lambda a, b: a | b, [F.col(c).rlike(_pattern(ids)) for n, ids in rules if n == name for c in ("by_line", "by_stop")]) for name in names}
     licenses = F.filter(F.array(*[F.when(hit[n], F.lit(n)) for n in names]), lambda x: x.isNotNull())
