@@ -195,6 +195,29 @@ def test_novelty_reports_what_the_context_does_not_explain():
     assert secrets_scan.novel_spans(f"colour is {value}", []) == []
 
 
+def test_novelty_of_repeated_and_long_keys():
+    r = random.Random(11)
+    key = lambda n, alphabet: "".join(r.choices(alphabet, k=n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    base62, upper = letters + "0123456789", "0123456789ABCDEF"
+    found = lambda text: [text[s:e] for s, _, e in secrets_scan.novel_spans(text, secrets_scan.base_spans(text))]
+    for _ in range(5):
+        value = key(32, base62)
+        assert found(f"auth header uses {value} and the auth footer {value} too") == [value, value]
+        assert found(f"password = {value}\nthe auth header uses {value} here") == [value]
+        for n in (64, 96, 256):
+            value = key(n, upper)
+            assert found(f"auth header uses {value} here") == [value]
+        for alphabet in ("0123456789", letters):
+            value = key(24, alphabet)  # shorter than the base pattern of hex
+            assert found(f"auth header uses {value} here") == [value]
+        block = [key(64, base62) for _ in range(6)]
+        assert found("-----BEGIN PRIVATE KEY-----\n" + "\n".join(block) + "\n-----END") == block
+        assert found(f"private notes\n{'word ' * 30}\n{block[0]}") == []
+    assert found("the auth of authenticationManagerFactory and Donaudampfschifffahrtsgesellschaft") == []
+    assert found("auth " + "=" * 40 + " and auth " + "0" * 40 + " and auth " + "1234567890" * 12) == []
+
+
 def linked(sets, ids, ok):
     parent = {}
 

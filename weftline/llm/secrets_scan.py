@@ -3,10 +3,15 @@
 Three patterns give the base spans. The novelty method then adds long unbroken
 strings in a sensitive context: each candidate is compressed by zstandard with
 the surrounding code and the identifiers of the text as its dictionary, and the
-marginal compressed bytes are compared with its length. What neither the
-surroundings nor the identifiers explain, and what has no structure of its own,
-is reported as kind `novel`. Base spans always stay; a candidate that overlaps
-one is not judged again.
+marginal compressed bytes are compared with its length or, where entropy coding
+alone makes random text smaller, with those of random text of its alphabet. What
+neither the surroundings nor the identifiers explain, and what has no structure of
+its own, is reported as kind `novel`. Copies of the candidate in a base span or in
+a sensitive context do not explain it; copies elsewhere do. A sensitive context
+carries on over candidates on directly following lines. Candidates of letters only
+are judged if their case changes like that of random text, since long words and
+names are no secrets. Base spans always stay; a candidate that overlaps one is not
+judged again.
 
 Defined cases: a null or empty text has no span; spans are code point offsets,
 end exclusive; equal spans of different kinds come in the order of the kinds;
@@ -17,6 +22,8 @@ no care; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import re
 from collections.abc import Iterator
 
@@ -35,6 +42,8 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"secret|token|passw|credential|private|bearer|auth|api.?key|access.?key|signature|conn(?:ection)?.?str", re.IGNORECASE | re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_]{3,}")
+#: What may stand between candidates on following lines.
+BETWEEN = " \t\r\n\"'`,;\\#*"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,24 +65,60 @@ def marginal_bytes(candidate: bytes, surroundings: bytes, level: int = 3) -> int
     return size(candidate) - size(b"")
 
 
+def random_text(value: str) -> bytes:
+    """Random text of the length and the alphabet of a value, the same in every run."""
+    if not value.strip("0123456789ABCDEF") or not value.strip("0123456789abcdef"):
+        alphabet = "0123456789" if value.isdigit() else "0123456789abcdef"
+    else:
+        kinds = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+        alphabet = "".join(k for k in kinds if any(c in k for c in value)) + "".join(sorted(set(value) & set("+/_=-")))
+    return "".join(random.Random(len(value)).choices(alphabet, k=len(value))).encode()
+
+
+def _judged(value: str) -> bool:
+    """Whether a value may be a key: not a word or a name, nor a line of marks."""
+    if any(c.isdigit() for c in value):
+        return True
+    changes = sum(a.isupper() != b.isupper() for a, b in itertools.pairwise(c for c in value if c.isalpha()))
+    return 3 * changes >= len(value)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int = 512, near: int = 48, ratio: float = 0.75) -> list[tuple[int, int, int]]:
     """(start, kind, end) of incompressible strings in a sensitive context.
 
     `near` code points before a candidate must name something sensitive; `reach`
     code points to each side are the surrounding code of the dictionary.
     """
-    found = []
+    candidates, before, carried = [], 0, False
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        value = m.group()
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
-        if any(s < b and a < e for a, _, b in taken) or not SENSITIVE.search(text, max(0, s - near), s):
+        follows = carried and "\n" in text[before:s] and not text[before:s].strip(BETWEEN)
+        carried, before = follows or bool(SENSITIVE.search(text, max(0, s - near), s)), e
+        if carried:
+            candidates.append((s, e))
+    starts = {s for s, _ in candidates}
+
+    def secret(s: int, e: int) -> bool:
+        return s in starts or any(s < b and a < e for a, _, b in taken) or bool(SENSITIVE.search(text, max(0, s - near), s))
+
+    found = []
+    for s, e in candidates:
+        value = text[s:e]
+        if not _judged(value) or any(s < b and a < e for a, _, b in taken):
             continue
-        around = text[max(0, s - reach) : s] + "\n" + text[e : e + reach]
-        words = " ".join(sorted(set(IDENTIFIER.findall(text[max(0, s - 8 * reach) : s] + " " + text[e : e + 8 * reach]))))
-        prime = (words + "\n" + around).encode("utf-8", "surrogatepass")
-        if marginal_bytes(value.encode(), prime) >= ratio * len(value):
+        low, high = max(0, s - 8 * reach), e + 8 * reach
+        wide = text[low:s] + " " * (e - s) + text[e:high]
+        at = wide.find(value)
+        while at >= 0:
+            step = 1
+            if secret(low + at, low + at + e - s):
+                wide, step = wide[:at] + " " * (e - s) + wide[at + e - s :], e - s
+            at = wide.find(value, at + step)
+        left, right = wide[: s - low], wide[e - low :]
+        words = " ".join(sorted(set(IDENTIFIER.findall(left + " " + right))))
+        prime = (words + "\n" + left[-reach:] + "\n" + right[:reach]).encode("utf-8", "surrogatepass")
+        size = marginal_bytes(value.encode(), prime)
+        if size >= ratio * len(value) or size >= ratio * marginal_bytes(random_text(value), prime):
             found.append((s, 3, e))
     return found
 
