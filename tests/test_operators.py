@@ -160,6 +160,11 @@ def test_vocabulary(spark):
     assert {r.word: (r.id, r.n) for r in corpus.merge_vocabularies(v, other).collect()} == {"a": (4, 2), "b": (5, 2), "c": (6, 1), "d": (7, 1)}
 
 
+def test_every_task_is_kept(spark):
+    pairs = corpus.with_tasks(spark.range(3).select(F.col("id").alias("conv_id")), spark.range(1500).select(F.col("id").alias("task")))
+    assert pairs.count() == pairs.distinct().count() == 4500
+
+
 def test_split_shares(spark):
     got = corpus.random_split(spark.range(1000), "id").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 800, "val": 100, "test": 100}

@@ -83,8 +83,8 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def with_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Every row with every task; tasks are a short list that a person wrote."""
-    return rows.crossJoin(F.broadcast(tasks.limit(1000)))
+    """Every row with every task, however many there are."""
+    return rows.crossJoin(tasks)
 
 
 def pick_variant(key: Column, variants: Column, seed: int = 42) -> Column:
