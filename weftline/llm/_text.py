@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
@@ -47,8 +48,12 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), from one prefix sum."""
+def rolling_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of overlapping byte spans [start, end), from one prefix sum.
+
+    They order places of a text. Texts can be made that collide, so nothing may
+    count as equal by them.
+    """
     n = len(data)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, n), dtype=np.uint64, out=prefix[1:])
@@ -91,16 +96,54 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of all words; works through long data in windows of whole words."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + WINDOW, "right")))
-        base = starts[i]
-        out[i:j] = span_hashes(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
-        i = j
-    return out
+#: Spans of more bytes are hashed one by one.
+LANES = 128
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of separate byte spans, for equality.
+
+    Eight bytes of all spans at a time go through a mixer that is no polynomial,
+    so that strings of a special form collide no more often than others.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _BASE)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # unaligned loads
+    live = np.flatnonzero((size > 0) & (size <= LANES))
+    for k in range(0, LANES, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        part = eight[starts[live] + k] & _KEEP[np.minimum(size[live] - k, 8)]
+        out[live] = mix(out[live] ^ part) + _BASE
+    long = np.flatnonzero(size > LANES)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return mix(out)
+
+
+def window_hashes(data: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of all windows of `size` bytes, for equality.
+
+    Windows of twice the size are mixed from two halves, so no sum of terms can
+    cancel out.
+    """
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    level, width, done, out = mix(data.astype(np.uint64) + np.uint64(seed << 8)), 1, 0, None
+    while True:
+        if size & width:
+            part = level[done : done + n]
+            out = part.copy() if out is None else mix(out * _BASE + part)
+            done += width
+        if done == size:
+            return out
+        level = mix(level[:-width] * _INVERSE + (level[width:] ^ _BASE))
+        width *= 2
 
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:

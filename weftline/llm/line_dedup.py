@@ -52,7 +52,7 @@ class Chunks:
         last[tail], last[~tail] = at[1:], breaks
         starts, ends, _ = _text.words(data, at)
         filled = np.searchsorted(starts, last) > np.searchsorted(starts, first)
-        hashes = _text.word_hashes(data, first, last)
+        hashes = _text.span_hashes(data, first, last)
         rolled, place = np.zeros(n, np.uint64), np.arange(n) - np.repeat(line_at[:-1], per)
         for k in range(roll):
             seen = place >= k

@@ -53,7 +53,7 @@ class Lines:
     def __init__(self, data: np.ndarray, at: np.ndarray):
         n = len(at) - 1
         starts, ends, of = _text.words(data, at)
-        hashes = _text.word_hashes(data, starts, ends)
+        hashes = _text.span_hashes(data, starts, ends)
         self.n_words = np.diff(of)
         heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
         letters = np.concatenate(([0], np.cumsum(heads[ends] - heads[starts])))
@@ -121,7 +121,7 @@ class Lines:
 
 def _line_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of lines; long data is hashed in windows of whole lines."""
-    return _text.word_hashes(data, first, last) if len(first) else np.zeros(0, np.uint64)
+    return _text.span_hashes(data, first, last) if len(first) else np.zeros(0, np.uint64)
 
 
 class Field:

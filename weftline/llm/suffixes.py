@@ -19,9 +19,11 @@ removed. Only suffixes that can matter are sorted, and no repeat is lost:
 4. Suffixes of one anchor that are equal repeat as a whole. For different ones,
    the common bytes right of the anchor (from the merge) and left of it decide.
 
-Anchors with more than `hot` places could fill a task. Their windows are sent
-one by one under a 128-bit hash instead, spread by that hash, after each task
-has combined equal ones; so no group grows with the number of its copies.
+Anchors with more than `hot` places could fill a task, so a second method takes
+them: their windows leave the merge sort and are sent one by one under two 64-bit
+hashes of different seeds, spread by them, after each task has combined equal
+ones; no group grows with the number of its copies. There, equal hashes stand for
+equal bytes; the hashes mix halves without sums, so special texts don't collide.
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose
 nothing; repeated rows are documents of their own that repeat each other; ties
@@ -58,7 +60,7 @@ SEPARATOR = b"\xff"  # in no UTF-8 text
 def _block_hashes(data: np.ndarray, size: int, base: int = 0) -> np.ndarray:
     n = len(data) - size + 1
     at = np.arange(max(n, 0))
-    return _text.span_hashes(data ^ np.uint8(base), at, at + size) if n > 0 else np.zeros(0, np.uint64)
+    return _text.rolling_hashes(data ^ np.uint8(base), at, at + size) if n > 0 else np.zeros(0, np.uint64)
 
 
 def anchor_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -391,7 +393,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ho
                     starts = np.repeat(first[burst], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     rows_ = np.repeat(row[burst], size)
                     lo, hi = int(starts[0]), int(starts[-1]) + length
-                    w = [_text.span_hashes(data[lo:hi] ^ np.uint8(x), starts - lo, starts - lo + length).view(np.int64) for x in (0, 0x5A)]
+                    w = [_text.window_hashes(data[lo:hi], length, seed)[starts - lo].view(np.int64) for seed in (1, 2)]
                     begin = starts - at[rows_]
                     held.windows.append(np.column_stack((*w, np.array(k1, np.int64)[rows_], np.array(k2, np.int64)[rows_], begin, begin + length)))
                     held.bytes += 48 * len(starts)
