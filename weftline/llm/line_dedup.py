@@ -2,22 +2,28 @@
 
 A text is cut into lines; a rolling hash over the hashes of neighbouring lines
 chooses chunk boundaries, so an inserted line moves only the chunks around it.
-Chunks of several lines that occur more than once in the corpus are removed
-everywhere but at their first occurrence (smallest doc_id, then place), after
-their bytes have been compared.
-
-Only hashes are exchanged for all chunks. The bytes of repeated chunks are then
-compared by grouping on them, which combines within each task first, so a chunk
-that a third of all documents hold is one row a task. A key whose bytes differ
-is left alone.
+Units are the chunks of several lines and the two lines before and behind each
+boundary; these two let a repeated run be found from the first boundary inside it,
+though its first and last chunk also hold lines of their own document. Units that
+occur more than once in the corpus are removed everywhere but at their first place
+(smallest doc_id, then line), after their bytes have been compared. Units may
+overlap; a line goes if any unit over it goes. Each removed line still stands at an
+earlier place, as the places of its removals lead back to a first one.
+
+Only hashes are exchanged for all units. The bytes of repeated ones are then
+compared by grouping on them, which combines within each task first, so a unit
+that a third of all documents hold is one row a task. Units whose keys are equal
+but whose bytes differ are told apart by their bytes.
 
 Defined cases: a null text has no lines and stays null; an empty text stays
-empty, as does one of which every chunk is removed; single-line chunks and
-chunks with fewer than two lines with words are never removed; rows with equal
-doc_id and text are one document, whose occurrences count once, and all of them
-get the same result; rows with equal doc_id and other texts are documents of
-their own; a null doc_id comes first; other columns pass through untouched, and
-an empty table gives an empty table.
+empty, as does one of which every line is removed; single lines and units with
+fewer than two lines with words are never removed; chunks end after LONGEST lines,
+so that periodic texts, whose rolling hash may never or always end a chunk, lose
+their repeats too; rows with equal doc_id and text are one document, whose places
+count once, and all of them get the same result; rows with equal doc_id and other
+texts are documents of their own; a null doc_id comes first; other columns pass
+through, but a column named like an added one is replaced by it; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,49 +38,69 @@ from pyspark.sql import functions as F
 from weftline.llm import _text
 from weftline.llm._graph import cut, table
 
-#: Lines that the rolling hash sees, and lines of an average chunk.
-ROLL, AVERAGE = 2, 3
+#: Lines that the rolling hash sees, lines of an average chunk, and of the longest.
+ROLL, AVERAGE, LONGEST = 2, 2, 64
+#: Columns that dedup_lines adds.
+ADDED = ["_n_lines", "_n_removed_lines", "_n_removed_chunks"]
 _K = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = pow(int(_K), -1, 1 << 64)
 
 
-class Chunks:
-    """Line chunks of the texts of a batch: byte spans, keys, lines."""
+class Lines:
+    """The lines of the texts of a batch: byte spans, and the first line of each text."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, roll: int = ROLL, average: int = AVERAGE):
+    def __init__(self, data: np.ndarray, at: np.ndarray):
         breaks = np.flatnonzero(data == 10)
-        per = np.diff(np.searchsorted(breaks, at)) + 1
-        line_at = np.concatenate(([0], np.cumsum(per)))
-        n = int(line_at[-1])
+        self.per = np.diff(np.searchsorted(breaks, at)) + 1
+        self.line_at = np.concatenate(([0], np.cumsum(self.per)))
+        n = int(self.line_at[-1])
         first, last = np.empty(n, np.int64), np.empty(n, np.int64)
-        lead, tail = np.zeros(n, bool), np.zeros(n, bool)
-        lead[line_at[:-1]], tail[line_at[1:] - 1] = True, True
-        first[lead], first[~lead] = at[:-1], breaks + 1
-        last[tail], last[~tail] = at[1:], breaks
+        self.lead, self.tail = np.zeros(n, bool), np.zeros(n, bool)
+        self.lead[self.line_at[:-1]], self.tail[self.line_at[1:] - 1] = True, True
+        first[self.lead], first[~self.lead] = at[:-1], breaks + 1
+        last[self.tail], last[~self.tail] = at[1:], breaks
+        self.first, self.last = first, last
+
+
+class Units(Lines):
+    """Chunks and their edges: text, first line in it, number of lines, two keys."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, roll: int = ROLL, average: int = AVERAGE, longest: int = LONGEST, bits: int = 64):
+        super().__init__(data, at)
+        n = len(self.first)
         starts, ends, _ = _text.words(data, at)
-        filled = np.searchsorted(starts, last) > np.searchsorted(starts, first)
-        hashes = _text.span_hashes(data, first, last)
-        rolled, place = np.zeros(n, np.uint64), np.arange(n) - np.repeat(line_at[:-1], per)
+        filled = np.searchsorted(starts, self.last) > np.searchsorted(starts, self.first)
+        hashes = _text.span_hashes(data, self.first, self.last)
+        text = np.repeat(np.arange(len(self.per)), self.per)
+        place = np.arange(n) - self.line_at[text]
+        rolled = np.zeros(n, np.uint64)
         for k in range(roll):
-            seen = place >= k
-            rolled[seen] = rolled[seen] * _K + hashes[np.flatnonzero(seen) - k]
-        close = tail | ((place + 1 >= roll) & (_text.mix(rolled) % np.uint64(average) == 0))
-        stop = np.flatnonzero(close)
-        begin = np.concatenate(([0], stop[:-1] + 1)) if n else stop
-        self.line_at, self.n_lines = line_at, per
-        self.doc = np.repeat(np.arange(len(per)), per)[begin] if n else np.zeros(0, np.int64)
-        self.chunk_at = np.searchsorted(self.doc, np.arange(len(per) + 1))
-        self.index = np.arange(len(stop)) - self.chunk_at[self.doc]
-        self.lines, self.start, self.end = stop - begin + 1, first[begin], last[stop]
+            seen = np.flatnonzero(place >= k)
+            rolled[seen] = rolled[seen] * _K + hashes[seen - k]
+        self.close = self.tail | ((place + 1 >= roll) & (_text.mix(rolled) % np.uint64(average) == 0))
+        begin = np.maximum.accumulate(np.where(np.concatenate(([True], self.close[:-1])), np.arange(n), 0)) if n else place
+        self.close |= (np.arange(n) - begin + 1) % longest == 0
+        stop = np.flatnonzero(self.close)
+        start = np.concatenate(([0], stop[:-1] + 1)) if n else stop
+        # spans of lines: whole chunks, and the two lines on either side of each boundary
+        behind = stop[~self.tail[stop]] + 1
+        low = np.concatenate((start, stop - 1, behind))
+        high = np.concatenate((stop, stop, behind + 1))
+        ok = (low >= 0) & (high < n) & (high > low)
+        low, high = low[ok], high[ok]
+        low, high = np.unique(np.stack((low, high), 1)[text[low] == text[high]], axis=0).T if len(low) else (low, high)
         total = np.concatenate(([0], np.cumsum(filled)))
-        self.several = (total[stop + 1] - total[begin]) >= 2
-        # two keys from the hashes of a chunk's lines, from prefix sums over powers
-        power, inverse = np.full(n + 1, _K, np.uint64), np.full(n + 1, pow(int(_K), -1, 1 << 64), np.uint64)
+        several = total[high + 1] - total[low] >= 2
+        low, high = low[several], high[several]
+        self.text, self.n, self.m = text[low], place[low], high - low + 1
+        power, inverse = np.full(n + 1, _K, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
         power[0] = inverse[0] = 1
         power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
         self.keys = []
         for salt in (0x51, 0xA3):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_text.mix(hashes ^ np.uint64(salt)) * power[:n], dtype=np.uint64)))
-            self.keys.append(_text.mix((sums[stop + 1] - sums[begin]) * inverse[begin] + self.lines.astype(np.uint64)).view(np.int64))
+            key = _text.mix((sums[high + 1] - sums[low]) * inverse[low] + self.m.astype(np.uint64))
+            self.keys.append((key >> np.uint64(64 - bits)).view(np.int64))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -82,78 +108,96 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"), F.col("text").alias("text"))
 
 
-def _same(a: str, b: str, extra: tuple[str, ...] = ()):
-    on = F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._t") == F.col(f"{b}._t"))
-    for name in extra:
-        on = on & (F.col(f"{a}.{name}") == F.col(f"{b}.{name}"))
-    return on
+def _same(a: str, b: str):
+    return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._t") == F.col(f"{b}._t"))
+
 
+def removed_lines(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE, longest: int = LONGEST, bits: int = 64) -> DataFrame:
+    """(_id, _t, gone): the line spans (n, m) to remove from each document that loses any.
 
-def removed_chunks(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE) -> DataFrame:
-    """(_id, _t, gone): the chunk numbers to remove from each document that loses any."""
+    Only tests keep fewer `bits` of the keys, so that keys collide.
+    """
     keyed = _keyed(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"_id {id_type}, _t long, n int, m int, h long, g long"
+
+    def rows(batch: pa.RecordBatch, u: Units, i: np.ndarray) -> dict:
+        at = pa.array(u.text[i])
+        return {"_id": batch.column("_id").take(at), "_t": batch.column("_t").take(at), "n": pa.array(u.n[i], pa.int32()), "m": pa.array(u.m[i], pa.int32()), "h": u.keys[0][i], "g": u.keys[1][i]}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
-            c = Chunks(data, at, roll, average)
-            i = np.flatnonzero(c.several)
-            rows = pa.array(c.doc[i])
-            yield pa.record_batch({"_id": batch.column("_id").take(rows), "_t": batch.column("_t").take(rows), "n": pa.array(c.index[i], pa.int32()), "h": c.keys[0][i], "g": c.keys[1][i]})
+            u = Units(data, at, roll, average, longest, bits)
+            yield pa.record_batch(rows(batch, u, np.arange(len(u.n))))
 
-    chunks = cut(keyed.mapInArrow(places, f"_id {id_type}, _t long, n int, h long, g long"))
-    place = F.struct("_id", "_t", "n")
-    # cut, so that the joins get exchanges of their own and hot chunks can be split
-    repeated = cut(chunks.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("h", "g"))
-    marks = cut(chunks.join(repeated, ["h", "g"]))
-    wanted = marks.groupBy("_id", "_t").agg(F.collect_set("n").alias("wanted"))
+    units = cut(keyed.mapInArrow(places, columns))
+    # cut, so that the joins get exchanges of their own and hot units can be split
+    repeated = cut(units.groupBy("h", "g").agg(F.count("*").alias("uses")).where("uses > 1").select("h", "g"))
+    marks = cut(units.join(repeated, ["h", "g"]))
+    wanted = marks.groupBy("_id", "_t").agg(F.collect_set(F.struct("n", "m")).alias("wanted"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
-            c = Chunks(data, at, roll, average)
+            u = Units(data, at, roll, average, longest, bits)
             asked = batch.column("wanted")
-            flat = np.repeat(c.chunk_at[:-1], np.diff(np.asarray(asked.offsets))) + asked.flatten().to_numpy()
-            rows, raw = pa.array(c.doc[flat]), data.tobytes()
-            yield pa.record_batch({"_id": batch.column("_id").take(rows), "_t": batch.column("_t").take(rows), "n": pa.array(c.index[flat], pa.int32()), "h": c.keys[0][flat], "g": c.keys[1][flat], "chunk": pa.array([raw[a:b] for a, b in zip(c.start[flat].tolist(), c.end[flat].tolist(), strict=True)], pa.binary())})
+            doc, flat = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets))), asked.flatten()
+            have = {key: i for i, key in enumerate(zip(u.text.tolist(), u.n.tolist(), u.m.tolist(), strict=True))}
+            i = np.array([have[key] for key in zip(doc.tolist(), flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)], np.int64)
+            low = u.line_at[u.text[i]] + u.n[i]
+            raw, start, end = data.tobytes(), u.first[low].tolist(), u.last[low + u.m[i] - 1].tolist()
+            yield pa.record_batch({**rows(batch, u, i), "unit": pa.array([raw[a:b] for a, b in zip(start, end, strict=True)], pa.binary())})
 
     pulled = keyed.alias("d").join(wanted.alias("w"), _same("d", "w")).select("d._id", "d._t", "text", "wanted")
-    bytes_ = pulled.mapInArrow(texts, f"_id {id_type}, _t long, n int, h long, g long, chunk binary")
-    compared = bytes_.groupBy("h", "g", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    kept = cut(compared.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts = 1 and first <> last").select("h", "g", "first"))
-    return marks.join(kept, ["h", "g"]).where(place != F.col("first")).groupBy("_id", "_t").agg(F.collect_set("n").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE) -> DataFrame:
+    bytes_ = pulled.mapInArrow(texts, f"{columns}, unit binary")
+    place = F.struct("_id", "_t", "n")
+    compared = bytes_.groupBy("h", "g", "unit").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    kept = cut(compared.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")))
+    gone = marks.join(kept.where("texts = 1 and first <> last").select("h", "g", "first"), ["h", "g"]).where(place != F.col("first")).select("_id", "_t", "n", "m")
+    mixed = kept.where("texts > 1").select("h", "g")
+    if not mixed.isEmpty():  # equal keys of other bytes: judged by the bytes
+        again = cut(bytes_.join(mixed, ["h", "g"]))
+        firsts = again.groupBy("h", "g", "unit").agg(F.min(place).alias("first"))
+        gone = gone.union(again.join(firsts, ["h", "g", "unit"]).where(place != F.col("first")).select("_id", "_t", "n", "m"))
+    return gone.groupBy("_id", "_t").agg(F.collect_set(F.struct("n", "m")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE, longest: int = LONGEST, bits: int = 64) -> DataFrame:
     """All columns of `docs` with the text that is left, and line counts.
 
-    Added columns: _n_lines, _n_removed_lines, _n_removed_chunks (longs).
+    Added columns (longs): _n_lines, _n_removed_lines, and _n_removed_chunks, the
+    maximal runs of removed lines.
     """
-    gone = removed_chunks(docs, roll, average)
-    names = docs.columns
+    gone = removed_lines(docs, roll, average, longest, bits)
+    names = [n for n in docs.columns if n not in ADDED]
     left = docs.select(F.struct(*[n for n in names if n != "text"]).alias("row"), "text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
     both = left.alias("d").join(gone.alias("g"), _same("d", "g"), "left").select("row", "text", "gone")
     row_type = left.schema["row"].dataType.simpleString()
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
-            c = Chunks(data, at, roll, average)
-            out, lost, lost_chunks, raw = [], [], [], data.tobytes()
-            for i, gone_ in enumerate(batch.column("gone").to_pylist()):
-                if gone_ is None:
+            x = Lines(data, at)
+            out, lost, runs, raw = [], [], [], data.tobytes()
+            for i, spans in enumerate(batch.column("gone").to_pylist()):
+                if spans is None:
                     out.append(batch.column("text")[i].as_py())
                     lost.append(0)
-                    lost_chunks.append(0)
+                    runs.append(0)
                     continue
-                drop = set(gone_)
-                base, end = int(c.chunk_at[i]), int(c.chunk_at[i + 1])
-                out.append(b"\n".join(raw[c.start[j] : c.end[j]] for j in range(base, end) if j - base not in drop).decode())
-                lost.append(int(sum(c.lines[base + j] for j in drop)))
-                lost_chunks.append(len(drop))
-            lines = np.where(np.asarray(batch.column("text").is_null()), 0, c.n_lines)
-            yield pa.record_batch({"row": batch.column("row"), "new_text": pa.array(out, pa.string()), "_n_lines": lines, "_n_removed_lines": pa.array(lost, pa.int64()), "_n_removed_chunks": pa.array(lost_chunks, pa.int64())})
-
-    done = both.mapInArrow(strip, f"row {row_type}, new_text string, _n_lines long, _n_removed_lines long, _n_removed_chunks long")
-    return done.select(*[F.col("new_text").alias(n) if n == "text" else F.col(f"row.`{n}`").alias(n) for n in names], "_n_lines", "_n_removed_lines", "_n_removed_chunks")
+                a, b = int(x.line_at[i]), int(x.line_at[i + 1])
+                drop = np.zeros(b - a + 1, np.int64)
+                for s in spans:
+                    drop[s["n"]] += 1
+                    drop[s["n"] + s["m"]] -= 1
+                drop = np.cumsum(drop)[:-1] > 0
+                keep = a + np.flatnonzero(~drop)
+                out.append(b"\n".join([raw[p:q] for p, q in zip(x.first[keep].tolist(), x.last[keep].tolist(), strict=True)]).decode())
+                lost.append(int(drop.sum()))
+                runs.append(int((drop & ~np.concatenate(([False], drop[:-1]))).sum()))
+            lines = np.where(np.asarray(batch.column("text").is_null()), 0, x.per)
+            yield pa.record_batch({"row": batch.column("row"), "new_text": pa.array(out, pa.string()), **{c: pa.array(v, pa.int64()) for c, v in zip(ADDED, (lines, lost, runs), strict=True)}})
+
+    done = both.mapInArrow(strip, f"row {row_type}, new_text string, " + ", ".join(f"{c} long" for c in ADDED))
+    return done.select(*[F.col("new_text").alias(n) if n == "text" else F.col(f"row.`{n}`").alias(n) for n in names], *ADDED)
 
 
 def op1_line_dedup(spark, sf_dir):
