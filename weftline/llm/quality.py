@@ -8,13 +8,19 @@ the share of its words that stand in content lines reaches a threshold. A base
 rule that counts words decides first.
 
 The field is fitted by maximum likelihood on a bounded sample of labelled
-documents (`TRAINING_DOCUMENTS`, chosen by a hash of the id): lines of good
-documents are content; of bad ones, those are boilerplate whose features occur
-mostly in bad documents. Without both classes the prior weights are kept.
+documents (`TRAINING_DOCUMENTS`, chosen by a hash of the id, with at most
+`TRAINING_LINES` neighbouring lines of each, from a place that a hash chooses): lines
+of good documents are content; of bad ones, those are boilerplate whose features
+occur mostly in bad documents. There are no labels of lines, so these are a guess; a
+test measures the documents' verdicts on held-out labels. Without both classes the
+prior weights are kept.
+
+Lines and windows count as equal by 64-bit hashes of all their bytes, within a text.
 
 Defined cases: a null, empty or blank text has 0 words and fails the base rule;
 each row is judged alone, so repeated rows and extra columns need no care; an
-empty table gives an empty table; labels with nulls are left out of the fit.
+empty table gives an empty table; labels with nulls are left out of the fit, and of
+rows that share a doc_id one is sampled.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ from pyspark.sql import functions as F
 from weftline.llm import _text
 from weftline.llm._graph import table
 
-#: Bound of the sample that the field is fitted on.
-TRAINING_DOCUMENTS = 2000
+#: Bounds of the sample that the field is fitted on: documents, and lines of each.
+TRAINING_DOCUMENTS, TRAINING_LINES = 2000, 256
+#: Chains of more lines are decoded one by one.
+LANE_LINES = 256
 #: Share of a document's words in content lines that retains it.
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -86,7 +94,7 @@ class Lines:
         last[self.line_at[1:] - 1], last[inner] = at[1:], breaks
         self.line_words = np.searchsorted(starts, last) - np.searchsorted(starts, first)
         line_doc = np.repeat(np.arange(n), per + 1)
-        key = _text.mix(_line_hashes(data, first, last) + line_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = _text.mix(_text.span_hashes(data, first, last) + line_doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         key[self.line_words == 0] = np.uint64(0)
         filled = np.flatnonzero(self.line_words)
         _, once = np.unique(key[filled], return_index=True)
@@ -119,11 +127,6 @@ class Lines:
         return np.stack(columns, 1) + OFFSETS[:-1]
 
 
-def _line_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of lines; long data is hashed in windows of whole lines."""
-    return _text.span_hashes(data, first, last) if len(first) else np.zeros(0, np.uint64)
-
-
 class Field:
     """Weights of a two-label chain: label 0 is content, 1 is boilerplate."""
 
@@ -152,35 +155,71 @@ class Field:
             labels.append(int(step[labels[-1]]))
         return np.array(labels[::-1])
 
-    def fit(self, chains: list[tuple[np.ndarray, np.ndarray]], length: int = 32, rounds: int = 150, rate: float = 2.0, decay: float = 1e-3) -> Field:
-        """Maximise the likelihood of (features, labels); chains are cut to `length` lines."""
-        pieces = [(f[i : i + length], y[i : i + length]) for f, y in chains for i in range(0, len(f), length)]
-        n, k = len(pieces), len(FEATURES)
-        feats, gold, mask = np.zeros((n, length, k), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
-        for i, (f, y) in enumerate(pieces):
-            feats[i, : len(f)], gold[i, : len(f)], mask[i, : len(f)] = f, y, True
+    def decode(self, scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The best labels of the sequences scores[at[i]:at[i + 1]], all by line number."""
+        size = np.diff(at)
+        labels = np.empty(len(scores), np.int64)
+        for i in np.flatnonzero(size > LANE_LINES).tolist():
+            labels[at[i] : at[i + 1]] = self.viterbi(scores[at[i] : at[i + 1]])
+        order = np.flatnonzero((size > 0) & (size <= LANE_LINES))
+        order = order[np.argsort(-size[order], kind="stable")]
+        if not len(order):
+            return labels
+        first, falling = at[:-1][order], -size[order]
+        live = [int(np.searchsorted(falling, -t, "left")) for t in range(int(size[order[0]]))]  # longer than t lines
+        best, back = scores[first], []
+        for t in range(1, len(live)):
+            come = best[: live[t], :, None] + self.move  # from label by to label
+            back.append(come[:, 1] > come[:, 0])
+            best[: live[t]] = come.max(1) + scores[first[: live[t]] + t]
+        label = (best[:, 1] > best[:, 0]).astype(np.int64)
+        for t in range(len(live) - 1, -1, -1):
+            n = live[t]
+            labels[first[:n] + t] = label[:n]
+            if t:
+                label[:n] = back[t - 1][np.arange(n), label[:n]]
+        return labels
+
+    def gradient(self, feats: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The derivative of the log likelihood of (chains, lines) by emit and move."""
+        n, length = gold.shape
         pairs = mask[:, 1:]
-        lines = mask.sum()
         onehot = np.eye(2)[gold] * mask[..., None]
         want_emit = self._spread(feats, onehot)
         want_move = np.einsum("nta,ntb->ab", onehot[:, :-1], onehot[:, 1:] * pairs[..., None])
+        s = self.emit[feats].sum(2)
+        ahead = np.zeros((n, length, 2))
+        behind = np.zeros((n, length, 2))
+        ahead[:, 0] = s[:, 0]
+        for t in range(1, length):
+            step = np.logaddexp(ahead[:, t - 1, :1] + self.move[0], ahead[:, t - 1, 1:] + self.move[1]) + s[:, t]
+            ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
+        for t in range(length - 2, -1, -1):
+            after = s[:, t + 1] + behind[:, t + 1]
+            step = np.logaddexp(self.move[:, 0] + after[:, :1], self.move[:, 1] + after[:, 1:])
+            behind[:, t] = np.where(mask[:, t + 1, None], step, 0)
+        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None, None]
+        p = np.exp(ahead + behind - total) * mask[..., None]
+        q = np.exp(ahead[:, :-1, :, None] + self.move + (s + behind)[:, 1:, None, :] - total[..., None]) * pairs[..., None, None]
+        return want_emit - self._spread(feats, p), want_move - q.sum((0, 1))
+
+    def fit(self, chains: list[tuple[np.ndarray, np.ndarray]], length: int = 32, rounds: int = 150, rate: float = 2.0, decay: float = 1e-3) -> Field:
+        """Maximise the likelihood of (features, labels); chains are cut to `length` lines."""
+        pieces = [(f[i : i + length], y[i : i + length]) for f, y in chains for i in range(0, len(f), length)]
+        groups, low = [], 0
+        for high in (length // 8, length // 4, length // 2, length):  # little padding
+            part = [(f, y) for f, y in pieces if low < len(f) <= high]
+            low = high
+            feats, gold, mask = np.zeros((len(part), high, len(FEATURES)), np.int64), np.zeros((len(part), high), np.int64), np.zeros((len(part), high), bool)
+            for i, (f, y) in enumerate(part):
+                feats[i, : len(f)], gold[i, : len(f)], mask[i, : len(f)] = f, y, True
+            if part:
+                groups.append((feats, gold, mask))
+        lines = sum(len(f) for f, _ in pieces)
         for _ in range(rounds):
-            s = self.emit[feats].sum(2)
-            ahead = np.zeros((n, length, 2))
-            behind = np.zeros((n, length, 2))
-            ahead[:, 0] = s[:, 0]
-            for t in range(1, length):
-                step = np.logaddexp(ahead[:, t - 1, :1] + self.move[0], ahead[:, t - 1, 1:] + self.move[1]) + s[:, t]
-                ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
-            for t in range(length - 2, -1, -1):
-                after = s[:, t + 1] + behind[:, t + 1]
-                step = np.logaddexp(self.move[:, 0] + after[:, :1], self.move[:, 1] + after[:, 1:])
-                behind[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None, None]
-            p = np.exp(ahead + behind - total) * mask[..., None]
-            q = np.exp(ahead[:, :-1, :, None] + self.move + (s + behind)[:, 1:, None, :] - total[..., None]) * pairs[..., None, None]
-            self.emit += rate * ((want_emit - self._spread(feats, p)) / lines - decay * self.emit)
-            self.move += rate * ((want_move - q.sum((0, 1))) / lines - decay * self.move)
+            steps = [self.gradient(*g) for g in groups]
+            self.emit += rate * (sum(e for e, _ in steps) / lines - decay * self.emit)
+            self.move += rate * (sum(m for _, m in steps) / lines - decay * self.move)
         return self
 
     @staticmethod
@@ -194,20 +233,23 @@ class Field:
         return out
 
 
-def training_chains(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> list[tuple[np.ndarray, int]]:
-    """Line features of at most `most` labelled documents with their quality.
+def training_chains(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS, lines: int = TRAINING_LINES) -> list[tuple[np.ndarray, int]]:
+    """Line features of at most `most` labelled documents with their quality, `lines` of each.
 
     The sample is chosen by a hash of the id, so it is the same in every run; the
     texts stay on the executors, which send 8 small numbers a line.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.md5(F.concat(F.lit("crf:"), F.col("doc_id").cast("string"))), "doc_id").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").cast("int").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
-            lines = Lines(data, at)
-            packed = [lines.features[a:b].astype(np.uint8).tobytes() for a, b in zip(lines.line_at[:-1], lines.line_at[1:], strict=True)]
+            x = Lines(data, at)
+            per = np.diff(x.line_at)
+            ids = batch.column("doc_id").cast(pa.int64()).to_numpy().view(np.uint64)
+            low = x.line_at[:-1] + (_text.mix(ids) % np.maximum(per - lines + 1, 1).astype(np.uint64)).astype(np.int64)
+            packed = [x.features[a : min(a + lines, b)].astype(np.uint8).tobytes() for a, b in zip(low.tolist(), x.line_at[1:].tolist(), strict=True)]
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.string()), "quality": batch.column("quality"), "features": pa.array(packed, pa.binary())})
 
     rows = sample.mapInArrow(run, "doc_id string, quality int, features binary").collect()
@@ -234,10 +276,7 @@ def fit_field(sample: list[tuple[np.ndarray, int]]) -> Field:
 
 def _judge(x: Lines, chain: Field, share: float) -> dict[str, np.ndarray]:
     """The verdicts on the texts of a batch."""
-    scores = chain.scores(x.features)
-    content = np.empty(len(scores), bool)
-    for a, b in zip(x.line_at[:-1].tolist(), x.line_at[1:].tolist(), strict=True):
-        content[a:b] = chain.viterbi(scores[a:b]) == 0
+    content = chain.decode(chain.scores(x.features), x.line_at) == 0
     sums = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[x.line_at])
     part = sums(x.line_words * content) / np.maximum(x.n_words, 1)
     failed = (x.n_words < 50) | (100 * x.n_repeat_words > 50 * x.n_words)
