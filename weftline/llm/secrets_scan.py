@@ -1,17 +1,17 @@
 """Secret scans by patterns and dictionary-primed novelty (operator 7).
 
 Three patterns give the base spans. The novelty method then adds long unbroken
-strings in a sensitive context: each candidate is compressed by zstandard with
-the surrounding code and the identifiers of the text as its dictionary, and the
-marginal compressed bytes are compared with its length or, where entropy coding
-alone makes random text smaller, with those of random text of its alphabet. What
-neither the surroundings nor the identifiers explain, and what has no structure of
-its own, is reported as kind `novel`. Copies of the candidate in a base span or in
-a sensitive context do not explain it; copies elsewhere do. A sensitive context
-carries on over candidates on directly following lines. Candidates of letters only
-are judged if their case changes like that of random text, since long words and
-names are no secrets. Base spans always stay; a candidate that overlaps one is not
-judged again.
+strings in a sensitive context. Each candidate is compressed by zstandard after the
+code around it, primed with a dictionary of all identifiers of the text; the bytes
+that it adds are compared with its length or, where entropy coding alone makes
+random text smaller, with those of random text of its alphabet. What neither the
+surroundings nor the identifiers explain, and what has no structure of its own, is
+reported as kind `novel`. Copies of the candidate in a base span or in a sensitive
+context do not explain it; copies elsewhere in the surroundings do. A sensitive
+context carries on over candidates on directly following lines. Candidates of
+letters only are judged if their case changes like that of random text, since long
+words and names are no secrets. Base spans always stay; a candidate within one is
+not judged again, one that goes beyond it is.
 
 Defined cases: a null or empty text has no span; spans are code point offsets,
 end exclusive; equal spans of different kinds come in the order of the kinds;
@@ -21,15 +21,16 @@ no care; only doc_id and text are read.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import itertools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftline.llm._graph import table
 
@@ -58,11 +59,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def marginal_bytes(candidate: bytes, surroundings: bytes, level: int = 3) -> int:
-    """Compressed bytes that the candidate adds, given the surroundings."""
-    prime = zstandard.ZstdCompressionDict(surroundings, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(surroundings) >= 8 else None
-    size = lambda data: len(zstandard.ZstdCompressor(level=level, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
-    return size(candidate) - size(b"")
+class Dictionary:
+    """The identifiers of a text as a dictionary, digested once for all its candidates."""
+
+    def __init__(self, words: set[str], level: int = 3):
+        raw = " ".join(sorted(words)).encode("utf-8", "surrogatepass")
+        self.level, self.prime = level, None
+        if len(raw) >= 8:
+            self.prime = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.prime.precompute_compress(level=level)
+        self.pack = zstandard.ZstdCompressor(level=level, dict_data=self.prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def marginal(self, candidate: bytes, surroundings: bytes) -> int:
+        """Compressed bytes that the candidate adds to the surroundings."""
+        return len(self.pack.compress(surroundings + candidate)) - len(self.pack.compress(surroundings))
 
 
 def random_text(value: str) -> bytes:
@@ -83,42 +93,62 @@ def _judged(value: str) -> bool:
     return 3 * changes >= len(value)
 
 
+def _overlaps(taken: list[tuple[int, int, int]]) -> Callable[[int, int], list[tuple[int, int, int]]]:
+    """A function that gives the base spans that share a character with [s, e)."""
+    kinds = [sorted(t for t in taken if t[1] == k) for k in range(3)]
+    starts = [[t[0] for t in spans] for spans in kinds]
+
+    def find(s: int, e: int) -> list[tuple[int, int, int]]:
+        out = []
+        for spans, first in zip(kinds, starts, strict=True):
+            i = bisect.bisect_left(first, e)
+            while i and spans[i - 1][2] > s:  # spans of a kind don't overlap
+                i -= 1
+                out.append(spans[i])
+        return out
+
+    return find
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int = 512, near: int = 48, ratio: float = 0.75) -> list[tuple[int, int, int]]:
     """(start, kind, end) of incompressible strings in a sensitive context.
 
     `near` code points before a candidate must name something sensitive; `reach`
-    code points to each side are the surrounding code of the dictionary.
+    code points to each side are the surrounding code. Identifiers come from the
+    whole text outside candidates and base spans.
     """
-    candidates, before, carried = [], 0, False
+    candidates, before, carried, overlapping = [], 0, False, _overlaps(taken)
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         follows = carried and "\n" in text[before:s] and not text[before:s].strip(BETWEEN)
         carried, before = follows or bool(SENSITIVE.search(text, max(0, s - near), s)), e
         if carried:
             candidates.append((s, e))
-    starts = {s for s, _ in candidates}
+    judged = [(s, e) for s, e in candidates if _judged(text[s:e]) and not any(a <= s and e <= b for a, _, b in overlapping(s, e))]
+    if not judged:
+        return []
+    starts, hidden, end, rest = {s for s, _ in candidates}, sorted([*candidates, *[(a, b) for a, _, b in taken]]), 0, []
+    for s, e in hidden:
+        rest.append(text[end:s] if s > end else "")
+        end = max(end, e)
+    names = Dictionary(set(IDENTIFIER.findall(" ".join([*rest, text[end:]]))))
 
     def secret(s: int, e: int) -> bool:
-        return s in starts or any(s < b and a < e for a, _, b in taken) or bool(SENSITIVE.search(text, max(0, s - near), s))
+        return s in starts or bool(overlapping(s, e)) or bool(SENSITIVE.search(text, max(0, s - near), s))
 
     found = []
-    for s, e in candidates:
-        value = text[s:e]
-        if not _judged(value) or any(s < b and a < e for a, _, b in taken):
-            continue
-        low, high = max(0, s - 8 * reach), e + 8 * reach
-        wide = text[low:s] + " " * (e - s) + text[e:high]
-        at = wide.find(value)
+    for s, e in judged:
+        value, low = text[s:e], max(0, s - reach)
+        around = text[low:s] + "\n" + text[e : e + reach]
+        at = around.find(value)
         while at >= 0:
-            step = 1
-            if secret(low + at, low + at + e - s):
-                wide, step = wide[:at] + " " * (e - s) + wide[at + e - s :], e - s
-            at = wide.find(value, at + step)
-        left, right = wide[: s - low], wide[e - low :]
-        words = " ".join(sorted(set(IDENTIFIER.findall(left + " " + right))))
-        prime = (words + "\n" + left[-reach:] + "\n" + right[:reach]).encode("utf-8", "surrogatepass")
-        size = marginal_bytes(value.encode(), prime)
-        if size >= ratio * len(value) or size >= ratio * marginal_bytes(random_text(value), prime):
+            place, step = low + at + (e - s - 1 if at > s - low else 0), 1  # the place in the text
+            if secret(place, place + e - s):
+                around, step = around[:at] + " " * (e - s) + around[at + e - s :], e - s
+            at = around.find(value, at + step)
+        code = around.encode("utf-8", "surrogatepass")
+        size = names.marginal(value.encode(), code)
+        if size >= ratio * len(value) or size >= ratio * names.marginal(random_text(value), code):
             found.append((s, 3, e))
     return found
 
@@ -147,13 +177,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base string, spans string")
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def op7_secrets(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
 

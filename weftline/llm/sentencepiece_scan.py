@@ -21,8 +21,9 @@ characters are single chunks.
 Results equal those of the library on the whole text. Defined cases: a null or
 empty text has no ids and decodes to an empty text; the word-start mark in a
 text decodes to a space, as in the library; characters outside the vocabulary
-become byte pieces; repeated rows are encoded alike; other columns pass through
-and an empty table gives an empty table.
+become byte pieces; repeated rows are encoded alike; other columns pass through, but
+a column named like an added one is replaced by it; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -270,7 +271,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
 
     `model` is the path of a byte-pair SentencePiece model that every executor has.
     """
-    names = docs.columns if keep is None else keep
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_chunks")]
     carried = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
     row_type = carried.schema["row"].dataType.simpleString()
     is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
@@ -331,7 +332,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
 
 def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns with `decoded`, the text of the ids; null ids give an empty text."""
-    names = tokens.columns
+    names = [c for c in tokens.columns if c != out_col]
     carried = tokens.select(F.struct(*[n for n in names if n != ids_col]).alias("row"), F.col(ids_col).alias("ids"))
     row_type = carried.schema["row"].dataType.simpleString()
 
