@@ -18,12 +18,12 @@ rare tokens mix. An order only decides speed: any order gives the same links.
    classes are its list. In each list the classes are compared with one of them,
    the list's centre, so near copies soon form one component; each class takes
    only its most promising centre, so this costs one comparison a class.
-4. Lists within one component are done. Of equal lists one is kept. In each of
-   the others, only classes of different components are still compared: those of
-   its largest component with all others, and the others with each other, in
+4. Lists within one component are done; the others are grouped by their first
+   class. In a group, only classes of different components are still compared: those
+   of its largest component with all others, and the others with each other, in
    blocks of a fixed size, each pair of blocks in a task group of its own. There
    the filters under both orders and the lengths are intersected, and pairs that
-   pass are compared exactly. A group returns a spanning forest of its links,
+   pass are compared exactly. A task group returns a spanning forest of its links,
    never the pairs.
 
 Defined cases: a null or blank text has an empty set, links with nothing and is
@@ -48,7 +48,7 @@ from weftline.llm._graph import components, cut, forest, table
 #: Slots of the sketch; one byte each is broadcast, whatever the size of the corpus.
 SLOTS_LOG2, PARTS = 22, 64
 #: Sets of a block of a list, and rounds that compare lists with one of their classes.
-BLOCK, ROUNDS = 1024, 2
+BLOCK, ROUNDS = 1024, 1
 #: Members of a centre that are compared in one task.
 SALT = 4096
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -101,6 +101,10 @@ def _prefix(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     return tokens[np.argsort(rank, kind="stable")[: n - (percent * n + 99) // 100 + shared_at_least(n, percent)]] if n else tokens
 
 
+def second_prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    return _prefix(tokens, _text.mix(tokens ^ _ORDER), percent)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     at = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
@@ -185,7 +189,8 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 def _group_links(group: pa.Table, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the components of two blocks."""
-    sets = {c: [x.values.to_numpy() for x in group.column(c)] for c in ("first", "second", "tokens")}
+    sets = {c: [x.values.to_numpy() for x in group.column(c)] for c in ("first", "tokens")}
+    sets["second"] = [second_prefix(t.view(np.uint64), percent) for t in sets["tokens"]]
     n = np.array([len(t) for t in sets["tokens"]])
     node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
     left = np.asarray(group.column("left"))
@@ -246,25 +251,27 @@ def _centre_links(posts: DataFrame, full: DataFrame, percent: int, seed: int) ->
 
 
 def _dealt(member: DataFrame, block: int) -> DataFrame:
-    """Each class of a list in every pair of blocks that it belongs to.
+    """Each class of a group in every pair of blocks that it belongs to.
 
-    The list's largest component has blocks of its own, which meet those of the
-    others (kind false); the others also meet each other (kind true).
+    Lists with the same class first in an order of hashes are one group, as lists of
+    one family of copies mostly are; so a class is in few groups. The group's largest
+    component has blocks of its own, which meet those of the others (kind false); the
+    others also meet each other (kind true).
     """
-    lists = member.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    lists = cut(lists.groupBy("m", "s", "x").agg(F.min("token").alias("token")))  # equal lists once
-    sizes = member.join(lists.select("token", "m"), "token").groupBy("token", "comp", "m").agg(F.count("*").alias("c"))
-    major = cut(sizes.groupBy("token", "m").agg(F.max("c").alias("c"), F.max_by("comp", "c").alias("major")))
-    blocks = major.select("token", "major", F.ceil(F.col("c") / block).cast("int").alias("ours"), F.ceil((F.col("m") - F.col("c")) / block).cast("int").alias("theirs"))
+    first = cut(member.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(-1))).alias("home")))
+    member = cut(member.join(first, "token").select("home", "node", "comp").distinct())
+    sizes = member.groupBy("home", "comp").agg(F.count("*").alias("c"))
+    major = cut(sizes.groupBy("home").agg(F.sum("c").alias("m"), F.max("c").alias("c"), F.max_by("comp", "c").alias("major")).where("m > c"))
+    blocks = major.select("home", "major", F.ceil(F.col("c") / block).cast("int").alias("ours"), F.ceil((F.col("m") - F.col("c")) / block).cast("int").alias("theirs"))
     is_major = F.col("comp") == F.col("major")
-    x = member.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(is_major, F.col("ours")).otherwise(F.col("theirs"))).cast("int"))
+    x = member.join(blocks, "home").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(is_major, F.col("ours")).otherwise(F.col("theirs"))).cast("int"))
     group = lambda kind, lo, hi, left: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), left.alias("left"))
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = F.col("mine")
     ours = F.transform(to("theirs"), lambda i: group(False, mine, i, F.lit(True)))
     theirs = F.transform(to("ours"), lambda i: group(False, i, mine, F.lit(False)))
     each = F.transform(to("theirs"), lambda i: group(True, F.least(mine, i), F.greatest(mine, i), mine <= i))
-    return x.select("token", "node", "comp", F.explode(F.when(is_major, ours).otherwise(F.concat(theirs, each))).alias("g")).select("token", "node", "comp", "g.*")
+    return x.select("home", "node", "comp", F.explode(F.when(is_major, ours).otherwise(F.concat(theirs, each))).alias("g")).select("home", "node", "comp", "g.*")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
@@ -276,9 +283,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     """
     sets, sketch = _sets_and_sketch(docs, words)
 
-    def both_prefixes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _prefix(tokens, sketch[_slots(tokens)], percent), _prefix(tokens, _text.mix(tokens ^ _ORDER), percent)
-
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
             found = token_sets(data, at, words)
@@ -304,10 +308,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in _text.groups(batches):
             found = token_sets(data, at, words)
-            both = [both_prefixes(s) for s in found]
-            yield pa.record_batch({"node": batch.column("doc_id").cast(pa.int64()), "n": np.array([len(s) for s in found], np.int64), "first": _lists([a for a, _ in both]), "second": _lists([b for _, b in both]), "tokens": _lists(found)})
+            yield pa.record_batch({"node": batch.column("doc_id").cast(pa.int64()), "n": np.array([len(s) for s in found], np.int64), "first": _lists([_prefix(s, sketch[_slots(s)], percent) for s in found]), "tokens": _lists(found)})
 
-    pulled = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(whole, "node long, n long, first array<long>, second array<long>, tokens array<long>")
+    pulled = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(whole, "node long, n long, first array<long>, tokens array<long>")
     full = cut(pulled.where("n > 0"))
     links = _same_id(sets, classes)
     for i in range(rounds):
@@ -319,7 +322,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, block
         found = _group_links(group, percent)
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    rest = cut(full.join(_dealt(member, block), "node").groupBy("token", "kind", "lo", "hi").applyInArrow(compare, "u long, v long"))
+    rest = cut(full.join(_dealt(member, block), "node").groupBy("home", "kind", "lo", "hi").applyInArrow(compare, "u long, v long"))
     groups = components(rest if links is None else links.union(rest)).withColumnRenamed("component", "found")
     # every class, with the components of those that have links
     out = sets.join(classes, ["n", "k1", "k2"], "left").join(groups, "node", "left")
