@@ -86,7 +86,54 @@ def test_stream_equals_batch(spark, data, tmp_path):
 
 def test_codebook_merge(spark, tmp_path):
     path = f"{tmp_path}/book"
-    spark.createDataFrame([(0, 0, 1.0, 2.0, 2.0, 0)], "code long, i int, count double, total double, value double, version int").write.parquet(path)
-    windows.merge_codebook(spark.createDataFrame([(0, [4.0])], "code long, vec array<double>"), path, 0.5)
-    new = spark.read.parquet(path).where("version = 1").first()
+    windows.start_codebook(spark.createDataFrame([(0, 0, 1.0, 2.0, 2.0)], "code long, i int, count double, total double, value double"), path)
+    batch = spark.createDataFrame([(0, [4.0])], "code long, vec array<double>")
+    for _ in range(2):  # a batch that is tried again
+        windows.merge_codebook(batch, 0, path, 0.5)
+    new = windows.codebook_at(spark, path).first()
     assert (new["count"], new.total, new.value) == (1.0, 3.0, 3.0)
+    assert windows.codebook_at(spark, path, 0).first().total == 2.0
+
+
+def test_silence_splitter_against_a_loop(spark, tmp_path):
+    import random
+
+    import numpy as np
+
+    r, least = random.Random(5), 10
+    chunks = [(s, i, [r.choice((0.0, 0.0, 0.0, 0.001, 1.0)) if r.random() < 0.3 else 0.0 for _ in range(r.randint(1, 40))], i == 11) for s in range(6) for i in range(12)]
+    rows = spark.createDataFrame(chunks, "stream_id int, seq int, samples array<double>, last boolean")
+    got = drained(spark, windows.split_at_silence(stream(spark, rows, tmp_path, "loop", [rows.where(f"seq = {k}") for k in range(12)]), rate=100, silence=0.1), "silence_loop").collect()
+    want = []
+    for s in range(6):
+        buffer, part = [], 0
+        for _, _, samples, last in [c for c in chunks if c[0] == s]:
+            buffer, cut = buffer + samples, 0
+            db = lambda x: 20 * np.log10(np.maximum(np.abs(x), 1e-5) / max(np.abs(x).max(), 1e-5))
+            if last:
+                cut = len(buffer)
+            else:
+                silent = np.flatnonzero(db(np.array(buffer)) < -40)
+                for i in range(len(silent) - least, -1, -1):
+                    if (np.diff(silent[i : i + least]) == 1).all():
+                        rest = db(np.array(buffer[silent[i] :]))
+                        cut = int(silent[i] + np.flatnonzero(rest >= -40)[0])
+                        break
+            if cut:
+                want.append((s, part, buffer[:cut]))
+                buffer, part = buffer[cut:], part + 1
+    assert sorted((x.stream_id, x.part, list(x.samples)) for x in got) == sorted(want) and len(want) > 12
+
+
+def test_keys_beyond_five_digits(spark):
+    keys = [r.key for r in writers.keyed(spark.range(100_500).withColumnRenamed("id", "n"), "n").orderBy("n").select("key").collect()]
+    assert keys[7] == "00007" and keys[-1] == "100499" and len(set(keys)) == 100_500
+
+
+def test_raw_lines_and_texts(spark, tmp_path):
+    (tmp_path / "m.bvh").write_text("head\nhead\n" + "\n".join(f"{i} {i + 0.5}" for i in range(2, 9)) + "\n")
+    assert [(r.line, r.vec) for r in readers.raw_motion_lines(spark, f"{tmp_path}/m.bvh", 2, 3).orderBy("line").collect()] == [(3, [3.0, 3.5]), (6, [6.0, 6.5])]
+    (tmp_path / "t.txt").write_text("1-2-3 HELLO THE WORLD\n\n1-2-4 AGAIN\n")
+    assert sorted(map(tuple, readers.sentence_texts(spark, f"{tmp_path}/t.txt").collect())) == [("1-2-3", "HELLO THE WORLD"), ("1-2-4", "AGAIN")]
+    writers.write_responses(spark.createDataFrame([(2, "b"), (1, None)], "id int, response string"), f"{tmp_path}/dump")
+    assert spark.read.text(f"{tmp_path}/dump").count() == 6

@@ -160,3 +160,84 @@ def slerp(a: Column, b: Column, t: float) -> Column:
         return _let(F.array(u, v), lambda w: F.zip_with(p, q, lambda x, y: F.get(w, 0) * x + F.get(w, 1) * y))
 
     return _let(a, lambda p: _let(b, lambda q: _let(_dot(_parts(p, 4), _parts(q, 4)), lambda d: blend(p, q, d))))
+
+
+def matrix_to_euler(m: Column, order: str = "XYZ") -> Column:
+    """The angles of three axis rotations in any of the twelve orders, whose product is the matrix.
+
+    The middle angle lies in [-pi/2, pi/2] for three different axes, in [0, pi] for two.
+    """
+    i, j, k = ("XYZ".index(a) for a in order)
+    proper = i == k
+
+    def made(v: Column) -> Column:
+        a = lambda r, c: F.get(v, 3 * r + c)
+        clip = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
+        if proper:
+            other = 3 - i - j
+            sign = 1 if (i - other) % 3 == 2 else -1  # whether i, j, other turn like X, Y, Z
+            return F.array(F.atan2(a(j, i), -sign * a(other, i)), F.acos(clip(a(i, i))), F.atan2(a(i, j), sign * a(i, other)))
+        sign = 1 if (j - i) % 3 == 1 else -1
+        return F.array(F.atan2(-sign * a(j, k), a(k, k)), F.asin(clip(sign * a(i, k))), F.atan2(-sign * a(i, j), a(i, i)))
+
+    return _let(m, made)
+
+
+def normalize(q: Column) -> Column:
+    return _let(q, lambda p: F.array(*_unit(_parts(p, 4))))
+
+
+def power(q: Column, t: float | Column) -> Column:
+    """The rotation by t times the angle of a quaternion, about its axis."""
+
+    def made(p: Column, angle: Column) -> Column:
+        turned = t * angle
+        return F.concat(F.array(F.cos(turned)), F.transform(F.slice(p, 2, 3), lambda x: x / F.sin(angle) * F.sin(turned)))
+
+    clip = lambda w: F.greatest(F.least(w, F.lit(1.0)), F.lit(-1.0))
+    return _let(normalize(q), lambda p: _let(F.greatest(F.acos(clip(F.get(p, 0))), F.lit(1e-9)), lambda angle: made(p, angle)))
+
+
+def between(a: Column, b: Column) -> Column:
+    """The quaternion that turns one vector to the direction of another."""
+
+    def made(p: Column, q: Column) -> Column:
+        u, v = _parts(p, 3), _parts(q, 3)
+        return normalize(F.array(F.sqrt(_dot(u, u) * _dot(v, v)) + _dot(u, v), *_cross(u, v)))
+
+    return _let(a, lambda p: _let(b, lambda q: made(p, q)))
+
+
+def lerp(a: Column, b: Column, t: float | Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + t * (y - x))
+
+
+def log(q: Column) -> Column:
+    """Half the axis-angle vector of a unit quaternion."""
+
+    def made(p: Column) -> Column:
+        w, *v = _parts(p, 4)
+        return _let(F.sqrt(_dot(v, v)), lambda n: F.transform(F.slice(p, 2, 3), lambda x: F.when(n == 0, 0.0).otherwise(F.try_divide(x, n) * F.atan2(n, w))))
+
+    return _let(q, made)
+
+
+def exp(v: Column) -> Column:
+    """The unit quaternion of half an axis-angle vector."""
+    return _let(v, lambda u: _let(F.sqrt(_dot(_parts(u, 3), _parts(u, 3))), lambda n: F.concat(F.array(F.cos(n)), F.transform(u, lambda x: F.when(n == 0, 0.0).otherwise(x * F.try_divide(F.sin(n), n))))))
+
+
+def angular_velocity(m: Column, rate: Column) -> Column:
+    """The angular velocity of a rotation (flat matrix) from the matrix's derivative."""
+    w = lambda r, c: sum((F.get(rate, 3 * r + k) * F.get(m, 3 * c + k) for k in (1, 2)), F.get(rate, 3 * r) * F.get(m, 3 * c))
+    return F.array((w(2, 1) - w(1, 2)) / 2, (w(0, 2) - w(2, 0)) / 2, (w(1, 0) - w(0, 1)) / 2)
+
+
+def to_homogeneous(point: Column) -> Column:
+    return F.concat(point, F.array(F.lit(1.0)))
+
+
+def from_homogeneous(point: Column) -> Column:
+    """Without the last component, divided by it unless it is 0."""
+    last = F.element_at(point, -1)
+    return F.transform(F.slice(point, 1, F.size(point) - 1), lambda x: F.when(last == 0, x).otherwise(F.try_divide(x, last)))

@@ -160,3 +160,8 @@ def proportional(a: Column, b: Column, budget: int) -> tuple[Column, Column]:
     share = F.least(F.lit(1.0), F.try_divide(F.lit(float(budget)), total))
     cut = lambda x: F.slice(x, 1, F.greatest(F.floor(F.size(x) * F.coalesce(share, F.lit(1.0))), F.lit(1)).cast("int"))
     return cut(a), cut(b)
+
+
+def hash_number(key: Column, seed: int = 42) -> Column:
+    """A number of 32 bits from a key and a seed, the same in every run."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")

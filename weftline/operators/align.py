@@ -63,14 +63,16 @@ def beat_alignment(reference: DataFrame, beats: DataFrame, sigma: float) -> Data
     return nearest(reference, beats).groupBy("seq_id").agg(F.avg(F.coalesce(F.exp(-(d * d) / (2 * sigma * sigma)), F.lit(0.0))).alias("score"))
 
 
-def spans_in_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
+def spans_in_words(words: DataFrame, pieces: DataFrame, width: int = 64) -> DataFrame:
     """Pieces whose character span lies in a word's: (doc_id, idx, piece, at).
 
-    Both have doc_id, start and stop; a word holds at most a few pieces, so the
-    equi-join on the document is followed by the span test. `at` counts the
-    pieces of a word.
+    Both have doc_id, start and stop. Words are spread over buckets of `width`
+    characters and join the pieces that start there, so a long text costs no more
+    than its pieces. `at` counts the pieces of a word.
     """
-    hit = words.alias("w").join(pieces.alias("p"), (F.col("w.doc_id") == F.col("p.doc_id")) & (F.col("p.start") >= F.col("w.start")) & (F.col("p.stop") <= F.col("w.stop")))
+    spread = words.select("doc_id", "idx", "start", "stop", _buckets(F.col("start"), F.greatest(F.col("stop") - 1, F.col("start")), width).alias("_b"))
+    keyed = pieces.withColumn("_b", F.floor(F.col("start") / width))
+    hit = spread.alias("w").join(keyed.alias("p"), (F.col("w.doc_id") == F.col("p.doc_id")) & (F.col("w._b") == F.col("p._b")) & (F.col("p.start") >= F.col("w.start")) & (F.col("p.stop") <= F.col("w.stop")))
     order = Window.partitionBy("w.doc_id", "w.idx").orderBy("p.start")
     return hit.select("w.doc_id", "w.idx", "p.piece", (F.row_number().over(order) - 1).alias("at"))
 

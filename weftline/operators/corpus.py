@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The special words of a vocabulary, before the first real id.
 SPECIALS = {"<pad>": 0, "<sos>": 1, "<eos>": 2, "<unk>": 3}
+#: Words of a vocabulary that is broadcast.
+BROADCAST_WORDS = 500_000
 
 
 def hash_order(key: Column, seed: int = 42) -> Column:
@@ -31,11 +33,43 @@ def random_split(rows: DataFrame, key: str, seed: int = 42, shares: tuple[float,
     return out.withColumn("split", F.when(F.col("_p") < a, "train").when(F.col("_p") < b, "val").otherwise("test")).drop("_h", "_b", "_o", "_n", "_p", "_m")
 
 
-def fraction_cap(rows: DataFrame, group: str, key: str, rate: float) -> DataFrame:
-    """The first round(n * rate) rows of each group, in the order of the key."""
-    n = F.count("*").over(Window.partitionBy(group))
-    x = rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(key))).withColumn("_n", n)
-    return x.where(F.col("_k") <= F.bround(F.col("_n") * rate)).drop("_k", "_n")
+def range_number(rows: DataFrame, key: Column, parts: int = 256) -> Column:
+    """The number of a range of a numeric key, in its order and of about equal sizes.
+
+    The bounds are literals, so every evaluation puts a row into the same range.
+    """
+    bounds = rows.agg(F.percentile_approx(key.cast("double"), [i / parts for i in range(1, parts)], F.lit(10_000))).first()[0] or []
+    inner = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
+    return F.size(F.filter(inner, lambda b: b < key.cast("double")))
+
+
+def ranked(rows: DataFrame, number: Column, order: list[str], name: str) -> DataFrame:
+    """Rows with their place from 0 in an order, of which `number` names the ranges.
+
+    Ranges are counted first; each is ranked by itself.
+    """
+    x = rows.withColumn("_p", number)
+    counts = x.groupBy("_p").agg(F.count("*").alias("_m"))  # one row a range
+    offsets = counts.select("_p", F.coalesce(F.sum("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    place = F.col("_o") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return x.join(F.broadcast(offsets), "_p").select(*rows.columns, place.alias(name))
+
+
+def fraction_cap(rows: DataFrame, group: str, key: str, rate: float, parts: int = 64) -> DataFrame:
+    """The first round(n * rate) rows of each group, in the order of a numeric key.
+
+    A group is cut into ranges of its key that are counted first, so that no task
+    ranks a whole group.
+    """
+    number = F.col(key).cast("double")
+    bounds = rows.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], F.lit(10_000)).alias("_bounds"), F.count("*").alias("_n"))
+    x = rows.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_p", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < number)))
+    counts = x.groupBy("_g", "_p").agg(F.count("*").alias("_m"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_g").alias("_h"), F.col("_p").alias("_q"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(key)))
+    out = x.join(offsets, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q")))
+    return out.where(F.col("_o") + F.col("_k") <= F.bround(F.col("_n") * rate)).select(*rows.columns)
 
 
 def split_rule(rows: DataFrame, rules: DataFrame, split: str, speakers: list[int], additional: bool = False) -> DataFrame:
@@ -58,16 +92,17 @@ def vocabulary(words: DataFrame, least: int = 1) -> DataFrame:
     """(word, n, id): words with at least `least` uses, ids in first-seen order.
 
     `words` has doc_id, pos and word, or also n (uses of an entry). Counting
-    combines in each task; ids are numbered in ranges of the first place, so the
-    ranking is spread.
+    combines in each task, on longs only: a word's first place is the smallest
+    position in its smallest document. Ids are ranked in ranges of that place.
     """
     n = F.sum("n") if "n" in words.columns else F.count("*")
-    seen = words.groupBy("word").agg(n.alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where(F.col("n") >= least)
-    part = F.floor(F.col("first.doc_id") / 256)
-    counts = seen.groupBy(part.alias("_b")).agg(F.count("*").alias("_m"))
-    offsets = counts.select("_b", F.coalesce(F.sum("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    ranked = seen.withColumn("_b", part).join(offsets, "_b").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("first")))
-    return ranked.select("word", "n", (F.col("_o") + F.col("_r") - 1 + len(SPECIALS)).alias("id"))
+    each = words.groupBy("word", "doc_id").agg(n.alias("n"), F.min("pos").alias("pos"))
+    seen = each.groupBy("word").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc"), F.min_by("pos", "doc_id").alias("pos")).where(F.col("n") >= least)
+    # documents, and places within them as fractions: one number that never falls along the order
+    most = F.lit(float((seen.agg(F.max("pos")).first()[0] or 0) + 1))
+    at = F.col("doc").cast("double") + F.col("pos") / most
+    out = ranked(seen, range_number(seen, at), ["doc", "pos"], "id")
+    return out.select("word", "n", (F.col("id") + len(SPECIALS)).alias("id"))
 
 
 def merge_vocabularies(first: DataFrame, other: DataFrame) -> DataFrame:
@@ -78,8 +113,14 @@ def merge_vocabularies(first: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Words with their ids; unknown ones get that of <unk>."""
-    return words.join(vocab.select("word", "id"), "word", "left").withColumn("id", F.coalesce("id", F.lit(SPECIALS["<unk>"])))
+    """Words with their ids; unknown ones get that of <unk>.
+
+    A vocabulary of at most BROADCAST_WORDS words goes to every task, so no word is
+    shuffled; a larger one is joined.
+    """
+    known = vocab.select("word", "id")
+    small = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    return words.join(F.broadcast(known) if small else known, "word", "left").withColumn("id", F.coalesce("id", F.lit(SPECIALS["<unk>"])))
 
 
 def with_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -119,3 +160,26 @@ def union_datasets(*parts: DataFrame) -> DataFrame:
 def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been written yet, for idempotent resumes."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+# The upper ends of the recording numbers of an emotion, from 1 on; the
+# label is the place in this list. Only recordings of even types are labelled.
+EMOTION_ENDS = [64, 72, 80, 86, 94, 102, 110, 118]
+# Speakers whose numbers are moved before all are lowered by one.
+SPEAKER_MOVES = {30: 8, 28: 14, 27: 19}
+
+
+def emotion_label(number: Column, kind: Column | None = None) -> Column:
+    """0 to 7 by the range of a recording's number; 0 for odd kinds, null beyond the ranges."""
+    label = F.when((number < 1) | (number > EMOTION_ENDS[-1]), F.lit(None).cast("int"))
+    for i, end in enumerate(EMOTION_ENDS):
+        label = label.when(number <= end, i)
+    return label if kind is None else F.when(kind.isin(0, 2, 4, 6), label).otherwise(0)
+
+
+def speaker_number(number: Column) -> Column:
+    """Speaker numbers without gaps, from 0."""
+    moved = number
+    for old, new in SPEAKER_MOVES.items():
+        moved = F.when(number == old, new).otherwise(moved)
+    return moved - 1

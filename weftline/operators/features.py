@@ -88,3 +88,27 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
 def huber(d: Column, beta: float = 1.0) -> Column:
     x = F.abs(d)
     return F.when(x < beta, 0.5 * x * x / beta).otherwise(x - 0.5 * beta)
+
+
+def mask_iou(a: Column, b: Column) -> Column:
+    """Intersection over union of two 0/1 arrays of one length; 0 if both are empty."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    both = total(F.zip_with(a, b, lambda x, y: ((x > 0) & (y > 0)).cast("int")))
+    any_ = total(F.zip_with(a, b, lambda x, y: ((x > 0) | (y > 0)).cast("int")))
+    return F.coalesce(F.try_divide(both, any_), F.lit(0.0))
+
+
+def kl_normal(mean: Column, log_variance: Column) -> Column:
+    """KL divergence of a normal distribution from the standard one, a term of the sum."""
+    return -0.5 * (1 + log_variance - mean * mean - F.exp(log_variance))
+
+
+def cross_entropy(p: Column, truth: Column, eps: float = 1e-12) -> Column:
+    """Binary cross entropy of a chance and a 0/1 truth."""
+    q = F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))
+    return -(truth * F.log(q) + (1 - truth) * F.log(1 - q))
+
+
+def renormalize(vectors: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors standardised by one set of statistics, by another one instead."""
+    return standardize(standardize(vectors, old, inverse=True), new)

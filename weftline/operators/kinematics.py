@@ -109,3 +109,40 @@ def run_numbers(mask: Column) -> Column:
 
 def floor_height(value: str = "value") -> Column:
     return F.min(value).over(_whole())
+
+
+def softmin_height(value: str = "value", softness: float = 0.5) -> Column:
+    """A floor height a little below the smallest value of a sequence, softened by its range."""
+    low, high = F.min(value).over(_whole()), F.max(value).over(_whole())
+    return low - F.log(softness + F.exp(low - high))
+
+
+def doubled(frames: DataFrame, value: str = "value") -> DataFrame:
+    """Twice as many frames: each followed by the mean of it and the next, the last by itself."""
+    after = (F.col(value) + F.coalesce(F.lead(value).over(_order()), F.col(value))) / 2
+    both = F.array(F.struct((2 * F.col("frame")).alias("frame"), F.col(value).alias(value)), F.struct((2 * F.col("frame") + 1).alias("frame"), after.alias(value)))
+    return frames.select("seq_id", F.explode(both).alias("x")).select("seq_id", "x.*")
+
+
+def blended(first: DataFrame, second: DataFrame, overlap: int, value: str = "value") -> DataFrame:
+    """Two sequences as one: the last `overlap` frames of the first fade into the first of the second."""
+    n = first.groupBy("seq_id").agg(F.max("frame").alias("last"))
+    later = second.join(n, "seq_id").select("seq_id", (F.col("frame") + F.col("last") + 1 - overlap).alias("frame"), F.col(value).alias("_b"), ((F.col("frame") + 1) / (overlap + 1)).alias("_t"))
+    x = first.select("seq_id", "frame", F.col(value).alias("_a")).join(later, ["seq_id", "frame"], "full")
+    mixed = F.col("_a") * (1 - F.col("_t")) + F.col("_b") * F.col("_t")
+    return x.select("seq_id", "frame", F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(mixed).alias(value))
+
+
+def contact_steps(frames: DataFrame, value: str = "value", start: int = 1, least: float = 0.02, apart: int = 120) -> DataFrame:
+    """(seq_id, frame, step): 1 from each peak on, 0 from each trough on, `start` before.
+
+    Peaks are frames above `least` of the sequence's range that exceed all others
+    within `apart` frames (of equal ones the first); troughs are peaks of -value.
+    """
+    near = _order().rangeBetween(-apart, apart)
+    low, high = F.min(value).over(_whole()), F.max(value).over(_whole())
+    x = frames.withColumns({"_lo": low, "_hi": high, "_top": F.max(F.struct(F.col(value).alias("v"), (-F.col("frame")).alias("f"))).over(near), "_bottom": F.min(F.struct(F.col(value).alias("v"), F.col("frame").alias("f"))).over(near)})
+    up = (F.col("_top.f") == -F.col("frame")) & (F.col(value) - F.col("_lo") > least * (F.col("_hi") - F.col("_lo")))
+    down = (F.col("_bottom.f") == F.col("frame")) & (F.col("_hi") - F.col(value) > least * (F.col("_hi") - F.col("_lo")))
+    step = F.last(F.when(down, 0).when(up, 1), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    return x.select("seq_id", "frame", F.coalesce(step, F.lit(start)).alias("step"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,7 @@ def retrieval(queries: DataFrame, items: DataFrame, group_size: int, most: int =
 
 
 def moments(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and sample covariance, from one Gram matrix a task."""
+    """Mean and sample covariance, from one Gram matrix a task; null vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, gram = 0, None, None
@@ -146,7 +147,7 @@ def moments(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             flat = np.concatenate(([n], total, gram.reshape(-1)))
             yield pa.record_batch({"i": pa.array(np.arange(len(flat)), pa.int64()), "x": flat})
 
-    parts = vectors.select(F.col("vec").cast("array<double>")).mapInArrow(run, "i long, x double")
+    parts = vectors.where("vec is not null").select(F.col("vec").cast("array<double>")).mapInArrow(run, "i long, x double")
     flat = np.array([r.x for r in parts.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])  # 1 + d + d*d numbers
     if not len(flat):
         return np.zeros(0), np.zeros((0, 0)), 0
@@ -173,28 +174,51 @@ def covariance(vectors: DataFrame, dims: int) -> DataFrame:
     return row.select(F.explode(cells).alias("x")).select("x.*")
 
 
+def subsets(vectors: DataFrame, n_subsets: int, size: int, seed: int = 42) -> DataFrame:
+    """(subset, vec_id, vec): for each subset, `size` vectors drawn from all of them.
+
+    The first of a hashed order of (vec_id, subset); a partial top list in each task.
+    """
+    draws = [vectors.select(F.lit(i).alias("subset"), "vec_id", "vec").orderBy(hash_order(F.col("vec_id"), seed + i), "vec_id").limit(size) for i in range(n_subsets)]
+    return reduce(DataFrame.union, draws)
+
+
 def kernel_distance(a: DataFrame, b: DataFrame, degree: int = 3) -> DataFrame:
-    """(subset, mmd2): unbiased squared MMD with a polynomial kernel.
+    """(subset, mmd2, variance): unbiased squared MMD with a polynomial kernel, and the
+    estimate of its variance.
 
-    Both have subset, vec_id and vec; subsets are samples of a bounded size, so
-    the pairs of a subset are bounded.
+    Both have subset, vec_id and vec; subsets are samples of equal, bounded size m, so
+    the pairs of a subset are bounded. All sums run over the kernel's rows.
     """
     k = lambda x, y, d: F.pow(F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) / d + 1, F.lit(float(degree)))
 
-    def mean(x: DataFrame, y: DataFrame, name: str, apart: bool) -> DataFrame:
+    def rows(x: DataFrame, y: DataFrame, name: str, apart: bool) -> DataFrame:
+        """Per row of x its sum of kernel values with y, and of their squares."""
         p = x.select("subset", F.col("vec_id").alias("i"), F.col("vec").alias("u")).join(y.select("subset", F.col("vec_id").alias("j"), F.col("vec").alias("v")), "subset")
-        p = p.where("i <> j") if apart else p
-        return p.groupBy("subset").agg(F.avg(k(F.col("u"), F.col("v"), F.size("u"))).alias(name))
-
-    x = mean(a, a, "xx", True).join(mean(b, b, "yy", True), "subset").join(mean(a, b, "xy", False), "subset")
-    return x.select("subset", (F.col("xx") + F.col("yy") - 2 * F.col("xy")).alias("mmd2"))
+        p = (p.where("i <> j") if apart else p).withColumn("k", k(F.col("u"), F.col("v"), F.size("u")))
+        return p.groupBy("subset", "i").agg(F.sum("k").alias(name), F.sum(F.col("k") * F.col("k")).alias(f"{name}2"))
+
+    both = rows(a, a, "x", True).join(rows(a, b, "c", False), ["subset", "i"])
+    mine = both.groupBy("subset").agg(F.count("*").alias("m"), *[F.sum(c).alias(c) for c in ("x", "x2", "c", "c2")], F.sum(F.col("x") * F.col("x")).alias("xs"), F.sum(F.col("c") * F.col("c")).alias("cs1"), F.sum(F.col("x") * F.col("c")).alias("xc"))
+    other = rows(b, b, "y", True).join(rows(b, a, "d", False), ["subset", "i"])
+    theirs = other.groupBy("subset").agg(*[F.sum(c).alias(c) for c in ("y", "y2")], F.sum(F.col("y") * F.col("y")).alias("ys"), F.sum(F.col("d") * F.col("d")).alias("cs0"), F.sum(F.col("y") * F.col("d")).alias("yd"))
+    s = mine.join(theirs, "subset").withColumn("m", F.col("m").cast("double"))
+    m, x, y, c = (F.col(v) for v in "mxyc")
+    m1, m2 = m - 1, m - 2
+    alone = (x * x + y * y) / (m * m1) / (m * m1)
+    crossed = (F.col("xc") + F.col("yd")) / (m * m * m1)
+    mixed = (x + y) * c / (m * m * m * m1)
+    zeta1 = (F.col("xs") - F.col("x2") + F.col("ys") - F.col("y2")) / (m * m1 * m2) - alone + (F.col("cs1") + F.col("cs0") - 2 * F.col("c2")) / (m * m * m1) - 2 * c * c / (m * m * m * m) - 2 * crossed + 2 * mixed
+    zeta2 = (F.col("x2") + F.col("y2")) / (m * m1) - alone + 2 * F.col("c2") / (m * m) - 2 * c * c / (m * m * m * m) - 4 * crossed + 4 * mixed
+    mmd2 = (x + y) / (m * m1) - 2 * c / (m * m)
+    return s.select("subset", mmd2.alias("mmd2"), (4 * m2 / (m * m1) * zeta1 + 2 / (m * m1) * zeta2).alias("variance"))
 
 
 def procrustes_errors(pairs: DataFrame, scale: float = 1000.0) -> DataFrame:
     """(seq_id, frame, pa_mpjpe): mean joint distance after the best similarity.
 
     `pairs` has seq_id, frame and flat arrays pred and truth; the small singular
-    value decompositions of a batch run at once.
+    value decompositions of a batch run at once. Rows with a null array are left out.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
@@ -212,7 +236,7 @@ def procrustes_errors(pairs: DataFrame, scale: float = 1000.0) -> DataFrame:
             error = np.linalg.norm(size[:, None, None] * (p0 @ rotation) - t0, axis=2).mean(1)
             yield pa.record_batch({"seq_id": batch.column("seq_id"), "frame": batch.column("frame"), "pa_mpjpe": error * scale})
 
-    x = pairs.select("seq_id", "frame", F.col("pred").cast("array<double>"), F.col("truth").cast("array<double>"))
+    x = pairs.where("pred is not null and truth is not null").select("seq_id", "frame", F.col("pred").cast("array<double>"), F.col("truth").cast("array<double>"))
     return x.mapInArrow(run, f"seq_id {kinds['seq_id']}, frame {kinds['frame']}, pa_mpjpe double")
 
 
@@ -227,10 +251,64 @@ def static_clips(clips: DataFrame, threshold: float = 0.0014) -> DataFrame:
     return both.where((F.col("sa") < threshold) & (F.col("sb") < threshold)).select("clip")
 
 
-def soft_entropy(vectors: DataFrame) -> DataFrame:
-    """(per_sample, codebook): mean bit entropy, and entropy of the mean bits."""
-    h = lambda p: -(p * F.log(p + 1e-12) + (1 - p) * F.log(1 - p + 1e-12))
-    x = vectors.select("vec_id", F.posexplode("vec").alias("i", "v")).withColumn("p", 1 / (1 + F.exp(-F.col("v"))))
+def soft_entropy(vectors: DataFrame, inverse_temperature: float = 100.0) -> DataFrame:
+    """(per_sample, codebook): mean bit entropy, and entropy of the mean bits.
+
+    The chance of a bit is the sigmoid of -4 v / sqrt(width) by the inverse temperature.
+    """
+    h = lambda p: -(p * F.log(p + 1e-8) + (1 - p) * F.log(1 - p + 1e-8))
+    x = vectors.select("vec_id", F.size("vec").cast("double").alias("width"), F.posexplode("vec").alias("i", "v"))
+    x = x.withColumn("p", 1 / (1 + F.exp(4 * F.col("v") / F.sqrt("width") * inverse_temperature)))
     per = x.groupBy("vec_id").agg(F.sum(h(F.col("p"))).alias("s")).agg(F.avg("s").alias("per_sample"))
     whole = x.groupBy("i").agg(F.avg("p").alias("p")).agg(F.sum(h(F.col("p"))).alias("codebook"))
     return per.crossJoin(whole)  # one row each
+
+
+def vertex_error(pairs: DataFrame) -> DataFrame:
+    """(seq_id, mpvpe): mean distance of points pred and truth (arrays of 3) over frames and vertices."""
+    return pairs.groupBy("seq_id").agg(F.avg(distance(F.col("pred"), F.col("truth"))).alias("mpvpe"))
+
+
+def loss_means(updates: DataFrame, losses: list[str]) -> DataFrame:
+    """Each loss summed over the updates, by their number, and the total of these."""
+    out = updates.agg(*[(F.sum(c) / F.count("*")).alias(c) for c in losses])
+    return out.withColumn("total", sum((F.col(c) for c in losses[1:]), F.col(losses[0])))
+
+
+def block_distances(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """(group, i, j, d): Euclidean distances inside groups; not-a-number counts as 0.
+
+    Both have the group, vec_id and vec. Groups are batches of a bounded size.
+    """
+    x = a.select(group, F.col("vec_id").alias("i"), F.col("vec").alias("u")).join(b.select(group, F.col("vec_id").alias("j"), F.col("vec").alias("v")), group)
+    return x.select(group, "i", "j", F.nanvl(distance(F.col("u"), F.col("v")), F.lit(0.0)).alias("d"))
+
+
+def variance_to(values: Column, length: Column) -> Column:
+    """The unbiased variance of the first `length` entries of an array."""
+    x = F.slice(values, 1, length)
+    n = F.size(x)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    mean = total(x) / n
+    return F.try_divide(total(F.transform(x, lambda v: (v - mean) * (v - mean))), n - 1)
+
+
+def label_quota(vectors: DataFrame, quota: int, seed: int = 42) -> DataFrame:
+    """(label, k, vec): `quota` vectors of every label by a hashed order, from all of them."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(hash_order(F.col("vec_id"), seed), "vec_id"))
+    return vectors.select("label", "vec_id", "vec", rank.alias("k")).where(F.col("k") <= quota)
+
+
+def label_multimodality(vectors: DataFrame, quota: int, seeds: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(multimodality, n_labels): mean distance of two samples of each label, then over labels that fill the quota."""
+    a, b = (label_quota(vectors, quota, s) for s in seeds)
+    pairs = a.select("label", "k", F.col("vec").alias("u")).join(b.select("label", "k", F.col("vec").alias("v")), ["label", "k"])
+    per = pairs.groupBy("label").agg(F.avg(distance(F.col("u"), F.col("v"))).alias("d"), F.count("*").alias("n")).where(F.col("n") == quota)
+    return per.agg(F.avg("d").alias("multimodality"), F.count("*").alias("n_labels"))
+
+
+def chunk_statistics(chunks: DataFrame, sizes: dict[str, float]) -> DataFrame:
+    """Totals over a corpus of chunks (bytes, seconds): chunks, mean bytes, bits a second, and
+    for each named rate the share of it that is used."""
+    rate = F.sum("bytes") * 8 / F.sum("seconds")
+    return chunks.agg(F.count("*").alias("n_chunks"), F.avg("bytes").alias("mean_bytes"), rate.alias("bits_per_second"), *[(rate / v).alias(k) for k, v in sizes.items()])

@@ -99,11 +99,9 @@ def rejection_counts(spark, sf_dir):
 
 
 def range_labels(spark, sf_dir):
-    """An emotion label from ranges of a number in the id, after a remap of ids."""
-    k = F.when(F.col("doc_id") % 120 == 30, 8).when(F.col("doc_id") % 120 == 28, 14).when(F.col("doc_id") % 120 == 27, 19).otherwise(F.col("doc_id") % 120)
-    d = table(spark, sf_dir, "documents").select("doc_id", (k - 1).alias("k"))
-    label = F.when(F.col("k").between(1, 64), 0).when(F.col("k").between(65, 72), 1).when(F.col("k").between(73, 80), 2).when(F.col("k").between(81, 118), 3).otherwise(0)
-    return d.select("doc_id", "k", label.alias("emotion"))
+    """Emotion labels by a recording's kind and number, and speakers without gaps."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 121).alias("number"), (F.col("doc_id") % 8).alias("kind"), (F.col("doc_id") % 30 + 1).alias("speaker"))
+    return d.select("doc_id", C.emotion_label(F.col("number")).alias("emotion"), C.emotion_label(F.col("number"), F.col("kind")).alias("by_kind"), C.speaker_number(F.col("speaker")).alias("speaker"))
 
 
 def top_orders(spark, sf_dir):
@@ -152,8 +150,10 @@ SELECT doc_id, COUNT(*) AS n, CAST(SUM(CASE WHEN id = 3 THEN 1 ELSE 0 END) AS BI
     "utterance_join": """WITH a AS (SELECT user_id, event_type, event_id % 7 AS part, COUNT(*) AS n_tokens FROM events GROUP BY ALL), b AS (SELECT user_id, event_type, event_id % 7 AS part, MAX(value) AS top FROM events WHERE value > 30 GROUP BY ALL)
 SELECT * FROM a JOIN b USING (user_id, event_type, part)""",
     "rejection_counts": "SELECT CASE WHEN n_chars < 200 THEN 'too short' WHEN n_chars > 8000 THEN 'too long' WHEN lang <> 'en' THEN 'language' ELSE 'kept' END AS reason, COUNT(*) AS n FROM documents GROUP BY 1",
-    "range_labels": """WITH a AS (SELECT doc_id, CASE doc_id % 120 WHEN 30 THEN 8 WHEN 28 THEN 14 WHEN 27 THEN 19 ELSE doc_id % 120 END - 1 AS k FROM documents)
-SELECT doc_id, k, CASE WHEN k BETWEEN 1 AND 64 THEN 0 WHEN k BETWEEN 65 AND 72 THEN 1 WHEN k BETWEEN 73 AND 80 THEN 2 WHEN k BETWEEN 81 AND 118 THEN 3 ELSE 0 END AS emotion FROM a""",
+    "range_labels": """WITH a AS (SELECT doc_id, doc_id % 121 AS n, doc_id % 8 AS kind, doc_id % 30 + 1 AS speaker FROM documents),
+b AS (SELECT *, CASE WHEN n >= 1 AND n <= 64 THEN 0 WHEN n >= 65 AND n <= 72 THEN 1 WHEN n >= 73 AND n <= 80 THEN 2 WHEN n >= 81 AND n <= 86 THEN 3 WHEN n >= 87 AND n <= 94 THEN 4
+  WHEN n >= 95 AND n <= 102 THEN 5 WHEN n >= 103 AND n <= 110 THEN 6 WHEN n >= 111 AND n <= 118 THEN 7 END AS emotion FROM a)
+SELECT doc_id, emotion, CASE WHEN kind IN (0, 2, 4, 6) THEN emotion ELSE 0 END AS by_kind, CASE speaker WHEN 30 THEN 8 WHEN 28 THEN 14 WHEN 27 THEN 19 ELSE speaker END - 1 AS speaker FROM b""",
     "top_orders": """WITH a AS (SELECT o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank, o_orderkey, o_totalprice FROM orders) SELECT * FROM a WHERE rank <= 5""",
     "two_level_means": "WITH p AS (SELECT l_orderkey, AVG(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT o_orderpriority, round(AVG(m), 6) + 0.0 AS mean_of_means, COUNT(*) AS n_orders FROM p JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "color_keys": "SELECT DISTINCT source, '#' || substr(md5(source), 1, 6) AS color, string_split(source, 'c')[-1] AS number FROM documents",

@@ -104,7 +104,7 @@ def prompt_build(spark, sf_dir):
     template = F.lit("[Human]: <Instruction> <Caption> [Model]: <Answer>")
     c = table(spark, sf_dir, "conversations")
     words = T.words(F.col("text"))
-    filled = T.fill_template(template, {"<Instruction>": F.col("role"), "<Caption>": F.array_join(F.slice(words, 1, 5), " "), "<Answer>": F.size(words).cast("string")})
+    filled = T.fill_template(template, {"<Instruction>": F.col("role"), "<Caption>": F.array_join(words, " "), "<Answer>": F.size(words).cast("string")})
     return c.select("conv_id", "turn", filled.alias("prompt"))
 
 
@@ -158,5 +158,5 @@ SELECT conv_id, speaker, start, start + i * 3 AS fast_start, CAST(floor((start +
   FROM p JOIN sent n ON n.seq_id = p.seq_id AND n.sentence = p.sentence + 1)
 SELECT seq_id, paragraph, string_agg(text, ' ' ORDER BY sentence) AS text, MIN(p_start) AS start, MAX(stop) AS stop FROM p GROUP BY seq_id, paragraph""",
     "prompt_build": f"""WITH a AS (SELECT conv_id, turn, role, {ORDERED_WORDS} AS w FROM conversations)
-SELECT conv_id, turn, '[Human]: ' || role || ' ' || COALESCE(array_to_string(w[1:5], ' '), '') || ' [Model]: ' || len(w) AS prompt FROM a""",
+SELECT conv_id, turn, '[Human]: ' || role || ' ' || COALESCE(array_to_string(w, ' '), '') || ' [Model]: ' || len(w) AS prompt FROM a""",
 }

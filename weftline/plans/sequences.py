@@ -138,10 +138,10 @@ def beat_align(spark, sf_dir):
 
 
 def subword_spans(spark, sf_dir):
-    """Words of a text's first lines, and pieces of three characters inside them."""
+    """All words of a text, and pieces of three characters inside them."""
     from weftline.functions.tokens import words
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(words(F.col("text")), 1, 20)).alias("idx", "w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("idx", "w"))
     before = F.coalesce(F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     w = d.withColumn("start", before).withColumn("stop", F.col("start") + F.length("w"))
     p = w.select("doc_id", "start", "stop", "w", F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 3))).alias("k"))
@@ -160,7 +160,7 @@ _PC = "SELECT seq_id, CAST(unnest(generate_series(0, {k} - 1)) AS INTEGER) AS cl
 _GW = [2.718281828459045 ** (-0.5 * i * i) for i in range(-4, 5)]
 _NEAR = """a AS (SELECT seq_id, CAST(frame AS DOUBLE) AS t FROM frames WHERE event_type = 'click'), b AS (SELECT seq_id, CAST(frame AS DOUBLE) AS t FROM frames WHERE event_type = 'view'),
 d AS (SELECT a.seq_id, a.t, MIN(abs(a.t - b.t)) AS distance FROM a LEFT JOIN b ON a.seq_id = b.seq_id GROUP BY a.seq_id, a.t)"""
-_DW = r"list_filter(string_split_regex(translate(text, ',.?!', '    '), '[ \t\n\v\f\r]+'), lambda w: len(w) > 0)[1:20]"
+_DW = r"list_filter(string_split_regex(translate(text, ',.?!', '    '), '[ \t\n\v\f\r]+'), lambda w: len(w) > 0)"
 ORACLE = {
     "clip_slices": f"WITH {N}, {_CLIPS} SELECT * FROM cl",
     "clip_slices_test": f"WITH {N} SELECT seq_id, 0 AS clip, 0 AS start, CAST(CASE WHEN n < 5 THEN 5 ELSE n // 5 * 5 END AS INTEGER) AS stop FROM n",

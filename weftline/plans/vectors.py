@@ -189,9 +189,10 @@ def frechet(spark, sf_dir):
 
 
 def kid(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("vec_id < 500").withColumn("subset", F.col("vec_id") % 5)
-    x = M.kernel_distance(v.where("label < 5"), v.where("label >= 5"))
-    return x.select("subset", r6(F.col("mmd2")).alias("mmd2"))
+    """Subsets of 40 vectors a side, drawn from all of them."""
+    v = vectors(spark, sf_dir)
+    x = M.kernel_distance(*[M.subsets(v.where(side), 5, 40) for side in ("label < 5", "label >= 5")])
+    return x.select("subset", r6(F.col("mmd2")).alias("mmd2"), r6(F.col("variance")).alias("variance"))
 
 
 def procrustes_error(spark, sf_dir):
@@ -204,7 +205,7 @@ def static_clips(spark, sf_dir):
 
 
 def soft_entropy(spark, sf_dir):
-    x = M.soft_entropy(vectors(spark, sf_dir, 16))
+    x = M.soft_entropy(vectors(spark, sf_dir, 16), 0.5)
     return x.select(r6(F.col("per_sample")).alias("per_sample"), r6(F.col("codebook")).alias("codebook"))
 
 
@@ -233,8 +234,8 @@ _x = lambda w: f"x AS (SELECT vec_id, CAST(unnest(generate_series(0, {w - 1})) A
 _JOINTS = "list_sum(list_transform(generate_series(0, 15), lambda j: sqrt(" + " + ".join(f"pow((pred[j * 3 + {k}] - pred[{k}]) - (truth[j * 3 + {k}] - truth[{k}]), 2)" for k in (1, 2, 3)) + "))) / 16 * 1000"
 _DOT = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1] * z[2]))"
 _SAMPLE = "SELECT {g} vec, row_number() OVER ({p} ORDER BY md5(CAST(vec_id AS VARCHAR) || ':{s}'), vec_id) AS k FROM vectors"
-_SIG = "1 / (1 + exp(-x))"
-_H = "-(({p}) * ln(({p}) + 1e-12::DOUBLE) + (1 - ({p})) * ln(1 - ({p}) + 1e-12::DOUBLE))"
+_SIG = "1 / (1 + exp(4 * x / sqrt(16) * 0.5))"
+_H = "-(({p}) * ln(({p}) + 1e-8::DOUBLE) + (1 - ({p})) * ln(1 - ({p}) + 1e-8::DOUBLE))"
 ORACLE = {
     "nearest_code": f"WITH {_CODES} SELECT vec_id, code, {_R.format(x='d2', n='d2')} FROM cd",
     "code_perplexity": f"WITH {_CODES}, h AS (SELECT COUNT(*) / SUM(COUNT(*)) OVER () AS p FROM cd GROUP BY code) SELECT COUNT(*) AS n_codes, {_R.format(x='exp(-SUM(p * ln(p + 1e-7::DOUBLE)))', n='perplexity')} FROM h",
@@ -244,7 +245,7 @@ u AS (SELECT b.vec_id AS code, b.i, b.x AS value, 0.9::DOUBLE + (1 - 0.9::DOUBLE
 SELECT code, i, {_R.format(x='count', n='count')}, round(CASE WHEN count >= 1.5 THEN total / count ELSE value END, 6) + 0.0 AS value, count < 1.5 AS is_replaced FROM u""",
     "code_smoothing": f"WITH {_CODES}, h AS (SELECT code, CAST(COUNT(*) AS DOUBLE) AS c FROM cd GROUP BY code) SELECT code, round((c + 0.5) / (SUM(c) OVER () + COUNT(*) OVER () * 0.5::DOUBLE) * SUM(c) OVER (), 6) + 0.0 AS smoothed FROM h",
     "code_lookup": f"WITH {_CODES} SELECT cd.vec_id, cd.code, round(v.vec[1], 6) + 0.0 AS first, len(v.vec) AS width FROM cd JOIN v ON v.vec_id = cd.code",
-    "sign_codes": f"WITH {VECTORS} SELECT vec_id, CAST(list_sum(list_transform(vec[1:16], lambda x, i: CASE WHEN x >= 0 THEN 1 << (16 - i)::INTEGER ELSE 0 END)) AS BIGINT) AS code, CASE WHEN vec[1] >= 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END AS bit FROM vectors",
+    "sign_codes": f"WITH {VECTORS} SELECT vec_id, CAST(list_sum(list_transform(vec[1:16], lambda x, i: CASE WHEN x > 0 THEN 1 << (16 - i)::INTEGER ELSE 0 END)) AS BIGINT) AS code, CASE WHEN vec[1] > 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END AS bit FROM vectors",
     "standardize": f"WITH {VECTORS}, s AS (SELECT " + ", ".join(f"AVG(vec[{i}]) AS m{i}, stddev_pop(vec[{i}]) AS s{i}" for i in (1, 2, 3)) + " FROM vectors) SELECT vec_id, " + ", ".join(f"round((vec[{i}] - m{i}) / s{i}, 6) + 0.0 AS z{i - 1}" for i in (1, 2, 3)) + ", round(vec[2], 6) + 0.0 AS back FROM vectors, s",
     "channel_stats": f"WITH {VECTORS}, {_x(12)} SELECT i, round(AVG(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS std, round(MIN(x), 6) + 0.0 AS low, round(MAX(x), 6) + 0.0 AS high, COUNT(*) AS n FROM x GROUP BY i",
     "constant_channels": "SELECT CAST(unnest([0, 3, 6, 9]) AS INTEGER) AS i",
@@ -270,9 +271,14 @@ SELECT round(AVG(x), 6) + 0.0 AS err_x, round(AVG(y), 6) + 0.0 AS err_y, round(A
     "retrieval_topk": f"""WITH {VECTORS}, d AS (SELECT a.vec_id AS q, b.vec_id AS i, {DIST.format(a='a.vec[1:32]', b='b.vec[17:48]')} AS d FROM vectors a JOIN vectors b ON a.vec_id // 32 = b.vec_id // 32),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, i) AS k FROM d) SELECT round(AVG(d), 6) + 0.0 AS matching, """ + ", ".join(f"round(AVG(CASE WHEN k <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS top{k}" for k in (1, 2, 3)) + ", COUNT(*) AS n FROM r WHERE q = i",
     "mean_cov": f"WITH {VECTORS}, {_x(6)} SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i",
-    "kid": f"""WITH {VECTORS}, s AS (SELECT vec_id, vec, vec_id % 5 AS subset, label < 5 AS side FROM vectors WHERE vec_id < 500),
-k AS (SELECT a.subset, a.side AS sa, b.side AS sb, a.vec_id = b.vec_id AS same, pow({_DOT} / 64 + 1, 3) AS k FROM s a JOIN s b ON a.subset = b.subset)
-SELECT subset, round(AVG(k) FILTER (WHERE sa AND sb AND NOT same) + AVG(k) FILTER (WHERE NOT sa AND NOT sb AND NOT same) - 2 * AVG(k) FILTER (WHERE sa AND NOT sb), 6) + 0.0 AS mmd2 FROM k GROUP BY subset""",
+    "kid": f"""WITH {VECTORS}, d AS (SELECT vec_id, vec, label < 5 AS side, unnest(generate_series(0, 4)) AS subset FROM vectors),
+r AS (SELECT *, row_number() OVER (PARTITION BY side, subset ORDER BY md5(CAST(vec_id AS VARCHAR) || ':' || (42 + subset)), vec_id) AS n FROM d), s AS (SELECT * FROM r WHERE n <= 40),
+k AS (SELECT a.subset, a.side, b.side AS other, a.vec_id AS i, pow({_DOT} / 64 + 1, 3) AS k FROM s a JOIN s b ON a.subset = b.subset AND (a.side <> b.side OR a.vec_id <> b.vec_id)),
+p AS (SELECT subset, side, i, SUM(k) FILTER (WHERE side = other) AS t, SUM(k * k) FILTER (WHERE side = other) AS t2, SUM(k) FILTER (WHERE side <> other) AS c, SUM(k * k) FILTER (WHERE side <> other) AS c2 FROM k GROUP BY ALL),
+g AS (SELECT subset, 40.0::DOUBLE AS m, SUM(t) AS xy, SUM(t2) AS xy2, SUM(t * t) AS xys, SUM(c) / 2 AS c, SUM(c2) / 2 AS c2, SUM(c * c) AS cs, SUM(t * c) AS dots, SUM(t) FILTER (WHERE side) AS x, SUM(t) FILTER (WHERE NOT side) AS y FROM p GROUP BY subset),
+z AS (SELECT *, (x * x + y * y) / pow(m * (m - 1), 2) AS alone, 2 * c * c / pow(m, 4) AS cc, dots / (m * m * (m - 1)) AS crossed, xy * c / (pow(m, 3) * (m - 1)) AS mixed FROM g)
+SELECT CAST(subset AS INTEGER) AS subset, round(xy / (m * (m - 1)) - 2 * c / (m * m), 6) + 0.0 AS mmd2,
+round(4 * (m - 2) / (m * (m - 1)) * ((xys - xy2) / (m * (m - 1) * (m - 2)) - alone + (cs - 2 * c2) / (m * m * (m - 1)) - cc - 2 * crossed + 2 * mixed) + 2 / (m * (m - 1)) * (xy2 / (m * (m - 1)) - alone + 2 * c2 / (m * m) - cc - 4 * crossed + 4 * mixed), 6) + 0.0 AS variance FROM z""",
     "static_clips": f"WITH {VECTORS}, v AS (SELECT vec_id // 4 AS clip, " + ", ".join(f"var_pop(vec[{i}]) AS v{i}" for i in range(1, 7)) + " FROM vectors GROUP BY 1) SELECT clip FROM v WHERE v1 + v2 + v3 < 0.03 AND v4 + v5 + v6 < 0.03",
     "soft_entropy": f"WITH {VECTORS}, {_x(16)}, p AS (SELECT vec_id, i, {_SIG} AS p FROM x), a AS (SELECT SUM({_H.format(p='p')}) AS s FROM p GROUP BY vec_id), b AS (SELECT AVG(p) AS p FROM p GROUP BY i) SELECT (SELECT round(AVG(s), 6) + 0.0 FROM a) AS per_sample, (SELECT round(SUM({_H.format(p='p')}), 6) + 0.0 FROM b) AS codebook",
     "spine_angles": f"""WITH {VECTORS}, a AS (SELECT vec_id // 5 AS clip, degrees(acos(abs(vec[2]) / sqrt(vec[1] * vec[1] + vec[2] * vec[2] + vec[3] * vec[3]))) AS angle FROM vectors)

@@ -55,7 +55,8 @@ def facial_frames(spark: SparkSession, path: str) -> DataFrame:
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, caption, tokens, start, stop) of `caption#tok tok#from#to`."""
     p = F.split("value", "#")
-    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), p.alias("p"))
+    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
+    x = x.select("file", "line", p.alias("p"))
     number = lambda i: F.nanvl(F.coalesce(F.get("p", i).try_cast("double"), F.lit(0.0)), F.lit(0.0))
     return x.select("file", "line", F.get("p", 0).alias("caption"), F.split(F.get("p", 1), " ").alias("tokens"), number(2).alias("start"), number(3).alias("stop"))
 
@@ -106,6 +107,19 @@ def recursive_ids(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return x.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"{suffix}$".replace(".", "[.]"), "").alias("id"), F.col("path").alias("file"))
 
 
+def raw_motion_lines(spark: SparkSession, path: str, skip: int = 431, stride: int = 1) -> DataFrame:
+    """(file, line, vec): the numbers of every stride-th line of motion files, without the first `skip`."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    kept = text.where((F.col("line") >= skip) & (F.col("line") % stride == 0) & (F.trim("value") != ""))
+    return kept.select("file", "line", F.transform(F.split(F.trim("value"), r"\s+"), lambda s: s.try_cast("double")).alias("vec"))
+
+
+def sentence_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of transcript files with lines `id TEXT`."""
+    x = spark.read.text(path).where(F.trim("value") != "")
+    return x.select(F.substring_index("value", " ", 1).alias("id"), F.trim(F.expr("substring(value, instr(value, ' ') + 1)")).alias("text"))
+
+
 READERS: dict[str, Reader] = {"jsonl_texts": jsonl_texts, "split_rules": split_rules, "id_list": id_list, "semantic_scores": semantic_scores, "conversation_structure": conversation_structure, "facial_frames": facial_frames, "captions": captions, "word_intervals": word_intervals, "bvh_motion": bvh_motion}
 
 

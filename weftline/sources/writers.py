@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.corpus import not_done
+from weftline.operators.corpus import not_done, range_number, ranked
 
 
 def write_cache(rows: DataFrame, path: str) -> None:
@@ -15,18 +15,14 @@ def write_cache(rows: DataFrame, path: str) -> None:
 
 
 def keyed(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with a five-digit key in the given order, without one global sort.
+    """Rows with a key of five digits or more in the given order, without one global sort.
 
-    Rows are range-partitioned; a partition's keys start after those before it.
+    The order is numeric; its ranges are counted first, and keys start in each range
+    after those before it.
     """
-    from pyspark.sql import Window
-
-    x = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, order).withColumn("_p", F.spark_partition_id())
-    counts = x.groupBy("_p").agg(F.count("*").alias("_m"))
-    first = F.coalesce(F.sum("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_p", first.alias("_o"))
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return x.join(F.broadcast(offsets), "_p").withColumn("key", F.lpad((F.col("_o") + at).cast("string"), 5, "0")).drop("_p", "_o")
+    x = ranked(rows, range_number(rows, F.col(order)), [order], "_key")
+    text = F.col("_key").cast("string")
+    return x.withColumn("key", F.lpad(text, F.greatest(F.lit(5), F.length(text)), F.lit("0"))).drop("_key")
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> None:
@@ -49,3 +45,9 @@ def write_motion_lines(frames: DataFrame, path: str) -> None:
     """One line of values a frame, in order of (seq_id, frame), a file per range."""
     line = F.array_join(F.transform("vec", lambda x: F.format_string("%.6f", x)), " ")
     frames.repartitionByRange("seq_id", "frame").sortWithinPartitions("seq_id", "frame").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_responses(rows: DataFrame, path: str) -> None:
+    """A text dump of (id, response): a header line with the id, then the response, an empty line after."""
+    line = F.concat(F.lit("== "), F.col("id").cast("string"), F.lit(" ==\n"), F.coalesce("response", F.lit("")), F.lit("\n"))
+    rows.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.mode("overwrite").text(path)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,45 +30,70 @@ def online_means(rows: DataFrame, key: str, value: str, weight: str) -> DataFram
 
 
 def split_at_silence(chunks: DataFrame, rate: int = 16000, silence: float = 0.1, level_db: float = -40.0) -> DataFrame:
-    """Per stream, samples up to the end of the last silent run, as they come.
+    """Per stream, samples up to the end of the last silence, as they come.
 
     `chunks` has stream_id, seq, samples (array of double) and last (boolean). A
-    run of `silence` seconds below `level_db`, relative to the buffer's maximum,
-    is a boundary; `last` flushes the rest. State is the unfinished tail.
+    silence is `silence` seconds below `level_db`, relative to the buffer's maximum;
+    the last one's start is the split, and its end the first sample from there that is
+    not below `level_db` of the maximum of the rest. `last` flushes the buffer and
+    ends the stream. State is the unfinished tail, as bytes.
     """
     least = int(rate * silence)
 
+    def loud(x: np.ndarray) -> np.ndarray:
+        level = np.maximum(np.abs(x), 1e-5)
+        return level >= level.max(initial=0) * 10 ** (level_db / 20)
+
     def boundary(x: np.ndarray) -> int:
-        top = np.abs(x).max(initial=0)
-        if top == 0:
-            return len(x) if len(x) >= least else 0
-        quiet = np.abs(x) < top * 10 ** (level_db / 20)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], quiet.astype(np.int8), [0]))))
-        ends = [b for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= least]
-        return int(ends[-1]) if ends else 0
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], (~loud(x)).astype(np.int8), [0]))))
+        ends = [int(b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= least]
+        if not ends:
+            return 0
+        split = ends[-1] - least
+        return split + int(loud(x[split:]).argmax())
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, part = state.get if state.exists else ([], 0)
-        tail, out = np.array(tail, np.float64), []
+        held, part = state.get if state.exists else (b"", 0)
+        tail, out, done = np.frombuffer(bytes(held), np.float64), [], False
         for row in pd.concat(list(frames)).sort_values("seq").itertuples():
             tail = np.concatenate((tail, np.array(row.samples, np.float64)))
             cut = len(tail) if row.last else boundary(tail)
             if cut:
                 out.append((key[0], part, tail[:cut].tolist()))
                 tail, part = tail[cut:], part + 1
-        state.update((tail.tolist(), part))
+            done = done or bool(row.last)
+        if done and not len(tail):
+            state.remove()
+        else:
+            state.update((tail.tobytes(), part))
         yield pd.DataFrame(out, columns=["stream_id", "part", "samples"])
 
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, part int, samples array<double>", "tail array<double>, part int", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, part int, samples array<double>", "tail binary, part int", "append", GroupStateTimeout.NoTimeout)
+
+
+def codebook_at(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest finished version of a codebook table, or the given one."""
+    if version is None:
+        version = spark.read.parquet(f"{path}/finished").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={version}")
+
 
+def start_codebook(codebook: DataFrame, path: str) -> None:
+    """Writes version 0 of a codebook table: code, i, count, total, value."""
+    codebook.write.mode("overwrite").parquet(f"{path}/version=0")
+    codebook.sparkSession.range(1).select(F.lit(0).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/finished")
 
-def merge_codebook(batch: DataFrame, path: str, mu: float = 0.99) -> None:
-    """A foreachBatch step: decays the codebook table at `path` by a batch of (code, vec)."""
+
+def merge_codebook(batch: DataFrame, batch_id: int, path: str, mu: float = 0.99) -> None:
+    """A foreachBatch step: decays the codebook table at `path` by a batch of (code, vec).
+
+    Batch n makes version n + 1 from version n, so a batch that is tried again writes
+    the same version again; readers see a version once it is finished.
+    """
     from weftline.operators.codes import ema_update
 
     spark = batch.sparkSession
-    versions = spark.read.parquet(path)
-    now = versions.agg(F.max("version")).first()[0]
-    new = ema_update(versions.where(F.col("version") == now).drop("version"), batch, mu).drop("is_replaced")
-    new.withColumn("version", F.lit(now + 1)).write.mode("append").parquet(path)
+    new = ema_update(codebook_at(spark, path, batch_id), batch, mu).drop("is_replaced")
+    new.write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
+    spark.range(1).select(F.lit(batch_id + 1).cast("long").alias("version")).write.mode("append").parquet(f"{path}/finished")
