@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,46 @@ def test_frechet_of_equal_sets_is_zero(spark):
     assert metrics.frechet(v, v) == pytest.approx(0, abs=1e-6)
     moved = v.select(F.transform("vec", lambda x: x + 2).alias("vec"))
     assert metrics.frechet(v, moved) == pytest.approx(16, abs=1e-6)
+
+
+def test_bit_scales_against_a_loop(spark):
+    r = np.random.default_rng(3)
+    rows, want = [], []
+    for seq in range(4):
+        x = r.normal(size=(7 + seq, 5))
+        rows += [(seq, i, v.tolist()) for i, v in enumerate(x)]
+        for level, scale in enumerate((1, 3, 7)):
+            n = len(x)
+            parts = [x[i * n // scale : -(-(i + 1) * n // scale)].mean(0) for i in range(scale)]
+            want += [(seq, level, i, "".join("1" if v > 0 else "0" for v in p)) for i, p in enumerate(parts)]
+            signs = np.array([[1 if v > 0 else -1 for v in p] for p in parts]) / np.sqrt(5)
+            for i in range(n):
+                at = min(max((i + 0.5) * scale / n - 0.5, 0), scale - 1)
+                low, t = int(at), at - int(at)
+                x[i] -= signs[low] * (1 - t) + signs[min(low + 1, scale - 1)] * t
+    got = codes.scale_bits(spark.createDataFrame(rows, "seq_id int, frame int, vec array<double>"), [1, 3, 7])
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_nearest_code_of_many_codes_and_odd_vectors(spark):
+    book = [(i, [float(i // 2), 0.0]) for i in range(200)]  # every value twice
+    vectors = [(0, [3.2, 0.0]), (1, None), (2, [None, 1.0]), (3, [1.0]), (4, [99.0, 5.0]), (5, [-7.0, 0.0])]
+    got = codes.nearest_code(spark.createDataFrame(vectors, "vec_id long, vec array<double>"), spark.createDataFrame(book, "code long, vec array<double>"))
+    assert {r.vec_id: r.code for r in got.collect()} == {0: 6, 1: None, 2: None, 3: None, 4: 198, 5: 0}
+
+
+def test_all_tasks_of_each_row(spark):
+    assert corpus.with_tasks(spark.range(3), spark.range(1500).withColumnRenamed("id", "task")).count() == 4500
+
+
+def test_ranks_agree_in_every_evaluation(spark):
+    words = spark.range(3000).select((F.col("id") % 40).alias("doc_id"), F.floor(F.col("id") / 40).alias("pos"), F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("string")).alias("word"))
+    rows, first = words.collect(), {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
+        first.setdefault(r.word, len(first) + 4)
+    for parts in (1, 7):
+        assert {r.word: r.id for r in corpus.vocabulary(words.repartition(parts)).collect()} == first
+    capped = corpus.fraction_cap(spark.range(1000).select((F.col("id") % 3).alias("g"), F.pmod(F.col("id") * 7919, F.lit(1000)).alias("k")), "g", "k", 0.3)
+    want = {g: sorted(i * 7919 % 1000 for i in range(g, 1000, 3))[: round(len(range(g, 1000, 3)) * 0.3)] for g in range(3)}
+    got = {g: sorted(r.k for r in capped.where(f"g = {g}").collect()) for g in range(3)}
+    assert got == want

@@ -175,7 +175,7 @@ def matrix_to_euler(m: Column, order: str = "XYZ") -> Column:
         clip = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
         if proper:
             other = 3 - i - j
-            sign = 1 if (i - other) % 3 == 2 else -1  # whether i, j, other turn like X, Y, Z
+            sign = 1 if (j - i) % 3 == 1 else -1  # whether i, j, other turn like X, Y, Z
             return F.array(F.atan2(a(j, i), -sign * a(other, i)), F.acos(clip(a(i, i))), F.atan2(a(i, j), sign * a(i, other)))
         sign = 1 if (j - i) % 3 == 1 else -1
         return F.array(F.atan2(-sign * a(j, k), a(k, k)), F.asin(clip(sign * a(i, k))), F.atan2(-sign * a(i, j), a(i, i)))

@@ -35,7 +35,7 @@ def nearest_code(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
                 ok = np.asarray(batch.column("ok"))
-                x = batch.column("vec").filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(int(ok.sum()), -1)
+                x = batch.column("vec").filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(int(ok.sum()), book.shape[-1])
                 code, d2 = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
                 if len(x):
                     rest = np.empty((len(x), len(book)))

@@ -120,8 +120,8 @@ def softmin_height(value: str = "value", softness: float = 0.5) -> Column:
 def doubled(frames: DataFrame, value: str = "value") -> DataFrame:
     """Twice as many frames: each followed by the mean of it and the next, the last by itself."""
     after = (F.col(value) + F.coalesce(F.lead(value).over(_order()), F.col(value))) / 2
-    both = F.array(F.struct((2 * F.col("frame")).alias("frame"), F.col(value).alias(value)), F.struct((2 * F.col("frame") + 1).alias("frame"), after.alias(value)))
-    return frames.select("seq_id", F.explode(both).alias("x")).select("seq_id", "x.*")
+    both = F.array(F.struct((2 * F.col("frame")).alias("frame"), F.col(value).alias(value)), F.struct((2 * F.col("frame") + 1).alias("frame"), F.col("_after").alias(value)))
+    return frames.withColumn("_after", after).select("seq_id", F.explode(both).alias("x")).select("seq_id", "x.*")
 
 
 def blended(first: DataFrame, second: DataFrame, overlap: int, value: str = "value") -> DataFrame:
