@@ -1,8 +1,14 @@
 """A training corpus from raw documents: quality, dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next one's docs. All but the last return the
-columns of `documents`.
+as Parquet and read again as the next one's docs; the table before it is then deleted.
+All but the last return the columns of `documents`.
+
+Defined cases: an empty table passes all stages empty; a null, empty or blank text
+fails the quality rules; rows without a doc_id stay through the near-duplicate stage,
+as they cannot be named; of repeated rows with one doc_id and text one stays there; a
+null source is a source of its own; other columns pass through all stages but the last,
+but those named like the columns that an operator adds are not kept apart from them.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard, line_dedup, mixing, quality, sentencepiece_scan
-from weftline.llm._graph import table, written
+from weftline.llm._graph import dropped, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)  # only the stage that has just been written read it
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
