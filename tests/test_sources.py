@@ -137,3 +137,22 @@ def test_raw_lines_and_texts(spark, tmp_path):
     assert sorted(map(tuple, readers.sentence_texts(spark, f"{tmp_path}/t.txt").collect())) == [("1-2-3", "HELLO THE WORLD"), ("1-2-4", "AGAIN")]
     writers.write_responses(spark.createDataFrame([(2, "b"), (1, None)], "id int, response string"), f"{tmp_path}/dump")
     assert spark.read.text(f"{tmp_path}/dump").count() == 6
+
+
+def test_fading_overlaps_against_a_loop(spark, tmp_path):
+    import random
+
+    import numpy as np
+
+    r, n = random.Random(7), 4
+    chunks = [(s, i, [r.random() for _ in range(r.randint(n, 12))], i == 4) for s in range(3) for i in range(5)]
+    rows = spark.createDataFrame(chunks, "stream_id int, seq int, samples array<double>, last boolean")
+    got = drained(spark, windows.fade_overlaps(stream(spark, rows, tmp_path, "fade", [rows.where(f"seq = {k}") for k in range(5)]), n), "fade_loop").collect()
+    w, want = np.hamming(2 * n), []
+    for s in range(3):
+        held = None
+        for _, i, samples, last in [c for c in chunks if c[0] == s]:
+            x = [a * w[k] + held[k] * w[n + k] if held and k < n else a for k, a in enumerate(samples)]
+            want.append((s, i, [round(float(a), 9) for a in (x if last else x[:-n])]))
+            held = None if last else x[-n:]
+    assert sorted((x.stream_id, x.part, [round(a, 9) for a in x.samples]) for x in got) == sorted(want)

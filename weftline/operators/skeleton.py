@@ -130,3 +130,59 @@ def whole_pose(parts: dict[str, Column], masks: dict[str, list[int]]) -> Column:
         full = mask_scatter(part, masks[name])
         out = full if out is None else F.zip_with(out, full, lambda a, b: a + b)
     return out
+
+
+def _between(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Unit quaternions that turn the directions u to v (..., 3)."""
+    w = np.sqrt((u * u).sum(-1) * (v * v).sum(-1)) + (u * v).sum(-1)
+    q = np.concatenate((w[..., None], np.cross(u, v)), -1)
+    size = np.linalg.norm(q, axis=-1, keepdims=True)
+    return np.where(size > 1e-12, q / np.maximum(size, 1e-300), np.array([0.0, 0.0, 0.0, 1.0]))
+
+
+def inverse_kinematics(frames: DataFrame, parents: list[int], offsets: list[list[float]]) -> DataFrame:
+    """(seq_id, frame, root, quats): local rotations whose chain points along the positions.
+
+    `frames` has heading (the root's quaternion) and positions (3 a joint). Every
+    joint turns its first child's offset to the direction of that child; joints
+    without a child keep their parent's direction. forward_kinematics of the result
+    gives positions with the lengths of the offsets; joints with several children, or
+    headings that do not fit, are followed as well as their first child allows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    bones = np.array(offsets, np.float64)
+    child = {p: j for j, p in reversed(list(enumerate(parents))) if p >= 0}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            place = batch.column("positions").flatten().to_numpy(zero_copy_only=False).reshape(n, -1, 3)
+            head = batch.column("heading").flatten().to_numpy(zero_copy_only=False).reshape(n, 4)
+            head = head / np.linalg.norm(head, axis=1, keepdims=True)
+            whole, local = np.empty((n, len(parents), 4)), np.empty((n, len(parents), 4))
+            for j, p in enumerate(parents):
+                before = head if p < 0 else whole[:, p]
+                if j in child:
+                    aim = place[:, child[j]] - place[:, j]
+                    now = _rotate(before, np.broadcast_to(bones[child[j]], (n, 3)))
+                    whole[:, j] = _times(_between(now, aim), before)
+                else:
+                    whole[:, j] = before
+                local[:, j] = whole[:, j] if p < 0 else _times(whole[:, p] * np.array([1.0, -1.0, -1.0, -1.0]), whole[:, j])
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (x.size // max(n, 1)), pa.int32()), pa.array(x.reshape(-1)))
+            yield pa.record_batch({"seq_id": batch.column("seq_id"), "frame": batch.column("frame"), "root": lists(np.ascontiguousarray(place[:, parents.index(-1)])), "quats": lists(local)})
+
+    x = frames.where("positions is not null and heading is not null").select("seq_id", "frame", F.col("positions").cast("array<double>"), F.col("heading").cast("array<double>"))
+    return x.mapInArrow(run, f"seq_id {kinds['seq_id']}, frame {kinds['frame']}, root array<double>, quats array<double>")
+
+
+def retarget(frames: DataFrame, parents: list[int], offsets: list[list[float]], target: list[list[float]], legs: list[int]) -> DataFrame:
+    """Frames (seq_id, frame, heading, positions) on a skeleton of other bone lengths.
+
+    The root's path is scaled by the ratio of the legs' lengths (the bones that end at
+    the joints `legs`); directions of bones stay. Columns as in forward_kinematics.
+    """
+    length = lambda o: float(np.linalg.norm(np.array(o, np.float64)[legs], axis=1).sum())
+    ratio = length(target) / length(offsets)
+    posed = inverse_kinematics(frames, parents, offsets)
+    return forward_kinematics(posed.withColumn("root", F.transform("root", lambda x: x * ratio)), parents, target)

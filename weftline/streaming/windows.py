@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -97,3 +97,45 @@ def merge_codebook(batch: DataFrame, batch_id: int, path: str, mu: float = 0.99)
     new = ema_update(codebook_at(spark, path, batch_id), batch, mu).drop("is_replaced")
     new.write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
     spark.range(1).select(F.lit(batch_id + 1).cast("long").alias("version")).write.mode("append").parquet(f"{path}/finished")
+
+
+def fade_overlaps(chunks: DataFrame, overlap: int) -> DataFrame:
+    """Per stream, chunks whose first `overlap` samples fade in over the last ones before.
+
+    `chunks` has stream_id, seq, samples and last, with at least `overlap` samples a
+    chunk. The halves of a Hamming window weigh the new and the held samples; the last
+    `overlap` of a chunk are held for the next one, and `last` gives them all and ends
+    the stream.
+    """
+    window = np.hamming(2 * overlap)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, part = state.get if state.exists else (b"", 0)
+        held, out, done = np.frombuffer(bytes(held), np.float64), [], False
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            x = np.array(row.samples, np.float64)
+            if len(held):
+                x[:overlap] = x[:overlap] * window[:overlap] + held * window[overlap:]
+            stop = len(x) if row.last else len(x) - overlap
+            out.append((key[0], part, x[:stop].tolist()))
+            held, part, done = x[stop:], part + 1, bool(row.last)
+        if done:
+            state.remove()
+        else:
+            state.update((held.tobytes(), part))
+        yield pd.DataFrame(out, columns=["stream_id", "part", "samples"])
+
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, part int, samples array<double>", "held binary, part int", "append", GroupStateTimeout.NoTimeout)
+
+
+def growing_prompts(blocks: DataFrame) -> DataFrame:
+    """Blocks (stream_id, block, tokens) with `prompt`, all tokens of the blocks before."""
+    before = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("prompt", F.flatten(F.collect_list("tokens").over(before)))
+
+
+def token_blocks(tokens: DataFrame, size: int) -> DataFrame:
+    """A stream's tokens (stream_id, at, token) in blocks of `size`, as a decoder takes them."""
+    rows = F.array_sort(F.collect_list(F.struct("at", "token")))
+    return tokens.groupBy("stream_id", F.floor(F.col("at") / size).alias("block")).agg(F.transform(rows, lambda r: r["token"]).alias("tokens"))
