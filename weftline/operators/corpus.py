@@ -33,12 +33,12 @@ def random_split(rows: DataFrame, key: str, seed: int = 42, shares: tuple[float,
     return out.withColumn("split", F.when(F.col("_p") < a, "train").when(F.col("_p") < b, "val").otherwise("test")).drop("_h", "_b", "_o", "_n", "_p", "_m")
 
 
-def range_number(rows: DataFrame, key: Column, parts: int = 256) -> Column:
+def range_number(rows: DataFrame, key: Column, parts: int = 64) -> Column:
     """The number of a range of a numeric key, in its order and of about equal sizes.
 
     The bounds are literals, so every evaluation puts a row into the same range.
     """
-    bounds = rows.agg(F.percentile_approx(key.cast("double"), [i / parts for i in range(1, parts)], F.lit(10_000))).first()[0] or []
+    bounds = rows.agg(F.percentile_approx(key.cast("double"), [i / parts for i in range(1, parts)], F.lit(1000))).first()[0] or []
     inner = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
     return F.size(F.filter(inner, lambda b: b < key.cast("double")))
 
@@ -91,17 +91,14 @@ def tokens_of(docs: DataFrame) -> DataFrame:
 def vocabulary(words: DataFrame, least: int = 1) -> DataFrame:
     """(word, n, id): words with at least `least` uses, ids in first-seen order.
 
-    `words` has doc_id, pos and word, or also n (uses of an entry). Counting
-    combines in each task, on longs only: a word's first place is the smallest
-    position in its smallest document. Ids are ranked in ranges of that place.
+    `words` has doc_id (a whole number), pos and word, or also n (uses of an entry).
+    A word's place is one number, doc_id * 2^31 + pos, so counting combines in each
+    task by hash. Ids are ranked in ranges of that place.
     """
     n = F.sum("n") if "n" in words.columns else F.count("*")
-    each = words.groupBy("word", "doc_id").agg(n.alias("n"), F.min("pos").alias("pos"))
-    seen = each.groupBy("word").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc"), F.min_by("pos", "doc_id").alias("pos")).where(F.col("n") >= least)
-    # documents, and places within them as fractions: one number that never falls along the order
-    most = F.lit(float((seen.agg(F.max("pos")).first()[0] or 0) + 1))
-    at = F.col("doc").cast("double") + F.col("pos") / most
-    out = ranked(seen, range_number(seen, at), ["doc", "pos"], "id")
+    place = F.col("doc_id").cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    seen = words.groupBy("word").agg(n.alias("n"), F.min(place.cast("decimal(38,0)")).alias("place")).where(F.col("n") >= least)
+    out = ranked(seen, range_number(seen, F.col("place")), ["place"], "id")
     return out.select("word", "n", (F.col("id") + len(SPECIALS)).alias("id"))
 
 
