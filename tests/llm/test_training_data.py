@@ -673,6 +673,23 @@ def test_sentencepiece(docs, rows, none):
     assert sentencepiece_scan.encode(none).collect() == []
 
 
+def test_words_are_scanned_as_the_library_encodes_them(monkeypatch):
+    model = sentencepiece_scan.load(sentencepiece_scan.MODEL)
+    r = random.Random(5)
+    pieces = list(model.ids)
+    texts = ["", "a", " ", "  a  b ", "\n\n x", "▁▁a▁", "日本語 テスト した　中", "😀😀 x", "a" * 320, "x" * 5000, "\t\tfoo\r\n", "<s></s><0x0A>", " ▁ ", "\0é́"]
+    texts += ["".join(r.choice(" ▁ab\né日.eth😀-=") for _ in range(r.randint(1, 200))) for _ in range(500)]
+    texts += ["".join(r.choice(pieces) for _ in range(r.randint(1, 30))) for _ in range(500)]
+    want = [model.sp.encode(t) for t in texts]
+    assert model.encoded([sentencepiece_scan.marked(t) for t in texts]).to_pylist() == want
+    assert model.encoded([]).to_pylist() == []
+    # words beyond the lanes, small groups of texts, and pairs found anew
+    monkeypatch.setattr(sentencepiece_scan, "LANE", 3)
+    monkeypatch.setattr(sentencepiece_scan, "SCANNED", 50)
+    model.pair_keys[:] = -1
+    assert model.encoded([sentencepiece_scan.marked(t) for t in texts]).to_pylist() == want
+
+
 def test_max_plus_scan_finds_the_best_states():
     r = np.random.default_rng(3)
     sizes = [1, 3, 2, 4, 1]

@@ -13,10 +13,13 @@ the encoding is the one path of weight 0 through a graph whose edges weigh 0
    and down; the best state at every boundary follows.
 3. Each chunk is then traced back on its own between its two known states.
 
-Pieces never go over a word start (a space after another character), where all
-states meet; a chunk needs the graph only up to its first and from its last word
-start, and takes the text between from the library. Texts up to `giant`
-characters are single chunks.
+Pieces never go over a word start (a space after another character, or a character
+that no piece joins to others), where all states meet. Only words cut by a chunk's
+boundaries have several states to begin or end with; the words between have one, and
+are decoded side by side, a word a lane: the one piece that ends at each place on the
+path from the word's start, then the trace back from its end. Texts up to `giant`
+characters are single chunks, decoded in the same way. The library only reads the
+model file.
 
 Results equal those of the library on the whole text. Defined cases: a null or
 empty text has no ids and decodes to an empty text; the word-start mark in a
@@ -41,12 +44,16 @@ from weftline.llm._graph import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of the longest text that is one chunk.
 CHUNK, GIANT = 1 << 14, 1 << 15
+#: Characters of the longest word that shares lanes, and of the texts scanned at once.
+LANE, SCANNED = 64, 1 << 20
+#: Slots of the table of known pairs, as a power of two.
+PAIR_BITS = 20
 MARK = "▁"
 IMPOSSIBLE = -np.inf
 
 
 class Model:
-    """A byte-pair model: the library for words, stable pairs for boundaries."""
+    """A byte-pair model as a graph of pieces with stable pairs as edges."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -64,8 +71,31 @@ class Model:
         for i in range(n):
             raw[i] = bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
         self.raw = raw
-        self.stable = lru_cache(1 << 18)(self._stable)
+        self.stable = lru_cache(1 << 16)(self._stable)
         self.whole = lru_cache(1 << 16)(lambda s: len(s) == 1 or (s in self.ids and self.merged(s) == [s]))
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int32)
+        # numbers of pieces: their ids, and n + code point for a character without one
+        self.n = n
+        self.single = np.arange(n, n + 0x110000, dtype=np.int32)
+        for s, i in self.ids.items():
+            if len(s) == 1:
+                self.single[ord(s)] = i
+        self.names = [sp.id_to_piece(i) for i in range(n)]
+        # trie of the pieces: node 0 is the root and, as a child, stands for none
+        joined = sorted({c for s in self.ids if len(s) > 1 for c in s})
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in joined]] = np.arange(1, len(joined) + 1)
+        inner = {s[:k] for s in self.ids for k in range(1, len(s))}
+        self.node = {s: i for i, s in enumerate(["", *sorted(inner), *sorted({*(s for s in self.ids if len(s) > 1), *joined} - inner)])}
+        self.n_inner = len(inner) + 1
+        self.child = np.zeros((self.n_inner, len(joined) + 1), np.int32)
+        self.piece = np.full(len(self.node), -1, np.int32)
+        for s, i in self.node.items():
+            if s:
+                self.child[self.node[s[:-1]], self.kind[ord(s[-1])]] = i
+                if self.whole(s):
+                    self.piece[i] = self.single[ord(s)] if len(s) == 1 else self.ids[s]
+        self.pair_keys, self.pair_known = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
     def merged(self, s: str) -> list[str]:
         """The byte-pair encoding of a short string, as strings."""
@@ -89,11 +119,112 @@ class Model:
         i = self.ids.get(s)
         return [i] if i is not None else [self.bytes[b] for b in s.encode()]
 
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        """Ids by the library, of texts in mark form that begin with a word start or are empty."""
-        # the library adds the mark that is left off here, but none to an empty text
-        ids = self.sp.encode([t[1:] for t in texts], num_threads=1)
-        return [self.piece_ids(t) if len(t) == 1 else i for t, i in zip(texts, ids, strict=True)]
+    def name(self, piece: int) -> str:
+        return self.names[piece] if piece < self.n else chr(piece - self.n)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of pieces are stable; known pairs come from a table."""
+        key = a.astype(np.int64) << 32 | b
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_known[slot]
+        miss = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(miss):
+            new, where, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            stable = np.array([self.stable(self.name(k >> 32), self.name(k & 0xFFFFFFFF)) for k in new.tolist()], bool)
+            out[miss] = stable[back]
+            place, one = np.unique(slot[miss][where], return_index=True)
+            self.pair_keys[place], self.pair_known[place] = new[one], stable[one]
+        return out
+
+    def long_word(self, word: str) -> list[str]:
+        """The piece that ends at each place on the path from the word's start."""
+        last = [""] * (len(word) + 1)
+        for place in range(len(word)):
+            for end in range(place + 1, len(word) + 1):
+                s = word[place:end]
+                node = self.node.get(s)
+                if node is None:
+                    break
+                if not last[end] and self.piece[node] >= 0 and (not place or self.stable(last[place], s)):
+                    last[end] = s
+        return last[1:]
+
+    def scan(self, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where pieces end and their numbers, in code points joined from texts that begin at `first`.
+
+        A prefix of a word has one encoding, so one piece with a path of weight 0
+        from the word's start ends at each place; it is looked for in all words at once.
+        """
+        kind, mark = self.kind[code], code == ord(MARK)
+        lone = kind == 0
+        begins = lone | mark
+        begins[1:] &= ~(mark[1:] & mark[:-1])
+        begins[1:] |= lone[:-1]
+        begins[first] = True
+        start = np.flatnonzero(begins)
+        stop = np.append(start[1:], len(code))
+        last, size = np.full(len(code) + 1, -1, np.int32), np.ones(len(code) + 1, np.int16)
+        alone = np.flatnonzero(lone)
+        last[alone + 1] = self.single[code[alone]]
+        for low, high in zip(start[stop - start > LANE].tolist(), stop[stop - start > LANE].tolist(), strict=True):
+            found = self.long_word(code[low:high].tobytes().decode("utf-32-le"))
+            last[low + 1 : high + 1] = [self.ids[s] if s in self.ids else self.single[ord(s)] for s in found]
+            size[low + 1 : high + 1] = [len(s) for s in found]
+        shared = (stop - start <= LANE) & ~lone[start]
+        low, high = start[shared], stop[shared]
+        order = np.argsort(low - high, kind="stable")
+        low, high = low[order], high[order]
+        for t in range(int(high[0] - low[0]) if len(low) else 0):
+            lanes = np.searchsorted(low - high, -t)
+            place, end, node = low[:lanes] + t, high[:lanes], np.zeros(lanes, np.int32)
+            prior = last[place]
+            for k in range(1, self.longest + 1):
+                node = self.child[node, kind[place + k - 1]]
+                at, piece = place + k, self.piece[node]
+                ok = np.flatnonzero((piece >= 0) & (last[at] < 0))
+                if t:
+                    ok = ok[self.pairs(prior[ok], piece[ok])]
+                last[at[ok]], size[at[ok]] = piece[ok], k
+                on = np.flatnonzero((node > 0) & (node < self.n_inner) & (at < end))
+                if not len(on):
+                    break
+                place, end, node, prior = place[on], end[on], node[on], prior[on]
+        ends = np.zeros(len(code) + 1, bool)
+        low, at = start, stop
+        while len(at):
+            ends[at] = True
+            at = at - size[at]
+            on = at > low
+            low, at = low[on], at[on]
+        places = np.flatnonzero(ends)
+        return places, last[places]
+
+    def encoded(self, texts: list[str]) -> pa.ListArray:
+        """Ids of texts in mark form that begin with a word start or are empty."""
+        flat, counts = [], []
+        low = 0
+        while low < len(texts):
+            high, total = low + 1, len(texts[low])
+            while high < len(texts) and total + len(texts[high]) <= SCANNED:
+                total += len(texts[high])
+                high += 1
+            part = texts[low:high]
+            code = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+            stop = np.cumsum([len(t) for t in part])
+            first = np.append(0, stop[:-1])
+            places, pieces = self.scan(code, first[first < stop]) if len(code) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            bare = pieces >= self.n
+            points = pieces[bare] - self.n
+            width = np.ones(len(pieces), np.int64)
+            width[bare] = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+            ids = np.repeat(pieces, width)
+            ids[np.repeat(bare, width)] = self.byte_ids[np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+            flat.append(ids)
+            ends = np.append(0, np.cumsum(width))[np.searchsorted(places, stop, "right")]
+            counts.append(np.diff(ends, prepend=0))
+            low = high
+        offsets = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -214,7 +345,7 @@ class Chunk:
             out += self.model.piece_ids(self.text[s:e])
         if self.a >= 0:
             stop = self.high if self.end is None else self.b
-            out += self.model.plain([self.text[self.a : stop]])[0]
+            out += self.model.encoded([self.text[self.a : stop]]).values.to_pylist()
             if self.end is not None:
                 for s, e in self._back(self.tail, 0, self.end[o], [None]):
                     out += self.model.piece_ids(self.text[s:e])
@@ -281,8 +412,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                ids = m.plain([marked(t or "") for t in batch.column("text").to_pylist()])
-                yield pa.record_batch({"row": batch.column("row"), "ids": pa.array(ids, pa.list_(pa.int32())), "n_chunks": pa.array([int(bool(i)) for i in ids], pa.int64())})
+                ids = m.encoded([marked(t or "") for t in batch.column("text").to_pylist()])
+                yield pa.record_batch({"row": batch.column("row"), "ids": ids, "n_chunks": pa.array(np.diff(ids.offsets) > 0).cast(pa.int64())})
 
     done = carried.where(~is_giant).mapInArrow(small, f"row {row_type}, ids array<int>, n_chunks long")
     large = carried.where(is_giant).withColumns({"k1": F.xxhash64(F.to_json("row")), "k2": F.xxhash64("text")})
