@@ -45,9 +45,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of the longest text that is one chunk.
 CHUNK, GIANT = 1 << 14, 1 << 15
 #: Characters of the longest word that shares lanes, and of the texts scanned at once.
-LANE, SCANNED = 64, 1 << 20
+LANE, SCANNED = 64, 1 << 18
 #: Slots of the table of known pairs, as a power of two.
-PAIR_BITS = 20
+PAIR_BITS = 19
 MARK = "▁"
 IMPOSSIBLE = -np.inf
 
@@ -71,7 +71,7 @@ class Model:
         for i in range(n):
             raw[i] = bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
         self.raw = raw
-        self.stable = lru_cache(1 << 16)(self._stable)
+        self.stable = lru_cache(1 << 14)(self._stable)
         self.whole = lru_cache(1 << 16)(lambda s: len(s) == 1 or (s in self.ids and self.merged(s) == [s]))
         self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int32)
         # numbers of pieces: their ids, and n + code point for a character without one
@@ -88,7 +88,7 @@ class Model:
         inner = {s[:k] for s in self.ids for k in range(1, len(s))}
         self.node = {s: i for i, s in enumerate(["", *sorted(inner), *sorted({*(s for s in self.ids if len(s) > 1), *joined} - inner)])}
         self.n_inner = len(inner) + 1
-        self.child = np.zeros((self.n_inner, len(joined) + 1), np.int32)
+        self.child = np.zeros((self.n_inner, len(joined) + 1), np.uint16 if len(self.node) < 1 << 16 else np.int32)
         self.piece = np.full(len(self.node), -1, np.int32)
         for s, i in self.node.items():
             if s:
@@ -176,7 +176,7 @@ class Model:
         low, high = low[order], high[order]
         for t in range(int(high[0] - low[0]) if len(low) else 0):
             lanes = np.searchsorted(low - high, -t)
-            place, end, node = low[:lanes] + t, high[:lanes], np.zeros(lanes, np.int32)
+            place, end, node = low[:lanes] + t, high[:lanes], np.zeros(lanes, self.child.dtype)
             prior = last[place]
             for k in range(1, self.longest + 1):
                 node = self.child[node, kind[place + k - 1]]
@@ -410,8 +410,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
                 ids = m.encoded([marked(t or "") for t in batch.column("text").to_pylist()])
                 yield pa.record_batch({"row": batch.column("row"), "ids": ids, "n_chunks": pa.array(np.diff(ids.offsets) > 0).cast(pa.int64())})
 
