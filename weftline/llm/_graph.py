@@ -38,6 +38,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def appended(df: DataFrame, *columns: str) -> DataFrame:
+    """As `written`, in folders by the given columns, with the schema of `df`."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*columns).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a DataFrame that `written` gave, once nothing reads them."""
     spark = df.sparkSession
