@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "sentencepiece_scan", "token_counts", "near_vectors", "suffixes", "quality", "secrets_scan", "jaccard", "licenses", "mixing", "manifest", "whitening"]
+MODULES = ["line_dedup", "sentencepiece_scan", "token_counts", "near_vectors", "suffixes", "quality", "secrets_scan", "jaccard", "licenses", "mixing", "manifest", "whitening", "context_mixing"]
 
 
 def _all(name: str) -> dict:
