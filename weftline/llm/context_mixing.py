@@ -10,24 +10,24 @@ probabilities is the score; it is also given as total bits per byte.
   before it in the word; bytes that training never saw there follow an escape as eight
   plain decisions. So every sequence of tokens has a probability.
 * Predictors learned from the corpus. How often a decision fell either way is counted
-  under three hashed contexts: the last two bytes, the last four, and the whole word so
-  far. All training tokens count, by their word: words are counted first, and each
-  distinct word spells once with its count. Slots hold the logit of the counts and how
-  many there were.
-* Predictors learned online. Two small tables of a segment follow its own decisions, under
-  the word so far, and under that and the word before.
-* Mixing. The weights are gated: a set is chosen by the place in the word and by how much
+  under three hashed contexts: the last four bytes, the whole word so far, and, for the
+  first ACROSS bytes of a word, these and the last two bytes of the word before. All training tokens count: words, and pairs of an end and a beginning, are
+  counted first, and each distinct one spells once with its count. Slots hold the logit
+  of the counts and how many there were.
+* A predictor learned online. A small table of a segment follows its own decisions, under
+  the word so far.
+* Mixing. The weights are gated: a set is chosen by the place in the word and by how often
   the whole-word context has seen. After each decision the set moves along the gradient of
   the coding cost. The refinement maps the mixed logit, by gate, to what really came.
 
-A text is scored in segments of SEGMENT tokens, whose online state starts afresh, so that
-a very long text has as many lanes as it has segments; all segments of a block of texts
+A text is scored in segments of SEGMENT decisions, whose online state starts afresh, so that
+a very long text, or word, has as many lanes as it has segments; all segments of a block of texts
 advance together, one decision at a time, in numpy arrays. Scores don't depend on how
 texts are dealt to blocks.
 
 Words are exact in all counts: each block of consecutive texts asks for its distinct
-words once, the words are counted and joined as byte strings, and the answers meet the
-block's texts again in a cogroup. What is gathered is the vocabulary, which grows with
+words once, the words are counted as byte strings, and the answers meet the block's
+texts again in a cogroup. What is gathered is the vocabulary, which grows with
 the input. Only the slots (2 ** MOST_SLOTS at most, as many as the vocabulary asks for
 below that) and the Huffman codes (bounded by the pairs of contexts and bytes) are
 broadcast. Slots are hashed, as usual in this kind of model: a fuller table shares slots
@@ -49,33 +49,40 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import _text
 from weftline.llm._graph import cut, table, written
 
-#: Tokens of a segment; bytes of text of a block; lanes that advance together.
-SEGMENT, BLOCK, LANES = 256, 8 << 20, 8192
+#: Decisions of a segment; bytes of text of a block; lanes that advance together.
+SEGMENT, BLOCK, LANES = 2048, 4 << 20, 16384
 #: Binary logarithms: most slots of the corpus's counts, and the slots of a segment's table.
-MOST_SLOTS, ONLINE_SLOTS = 23, 10
-#: Learning rates of the mixer, of the refinement and of the online tables.
-MIXER_RATE, REFINE_RATE, ONLINE_RATE = np.float32(0.015), np.float32(0.02), np.float32(0.12)
+MOST_SLOTS, ONLINE_SLOTS = 23, 8
+#: Learning rates of the mixer, of the refinement and of the online table.
+MIXER_RATE, REFINE_RATE, ONLINE_RATE = np.float32(0.03), np.float32(0.02), np.float32(0.16)
 SPACE, END = 32, b"\n"
-_ESCAPE, _LITERAL = 256, 1 << 26
-_K = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are also predicted from the word before.
+ACROSS = 3
+_ESCAPE = 256
 #: A slot's value is its logit in steps of 1/128, and three bits of how much it has seen.
 STEPS, MOST_LOGIT = 128, 8.0
-#: Sets of weights: three places in a word by four classes of what the whole-word context has seen.
-GATES, BUCKETS = 12, 33
-#: Weights at the start: two bytes, four bytes, word, online word, online pair of words, bias.
-FIRST = np.array([[0.35, 0.65, 0.0, 0.15, 0.1, 0], [0.1, 0.4, 0.4, 0.15, 0.1, 0], [0.05, 0.25, 0.65, 0.15, 0.1, 0], [0.0, 0.05, 0.9, 0.1, 0.1, 0]], np.float32)
+#: Sets of weights: places in a word by four classes of what the whole-word context has seen.
+GATES = 4 * (ACROSS + 1)
+#: Weights at the start, by class: four bytes, word, online, across words; the last row
+#: in places that are not predicted across words.
+FIRST = np.array([[[1, 0, 0.15, 0], [0.4, 0.4, 0.15, 0.2], [0.2, 0.45, 0.15, 0.35], [0, 0.45, 0.1, 0.5]], [[1, 0, 0.15, 0], [0.5, 0.4, 0.15, 0], [0.3, 0.65, 0.15, 0], [0.05, 0.9, 0.15, 0]]], np.float32)
+#: The refinement: cells of a logit from -8 to 8, and its part of the probability.
+CELLS, PART = 33, np.float32(0.3)
 
 
 class Codes(NamedTuple):
-    """Paths of the pairs (context of two bytes, byte): `keys` in order, and their decisions."""
+    """Paths of bytes: `rows[context]` is the row of `unit` of a context of two bytes (the
+    last, if it is new), `unit[row, byte]` the path (-1: none), and [row, 256] its escape's;
+    path u has the decisions first[u]:first[u] + size[u]."""
 
-    keys: np.ndarray
+    rows: np.ndarray
+    unit: np.ndarray
     first: np.ndarray
     size: np.ndarray
     bit: np.ndarray
@@ -83,12 +90,16 @@ class Codes(NamedTuple):
 
 
 class Words(NamedTuple):
-    """The decisions of distinct words: those of word i are first[i]:first[i + 1]."""
+    """The decisions of distinct words: those of word i are first[i]:first[i + 1].
+
+    `four` and `whole` are hashes of the decision and its context.
+    """
 
     first: np.ndarray
     bit: np.ndarray
     place: np.ndarray
-    hashes: tuple[np.ndarray, np.ndarray, np.ndarray]
+    four: np.ndarray
+    whole: np.ndarray
 
 
 def _paths(counts: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
@@ -112,24 +123,28 @@ def _paths(counts: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
 
 def build_codes(keys: np.ndarray, counts: np.ndarray) -> Codes:
     """Codes of all seen pairs (context << 9 | byte, sorted), each context's escape, and plain bytes."""
-    units: list[tuple[int, list[tuple[int, int]]]] = []
+    paths = [[(256 + ((256 | s) >> (8 - k)), (s >> (7 - k)) & 1) for k in range(8)] for s in range(256)]
     contexts = keys >> 9
     edges = [0, *(np.flatnonzero(np.diff(contexts)) + 1).tolist(), len(keys)] if len(keys) else [0]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        paths = _paths([*zip((keys[a:b] & 511).tolist(), counts[a:b].tolist(), strict=True), (_ESCAPE, 1)])
-        units += [((int(contexts[a]) << 9) | s, path) for s, path in sorted(paths.items())]
-    for s in range(256):
-        units.append((_LITERAL | s, [(256 + ((256 | s) >> (8 - k)), (s >> (7 - k)) & 1) for k in range(8)]))
-    size = np.array([len(path) for _, path in units], np.int64)
-    node, bit = np.array([d for _, path in units for d in path], np.int64).reshape(-1, 2).T
-    return Codes(np.array([k for k, _ in units], np.int64), np.cumsum(size) - size, size, bit.astype(np.uint8), node.astype(np.uint64))
-
-
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of words with their end, the word of each, and its place in the word."""
-    spelled = [w if w == END else w + b" " for w in words]
+    rows, unit = np.full(1 << 16, len(edges) - 1, np.int32), np.full((len(edges), 257), -1, np.int32)
+    for row, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        rows[contexts[a]] = row
+        for s, path in _paths([*zip((keys[a:b] & 511).tolist(), counts[a:b].tolist(), strict=True), (_ESCAPE, 1)]).items():
+            unit[row, s] = len(paths)
+            paths.append(path)
+    size = np.array([len(path) for path in paths], np.int64)
+    node, bit = np.array([d for path in paths for d in path], np.int64).T
+    return Codes(rows, unit, np.cumsum(size) - size, size, bit.astype(np.uint8), _text.mix(node + 1))
+
+
+def ended(words: list[bytes]) -> list[bytes]:
+    return [w if w == END else w + b" " for w in words]
+
+
+def _symbols(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words, the word of each, and its place in the word."""
     size = np.array([len(w) for w in spelled], np.int64)
-    word = np.repeat(np.arange(len(words)), size)
+    word = np.repeat(np.arange(len(spelled)), size)
     return np.frombuffer(b"".join(spelled), np.uint8), word, np.arange(len(word)) - (np.cumsum(size) - size)[word]
 
 
@@ -147,30 +162,24 @@ def _repeated(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - size), size)
 
 
-def spell(words: list[bytes], codes: Codes) -> Words:
-    data, word, place = _symbols(words)
+def spell(spelled: list[bytes], codes: Codes) -> Words:
+    """The decisions of words, or of beginnings of words, with their ends."""
+    data, word, place = _symbols(spelled)
     before = [_before(data, place, k) for k in range(1, 5)]
-    context = before[1] << 8 | before[0]
-    find = lambda key: np.minimum(np.searchsorted(codes.keys, key), len(codes.keys) - 1)
-    key = context << 9 | data
-    unit = find(key)
-    new = codes.keys[unit] != key
-    escape = context << 9 | _ESCAPE
-    escaped = find(escape)
-    escaped[codes.keys[escaped] != escape] = -1  # a new context needs no escape
-    # one unit a byte; two, an escape and a plain byte, where the pair is new
-    of = np.repeat(np.arange(len(data)), 1 + new)
-    second = np.concatenate(([False], of[1:] == of[:-1])) if len(of) else np.zeros(0, bool)
-    units = np.where(new[of], np.where(second, find(_LITERAL | data.astype(np.int64))[of], escaped[of]), unit[of])
+    row = codes.rows[before[1] << 8 | before[0]]
+    unit = codes.unit[row, data].astype(np.int64)
+    # one path a byte; where the pair is new, an escape (none in a new context) and a plain byte
+    of = np.repeat(np.arange(len(data)), 1 + (unit < 0))
+    units = unit[of]
+    plain = np.flatnonzero((of[1:] == of[:-1])) + 1
+    units[plain], units[plain - 1] = data[of[plain]], codes.unit[row[of[plain]], _ESCAPE]
     size = np.where(units >= 0, codes.size[units], 0)
     at, by = _repeated(codes.first[units], size), np.repeat(of, size)
-    node = (codes.node[at] + np.uint64(1)) * _K
-    starts = np.arange(len(data)) - place
-    two = _text.mix(context.astype(np.uint64) + np.uint64(1 << 20))
-    four = _text.mix((context | before[2] << 16 | before[3] << 24).astype(np.uint64) + np.uint64(1 << 40))
-    whole = _text.rolling_hashes(data, starts, np.arange(len(data)))
-    ends = np.searchsorted(word[by], np.arange(len(words) + 1))
-    return Words(ends, codes.bit[at], place[by], tuple(_text.mix(h[by] ^ node) for h in (two, four, whole)))
+    four = _text.mix((before[0] | before[1] << 8 | before[2] << 16 | before[3] << 24).astype(np.uint64) + np.uint64(1 << 40))
+    whole = _text.rolling_hashes(data, np.arange(len(data)) - place, np.arange(len(data)))
+    node = codes.node[at]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(word, np.bincount(of, size, len(data)), len(spelled))))).astype(np.int64)
+    return Words(ends, codes.bit[at], place[by], four[by] + node, whole[by] + node)
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -216,16 +225,44 @@ def tokens_of(texts: list[bytes]) -> Texts:
     return Texts([END, *words], tokens, np.concatenate(([0], last + 1)))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block and the packed text."""
-    pack, block, size = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32, 0
+#: What the pass over the texts writes, by kind: texts (block, row), words of a block (row: their
+#: number in it), and ends of words (block) with beginnings of the next (word).
+TEXTS, WORDS, JOINTS = range(3)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each block, packed; its words, and its pairs of an end and a beginning, with their training counts."""
+    pack, block = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+    names = ("kind", "block", "row", "doc_id", "held_out", "packed", "word", "n")
+
+    def out(kind: int, size: int, **columns) -> pa.RecordBatch:
+        types = {"row": pa.int32(), "doc_id": id_type, "held_out": pa.bool_(), "packed": pa.binary(), "word": pa.binary(), "n": pa.int64()}
+        have = {"kind": np.full(size, kind, np.int32), "block": np.full(size, block), **{c: pa.nulls(size, t) for c, t in types.items()}, **columns}
+        return pa.record_batch([have[c] for c in names], names=list(names))
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        texts = [t for ts, _, _ in parts for t in ts]
+        x, trains = tokens_of(texts), ~np.concatenate([h for _, _, h in parts])
+        at = np.cumsum([0, *[len(ts) for ts, _, _ in parts]])
+        for i, (ts, ids, held_out) in zip(at.tolist(), parts, strict=False):
+            yield out(TEXTS, len(ts), row=np.arange(i, i + len(ts), dtype=np.int32), doc_id=ids, held_out=pa.array(held_out), packed=pa.array([pack.compress(t) for t in ts], pa.binary()))
+        trains = np.repeat(trains, np.diff(x.at))
+        n = np.bincount(x.tokens, trains, len(x.words)).astype(np.int64)
+        yield out(WORDS, len(n), row=np.arange(len(n), dtype=np.int32), word=pa.array(x.words, pa.binary()), n=n)
+        ends, heads, n = joints(x, trains)
+        yield out(JOINTS, len(n), block=ends, word=pa.array(heads, pa.binary()), n=n)
+
+    parts, size, id_type = [], 0, None
     for rows, data, at in _text.groups(batches):
         if size and size + len(data) > BLOCK:
-            block, size = block + 1, 0
-        size += len(data)
+            yield from flush()
+            parts, size, block = [], 0, block + 1
+        id_type = rows.column("doc_id").type
         raw = data.tobytes()
-        texts = [pack.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.record_batch({"block": pa.array(np.full(rows.num_rows, block)), "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "packed": pa.array(texts, pa.binary())})
+        parts.append(([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], rows.column("doc_id"), np.asarray(rows.column("held_out"))))
+        size += len(data)
+    if parts:
+        yield from flush()
 
 
 def _unpacked(column: list[bytes]) -> list[bytes]:
@@ -233,33 +270,42 @@ def _unpacked(column: list[bytes]) -> list[bytes]:
     return [unpack.decompress(x) for x in column]
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block, n): the distinct words of each block and how often training rows have them."""
+def tails(words: list[bytes]) -> np.ndarray:
+    """The last two bytes of each word, as a number."""
+    data, size = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.array([len(w) for w in words], np.int64)
+    last = np.cumsum(size) - 1
+    return np.where(size > 1, data[np.maximum(last - 1, 0)] << 8, 0) | data[last]
 
-    def ask(rows: pa.Table) -> pa.RecordBatch:
-        x = tokens_of(_unpacked(rows.column("packed").to_pylist()))
-        trains = np.repeat(~np.asarray(rows.column("held_out")), np.diff(x.at))
-        n = np.bincount(x.tokens, trains, len(x.words)).astype(np.int64)
-        return pa.record_batch({"word": pa.array(x.words, pa.binary()), "block": np.full(len(n), rows.column("block")[0].as_py()), "n": n})
 
-    parts, block = [], None
+def tail_hashes(words: list[bytes]) -> np.ndarray:
+    return _text.mix(tails(words) + 1)
+
+
+def joints(x: Texts, trains: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(tail, head, n): ends of words and beginnings of the next, of the tokens that train."""
+    heads = np.array([int.from_bytes(w[:ACROSS].ljust(ACROSS, b"\0"), "big") for w in ended(x.words)], np.int64)
+    before = np.concatenate((x.tokens[-1:], x.tokens[:-1]))  # an end stands before each text's first word
+    key, n = np.unique((tails(x.words)[before] << 8 * ACROSS | heads[x.tokens])[trains], return_counts=True)
+    low = key & ((1 << 8 * ACROSS) - 1)
+    return key >> 8 * ACROSS, [h.to_bytes(ACROSS, "big").rstrip(b"\0") for h in low.tolist()], n
+
+
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Batches together, so that more sums are made before any are sent."""
+    parts = []
     for batch in batches:
-        for i in [0, *(np.flatnonzero(np.diff(batch.column("block").to_numpy())) + 1).tolist()] if batch.num_rows else []:
-            own = batch.column("block")[i].as_py()
-            if parts and own != block:
-                yield ask(pa.Table.from_batches(parts))
-                parts = []
-            j = i + int((batch.column("block").to_numpy()[i:] == own).argmin() or batch.num_rows - i)
-            block = own
-            parts.append(batch.slice(i, j - i))
+        parts.append(batch)
+        if sum(b.num_rows for b in parts) >= rows:
+            yield pa.Table.from_batches(parts)
+            parts = []
     if parts:
-        yield ask(pa.Table.from_batches(parts))
+        yield pa.Table.from_batches(parts)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n) of contexts of two bytes and bytes, of words with their counts."""
     for batch in batches:
-        data, word, place = _symbols(batch.column("word").to_pylist())
+        data, word, place = _symbols(ended(batch.column("word").to_pylist()))
         key = (_before(data, place, 2) << 8 | _before(data, place, 1)) << 9 | data
         keys, of = np.unique(key, return_inverse=True)
         sums = np.bincount(of, batch.column("n").to_numpy()[word], len(keys))
@@ -281,117 +327,176 @@ class Model(NamedTuple):
     v: int
 
 
-def train(vocabulary: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
-    """The model of a vocabulary (word, n) with the end among its words."""
+def train(vocabulary: DataFrame, joints: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
+    """The model of a vocabulary (word, n) with the end among its words, and of (tail, head, n)."""
     n, v = vocabulary.agg(F.sum("n"), F.count("*")).first()
     log2 = min(max(16, (4 * v).bit_length()), most_slots)
     found = vocabulary.mapInArrow(_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
     codes = build_codes(found.column("key").to_numpy(), found.column("n").to_numpy())
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = spell(batch.column("word").to_pylist(), codes)
-            times = np.repeat(batch.column("n").to_numpy(), np.diff(w.first))
-            slot = np.concatenate([(h >> np.uint64(64 - log2)).astype(np.int64) for h in w.hashes])
-            slots, of = np.unique(slot * 2 + np.tile(w.bit, 3), return_inverse=True)
-            sums = np.bincount(of, np.tile(times, 3), len(slots)).astype(np.int64)
-            one = (slots & 1) == 1
-            yield pa.record_batch({"slot": (slots >> 1).astype(np.int32), "zero": np.where(one, 0, sums), "one": np.where(one, sums, 0)})
+    def counted(hashes: list[np.ndarray], w: Words, n: np.ndarray) -> pa.RecordBatch:
+        times = np.repeat(n, np.diff(w.first))
+        slot = np.concatenate([(h >> np.uint64(64 - log2)).astype(np.int64) for h in hashes])
+        slots, of = np.unique(slot * 2 + np.tile(w.bit, len(hashes)), return_inverse=True)
+        sums = np.bincount(of, np.tile(times, len(hashes)), len(slots)).astype(np.int64)
+        one = (slots & 1) == 1
+        return pa.record_batch({"slot": (slots >> 1).astype(np.int32), "zero": np.where(one, 0, sums), "one": np.where(one, sums, 0)})
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches):
+            w = spell(ended(batch.column("word").to_pylist()), codes)
+            yield counted([w.four, w.whole], w, batch.column("n").to_numpy())
+
+    def of_joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches):
+            w = spell(batch.column("head").to_pylist(), codes)
+            tail = np.repeat(_text.mix(batch.column("tail").to_numpy() + 1), np.diff(w.first))
+            yield counted([w.whole + tail], w, batch.column("n").to_numpy())
 
     # neighbours in order share the beginnings of words, so that most sums are made in a task
-    counted = vocabulary.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(counts, "slot int, zero long, one long")
-    rows = _logits(counted.groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))).toArrow()
+    kind = "slot int, zero long, one long"
+    each = vocabulary.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(of_words, kind).union(joints.mapInArrow(of_joints, kind))
+    rows = _logits(each.groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))).toArrow()
     slots = np.zeros(1 << log2, np.int16)
     slots[rows.column("slot").to_numpy()] = rows.column("value").to_numpy()
     return Model(codes, slots, n or 0, v)
 
 
+#: Of the bits of what a slot has seen.
 _CLASS = np.array([0, 1, 2, 2, 3, 3, 3, 3])
+SCALE = np.float32(1 / STEPS)
 _LOGITS = np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))).astype(np.float32)
 
 
-def mixed_bits(words: Words, slots: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each segment; segment i has tokens[at[i]:at[i + 1]]."""
-    log2 = np.uint64(64 - (len(slots).bit_length() - 1))
-    found = [slots[(h >> log2).astype(np.int64)] for h in words.hashes]
-    logits = np.empty((len(words.bit), 6), np.float32)
-    for k in range(3):
-        logits[:, k] = (found[k] >> 3) * np.float32(1 / STEPS)
-    logits[:, 3:] = (0, 0, 0.3)
-    gate = np.minimum(words.place, 2) * 4 + _CLASS[found[2] & 7]
-    online = (words.hashes[2] & np.uint64((1 << ONLINE_SLOTS) - 1)).astype(np.int64)
-    meta = words.bit.astype(np.int64) | gate << 1 | online << 8
-    ends = words.first
-    each = np.add.reduceat(np.diff(ends)[tokens], at[:-1]) if len(at) > 1 else np.zeros(0, np.int64)
-    salt = (np.arange(len(ends)) * 0x9E3779B1 >> 7) & ((1 << ONLINE_SLOTS) - 1)
-    tokens = np.append(tokens, 0)
-    out = np.zeros(len(each))
-    order = np.argsort(-each, kind="stable")
-    for i in range(0, len(order), LANES):
-        out[order[i : i + LANES]] = _lanes(order[i : i + LANES], each, logits, meta, ends, salt, tokens, at)
-    return out
+def _logit(value: np.ndarray) -> np.ndarray:
+    return (value >> 3) * np.float32(1 / STEPS)
+
 
+class Lanes(NamedTuple):
+    """The decisions of segments in the order of time: step i has those at first[i]:first[i + 1],
+    one of each segment that is so long, the longest first."""
+
+    first: np.ndarray
+    decision: np.ndarray
+    across: np.ndarray
 
-def _lanes(lanes, each, logits, meta, ends, salt, tokens, at) -> np.ndarray:
-    """The segments of `lanes`, the longest first, side by side."""
-    m = len(lanes)
-    weights = np.repeat(np.tile(FIRST, (3, 1)), m, 0)  # a row for each gate and lane
-    refined = np.tile((1 / (1 + np.exp(-np.arange(-16, 17) / 2))).astype(np.float32), GATES * m)
-    tables = np.full((2, m << ONLINE_SLOTS), 0.5, np.float32)
-    number = np.arange(m)
-    base, wide = number << ONLINE_SLOTS, (1 << ONLINE_SLOTS) - 1
-    left, total = each[lanes], np.zeros(m)
-    t = at[lanes].copy()
-    now, end, last = ends[tokens[t]].copy(), ends[tokens[t] + 1].copy(), np.zeros(m, np.int64)
-    size, eps, one = m, np.float32(1 / 4096), np.float32(1)
-    for step in range(int(left[0])):
-        m = int(np.searchsorted(-left, -step))  # lanes that still have a decision
-        if m < size:
-            size, now, end, last, t, base, number = m, now[:m], end[:m], last[:m], t[:m], base[:m], number[:m]
-        x, info = logits.take(now, 0), meta.take(now)
-        bit = (info & 1).astype(np.float32)
-        gate, slot = (info >> 1) & 127, info >> 8
-        # the online predictors
-        first, second = base + slot, base + (slot ^ last)
-        p1, p2 = tables[0].take(first), tables[1].take(second)
-        x[:, 3] = _LOGITS.take((p1 * 4095).astype(np.int32))
-        x[:, 4] = _LOGITS.take((p2 * 4095).astype(np.int32))
-        tables[0][first] = p1 + (bit - p1) * ONLINE_RATE
-        tables[1][second] = p2 + (bit - p2) * ONLINE_RATE
+
+class Pieces(NamedTuple):
+    """The tokens of texts with the decisions before each in its text, and the texts' segments:
+    text i has the segments base[i]:base[i + 1], of `size` decisions each."""
+
+    tokens: np.ndarray
+    text: np.ndarray
+    before: np.ndarray
+    base: np.ndarray
+    size: np.ndarray
+
+
+def cut_texts(words: Words, tokens: np.ndarray, at: np.ndarray, segment: int) -> Pieces:
+    n = np.diff(words.first)[tokens]
+    total = np.concatenate(([0], np.cumsum(n)))
+    text, decisions = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.diff(total[at])
+    base = np.concatenate(([0], np.cumsum(-(-decisions // segment))))
+    size = np.full(base[-1], segment)
+    size[base[1:] - 1] = decisions - (np.diff(base) - 1) * segment
+    return Pieces(tokens, text, total[:-1] - total[at[text]], base, size)
+
+
+def _in_time(words: Words, tail: np.ndarray, slots: np.ndarray, x: Pieces, low: int, high: int, segment: int) -> tuple[np.ndarray, Lanes]:
+    """The order of the segments low to high by falling size, and their decisions."""
+    shift = np.uint64(64 - (len(slots).bit_length() - 1))
+    order = np.argsort(-x.size[low:high], kind="stable")
+    rank, size = np.empty(high - low, np.int64), x.size[low:high][order]
+    rank[order] = np.arange(high - low)
+    first = np.concatenate(([0], np.cumsum(np.searchsorted(-size, -np.arange(size[0])))))
+    decision, across = np.empty(first[-1], np.int32), np.zeros(first[-1], np.int16)
+    per = np.diff(words.first)
+    # tokens with a decision in these segments
+    begins = x.base[x.text] + x.before // segment
+    ends = x.base[x.text] + (x.before + per[x.tokens] - 1) // segment
+    places = np.arange(np.searchsorted(ends, low), np.searchsorted(begins, high))
+    for i in range(0, len(places), 1 << 15):
+        own = places[i : i + (1 << 15)]
+        now, n = x.tokens[own], per[x.tokens[own]]
+        at = _repeated(words.first[now], n)
+        k = _repeated(x.before[own], n)
+        piece = np.repeat(x.base[x.text[own]], n) + k // segment
+        joint = np.flatnonzero(words.place[at] < ACROSS)
+        value = np.zeros(len(at), np.int16)
+        value[joint] = slots[((words.whole[at[joint]] + np.repeat(tail[x.tokens[own - 1]], n)[joint]) >> shift).astype(np.int64)] >> 3
+        if piece[0] < low or piece[-1] >= high:
+            inside = (piece >= low) & (piece < high)
+            at, k, piece, value = at[inside], k[inside], piece[inside], value[inside]
+        to = first[k % segment] + rank[piece - low]
+        decision[to], across[to] = at, value
+    return order + low, Lanes(first, decision, across)
+
+
+def mixed_bits(words: Words, tail: np.ndarray, slots: np.ndarray, tokens: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """log2 of the probability of each text; text i has tokens[at[i]:at[i + 1]], the last its end.
+
+    `tail` has the hashes of the ends of the words. Before a text stands the end of another.
+    """
+    shift = np.uint64(64 - (len(slots).bit_length() - 1))
+    four, whole = slots[(words.four >> shift).astype(np.int64)], slots[(words.whole >> shift).astype(np.int64)]
+    logits = np.stack(((four >> 3) * SCALE, (whole >> 3) * SCALE), 1).view(np.int64).ravel()  # both in one number
+    gate = np.minimum(words.place, ACROSS) * 4 + _CLASS[whole & 7]
+    online = (words.whole & np.uint64((1 << ONLINE_SLOTS) - 1)).astype(np.int32)
+    meta = words.bit | (gate << 1 | online << 8).astype(np.int32)
+    x = cut_texts(words, tokens, at, segment)
+    out = np.zeros(len(x.size))
+    for i in range(0, len(out), LANES):
+        order, lanes = _in_time(words, tail, slots, x, i, min(i + LANES, len(out)), segment)
+        out[order] = _mixed(lanes, logits, meta)
+    return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(x.base)), out, len(at) - 1)
+
+
+def _mixed(lanes: Lanes, logits: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each lane, all of them side by side."""
+    counts = np.diff(lanes.first).tolist()
+    width = counts[0] if counts else 0
+    # a weight for each gate and lane
+    sets = np.concatenate([FIRST[0]] * ACROSS + [FIRST[1]])
+    w0, w1, w2, w3 = (np.repeat(sets[:, k], width) for k in range(4))
+    refined = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))).astype(np.float32), 4 * width)
+    online = np.full(width << ONLINE_SLOTS, 0.5, np.float32)
+    all_lanes = np.arange(width, dtype=np.int32)
+    total, product = np.zeros(width), np.ones(width)
+    begin, eps, one, half = 0, np.float32(1 / 4096), np.float32(1), np.float32(16.5)
+    for step, m in enumerate(counts):
+        now, x3 = lanes.decision[begin : begin + m], lanes.across[begin : begin + m] * SCALE
+        begin += m
+        number = all_lanes[:m]
+        both, info = logits.take(now).view(np.float32), meta.take(now)
+        x0, x1, bit, gate = both[::2], both[1::2], (info & 1).astype(np.float32), (info >> 1) & 127
+        # the online predictor
+        cell = (number << ONLINE_SLOTS) + (info >> 8)
+        p = online.take(cell)
+        x2 = _LOGITS.take((p * np.float32(4095)).astype(np.int32))
+        online[cell] = p + (bit - p) * ONLINE_RATE
         # the gated mixer
-        row = gate * len(lanes) + number
-        w = weights.take(row, 0)
-        dot = np.einsum("ij,ij->i", w, x)
+        row = gate * width + number
+        v0, v1, v2, v3 = w0.take(row), w1.take(row), w2.take(row), w3.take(row)
+        dot = v0 * x0 + v1 * x1 + v2 * x2 + v3 * x3
         p = one / (one + np.exp(-dot))
-        w += ((bit - p) * MIXER_RATE)[:, None] * x
-        weights[row] = w
+        g = (bit - p) * MIXER_RATE
+        w0[row], w1[row], w2[row], w3[row] = v0 + g * x0, v1 + g * x1, v2 + g * x2, v3 + g * x3
         # the refinement
-        cell = row * BUCKETS + (np.minimum(np.maximum(dot, -8), 8) * 2 + np.float32(16.5)).astype(np.int64)
+        cell = ((gate & 3) * width + number) * CELLS + (np.minimum(np.maximum(dot, -8), 8) * 2 + half).astype(np.int32)
         r = refined.take(cell)
         refined[cell] = r + (bit - r) * REFINE_RATE
-        p = np.minimum(np.maximum((p + r) * np.float32(0.5), eps), one - eps)
-        total[:m] += np.log2(np.abs(one - bit - p))
-        # to the next decision, or the next token
-        now += 1
-        over = np.flatnonzero(now == end)
-        if len(over):
-            t[over] += 1
-            last[over] = salt.take(tokens.take(t[over] - 1))
-            following = tokens.take(t[over])
-            now[over], end[over] = ends.take(following), ends.take(following + 1)
-    return total
+        p += (r - p) * PART
+        product[:m] *= np.minimum(np.maximum(np.abs(one - bit - p), eps), one - eps)
+        if step % 64 == 63:  # 4096 ** -64 is a double
+            total += np.log2(product)
+            product[:] = 1
+    return total + np.log2(product)
 
 
 def score_texts(texts: list[bytes], model: Model, segment: int = SEGMENT) -> tuple[Texts, np.ndarray]:
     """The tokens of texts, and log2 of the model's probability of each text."""
     x = tokens_of(texts)
-    n = np.diff(x.at)
-    per = -(-n // segment)
-    of = np.repeat(np.arange(len(n)), per)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-    at = np.append(x.at[:-1][of] + place * segment, len(x.tokens))
-    bits = mixed_bits(spell(x.words, model.codes), model.slots, x.tokens, at)
-    return x, np.bincount(of, bits, len(n))
+    return x, mixed_bits(spell(ended(x.words), model.codes), tail_hashes(x.words), model.slots, x.tokens, x.at, segment)
 
 
 def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, segment: int = SEGMENT, most_slots: int = MOST_SLOTS) -> DataFrame:
@@ -403,18 +508,24 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, segment: int
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
-    stored = written(docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_blocks, f"block long, doc_id {kind}, held_out boolean, packed binary"))
-    asked = cut(stored.mapInArrow(_asked, "word binary, block long, n long"))
-    vocabulary = written(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
-    model = spark.sparkContext.broadcast(train(vocabulary, most_slots))
-    answers = asked.select("word", "block").join(vocabulary, "word")
+    pass_ = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_parts, f"kind int, block long, row int, doc_id {kind}, held_out boolean, packed binary, word binary, n long")
+    stored = written(pass_)
+    same = Window.partitionBy("word")
+    words = stored.where(F.col("kind") == WORDS).select("word", "block", "row", "n")
+    # each block's words with their training counts; a word is written once, in its first block
+    first = F.when(F.col("block") == F.min("block").over(same), F.col("word")).alias("word")
+    answers = written(words.select(first, "block", "row", F.sum("n").over(same).alias("n")).where("n > 0"))
+    joined = stored.where(F.col("kind") == JOINTS).groupBy(F.col("block").alias("tail"), F.col("word").alias("head")).agg(F.sum("n").alias("n"))
+    model = spark.sparkContext.broadcast(train(answers.where("word is not null").select("word", "n"), cut(joined), most_slots))
+    texts = stored.where(F.col("kind") == TEXTS).select("block", "row", "doc_id", "held_out", "packed")
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         m = model.value
+        rows = rows.sort_by("row")
         texts = _unpacked(rows.column("packed").to_pylist())
         x, bits = score_texts(texts, m, segment)
-        have = dict(zip(known.column("word").to_pylist(), known.column("n").to_pylist(), strict=True))
-        c = np.array([have.get(w, 0) for w in x.words], np.int64)
+        c = np.zeros(len(x.words), np.int64)
+        c[known.column("row").to_numpy()] = known.column("n").to_numpy()
         of = np.repeat(np.arange(len(texts)), np.diff(x.at))
         by_word = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
         size = np.array([len(t) for t in texts])
@@ -423,7 +534,7 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, segment: int
         per_byte = pa.array(np.where(size > 0, -bits / np.maximum(size, 1), 0), pa.float64(), mask=size == 0)
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), **longs, "base_score": np.bincount(of, by_word[x.tokens], len(texts)), "score": score, "bits_per_byte": per_byte})
 
-    return stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return texts.groupBy("block").cogroup(answers.select("block", "row", "n").groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op12_lm_scores(spark, sf_dir):
