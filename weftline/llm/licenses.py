@@ -128,16 +128,26 @@ SENTENCES, RULES = build(TEXTS, TAGS)
 
 
 def _known(boundary: str, sentences: dict[str, str]) -> Column:
-    """The identifiers of a text's known sentences, in order, each in commas."""
+    """The identifiers of a text's known sentences, in order, each in commas.
+
+    A hashed set finds the known sentences, and only those are looked up.
+    """
     lookup = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     normal = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     text = F.replace(F.translate("text", UPPER, LOWER), F.lit(TAG), F.lit(TAG[:-1] + " "))
-    ids = F.transform(F.split(text, boundary), lambda s: F.try_element_at(lookup, normal(s)))
-    return F.concat(F.lit(","), F.concat_ws(",", F.filter(ids, lambda i: i.isNotNull())), F.lit(","))
+    known = F.filter(F.transform(F.split(text, boundary), normal), lambda s: s.isin(*sentences))
+    return F.concat(F.lit(","), F.concat_ws(",", F.transform(known, lambda s: F.try_element_at(lookup, s))), F.lit(","))
 
 
-def _pattern(ids: list[str]) -> str:
-    return "," + ",(?:[^,]+,)*".join(i.replace(".", "[.]") for i in ids) + ","
+def _matches(sequence: str, ids: list[str]) -> Column:
+    """Whether a rule's identifiers stand in a sequence in order, others between them or not.
+
+    Each one is searched from the end of the one before, where it comes first; a null
+    place finds nothing. The work is linear in the sequence, without recursion.
+    """
+    places = F.array(*[F.lit(f",{i},") for i in ids])
+    at = lambda place, i: F.call_function("locate", i, F.col(sequence), place)
+    return F.aggregate(places, F.lit(1), lambda place, i: F.nullif(at(place, i), F.lit(0)) + F.length(i) - 1).isNotNull()
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, marks: str = MARKS) -> DataFrame:
@@ -150,7 +160,7 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     marked = F.coalesce(F.col("text").rlike(marks), F.lit(False))
     found = docs.select("doc_id", *[F.when(marked, _known(cut, sentences)).otherwise(F.lit(",,")).alias(name) for name, cut in (("by_line", BY_LINE), ("by_stop", BY_BREAK))])
     names = list(dict.fromkeys(name for name, _ in rules))
-    hit = {name: reduce(lambda a, b: a | b, [F.col(c).rlike(_pattern(ids)) for n, ids in rules if n == name for c in ("by_line", "by_stop")]) for name in names}
+    hit = {name: reduce(lambda a, b: a | b, [_matches(c, ids) for n, ids in rules if n == name for c in ("by_line", "by_stop")]) for name in names}
     some = (F.col("by_line") != ",,") | (F.col("by_stop") != ",,")
     licenses = F.when(some, F.filter(F.array(*[F.when(hit[n], F.lit(n)) for n in names]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     trim = lambda c: F.expr(f"trim(BOTH ',' FROM {c})")
@@ -162,10 +172,11 @@ def op9_licenses(spark, sf_dir):
 
 
 def _sql() -> str:
-    """The whole tables of sentences and rules, as relations."""
+    """The whole tables of sentences and rules, as relations; a rule is a pattern there."""
+    pattern = lambda ids: "," + ",(?:[^,]+,)*".join(i.replace(".", "[.]") for i in ids) + ","
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     names = list(dict.fromkeys(name for name, _ in RULES))
-    rules = ", ".join(f"({names.index(n)}, '{n}', '{_pattern(ids)}')" for n, ids in RULES)
+    rules = ", ".join(f"({names.index(n)}, '{n}', '{pattern(ids)}')" for n, ids in RULES)
     cut = lambda boundary: f"string_split_regex(replace(translate(text, '{UPPER}', '{LOWER}'), '{TAG}', '{TAG[:-1]} '), '{boundary}')"
     return f"""WITH known(sentence, id) AS (VALUES {known}), rules(place, name, pattern) AS (VALUES {rules}),
 m AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{MARKS}')),
