@@ -5,8 +5,8 @@ decision a probability; a gated mixer combines them in the logistic domain, lear
 from every decision, and an adaptive table refines the result. The sum of the log
 probabilities is the score; it is also given as total bits per byte.
 
-* Spelling. A word is its bytes and a space; the end of a text is a line feed where a
-  word would begin. Each byte is a path in a Huffman tree that depends on the two bytes
+* Spelling. A word is its bytes and a space; the end of a text is the word of one line
+  feed. Each byte is a path in a Huffman tree that depends on the two bytes
   before it in the word; bytes that training never saw there follow an escape as eight
   plain decisions. So every sequence of tokens has a probability.
 * Predictors learned from the corpus. How often a decision fell either way is counted
@@ -25,13 +25,16 @@ a very long text, or word, has as many lanes as it has segments; all segments of
 advance together, one decision at a time, in numpy arrays. Scores don't depend on how
 texts are dealt to blocks.
 
-Words are exact in all counts: each block of consecutive texts asks for its distinct
-words once, the words are counted as byte strings, and the answers meet the block's
-texts again in a cogroup. What is gathered is the vocabulary, which grows with
-the input. Only the slots (2 ** MOST_SLOTS at most, as many as the vocabulary asks for
-below that) and the Huffman codes (bounded by the pairs of contexts and bytes) are
-broadcast. Slots are hashed, as usual in this kind of model: a fuller table shares slots
-and predicts less sharply, but no word or text is left out.
+Words are exact in all counts. A block of consecutive texts is one row: its distinct words
+with their training counts, and its texts as numbers of these words. Buckets by hash
+gather the words of all blocks, add their counts up by their bytes, and answer each block;
+there are as many buckets as keep one at BUCKET words on average, so no bucket grows
+with the input but by one entry a block for each of its most common words. What is
+gathered is the vocabulary, which grows with the input. Only the slots (2 ** MOST_SLOTS
+at most, as many as the vocabulary asks for below that) and the Huffman codes (bounded by
+the pairs of contexts and bytes) are broadcast. Slots are hashed, as usual in this kind
+of model: a fuller table shares slots and predicts less sharply, but no word or text is
+left out.
 
 Defined cases: a null or empty text has the end only; a null doc_id belongs to training;
 repeated rows are trained on and scored once each; a table without training rows spells
@@ -49,7 +52,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _text
@@ -57,13 +60,15 @@ from weftline.llm._graph import cut, table, written
 
 #: Decisions of a segment; bytes of text of a block; lanes that advance together.
 SEGMENT, BLOCK, LANES = 2048, 4 << 20, 16384
+#: Words of a bucket, and of a task that spells the vocabulary, on average; parts of the slots.
+BUCKET, SPELLED, PARTS = 1 << 19, 1 << 20, 64
 #: Binary logarithms: most slots of the corpus's counts, and the slots of a segment's table.
-MOST_SLOTS, ONLINE_SLOTS = 23, 8
+MOST_SLOTS, ONLINE_SLOTS = 22, 8
 #: Learning rates of the mixer, of the refinement and of the online table.
 MIXER_RATE, REFINE_RATE, ONLINE_RATE = np.float32(0.03), np.float32(0.02), np.float32(0.16)
-SPACE, END = 32, b"\n"
+SPACE, END = 32, 10
 #: Bytes of a word that are also predicted from the word before.
-ACROSS = 3
+ACROSS = 2
 _ESCAPE = 256
 #: A slot's value is its logit in steps of 1/128, and three bits of how much it has seen.
 STEPS, MOST_LOGIT = 128, 8.0
@@ -137,15 +142,34 @@ def build_codes(keys: np.ndarray, counts: np.ndarray) -> Codes:
     return Codes(rows, unit, np.cumsum(size) - size, size, bit.astype(np.uint8), _text.mix(node + 1))
 
 
-def ended(words: list[bytes]) -> list[bytes]:
-    return [w if w == END else w + b" " for w in words]
+class Flat(NamedTuple):
+    """Words, each with a space behind it, one after the other; word i ends at ends[i]."""
 
+    data: np.ndarray
+    ends: np.ndarray
 
-def _symbols(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def flat(data: bytes | np.ndarray) -> Flat:
+    data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    return Flat(data, np.flatnonzero(data == SPACE) + 1)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _symbols(words: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of words, the word of each, and its place in the word."""
-    size = np.array([len(w) for w in spelled], np.int64)
-    word = np.repeat(np.arange(len(spelled)), size)
-    return np.frombuffer(b"".join(spelled), np.uint8), word, np.arange(len(word)) - (np.cumsum(size) - size)[word]
+    size = np.diff(words.ends, prepend=0)
+    word = np.repeat(np.arange(len(size)), size)
+    return words.data, word, np.arange(len(word)) - (words.ends - size)[word]
 
 
 def _before(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
@@ -162,9 +186,9 @@ def _repeated(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - size), size)
 
 
-def spell(spelled: list[bytes], codes: Codes) -> Words:
-    """The decisions of words, or of beginnings of words, with their ends."""
-    data, word, place = _symbols(spelled)
+def spell(words: Flat, codes: Codes) -> Words:
+    """The decisions of words, or of beginnings of words."""
+    data, word, place = _symbols(words)
     before = [_before(data, place, k) for k in range(1, 5)]
     row = codes.rows[before[1] << 8 | before[0]]
     unit = codes.unit[row, data].astype(np.int64)
@@ -178,17 +202,18 @@ def spell(spelled: list[bytes], codes: Codes) -> Words:
     four = _text.mix((before[0] | before[1] << 8 | before[2] << 16 | before[3] << 24).astype(np.uint64) + np.uint64(1 << 40))
     whole = _text.rolling_hashes(data, np.arange(len(data)) - place, np.arange(len(data)))
     node = codes.node[at]
-    ends = np.concatenate(([0], np.cumsum(np.bincount(word, np.bincount(of, size, len(data)), len(spelled))))).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(word, np.bincount(of, size, len(data)), len(words.ends))))).astype(np.int64)
     return Words(ends, codes.bit[at], place[by], four[by] + node, whole[by] + node)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of byte spans, and the number of each span's word.
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The span of each distinct word in the order of the hashes, and the number of each span's word.
 
     Hashes group the spans; their bytes are compared with those of their group's first.
     """
-    _, first, of = np.unique(_text.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw, size = data.tobytes(), ends - starts
+    hashes = _text.span_hashes(data, starts, ends)
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     like, same = first[of], size == size[first[of]]
@@ -198,126 +223,146 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[li
         keep = _text._KEEP[np.minimum(size[live] - k, 8)]
         same[live] &= (eight[starts[live] + k] & keep) == (eight[starts[like[live]] + k] & keep)
     if same.all():
-        return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], of
-    seen: dict[bytes, int] = {}
-    of = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-    return list(seen), of
+        return first, of
+    raw, seen = data.tobytes(), {}
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        seen.setdefault((int(hashes[i]), raw[a:b]), i)
+    number = {key: k for k, key in enumerate(sorted(seen))}
+    of = np.array([number[int(h), raw[a:b]] for h, a, b in zip(hashes, starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.array([seen[key] for key in sorted(seen)], np.int64), of
 
 
 class Texts(NamedTuple):
-    """The tokens of texts: distinct words (the end is the first), and the words of text i at tokens[at[i]:at[i + 1]]."""
+    """The tokens of texts: distinct words (the end is the first, others in the order of their
+    hashes), and the words of text i at tokens[at[i]:at[i + 1]]."""
 
-    words: list[bytes]
+    words: Flat
     tokens: np.ndarray
     at: np.ndarray
 
 
-def tokens_of(texts: list[bytes]) -> Texts:
-    data = _text.ascii_lower(np.frombuffer(b"".join(texts), np.uint8))
-    at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+def tokens_of(data: np.ndarray, at: np.ndarray) -> Texts:
+    """`data` has the bytes of texts, of which text i has at[i]:at[i + 1]."""
+    data = _text.ascii_lower(data)
     starts, ends, per = _text.words(data, at)
-    words, of = distinct(data, starts, ends)
+    first, of = distinct(data, starts, ends)
+    size = np.concatenate(([1], (ends - starts)[first]))
+    stop = np.cumsum(size + 1)
+    words = np.full(stop[-1], SPACE, np.uint8)
+    words[0] = END
+    words[_repeated((stop - size - 1)[1:], size[1:])] = data[_repeated(starts[first], size[1:])]
     n = np.diff(per) + 1
     tokens, last = np.zeros(int(n.sum()), np.int64), np.cumsum(n) - 1
     inner = np.ones(len(tokens), bool)
     inner[last] = False
     tokens[inner] = of + 1
-    return Texts([END, *words], tokens, np.concatenate(([0], last + 1)))
-
-
-#: What the pass over the texts writes, by kind: texts (block, row), words of a block (row: their
-#: number in it), and ends of words (block) with beginnings of the next (word).
-TEXTS, WORDS, JOINTS = range(3)
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of each block, packed; its words, and its pairs of an end and a beginning, with their training counts."""
-    pack, block = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
-    names = ("kind", "block", "row", "doc_id", "held_out", "packed", "word", "n")
-
-    def out(kind: int, size: int, **columns) -> pa.RecordBatch:
-        types = {"row": pa.int32(), "doc_id": id_type, "held_out": pa.bool_(), "packed": pa.binary(), "word": pa.binary(), "n": pa.int64()}
-        have = {"kind": np.full(size, kind, np.int32), "block": np.full(size, block), **{c: pa.nulls(size, t) for c, t in types.items()}, **columns}
-        return pa.record_batch([have[c] for c in names], names=list(names))
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        texts = [t for ts, _, _ in parts for t in ts]
-        x, trains = tokens_of(texts), ~np.concatenate([h for _, _, h in parts])
-        at = np.cumsum([0, *[len(ts) for ts, _, _ in parts]])
-        for i, (ts, ids, held_out) in zip(at.tolist(), parts, strict=False):
-            yield out(TEXTS, len(ts), row=np.arange(i, i + len(ts), dtype=np.int32), doc_id=ids, held_out=pa.array(held_out), packed=pa.array([pack.compress(t) for t in ts], pa.binary()))
-        trains = np.repeat(trains, np.diff(x.at))
-        n = np.bincount(x.tokens, trains, len(x.words)).astype(np.int64)
-        yield out(WORDS, len(n), row=np.arange(len(n), dtype=np.int32), word=pa.array(x.words, pa.binary()), n=n)
-        ends, heads, n = joints(x, trains)
-        yield out(JOINTS, len(n), block=ends, word=pa.array(heads, pa.binary()), n=n)
-
-    parts, size, id_type = [], 0, None
+    return Texts(Flat(words, stop), tokens, np.concatenate(([0], last + 1)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of texts: their rows, tokens, words with training counts, and joints."""
+    block = TaskContext.get().partitionId() << 32
+
+    def row() -> pa.RecordBatch:
+        at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(a) for _, _, a in parts]))))
+        x = tokens_of(np.concatenate([d for _, d, _ in parts]), at)
+        held_out = np.concatenate([np.asarray(r.column("held_out")) for r, _, _ in parts])
+        trains = np.repeat(~held_out, np.diff(x.at))
+        key, n = joints(x, trains)
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        ids = pa.concat_arrays([r.column("doc_id") for r, _, _ in parts])
+        return pa.record_batch({
+            "block": pa.array([block], pa.int64()), "doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "held_out": one(held_out, pa.bool_()), "size": one(np.diff(at), pa.int64()), "n": one(np.diff(x.at), pa.int64()),
+            "tokens": [_pack(x.tokens.astype(np.uint32))], "n_words": pa.array([len(x.words.ends)], pa.int64()), "words": [zstandard.compress(x.words.data.tobytes(), 3)], "counts": [_pack(np.bincount(x.tokens, trains, len(x.words.ends)).astype(np.int64))], "joint": one(key, pa.int64()), "joint_n": one(n, pa.int64()),
+        })
+
+    parts, size = [], 0
     for rows, data, at in _text.groups(batches):
-        if size and size + len(data) > BLOCK:
-            yield from flush()
+        if parts and size + len(data) > BLOCK:
+            yield row()
             parts, size, block = [], 0, block + 1
-        id_type = rows.column("doc_id").type
-        raw = data.tobytes()
-        parts.append(([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], rows.column("doc_id"), np.asarray(rows.column("held_out"))))
+        parts.append((rows, data, at))
         size += len(data)
     if parts:
-        yield from flush()
-
-
-def _unpacked(column: list[bytes]) -> list[bytes]:
-    unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompress(x) for x in column]
-
-
-def tails(words: list[bytes]) -> np.ndarray:
+        yield row()
+
+
+def _divided(bits: int):
+    """Splits the words of blocks by the first bits of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, counts in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                words, counts = flat(zstandard.decompress(words)), _unpack(counts, np.int64)
+                starts = words.ends - np.diff(words.ends, prepend=0)
+                bucket = (_text.span_hashes(words.data, starts, words.ends - 1) >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                bucket[0] = 0  # the end
+                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                pieces = [(int(bucket[a]), block, a, zstandard.compress(words.data[starts[a] : words.ends[b - 1]].tobytes(), 1), _pack(counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.record_batch(dict(zip(("bucket", "block", "first", "words", "counts"), map(list, zip(*pieces, strict=True)), strict=True)))
+
+    return run
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """The words of a bucket with their counts over all blocks, by block, and once without a block."""
+    raw = [zstandard.decompress(w) for w in rows.column("words").to_pylist()]
+    counts = [_unpack(c, np.int64) for c in rows.column("counts").to_pylist()]
+    words = flat(b"".join(raw))
+    offsets = np.concatenate(([0], words.ends))
+    keys = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.ends), [None, pa.py_buffer(offsets), pa.py_buffer(words.data)]).dictionary_encode()
+    of = keys.indices.to_numpy()
+    total = np.bincount(of, np.concatenate(counts), len(keys.dictionary)).astype(np.int64)
+    some = pa.array(total > 0)
+    edges = np.cumsum([len(c) for c in counts])[:-1]
+    return pa.table({
+        "block": pa.chunked_array([rows.column("block").combine_chunks(), pa.nulls(1, pa.int64())]), "first": [*rows.column("first").to_pylist(), 0],
+        "words": pa.array([*rows.column("words").to_pylist(), zstandard.compress(b"".join(keys.dictionary.filter(some).to_pylist()), 1)], pa.binary()),
+        "counts": pa.array([_pack(c) for c in [*np.split(total[of], edges), total[total > 0]]], pa.binary()),
+    })
+
+
+def tails(words: Flat) -> np.ndarray:
     """The last two bytes of each word, as a number."""
-    data, size = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.array([len(w) for w in words], np.int64)
-    last = np.cumsum(size) - 1
-    return np.where(size > 1, data[np.maximum(last - 1, 0)] << 8, 0) | data[last]
+    size, data = np.diff(words.ends, prepend=0), words.data.astype(np.int64)
+    return np.where(size > 2, data[np.maximum(words.ends - 3, 0)] << 8, 0) | data[words.ends - 2]
 
 
-def tail_hashes(words: list[bytes]) -> np.ndarray:
+def tail_hashes(words: Flat) -> np.ndarray:
     return _text.mix(tails(words) + 1)
 
 
-def joints(x: Texts, trains: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(tail, head, n): ends of words and beginnings of the next, of the tokens that train."""
-    heads = np.array([int.from_bytes(w[:ACROSS].ljust(ACROSS, b"\0"), "big") for w in ended(x.words)], np.int64)
+def joints(x: Texts, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n): ends of words and the ACROSS bytes at the beginning of the next, of the tokens that train."""
+    starts, data = x.words.ends - np.diff(x.words.ends, prepend=0), x.words.data.astype(np.int64)
+    heads = data[starts] << 8 | data[starts + 1]
     before = np.concatenate((x.tokens[-1:], x.tokens[:-1]))  # an end stands before each text's first word
-    key, n = np.unique((tails(x.words)[before] << 8 * ACROSS | heads[x.tokens])[trains], return_counts=True)
-    low = key & ((1 << 8 * ACROSS) - 1)
-    return key >> 8 * ACROSS, [h.to_bytes(ACROSS, "big").rstrip(b"\0") for h in low.tolist()], n
+    return np.unique((tails(x.words)[before] << 16 | heads[x.tokens])[trains], return_counts=True)
 
 
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
-    """Batches together, so that more sums are made before any are sent."""
-    parts = []
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Flat, np.ndarray]]:
+    """Words and counts, in parts of a bounded size."""
     for batch in batches:
-        parts.append(batch)
-        if sum(b.num_rows for b in parts) >= rows:
-            yield pa.Table.from_batches(parts)
-            parts = []
-    if parts:
-        yield pa.Table.from_batches(parts)
+        for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            words, counts = flat(zstandard.decompress(words)), _unpack(counts, np.int64)
+            for i in range(0, len(counts), 1 << 16):
+                begin, ends = words.ends[i - 1] if i else 0, words.ends[i : i + (1 << 16)]
+                yield Flat(words.data[begin : ends[-1]], ends - begin), counts[i : i + (1 << 16)]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n) of contexts of two bytes and bytes, of words with their counts."""
-    for batch in batches:
-        data, word, place = _symbols(ended(batch.column("word").to_pylist()))
-        key = (_before(data, place, 2) << 8 | _before(data, place, 1)) << 9 | data
-        keys, of = np.unique(key, return_inverse=True)
-        sums = np.bincount(of, batch.column("n").to_numpy()[word], len(keys))
-        yield pa.record_batch({"key": keys, "n": sums.astype(np.int64)})
+    for words, counts in _vocabulary(batches):
+        data, word, place = _symbols(words)
+        keys, of = np.unique((_before(data, place, 2) << 8 | _before(data, place, 1)) << 9 | data, return_inverse=True)
+        yield pa.record_batch({"key": keys, "n": np.bincount(of, counts[word], len(keys)).astype(np.int64)})
 
 
-def _logits(slots: DataFrame) -> DataFrame:
-    """(slot, value): the logit of a slot's counts, and how much it has seen."""
-    zero, one = F.col("zero"), F.col("one")
-    logit = F.greatest(F.least(F.log((one + 0.4) / (zero + 0.4)), F.lit(MOST_LOGIT)), F.lit(-MOST_LOGIT))
-    seen = F.least(F.length(F.bin((zero + one).cast("long"))), F.lit(7))
-    return slots.select("slot", (F.round(logit * STEPS).cast("int") * 8 + seen).cast("short").alias("value"))
+def logits(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The value of slots from how often a decision was 0 and 1."""
+    value = np.clip(np.log((one + 0.4) / (zero + 0.4)), -MOST_LOGIT, MOST_LOGIT)
+    seen = np.minimum(np.frexp(zero + one)[1], 7)  # the bits of the count
+    return (np.rint(value * STEPS) * 8 + seen).astype(np.int16)
 
 
 class Model(NamedTuple):
@@ -327,39 +372,66 @@ class Model(NamedTuple):
     v: int
 
 
-def train(vocabulary: DataFrame, joints: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
-    """The model of a vocabulary (word, n) with the end among its words, and of (tail, head, n)."""
-    n, v = vocabulary.agg(F.sum("n"), F.count("*")).first()
+def train(vocabulary: DataFrame, joined: DataFrame, most_slots: int = MOST_SLOTS) -> Model:
+    """The model of packed (words, counts), the end among them, and of (joint, n)."""
+    v_type = "key long, n long"
+    pairs = vocabulary.mapInArrow(_pairs, v_type).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    codes = build_codes(pairs.column("key").to_numpy(), pairs.column("n").to_numpy())
+    sizes = vocabulary.select("counts").mapInArrow(_sizes, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    v, n = sizes[0] or 0, sizes[1] or 0
     log2 = min(max(16, (4 * v).bit_length()), most_slots)
-    found = vocabulary.mapInArrow(_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    codes = build_codes(found.column("key").to_numpy(), found.column("n").to_numpy())
+    shift = np.uint64(64 - log2)
+
+    def parts(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The slots that have seen anything, by part of the table."""
+        width = len(sums) // PARTS
+        for part in range(PARTS):
+            own = sums[part * width : (part + 1) * width]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "at": pa.array([_pack(at.astype(np.uint32))], pa.binary()), "n": pa.array([_pack(own[at])], pa.binary())})
 
-    def counted(hashes: list[np.ndarray], w: Words, n: np.ndarray) -> pa.RecordBatch:
-        times = np.repeat(n, np.diff(w.first))
-        slot = np.concatenate([(h >> np.uint64(64 - log2)).astype(np.int64) for h in hashes])
-        slots, of = np.unique(slot * 2 + np.tile(w.bit, len(hashes)), return_inverse=True)
-        sums = np.bincount(of, np.tile(times, len(hashes)), len(slots)).astype(np.int64)
-        one = (slots & 1) == 1
-        return pa.record_batch({"slot": (slots >> 1).astype(np.int32), "zero": np.where(one, 0, sums), "one": np.where(one, sums, 0)})
+    def add(sums: np.ndarray, hashes: np.ndarray, bits: np.ndarray, times: np.ndarray) -> None:
+        np.add.at(sums, (hashes >> shift).astype(np.int64) * 2 + bits, times)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            w = spell(ended(batch.column("word").to_pylist()), codes)
-            yield counted([w.four, w.whole], w, batch.column("n").to_numpy())
+        sums = np.zeros(2 << log2, np.int64)
+        for words, counts in _vocabulary(batches):
+            w = spell(words, codes)
+            times = np.repeat(counts, np.diff(w.first))
+            add(sums, w.four, w.bit, times)
+            add(sums, w.whole, w.bit, times)
+        yield from parts(sums)
 
     def of_joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            w = spell(batch.column("head").to_pylist(), codes)
-            tail = np.repeat(_text.mix(batch.column("tail").to_numpy() + 1), np.diff(w.first))
-            yield counted([w.whole + tail], w, batch.column("n").to_numpy())
-
-    # neighbours in order share the beginnings of words, so that most sums are made in a task
-    kind = "slot int, zero long, one long"
-    each = vocabulary.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(of_words, kind).union(joints.mapInArrow(of_joints, kind))
-    rows = _logits(each.groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))).toArrow()
+        sums = np.zeros(2 << log2, np.int64)
+        for batch in batches:
+            key, counts = batch.column("joint").to_numpy(), batch.column("n").to_numpy()
+            data = np.stack((key >> 8 & 255, key & 255), 1).astype(np.uint8).ravel()
+            w = spell(Flat(data, np.arange(len(key)) * ACROSS + ACROSS), codes)
+            add(sums, w.whole + np.repeat(_text.mix((key >> 16) + 1), np.diff(w.first)), w.bit, np.repeat(counts, np.diff(w.first)))
+        yield from parts(sums)
+
+    def together(rows: pa.Table) -> pa.Table:
+        sums = np.zeros(2 * (1 << log2) // PARTS, np.int64)
+        for at, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True):
+            sums[_unpack(at, np.uint32)] += _unpack(n, np.int64)
+        return pa.table({"part": rows.column("part")[:1], "value": pa.array([logits(sums[::2], sums[1::2]).tobytes()], pa.binary())})
+
+    tasks = max(1, -(-v // SPELLED))
+    kind = "part int, at binary, n binary"
+    counted = vocabulary.repartition(tasks).mapInArrow(of_words, kind).union(joined.repartition(max(1, tasks // 4)).mapInArrow(of_joints, kind))
     slots = np.zeros(1 << log2, np.int16)
-    slots[rows.column("slot").to_numpy()] = rows.column("value").to_numpy()
-    return Model(codes, slots, n or 0, v)
+    for row in counted.groupBy("part").applyInArrow(together, "part int, value binary").toLocalIterator():
+        value = np.frombuffer(bytes(row.value), np.int16)
+        slots[row.part * len(value) : (row.part + 1) * len(value)] = value
+    return Model(codes, slots, n, v)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [_unpack(c, np.int64) for c in batch.column("counts").to_pylist()]
+        yield pa.record_batch({"v": pa.array([len(c) for c in counts], pa.int64()), "n": pa.array([int(c.sum()) for c in counts], pa.int64())})
 
 
 #: Of the bits of what a slot has seen.
@@ -493,10 +565,9 @@ def _mixed(lanes: Lanes, logits: np.ndarray, meta: np.ndarray) -> np.ndarray:
     return total + np.log2(product)
 
 
-def score_texts(texts: list[bytes], model: Model, segment: int = SEGMENT) -> tuple[Texts, np.ndarray]:
-    """The tokens of texts, and log2 of the model's probability of each text."""
-    x = tokens_of(texts)
-    return x, mixed_bits(spell(ended(x.words), model.codes), tail_hashes(x.words), model.slots, x.tokens, x.at, segment)
+def score_texts(x: Texts, model: Model, segment: int = SEGMENT) -> np.ndarray:
+    """log2 of the model's probability of each text."""
+    return mixed_bits(spell(x.words, model.codes), tail_hashes(x.words), model.slots, x.tokens, x.at, segment)
 
 
 def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, segment: int = SEGMENT, most_slots: int = MOST_SLOTS) -> DataFrame:
@@ -508,33 +579,31 @@ def score_documents(docs: DataFrame, fold: int = 1, folds: int = 5, segment: int
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
-    pass_ = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_parts, f"kind int, block long, row int, doc_id {kind}, held_out boolean, packed binary, word binary, n long")
-    stored = written(pass_)
-    same = Window.partitionBy("word")
-    words = stored.where(F.col("kind") == WORDS).select("word", "block", "row", "n")
-    # each block's words with their training counts; a word is written once, in its first block
-    first = F.when(F.col("block") == F.min("block").over(same), F.col("word")).alias("word")
-    answers = written(words.select(first, "block", "row", F.sum("n").over(same).alias("n")).where("n > 0"))
-    joined = stored.where(F.col("kind") == JOINTS).groupBy(F.col("block").alias("tail"), F.col("word").alias("head")).agg(F.sum("n").alias("n"))
-    model = spark.sparkContext.broadcast(train(answers.where("word is not null").select("word", "n"), cut(joined), most_slots))
-    texts = stored.where(F.col("kind") == TEXTS).select("block", "row", "doc_id", "held_out", "packed")
-
-    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        m = model.value
-        rows = rows.sort_by("row")
-        texts = _unpacked(rows.column("packed").to_pylist())
-        x, bits = score_texts(texts, m, segment)
-        c = np.zeros(len(x.words), np.int64)
-        c[known.column("row").to_numpy()] = known.column("n").to_numpy()
-        of = np.repeat(np.arange(len(texts)), np.diff(x.at))
+    stored = written(docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_blocks, f"block long, doc_id array<{kind}>, held_out array<boolean>, size array<long>, n array<long>, tokens binary, n_words long, words binary, counts binary, joint array<long>, joint_n array<long>"))
+    n_words = stored.agg(F.sum("n_words")).first()[0] or 0
+    bits = max(4, (n_words // BUCKET).bit_length())
+    pieces = stored.select("block", "words", "counts").mapInArrow(_divided(bits), "bucket long, block long, first long, words binary, counts binary")
+    counted = written(pieces.groupBy("bucket").applyInArrow(_counted, "block long, first long, words binary, counts binary"))
+    pairs = stored.select(F.explode(F.arrays_zip("joint", "joint_n")).alias("x")).groupBy("x.joint").agg(F.sum("x.joint_n").alias("n"))
+    model = spark.sparkContext.broadcast(train(counted.where("block is null"), cut(pairs), most_slots))
+
+    def score(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        m, row = model.value, blocks.slice(0, 1)
+        known = known.sort_by("first")
+        words = flat(b"".join(zstandard.decompress(w) for w in known.column("words").to_pylist()))
+        c = np.concatenate([_unpack(x, np.int64) for x in known.column("counts").to_pylist()])
+        column = lambda name: row.column(name).combine_chunks().flatten()
+        n, size = column("n").to_numpy(), column("size").to_numpy()
+        x = Texts(words, _unpack(row.column("tokens")[0].as_py(), np.uint32).astype(np.int64), np.concatenate(([0], np.cumsum(n))))
+        bits, of = score_texts(x, m, segment), np.repeat(np.arange(len(n)), n)
         by_word = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
-        size = np.array([len(t) for t in texts])
-        score = bits * np.log10(2.0)
-        longs = {"n_tokens": np.diff(x.at), "n_known": np.bincount(of, (c > 0)[x.tokens], len(texts)).astype(np.int64), "train_tokens": np.full(len(texts), m.n)}
-        per_byte = pa.array(np.where(size > 0, -bits / np.maximum(size, 1), 0), pa.float64(), mask=size == 0)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), **longs, "base_score": np.bincount(of, by_word[x.tokens], len(texts)), "score": score, "bits_per_byte": per_byte})
+        longs = {"n_tokens": n, "n_known": np.bincount(of, (c > 0)[x.tokens], len(n)).astype(np.int64), "train_tokens": np.full(len(n), m.n)}
+        per_byte = pa.array(-bits / np.maximum(size, 1), pa.float64(), mask=size == 0)
+        return pa.table({"doc_id": column("doc_id"), "held_out": column("held_out"), **longs, "base_score": np.bincount(of, by_word[x.tokens], len(n)), "score": bits * np.log10(2.0), "bits_per_byte": per_byte})
 
-    return texts.groupBy("block").cogroup(answers.select("block", "row", "n").groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    texts = stored.select("block", "doc_id", "held_out", "size", "n", "tokens")
+    answers = counted.where("block is not null")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op12_lm_scores(spark, sf_dir):
