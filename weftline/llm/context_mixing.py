@@ -156,7 +156,7 @@ def flat(data: bytes | np.ndarray) -> Flat:
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers by planes of bytes, compressed."""
-    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 

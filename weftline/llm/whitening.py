@@ -18,8 +18,8 @@ The driver holds matrices of the dimension by the basis (of the dimension square
 basis is full), and nothing that grows with the rows.
 
 Defined cases: vectors that are null, empty or hold null or non-finite entries are
-dropped, and so are those that are not of the most frequent length (of two such lengths,
-the longer); repeated rows count as often as they occur; a null vec_id is kept; the
+dropped, as are those with an entry beyond LARGEST in size and those that are not of the
+most frequent length (of two such lengths, the longer); repeated rows count as often as they occur; a null vec_id is kept; the
 components end before the first whose eigenvalue is below RANK times the largest, so a
 constant table has none and gives no row, like an empty one; of an eigenvalue that occurs
 several times any orthonormal components may come; a component's largest entry (the
@@ -42,6 +42,8 @@ from weftline.llm._graph import table, written
 SCALE, SHIFT = 1024, 100_000
 #: Components, further columns of the basis, passes before the basis becomes full.
 COMPONENTS, OVERSAMPLE, POWER_PASSES = 8, 10, 3
+#: Entries beyond this have no exact place on the grid.
+LARGEST = float(1 << 40)
 #: Largest residual, relative to the first eigenvalue; least eigenvalue, likewise.
 TOLERANCE, RANK = 1e-13, 1e-12
 
@@ -58,8 +60,10 @@ class Whitening(NamedTuple):
 def _grid(vectors: DataFrame, scale: int, shift: int) -> DataFrame:
     """(vec_id, x): usable vectors on the grid of whole numbers."""
     c = F.col("embedding").cast("array<double>")
-    usable = (F.size(c) > 0) & ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(F.coalesce(usable, F.lit(False))).select("vec_id", F.transform(c, lambda v: F.floor(v * scale).cast("long") + shift).alias("x"))
+    usable = (F.size(c) > 0) & ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) > LARGEST))
+    # within `when`, so that no other row's entries are ever put on the grid
+    x = F.when(usable, F.transform(c, lambda v: F.floor(v * scale).cast("long") + shift))
+    return vectors.select("vec_id", x.alias("x")).where("x is not null")
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -111,10 +115,10 @@ def _ritz(basis: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def fit_whitening(grid: DataFrame, components: int = COMPONENTS, oversample: int = OVERSAMPLE, power_passes: int = POWER_PASSES, tolerance: float = TOLERANCE, seed: int = 13) -> Whitening | None:
     """The leading components of all rows (vec_id, x) of one length; None for no rows."""
-    heads = grid.select(F.posexplode("x").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n")).orderBy("at").collect()
+    heads = grid.select(F.posexplode("x").alias("at", "value")).groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.count("*").alias("n")).orderBy("at").collect()
     if not heads:
         return None
-    n, sums = heads[0].n, np.array([r.value for r in heads], object)
+    n, sums = heads[0].n, np.array([int(r.value) for r in heads], object)
     mean, d = np.array([s / n for s in sums]), len(sums)
     k = min(components, d)
     width = min(k + oversample, d)
