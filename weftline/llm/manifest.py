@@ -279,4 +279,36 @@ def op11_merkle(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+_FIELD = "COALESCE(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c=text if c == "text" else c) for c in COLUMNS) + ")"
+#: The siblings to the left and right of each node that has a parent, and the climb along them.
+_TREE = """{0}(level, grp, pos, h, n) AS (
+  SELECT 0, grp, pos, h, COUNT(*) OVER (PARTITION BY grp) FROM {0}_leaves
+  UNION ALL SELECT level + 1, grp, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM {0} WHERE n > 1 GROUP BY level, grp, pos // 3, n
+), {0}_sides AS (
+  SELECT a.level, a.grp, a.pos, COALESCE(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, COALESCE(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {0} a JOIN {0} b ON a.level = b.level AND a.grp IS NOT DISTINCT FROM b.grp AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL
+), {0}_climb(k, level, grp, pos, folded, proof) AS (
+  SELECT k, 0, grp, pos, folded, proof FROM {0}_start
+  UNION ALL SELECT c.k, c.level + 1, c.grp, c.pos // 3, sha256(s.l || c.folded || s.r), c.proof || s.l || s.r
+  FROM {0}_climb c JOIN {0}_sides s ON s.level = c.level AND s.grp IS NOT DISTINCT FROM c.grp AND s.pos = c.pos
+)"""
+ORACLE = {
+    "op11_merkle": f"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), docs AS (
+  SELECT *, {_LEAF('text')} AS leaf, {_LEAF("replace(text, chr(10), '')")} AS other,
+         xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM documents, bits
+), placed AS (SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs
+), own_leaves AS (SELECT source AS grp, i AS pos, leaf AS h FROM placed
+), own_start AS (SELECT k, source AS grp, i AS pos, CASE WHEN crc % 2 = 0 THEN other ELSE leaf END AS folded, '' AS proof FROM placed
+), {_TREE.format('own')}, subroots AS (SELECT grp, h, level, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS i FROM own WHERE n = 1
+), whole_leaves AS (SELECT 0 AS grp, i AS pos, h FROM subroots
+), whole_start AS (SELECT c.k, 0 AS grp, s.i AS pos, c.folded, c.proof FROM own_climb c JOIN subroots s ON s.grp IS NOT DISTINCT FROM c.grp AND s.level = c.level
+), {_TREE.format('whole')}, root AS (SELECT h, level FROM whole WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.h AS verified
+FROM placed p JOIN subroots s ON s.grp IS NOT DISTINCT FROM p.source JOIN whole_climb c ON c.k = p.k JOIN root r ON r.level = c.level
+"""
+}
 QUERIES = {"op11_merkle": op11_merkle}
