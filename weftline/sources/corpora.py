@@ -13,9 +13,19 @@ from weftline.operators import align, clips, features
 from weftline.operators.corpus import complete_only, split_rule
 
 
+#: Frames of a bucket, in which windows and frames meet.
+BUCKET = 64
+
+
 def _arrays(frames: DataFrame, windows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Windows with one array a column: the frames from start to before stop, in order."""
-    hit = windows.join(frames.select("seq_id", "frame", *columns), "seq_id").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("stop")))
+    """Windows with one array a column: the frames from start to before stop, in order.
+
+    Both sides meet by sequence and bucket of frames, so a frame is paired with the
+    windows around it only, however long its sequence is.
+    """
+    spread = windows.where("stop > start").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("stop") - 1) / BUCKET))))
+    near = frames.select("seq_id", "frame", *columns).withColumn("_bucket", F.floor(F.col("frame") / BUCKET))
+    hit = spread.join(near, ["seq_id", "_bucket"]).where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("stop")))
     rows = F.array_sort(F.collect_list(F.struct("frame", *columns)))
     got = hit.groupBy(*keys, "start", "stop").agg(rows.alias("_rows"))
     return got.select(*keys, "start", "stop", *[F.col(f"_rows.`{c}`").alias(c) for c in columns])
