@@ -297,7 +297,8 @@ def test_novelty_reports_what_the_context_does_not_explain():
     value = "q7Zt1LmX0vB9sKd2Rw8YcN4e"
     text = f"auth header uses {value} here"
     assert secrets_scan.novel_spans(text, []) == [(17, 3, 17 + len(value))]
-    assert secrets_scan.novel_spans(f"{value} and {'plain words ' * 5} auth header uses {value} here", []) == []  # seen before
+    copied = f"{value} and {'plain words ' * 5} auth header uses {value} here"
+    assert [copied[s:e] for s, _, e in secrets_scan.novel_spans(copied, [])] == [value]  # a copy elsewhere does not explain it
     assert secrets_scan.novel_spans(f"colour is {value}", []) == []
 
 
@@ -365,6 +366,58 @@ def test_novelty_of_repeated_and_long_keys():
     assert found("auth " + "=" * 40 + " and auth " + "0" * 40 + " and auth " + "1234567890" * 12) == []
 
 
+def test_novelty_of_keys_with_copies_and_of_one_case():
+    r = random.Random(12)
+    key = lambda n, alphabet: "".join(r.choices(alphabet, k=n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    found = lambda text: [text[s:e] for s, _, e in secrets_scan.novel_spans(text, secrets_scan.base_spans(text))]
+    words = "The request handler reads the configuration, validates every field and returns a response to the calling service. "
+    for _ in range(5):
+        value = key(40, lower + lower.upper() + "0123456789")
+        assert found(f"Authorization: Bearer {value}\nGET\n/v1/items/{value}/list and {value}") == [value]
+        for alphabet in (lower, lower.upper()):
+            value = key(40, alphabet)
+            assert found(f"Authorization: Bearer {value}\n") == [value]
+            assert found(f"{words * 3}Authorization: Bearer {value}\n{words}") == [value]
+    assert found("the auth token internationalization and bearer misunderstandings or uncharacteristically") == []
+    assert found(words + "auth responsehandlerconfiguration") == []
+
+
+def fresh_marginal(value, around, names):
+    """Bytes that a value adds, by compressors made for this one question."""
+    raw = " ".join(sorted(names)).encode()
+    prime = secrets_scan.zstandard.ZstdCompressionDict(raw, dict_type=secrets_scan.zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 8 else None
+    pack = lambda data: len(secrets_scan.zstandard.ZstdCompressor(level=3, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+    return pack(around + value) - pack(around)
+
+
+def test_novelty_against_fresh_compressors():
+    """Every candidate of a text with digits, judged from the definition."""
+    r = random.Random(13)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    parts = ["auth ", "bearer ", "plain words here ", "handlerVersion2OfTheServer ", "handlerVersion2OfTheServer3 ", "aaaa1111aaaa1111aaaa ", "\n"]
+    for _ in range(60):
+        text = "".join(r.choice([*parts, "".join(r.choices(base62, k=24)) + "7 "]) for _ in range(30))
+        assert secrets_scan.base_spans(text) == []
+        want, values, carried, before, spans = [], [], False, 0, []
+        for m in secrets_scan.CANDIDATE.finditer(text):
+            follows = carried and "\n" in text[before : m.start()] and not text[before : m.start()].strip(secrets_scan.BETWEEN)
+            carried, before = follows or bool(secrets_scan.SENSITIVE.search(text[max(0, m.start() - 48) : m.start()])), m.end()
+            if carried:
+                spans.append(m.span())
+        values = {text[s:e] for s, e in spans}
+        gone = sorted({*spans, *((i, i + len(v)) for v in values for i in range(len(text)) if text.startswith(v, i))})
+        kept = "".join(" " if any(s <= i < e for s, e in gone) else c for i, c in enumerate(text))
+        names = set(secrets_scan.IDENTIFIER.findall(kept))
+        for s, e in spans:
+            v = text[s:e]
+            around = (text[max(0, s - 512) : s] + "\n" + text[e : e + 512]).replace(v, " " * len(v)).encode()
+            size = fresh_marginal(v.encode(), around, names)
+            if size >= 0.75 * len(v) or size >= 0.75 * fresh_marginal(secrets_scan.random_text(v), around, names):
+                want.append((s, 3, e))
+        assert secrets_scan.novel_spans(text, []) == want
+
+
 def linked(sets, ids, ok):
     parent = {}
 

@@ -6,11 +6,12 @@ code around it, primed with a dictionary of all identifiers of the text; the byt
 that it adds are compared with its length or, where entropy coding alone makes
 random text smaller, with those of random text of its alphabet. What neither the
 surroundings nor the identifiers explain, and what has no structure of its own, is
-reported as kind `novel`. Copies of the candidate in a base span or in a sensitive
-context do not explain it; copies elsewhere in the surroundings do. A sensitive
+reported as kind `novel`. Copies of the candidate anywhere in the text do not explain it;
+they are blanked in the surroundings and leave no identifiers. A sensitive
 context carries on over candidates on directly following lines. Candidates of
-letters only are judged if their case changes like that of random text, since long
-words and names are no secrets. Base spans always stay; a candidate within one is
+letters only are judged if their case changes like that of random text, or if they have
+one case and pairs of letters that neither the text's identifiers nor common words
+have, since long words and names are no secrets. Base spans always stay; a candidate within one is
 not judged again, one that goes beyond it is.
 
 Defined cases: a null or empty text has no span; spans are code point offsets,
@@ -27,6 +28,7 @@ import random
 import re
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"secret|token|passw|credential|private|bearer|auth|api.?key|access.?key|signature|conn(?:ection)?.?str", re.IGNORECASE | re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_]{3,}")
+# Pairs of letters that are frequent in European languages.
+COMMON_PAIRS = "al an ar as at be ch co de di ea ed el en er es et ha he hi ic ie il in io is it le li ll ma me nd ne ng nt of om on or ou ra re ri ro se si st ta te th ti to ur ve".split()
 #: What may stand between candidates on following lines.
 BETWEEN = " \t\r\n\"'`,;\\#*"
 
@@ -85,12 +89,42 @@ def random_text(value: str) -> bytes:
     return "".join(random.Random(len(value)).choices(alphabet, k=len(value))).encode()
 
 
-def _judged(value: str) -> bool:
-    """Whether a value may be a key: not a word or a name, nor a line of marks."""
+def _pairs(word: str) -> list[str]:
+    return [a + b for a, b in itertools.pairwise(word.lower())]
+
+
+def _judged(value: str, known: Callable[[], set[str]]) -> bool:
+    """Whether a value may be a key: not a word or a name, nor a line of marks.
+
+    `known` gives the pairs of letters of words around. Letters in one case are no word
+    if they have fewer of these than halfway between a random string and a word.
+    """
     if any(c.isdigit() for c in value):
         return True
     changes = sum(a.isupper() != b.isupper() for a, b in itertools.pairwise(c for c in value if c.isalpha()))
-    return 3 * changes >= len(value)
+    if 3 * changes >= len(value):
+        return True
+    if not (value.isalpha() and (value.islower() or value.isupper())):
+        return False
+    pairs, have = _pairs(value), known()
+    return len(set(value)) > 4 and 2 * sum(p in have for p in pairs) < (1 + len(have) / 676) * len(pairs)
+
+
+def _occurrences(text: str, values: set[str]) -> list[tuple[int, int]]:
+    """All places of the values in a text, in one pass over it."""
+    find = ahocorasick.Automaton()
+    for v in values:
+        find.add_word(v, len(v))
+    find.make_automaton()
+    return [(end + 1 - n, end + 1) for end, n in find.iter(text)]
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    end, rest = 0, []
+    for s, e in sorted(spans):
+        rest.append(text[end:s] if s > end else "")
+        end = max(end, e)
+    return " ".join([*rest, text[end:]])
 
 
 def _overlaps(taken: list[tuple[int, int, int]]) -> Callable[[int, int], list[tuple[int, int, int]]]:
@@ -124,28 +158,23 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int = 512,
         carried, before = follows or bool(SENSITIVE.search(text, max(0, s - near), s)), e
         if carried:
             candidates.append((s, e))
-    judged = [(s, e) for s, e in candidates if _judged(text[s:e]) and not any(a <= s and e <= b for a, _, b in overlapping(s, e))]
-    if not judged:
-        return []
-    starts, hidden, end, rest = {s for s, _ in candidates}, sorted([*candidates, *[(a, b) for a, _, b in taken]]), 0, []
-    for s, e in hidden:
-        rest.append(text[end:s] if s > end else "")
-        end = max(end, e)
-    names = Dictionary(set(IDENTIFIER.findall(" ".join([*rest, text[end:]]))))
+    hidden, known = [*candidates, *[(a, b) for a, _, b in taken]], []
 
-    def secret(s: int, e: int) -> bool:
-        return s in starts or bool(overlapping(s, e)) or bool(SENSITIVE.search(text, max(0, s - near), s))
+    def pairs() -> set[str]:
+        if not known:
+            words = set(IDENTIFIER.findall(_without(text, hidden)))
+            known.append({p for w in words for p in _pairs(w) if p.isascii() and p.isalpha()} | set(COMMON_PAIRS))
+        return known[0]
 
+    judged = [(s, e) for s, e in candidates if not any(a <= s and e <= b for a, _, b in overlapping(s, e)) and _judged(text[s:e], pairs)]
+    if not judged:
+        return []
+    copies = _occurrences(text, {text[s:e] for s, e in judged})
+    names = Dictionary(set(IDENTIFIER.findall(_without(text, [*hidden, *copies]))))
     found = []
     for s, e in judged:
-        value, low = text[s:e], max(0, s - reach)
-        around = text[low:s] + "\n" + text[e : e + reach]
-        at = around.find(value)
-        while at >= 0:
-            place, step = low + at + (e - s - 1 if at > s - low else 0), 1  # the place in the text
-            if secret(place, place + e - s):
-                around, step = around[:at] + " " * (e - s) + around[at + e - s :], e - s
-            at = around.find(value, at + step)
+        value = text[s:e]
+        around = (text[max(0, s - reach) : s] + "\n" + text[e : e + reach]).replace(value, " " * len(value))
         code = around.encode("utf-8", "surrogatepass")
         size = names.marginal(value.encode(), code)
         if size >= ratio * len(value) or size >= ratio * names.marginal(random_text(value), code):
