@@ -73,7 +73,7 @@ def line_key(line):
 
 
 def brute_units(text, roll, average, longest):
-    """(first line, lines) of chunks and edges, line by line from the definition."""
+    """(first line, lines) of chunks and pairs of lines with words, line by line from the definition."""
     lines, mask = text.encode().split(b"\n"), (1 << 64) - 1
     keys, ends, begin = [line_key(x) for x in lines], [], 0
     for i in range(len(lines)):
@@ -90,7 +90,8 @@ def brute_units(text, roll, average, longest):
             stop = min(begin + longest - 1, end)
             chunks.append((begin, stop))
             begin = stop + 1
-    spans = {(a, b - a + 1) for a, b in chunks} | {(b - 1, 2) for _, b in chunks} | {(b + 1, 2) for _, b in chunks}
+    filled = [i for i, x in enumerate(lines) if x.split()]
+    spans = {(a, b - a + 1) for a, b in chunks} | {(a, b - a + 1) for a, b in itertools.pairwise(filled)}
     return {(a, m): b"\n".join(lines[a : a + m]) for a, m in spans if m > 1 and a >= 0 and a + m <= len(lines) and sum(bool(x.split()) for x in lines[a : a + m]) > 1}
 
 
@@ -794,3 +795,26 @@ def test_sql_matches(spark):
         columns = sorted(got.columns)
         assert columns == sorted(want.columns)
         assert sort(got[columns].itertuples(index=False, name=None)) == sort(want[columns].itertuples(index=False, name=None)), name
+
+
+def test_columns_with_dots_and_other_case(spark):
+    rows = [(i, f"line one {i % 3}\nline two {i % 3}\nand {'word ' * 60}{i % 4}", f"s{i % 2}", 5, "clash", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, IDS string, `_N_LINES` int")
+    names = docs.columns
+    assert line_dedup.dedup_lines(docs).columns == [*[n for n in names if n != "_N_LINES"], *line_dedup.ADDED]
+    for made in (jaccard.keep_one(docs.unionAll(docs)), mixing.mixed_documents(docs)):
+        assert made.columns == names
+        assert {(r["a.b"], r["IDS"]) for r in made.collect()} == {(5, "clash")}
+    coded = sentencepiece_scan.encode(docs)
+    assert coded.columns == [*[n for n in names if n != "IDS"], "ids", "n_chunks"]
+    back = sentencepiece_scan.decode(coded).collect()
+    assert {r.doc_id: r.decoded for r in back} == {r[0]: r[1] for r in rows}
+    assert {r["a.b"] for r in back} == {5}
+
+
+def test_licenses_of_very_many_sentences(spark):
+    texts = [text for name, text in licenses.TEXTS if name == "MIT"][-1]
+    rows = [(0, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: " + "All rights reserved. " * 3000), (1, "All rights reserved. " * 100_000 + texts), (2, (texts + "\n\n") * 1500)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(3)] == ["All-Rights-Reserved", "MIT,All-Rights-Reserved", "MIT"]
+    assert got[1].stop_ids.count("all-rights-reserved") == 100_000

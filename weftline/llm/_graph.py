@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def packed(names: list[str]) -> Column:
+    """The columns as one, `row`, whose fields have plain names."""
+    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quoted(names))]).alias("row")
+
+
+def unpacked(names: list[str], **instead: Column) -> list[Column]:
+    """The columns of `row` by their names, or those given instead."""
+    return [instead.get(n, F.col(f"row.c{i}")).alias(n) for i, n in enumerate(names)]
+
+
+def clash(name: str, others: list[str]) -> bool:
+    """Whether a column has one of the names, in upper or lower case."""
+    return name.lower() in {o.lower() for o in others}
+
+
 def appended(df: DataFrame, *columns: str) -> DataFrame:
     """As `written`, in folders by the given columns, with the schema of `df`."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import _text
-from weftline.llm._graph import components, cut, forest, table
+from weftline.llm._graph import components, cut, forest, packed, quoted, table, unpacked
 
 #: Slots of the sketch; one byte each is broadcast, whatever the size of the corpus.
 SLOTS_LOG2, PARTS = 22, 64
@@ -340,9 +340,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
     if not stay.where("count > 1").isEmpty():
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        names = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-        kept = kept.select("doc_id", "text", F.struct(*docs.columns).alias("row")).withColumn("at", F.row_number().over(order)).where("at = 1").select(*names)
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+        kept = kept.select("doc_id", "text", packed(docs.columns)).withColumn("at", F.row_number().over(order)).where("at = 1").select(*unpacked(docs.columns))
+    return kept.select(*quoted(docs.columns)).union(docs.where("doc_id is null"))
 
 
 def op8_jaccard(spark, sf_dir):

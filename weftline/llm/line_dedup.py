@@ -2,10 +2,10 @@
 
 A text is cut into lines; a rolling hash over the hashes of neighbouring lines
 chooses chunk boundaries, so an inserted line moves only the chunks around it.
-Units are the chunks of several lines and the two lines before and behind each
-boundary; these two let a repeated run be found from the first boundary inside it,
-though its first and last chunk also hold lines of their own document. Units that
-occur more than once in the corpus are removed everywhere but at their first place
+Units are the chunks of several lines, and each two neighbouring lines with words, along
+with the blank lines between them. The pairs grow a repeated run line by line to both of
+its ends, where its first and last chunk also hold lines of their own document, and find
+runs that are too short to hold a chunk. Units that occur more than once in the corpus are removed everywhere but at their first place
 (smallest doc_id, then line), after their bytes have been compared. Units may
 overlap; a line goes if any unit over it goes. Each removed line still stands at an
 earlier place, as the places of its removals lead back to a first one.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _text
-from weftline.llm._graph import cut, table
+from weftline.llm._graph import clash, cut, packed, quoted, table, unpacked
 
 #: Lines that the rolling hash sees, lines of an average chunk, and of the longest.
 ROLL, AVERAGE, LONGEST = 2, 2, 64
@@ -63,7 +63,7 @@ class Lines:
 
 
 class Units(Lines):
-    """Chunks and their edges: text, first line in it, number of lines, two keys."""
+    """Chunks and pairs of lines: text, first line in it, number of lines, two keys."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, roll: int = ROLL, average: int = AVERAGE, longest: int = LONGEST, bits: int = 64):
         super().__init__(data, at)
@@ -82,11 +82,10 @@ class Units(Lines):
         self.close |= (np.arange(n) - begin + 1) % longest == 0
         stop = np.flatnonzero(self.close)
         start = np.concatenate(([0], stop[:-1] + 1)) if n else stop
-        # spans of lines: whole chunks, and the two lines on either side of each boundary
-        behind = stop[~self.tail[stop]] + 1
-        low = np.concatenate((start, stop - 1, behind))
-        high = np.concatenate((stop, stop, behind + 1))
-        ok = (low >= 0) & (high < n) & (high > low)
+        # spans of lines: whole chunks, and neighbours with words
+        with_words = np.flatnonzero(filled)
+        low, high = np.concatenate((start, with_words[:-1])), np.concatenate((stop, with_words[1:]))
+        ok = high > low
         low, high = low[ok], high[ok]
         low, high = np.unique(np.stack((low, high), 1)[text[low] == text[high]], axis=0).T if len(low) else (low, high)
         total = np.concatenate(([0], np.cumsum(filled)))
@@ -168,8 +167,9 @@ def dedup_lines(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE, longe
     maximal runs of removed lines.
     """
     gone = removed_lines(docs, roll, average, longest, bits)
-    names = [n for n in docs.columns if n not in ADDED]
-    left = docs.select(F.struct(*[n for n in names if n != "text"]).alias("row"), "text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
+    names = [n for n in docs.columns if not clash(n, ADDED)]
+    carried = [n for n in names if n != "text"]
+    left = docs.select(packed(carried), "text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
     both = left.alias("d").join(gone.alias("g"), _same("d", "g"), "left").select("row", "text", "gone")
     row_type = left.schema["row"].dataType.simpleString()
 
@@ -197,7 +197,7 @@ def dedup_lines(docs: DataFrame, roll: int = ROLL, average: int = AVERAGE, longe
             yield pa.record_batch({"row": batch.column("row"), "new_text": pa.array(out, pa.string()), **{c: pa.array(v, pa.int64()) for c, v in zip(ADDED, (lines, lost, runs), strict=True)}})
 
     done = both.mapInArrow(strip, f"row {row_type}, new_text string, " + ", ".join(f"{c} long" for c in ADDED))
-    return done.select(*[F.col("new_text").alias(n) if n == "text" else F.col(f"row.`{n}`").alias(n) for n in names], *ADDED)
+    return done.select(*unpacked(carried), F.col("new_text").alias("text"), *ADDED).select(*quoted(names), *ADDED)
 
 
 def op1_line_dedup(spark, sf_dir):

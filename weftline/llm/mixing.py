@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm._graph import cut, table
+from weftline.llm._graph import cut, packed, table, unpacked
 
 #: Slices of the random order; words are summed by slice before any ranking.
 SLICES = 4096
@@ -159,9 +159,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     Texts are never shuffled, but for those of equal rows of which some are taken.
     """
     plan = _plan(cut(docs.select("source", *_sizes(docs, seed))), weights, share, most)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", *_sizes(docs, seed))
+    rows = docs.select(packed(docs.columns), "source", *_sizes(docs, seed))
     taken = _taken(rows, *plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return taken.select("row.*")
+    return taken.select(*unpacked(docs.columns))
 
 
 def op10_mix(spark, sf_dir):

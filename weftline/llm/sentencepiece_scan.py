@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._graph import table
+from weftline.llm._graph import clash, packed, table, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of the longest text that is one chunk.
@@ -402,8 +402,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
 
     `model` is the path of a byte-pair SentencePiece model that every executor has.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_chunks")]
-    carried = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
+    names = [c for c in (docs.columns if keep is None else keep) if not clash(c, ["ids", "n_chunks"])]
+    carried = docs.select(packed(names), F.col(text_col).alias("text"))
     row_type = carried.schema["row"].dataType.simpleString()
     is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
 
@@ -458,13 +458,13 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
     traced = chunks.join(states, ["k1", "k2", "i"]).mapInArrow(trace, "k1 long, k2 long, i int, ids array<int>")
     joined = traced.groupBy("k1", "k2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"), F.count("*").alias("n_chunks"))
     long_ = large.drop("text").join(joined, ["k1", "k2"]).select("row", "ids", "n_chunks")
-    return done.union(long_).select(*[F.col(f"row.`{n}`").alias(n) for n in names], "ids", "n_chunks")
+    return done.union(long_).select(*unpacked(names), "ids", "n_chunks")
 
 
 def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns with `decoded`, the text of the ids; null ids give an empty text."""
-    names = [c for c in tokens.columns if c != out_col]
-    carried = tokens.select(F.struct(*[n for n in names if n != ids_col]).alias("row"), F.col(ids_col).alias("ids"))
+    names = [c for c in tokens.columns if not clash(c, [out_col])]
+    carried = tokens.select(packed(names), F.col(ids_col).alias("ids"))
     row_type = carried.schema["row"].dataType.simpleString()
 
     def texts(m: Model, ids: pa.ListArray) -> list[str]:
@@ -480,7 +480,7 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col:
                 yield pa.record_batch({"row": batch.column("row"), "ids": batch.column("ids"), "out": pa.array(texts(m, batch.column("ids")), pa.string())})
 
     done = carried.mapInArrow(run, f"row {row_type}, ids array<int>, out string")
-    return done.select(*[F.col("ids").alias(n) if n == ids_col else F.col(f"row.`{n}`").alias(n) for n in names], F.col("out").alias(out_col))
+    return done.select(*unpacked(names), F.col("out").alias(out_col))
 
 
 def encoded_summary(docs: DataFrame, model: str = MODEL) -> DataFrame:
