@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard, line_dedup, mixing, quality, sentencepiece_scan
-from weftline.llm._graph import dropped, table, written
+from weftline.llm._graph import dropped, quoted, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks are cut out of the texts (operator 1)."""
     done = line_dedup.dedup_lines(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*quoted(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
