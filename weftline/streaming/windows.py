@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def activity_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -29,14 +29,82 @@ def online_means(rows: DataFrame, key: str, value: str, weight: str) -> DataFram
     return rows.groupBy(key).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.sum(weight).alias("weight"))
 
 
-def split_at_silence(chunks: DataFrame, rate: int = 16000, silence: float = 0.1, level_db: float = -40.0) -> DataFrame:
+#: Timers and value states need this store; it keeps state on disk beside memory.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class BufferedStream(StatefulProcessor):
+    """A stream's unfinished samples and the number of its next part, as state.
+
+    `step(tail, x, last)` gives the samples that are done and those that are held, for the
+    next chunk x. A stream that has been idle for `idle_ms` of event time is flushed by a
+    timer, and its state cleared; so is one whose chunk is the last.
+    """
+
+    def __init__(self, step: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]], key: str, idle_ms: int | None):
+        self.step, self.key, self.idle_ms = step, key, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("held", "tail binary, part int")
+
+    def _held(self) -> tuple[np.ndarray, int]:
+        tail, part = self.state.get() if self.state.exists() else (b"", 0)
+        return np.frombuffer(bytes(tail), np.float64), part
+
+    def _frame(self, key: tuple, out: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], part, x.tolist()) for part, x in out], columns=[self.key, "part", "samples"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tail, part = self._held()
+        out, ended, at = [], False, None
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+            done, tail = self.step(tail, np.array(row.samples, np.float64), bool(row.last))
+            if len(done):
+                out.append((part, done))
+                part += 1
+            ended = bool(row.last)
+            at = row.ts if self.idle_ms is not None else None
+        for timer in list(self.handle.listTimers()) if self.idle_ms is not None else []:
+            self.handle.deleteTimer(timer)
+        if ended and not len(tail):
+            self.state.clear()
+        else:
+            self.state.update((tail.tobytes(), part))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(int(at.timestamp() * 1000) + self.idle_ms)
+        if out:
+            yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tail, part = self._held()
+        self.state.clear()
+        if len(tail):
+            yield self._frame(key, [(part, tail)])
+
+    def close(self) -> None:
+        pass
+
+
+def _buffered(chunks: DataFrame, step: Callable, idle: str | None, late: str) -> DataFrame:
+    """(stream_id, part, samples) of chunks (stream_id, seq, samples, last[, ts])."""
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    idle_ms = None
+    if idle is not None:
+        idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+        chunks = chunks.withWatermark("ts", late)
+    return chunks.groupBy("stream_id").transformWithStateInPandas(BufferedStream(step, "stream_id", idle_ms), f"stream_id {kind}, part int, samples array<double>", "Append", "None" if idle is None else "EventTime")
+
+
+def split_at_silence(chunks: DataFrame, rate: int = 16000, silence: float = 0.1, level_db: float = -40.0, idle: str | None = None, late: str = "1 minute") -> DataFrame:
     """Per stream, samples up to the end of the last silence, as they come.
 
     `chunks` has stream_id, seq, samples (array of double) and last (boolean). A
     silence is `silence` seconds below `level_db`, relative to the buffer's maximum;
     the last one's start is the split, and its end the first sample from there that is
     not below `level_db` of the maximum of the rest. `last` flushes the buffer and
-    ends the stream. State is the unfinished tail, as bytes.
+    ends the stream; with `idle` (and a column ts) a timer does so for a stream without
+    chunks for that long. State is the unfinished tail, as bytes.
     """
     least = int(rate * silence)
 
@@ -52,24 +120,12 @@ def split_at_silence(chunks: DataFrame, rate: int = 16000, silence: float = 0.1,
         split = ends[-1] - least
         return split + int(loud(x[split:]).argmax())
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, part = state.get if state.exists else (b"", 0)
-        tail, out, done = np.frombuffer(bytes(held), np.float64), [], False
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            tail = np.concatenate((tail, np.array(row.samples, np.float64)))
-            cut = len(tail) if row.last else boundary(tail)
-            if cut:
-                out.append((key[0], part, tail[:cut].tolist()))
-                tail, part = tail[cut:], part + 1
-            done = done or bool(row.last)
-        if done and not len(tail):
-            state.remove()
-        else:
-            state.update((tail.tobytes(), part))
-        yield pd.DataFrame(out, columns=["stream_id", "part", "samples"])
+    def step(tail: np.ndarray, x: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        x = np.concatenate((tail, x))
+        cut = len(x) if last else boundary(x)
+        return x[:cut], x[cut:]
 
-    kind = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, part int, samples array<double>", "tail binary, part int", "append", GroupStateTimeout.NoTimeout)
+    return _buffered(chunks, step, idle, late)
 
 
 def codebook_at(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -99,40 +155,57 @@ def merge_codebook(batch: DataFrame, batch_id: int, path: str, mu: float = 0.99)
     spark.range(1).select(F.lit(batch_id + 1).cast("long").alias("version")).write.mode("append").parquet(f"{path}/finished")
 
 
-def fade_overlaps(chunks: DataFrame, overlap: int) -> DataFrame:
+def fade_overlaps(chunks: DataFrame, overlap: int, idle: str | None = None, late: str = "1 minute") -> DataFrame:
     """Per stream, chunks whose first `overlap` samples fade in over the last ones before.
 
     `chunks` has stream_id, seq, samples and last, with at least `overlap` samples a
     chunk. The halves of a Hamming window weigh the new and the held samples; the last
     `overlap` of a chunk are held for the next one, and `last` gives them all and ends
-    the stream.
+    the stream, as does a timer after `idle` (with a column ts).
     """
     window = np.hamming(2 * overlap)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, part = state.get if state.exists else (b"", 0)
-        held, out, done = np.frombuffer(bytes(held), np.float64), [], False
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            x = np.array(row.samples, np.float64)
-            if len(held):
-                x[:overlap] = x[:overlap] * window[:overlap] + held * window[overlap:]
-            stop = len(x) if row.last else len(x) - overlap
-            out.append((key[0], part, x[:stop].tolist()))
-            held, part, done = x[stop:], part + 1, bool(row.last)
-        if done:
-            state.remove()
-        else:
-            state.update((held.tobytes(), part))
-        yield pd.DataFrame(out, columns=["stream_id", "part", "samples"])
+    def step(held: np.ndarray, x: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        if len(held):
+            x[:overlap] = x[:overlap] * window[:overlap] + held * window[overlap:]
+        stop = len(x) if last else len(x) - overlap
+        return x[:stop], x[stop:]
 
-    kind = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, part int, samples array<double>", "held binary, part int", "append", GroupStateTimeout.NoTimeout)
+    return _buffered(chunks, step, idle, late)
+
+
+#: Tokens that a decoder keeps in sight.
+CONTEXT = 8192
 
 
-def growing_prompts(blocks: DataFrame) -> DataFrame:
-    """Blocks (stream_id, block, tokens) with `prompt`, all tokens of the blocks before."""
+def growing_prompts(blocks: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """Blocks (stream_id, block, tokens) with `prompt_start` and `n_prompt`: where their prompt begins, and its length.
+
+    A prompt is the last `context` tokens before its block, at most. Blocks only refer to
+    it, so a stream's blocks stay as long as its tokens; prompt_of makes the ones asked for.
+    """
     before = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("prompt", F.flatten(F.collect_list("tokens").over(before)))
+    x = blocks.withColumn("_n", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)))
+    return x.withColumns({"prompt_start": F.greatest(F.col("_n") - context, F.lit(0)), "n_prompt": F.least(F.col("_n"), F.lit(context))}).withColumn("at", F.col("_n")).drop("_n")
+
+
+def prompt_of(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(stream_id, block, prompt) of the wanted blocks (stream_id, block) of growing_prompts.
+
+    Both meet by stream and bucket of tokens, so a wanted block meets only blocks around its prompt.
+    """
+    asked = blocks.join(wanted.select("stream_id", "block").distinct(), ["stream_id", "block"]).select("stream_id", F.col("block").alias("_b"), F.col("prompt_start").alias("_from"), F.col("at").alias("_to"))
+    bucket = lambda c: F.floor(c / CONTEXT)
+    covered = lambda low, high: F.explode(F.sequence(bucket(low), bucket(high)))
+    spread = asked.where("_to > _from").withColumn("_k", covered(F.col("_from"), F.col("_to") - 1))
+    near = blocks.where(F.size("tokens") > 0).select("stream_id", "block", "at", "tokens").withColumn("_k", covered(F.col("at"), F.col("at") + F.size("tokens") - 1))
+    x = spread.join(near, ["stream_id", "_k"]).where((F.col("block") < F.col("_b")) & (F.col("at") + F.size("tokens") > F.col("_from")))
+    x = x.where(F.col("_k") == F.greatest(bucket(F.col("at")), bucket(F.col("_from"))))  # where both meet first
+    part = F.slice("tokens", F.greatest(F.col("_from") - F.col("at"), F.lit(0)).cast("int") + 1, F.size("tokens"))
+    rows = F.array_sort(F.collect_list(F.struct("block", part.alias("part"))))
+    made = x.groupBy("stream_id", F.col("_b").alias("block")).agg(F.flatten(F.transform(rows, lambda r: r["part"])).alias("prompt"))
+    kind = blocks.schema["tokens"].dataType.simpleString()
+    return asked.select("stream_id", F.col("_b").alias("block")).join(made, ["stream_id", "block"], "left").withColumn("prompt", F.coalesce("prompt", F.array().cast(kind)))
 
 
 def token_blocks(tokens: DataFrame, size: int) -> DataFrame:
