@@ -156,3 +156,117 @@ def test_fading_overlaps_against_a_loop(spark, tmp_path):
             want.append((s, i, [round(float(a), 9) for a in (x if last else x[:-n])]))
             held = None if last else x[-n:]
     assert sorted((x.stream_id, x.part, [round(a, 9) for a in x.samples]) for x in got) == sorted(want)
+
+
+def test_array_files(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from weftline.sources import arrays
+
+    path = str(tmp_path)
+    np.save(tmp_path / "cube.npy", np.arange(24).reshape(4, 3, 2))
+    np.save(tmp_path / "columns.npy", np.asfortranarray(np.arange(6.0).reshape(3, 2)))
+    np.save(tmp_path / "one.npy", np.float32(7))
+    np.save(tmp_path / "none.npy", np.zeros((0, 3)))
+    (tmp_path / "deep").mkdir()
+    np.savez_compressed(tmp_path / "deep" / "z.npz", a=np.arange(3000), b=np.ones((2, 2), bool))
+    got = arrays.array_rows(spark, path, rows=2)
+    of = lambda f, n=None: [(r.at, list(r.shape), r.vec) for r in got.orderBy("at").collect() if r.file.endswith(f) and r.name == n]
+    assert of("cube.npy") == [(i, [3, 2], [float(6 * i + k) for k in range(6)]) for i in range(4)]
+    assert of("columns.npy") == [(i, [2], [2.0 * i, 2.0 * i + 1]) for i in range(3)]
+    assert of("one.npy") == [(0, [], [7.0])] and of("none.npy") == []
+    assert of("z.npz", "a") == [(i, [], [float(i)]) for i in range(3000)]
+    assert got.where("name = 'b'").select("vec").collect() == [([1.0, 1.0],)] * 2
+    (tmp_path / "bad").mkdir()
+    np.save(tmp_path / "bad" / "o.npy", np.array([{}, None]), allow_pickle=True)
+    with pytest.raises(Exception, match="never unpickled"):
+        arrays.array_rows(spark, f"{path}/bad").collect()
+    cut = (tmp_path / "cube.npy").read_bytes()[:-8]
+    (tmp_path / "bad" / "o.npy").write_bytes(cut)
+    with pytest.raises(Exception, match="ends within"):
+        arrays.array_rows(spark, f"{path}/bad").collect()
+
+
+def test_arrays_are_written_whole(spark, tmp_path):
+    from weftline.sources import arrays
+
+    rows = spark.range(100).selectExpr("concat('f', id % 3) AS file", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('n', id % 2) END AS name", "id AS at", "array(id, 2.5 * id) AS vec")
+    assert sorted((r.file.rsplit("/")[-1], r.n) for r in arrays.write_arrays(rows, f"{tmp_path}/a").collect()) == [("f0.npy", 34), ("f1.npz", 33), ("f2.npz", 33)]
+    assert sorted(x.vec[0] for x in arrays.array_rows(spark, f"{tmp_path}/a").collect()) == list(range(100))
+    assert [f for f in arrays.array_files(f"{tmp_path}/a") if f.endswith(".part")] == []
+
+
+BVH = "HIERARCHY\nROOT Hips\n{\n OFFSET 0 0 .5\n CHANNELS 2 Xposition Zrotation\n JOINT A.b-c\n {\n  OFFSET 1e-1 -2 3\n  CHANNELS 1 Xrotation\n  End Site\n  {\n   OFFSET 0 1 0\n  }\n }\n JOINT B { OFFSET 1 1 1 CHANNELS 0 }\n}\nMOTION\nFrames: 3\nFrame Time: 0.5\n0 1 2\n3 4 5\n6 7 8\n"
+
+
+def test_motion_grammar(spark, tmp_path):
+    from weftline.sources import bvh
+
+    texts = {"good": BVH, "word": BVH.replace("OFFSET 1e-1", "OFSET 1"), "brace": BVH.replace("}\nMOTION", "MOTION"), "mark": BVH.replace("End", "§"), "short": BVH[:-3], "number": BVH.replace("4", "x4"), "deep": "HIERARCHY ROOT r { OFFSET 0 0 0 " + "".join(f"JOINT j{i} {{ OFFSET 0 0 0 " for i in range(3000)) + "}" * 3001}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.bvh").write_text(text)
+    name = F.regexp_extract("file", r"(\w+)[.]bvh", 1).alias("name")
+    joints = bvh.bvh_hierarchy(spark, str(tmp_path)).select(name, "*").collect()
+    assert [(r.joint, r.parent, r.offset, r.channels, r.rotation_order) for r in joints if r.name == "good"] == [("Hips", None, [0, 0, 0.5], ["Xposition", "Zrotation"], "Z"), ("A.b-c", "Hips", [0.1, -2, 3], ["Xrotation"], "X"), ("A.b-c_Nub", "A.b-c", [0, 1, 0], [], ""), ("B", "Hips", [1, 1, 1], [], "")]
+    wrong = {r.name: r.error for r in joints if r.error}
+    assert wrong == {"word": "line 8: expected OFFSET, found 'OFSET'", "brace": "line 16: expected JOINT, End Site or a closing brace, found 'MOTION'", "mark": "line 10: unexpected '§'"}
+    assert sum(r.name == "deep" for r in joints) == 3001
+    rows = bvh.bvh_frames(spark, str(tmp_path), 1, 3).select(name, "*").collect()
+    assert [(r.frame, r.t, r.values) for r in rows if r.name == "good"] == [(1, 0.0, [3, 4, 5]), (2, 0.5, [6, 7, 8])]
+    assert {r.name: r.error for r in rows if r.error and r.name in ("short", "number")} == {"short": "2 of 3 frames are whole", "number": "frame 1: 'x4' is no number"}
+    assert len([r for r in rows if r.name == "short" and r.values]) == 1
+
+
+def test_tokens_come_once_over_a_restart(spark, tmp_path):
+    import numpy as np
+
+    from weftline.streaming import tokens
+
+    (tmp_path / "in").mkdir()
+    source, sink, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
+    for k in range(4):
+        np.save(tmp_path / "in" / f"{k:03d}.npy", np.arange(100 * k, 100 * k + 50))
+        if k != 1:
+            tokens.run_to_end(tokens.token_stream(spark, source, 7), sink, state)
+    tokens.run_to_end(tokens.token_stream(spark, source, 7), sink, state)  # nothing is new
+    got = spark.read.parquet(sink).orderBy("at").collect()
+    assert [(r.at, r.token) for r in got] == [(50 * k + i, 100 * k + i) for k in range(4) for i in range(50)]
+    tokens.write_batch(spark.range(3).selectExpr("id AS at", "id AS token"), 0, sink)
+    tokens.write_batch(spark.range(3).selectExpr("id AS at", "id AS token"), 0, sink)  # a batch that is tried again
+    assert spark.read.parquet(sink).where("batch = 0").count() == 3
+
+
+def test_idle_streams_are_flushed_by_a_timer(spark, tmp_path):
+    """Stream 0 falls silent without a last chunk; later events of stream 1 move the time on."""
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    chunks = [(0, k, [1.0] * 4, False, at(k)) for k in range(3)] + [(1, k, [1.0] * 4, k == 9, at(60 * k)) for k in range(10)]
+    rows = spark.createDataFrame(chunks, "stream_id int, seq int, samples array<double>, last boolean, at string").selectExpr("* EXCEPT (at)", "CAST(at AS timestamp) AS ts")
+    s = stream(spark, rows, tmp_path, "idle", [rows.where("stream_id = 0"), rows.where("stream_id = 1 AND seq < 5"), rows.where("seq >= 5")])
+    out = windows.split_at_silence(s, rate=100, silence=0.1, idle="90 seconds", late="1 second")
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.stream_id, r.part): len(r.samples) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, 0): 12, (1, 0): 40}
+
+
+def test_prompts_against_a_loop(spark):
+    import random
+
+    r = random.Random(2)
+    streams = {s: [[r.randrange(99) for _ in range(r.randint(0, 40))] for _ in range(30)] for s in range(3)}
+    blocks = spark.createDataFrame([(s, i, t) for s, bs in streams.items() for i, t in enumerate(bs)], "stream_id int, block int, tokens array<int>")
+    x = windows.growing_prompts(blocks, 64)
+    got = {(r.stream_id, r.block): r.prompt for r in windows.prompt_of(x, blocks).collect()}
+    for s, bs in streams.items():
+        for i in range(len(bs)):
+            assert got[s, i] == [t for b in bs[:i] for t in b][-64:]
+    assert windows.prompt_of(x, blocks.limit(0)).collect() == []
+
+
+def test_clips_meet_their_frames(spark):
+    from weftline.sources import corpora
+
+    frames = spark.createDataFrame([(s, f, float(1000 * s + f)) for s in range(3) for f in range(50 * (s + 1))], "seq_id int, frame int, x double")
+    spans = [(s, c, a, min(a + n, 50 * (s + 1))) for s in range(3) for c, (a, n) in enumerate([(0, 1), (0, 64), (63, 2), (40, 100), (10, 0)]) if a < 50 * (s + 1)]
+    got = corpora._arrays(frames, spark.createDataFrame(spans, "seq_id int, clip int, start int, stop int"), ["x"], ["seq_id", "clip"]).collect()
+    assert {(r.seq_id, r.clip): r.x for r in got} == {(s, c): [float(1000 * s + f) for f in range(a, b)] for s, c, a, b in spans if b > a}

@@ -156,7 +156,8 @@ def _sixd(q: np.ndarray) -> np.ndarray:
 def motion_vectors(frames: DataFrame, offsets: list[list[float]], chains: list[list[int]], across: Across, feet: list[int], threshold: float = 0.002, sigma: float | None = 20.0) -> DataFrame:
     """(seq_id, frame, turn, vx, vz, height, local, rotations, velocities, contacts), n - 1 rows a sequence.
 
-    turn: half the change of heading to the next frame; (vx, vz): the root's step to it in the
+    turn: half the change of heading to the next frame, the shorter way, so that a body that
+    passes its back keeps turning; (vx, vz): the root's step to it in the
     next frame's heading; height: of the root. local: the other joints from the point below the
     root, in the frame's heading; rotations: their first two columns each, from the directions
     of bones along the chains (lists of joints, each seen from the root's heading);
@@ -193,7 +194,7 @@ def motion_vectors(frames: DataFrame, offsets: list[list[float]], chains: list[l
             moved = p2 - p
             flags = (moved[:, feet] ** 2).sum(-1) < threshold
             yield pa.record_batch({
-                "seq_id": b.column("seq_id"), "frame": b.column("frame"), "turn": np.arcsin(np.clip(np.sin(h2 - h), -1, 1)), "vx": step[:, 0], "vz": step[:, 2], "height": p[:, 0, 1],
+                "seq_id": b.column("seq_id"), "frame": b.column("frame"), "turn": np.arcsin(np.clip(np.sin(h2 - h) * np.where(np.cos(h2 - h) < 0, -1, 1), -1, 1)), "vx": step[:, 0], "vz": step[:, 2], "height": p[:, 0, 1],
                 "local": _lists(_rotate(every(q), ground)[:, 1:]), "rotations": _lists(_sixd(turns)[:, 1:]), "velocities": _lists(_rotate(every(q), moved)), "contacts": _lists(flags.astype(np.int32)),
             })
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators.corpus import hash_order
-from weftline.plans._tables import FRAMES, frames, r6, table
-from weftline.sources import readers, writers
+from weftline.plans._tables import FRAMES, VECTORS, frames, r6, table
+from weftline.sources import arrays, bvh, readers, writers
 
 
 def _folder(spark) -> str:
@@ -158,7 +159,50 @@ def write_dump(spark, sf_dir):
     return spark.read.text(path).where("value <> ''").select("value", F.substring(hash_order(F.col("value"), 1), 1, 6).alias("h"))
 
 
-QUERIES = {f.__name__: f for f in (read_jsonl, read_ids, read_rules, read_word_vectors, read_semantic, read_intervals, read_faces, read_motion, read_raw_motion, read_captions, read_transcripts, read_structure, write_keyed, write_cache, write_resumed, write_id_list, write_motion, write_dump)}
+def read_arrays(spark, sf_dir):
+    """Embeddings in array files, two arrays a label; one of each is read again."""
+    path = _folder(spark)
+    name = F.when(F.col("vec_id") % 2 == 1, "odd").otherwise("even")
+    at = F.row_number().over(Window.partitionBy("label", "name").orderBy("vec_id")) - 1
+    e = table(spark, sf_dir, "embeddings").withColumn("name", name)
+    x = e.select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("file"), "name", at.alias("at"), F.col("embedding").alias("vec"))
+    arrays.write_arrays(x, path).count()
+    got = arrays.array_rows(spark, path, rows=50).where("name = 'odd'")
+    label = F.regexp_extract("file", r"label(\d+)[.]npz", 1).cast("long")
+    return got.select(label.alias("label"), "at", F.get("shape", 0).cast("long").alias("width"), F.size("vec").cast("long").alias("n"), *[r6(F.get("vec", i)).alias(f"v{i}") for i in (0, 31, 63)])
+
+
+def recursive_files(spark, sf_dir):
+    """Names of files at any depth, without their suffix."""
+    f = frames(spark, sf_dir)
+    path = _files(spark, _whole(f, F.col("event_type")), "seq_id", "value").removesuffix("/*")
+    x = readers.recursive_ids(spark, path, ".txt")
+    return x.select(F.regexp_extract("file", r"key=(\d+)", 1).cast("long").alias("seq_id"), F.col("id").startswith("part-").alias("named"), (~F.col("id").endswith(".txt")).alias("bare"))
+
+
+def _bvh(spark, sf_dir) -> str:
+    """A motion file a user; every fifth has a wrong word in one place."""
+    user = F.col("seq_id").cast("string")
+    word = F.when(F.col("seq_id") % 5 == 0, "OFSET").otherwise("OFFSET")
+    head = F.concat(F.lit("HIERARCHY\nROOT Hips\n{\n OFFSET 0 "), user, F.lit(" 0.5\n CHANNELS 3 Xposition Zrotation Yrotation\n JOINT Left-Foot\n {\n  "), word, F.lit(" 1e1 -2 .25\n  CHANNELS 1 Xrotation\n  End Site\n  {\n   OFFSET 0 0 "), user, F.lit("\n  }\n }\n}\nMOTION\nFrames: "), F.count("*").cast("string"), F.lit("\nFrame Time: 0.04\n"))
+    line = F.concat_ws(" ", "event_id", "frame", F.col("frame") / 4, F.lit("-1.5e2"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", line.alias("line")))), lambda x: x["line"]), "\n")
+    texts = frames(spark, sf_dir).groupBy("seq_id").agg(F.concat(head, body).alias("value"))
+    return _files(spark, texts, "seq_id", "value")
+
+
+def read_hierarchy(spark, sf_dir):
+    x = bvh.bvh_hierarchy(spark, _bvh(spark, sf_dir))
+    return x.select(_key(), "joint", "parent", *[F.get("offset", i).alias(f"o{i}") for i in range(3)], F.array_join("channels", " ").alias("channels"), "rotation_order", "error")
+
+
+def read_bvh_frames(spark, sf_dir):
+    """Frames 2 to 5 of motion files, and what is wrong with those that have none."""
+    x = bvh.bvh_frames(spark, _bvh(spark, sf_dir), 2, 6)
+    return x.select(_key(), "frame", r6(F.col("t")).alias("t"), *[F.get("values", i).alias(f"v{i}") for i in range(4)], "error")
+
+
+QUERIES = {f.__name__: f for f in (read_jsonl, read_ids, read_rules, read_word_vectors, read_semantic, read_intervals, read_faces, read_motion, read_raw_motion, read_captions, read_transcripts, read_structure, write_keyed, write_cache, write_resumed, write_id_list, write_motion, write_dump, read_arrays, recursive_files, read_hierarchy, read_bvh_frames)}
 _F = f"WITH {FRAMES} SELECT seq_id, "
 ORACLE = {
     "read_jsonl": "SELECT 'conv_' || conv_id || '-' || turn AS sample_id, conv_id || '-' || turn AS conv_id, md5(text) AS text_md5 FROM conversations",
@@ -179,4 +223,13 @@ ORACLE = {
     "write_id_list": "SELECT 'd' || doc_id AS id FROM documents WHERE doc_id NOT IN (1, 5)",
     "write_motion": f"WITH {FRAMES} SELECT printf('%.6f %.6f', event_id / 2, frame + 0.25::DOUBLE) AS line FROM frames",
     "write_dump": "WITH v AS (SELECT '== ' || doc_id || ' ==' AS value FROM documents UNION ALL SELECT lang || '/' || source FROM documents) SELECT value, substr(md5(value || ':1'), 1, 6) AS h FROM v",
+    "read_arrays": f"""WITH {VECTORS}, v AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS "at" FROM vectors)
+SELECT CAST(label AS BIGINT) AS label, "at", CAST(64 AS BIGINT) AS width, CAST(len(vec) AS BIGINT) AS n, round(vec[1], 6) + 0.0 AS v0, round(vec[32], 6) + 0.0 AS v31, round(vec[64], 6) + 0.0 AS v63 FROM v WHERE vec_id % 2 = 1""",
+    "recursive_files": "SELECT DISTINCT user_id AS seq_id, TRUE AS named, TRUE AS bare FROM events",
+    "read_hierarchy": """WITH u AS (SELECT DISTINCT user_id AS seq_id FROM events)
+SELECT seq_id, 'Hips' AS joint, NULL AS parent, 0.0::DOUBLE AS o0, CAST(seq_id AS DOUBLE) AS o1, 0.5::DOUBLE AS o2, 'Xposition Zrotation Yrotation' AS channels, 'ZY' AS rotation_order, NULL AS error FROM u WHERE seq_id % 5 <> 0
+UNION ALL SELECT seq_id, 'Left-Foot', 'Hips', 10, -2, 0.25, 'Xrotation', 'X', NULL FROM u WHERE seq_id % 5 <> 0
+UNION ALL SELECT seq_id, 'Left-Foot_Nub', 'Left-Foot', 0, 0, seq_id, '', '', NULL FROM u WHERE seq_id % 5 <> 0
+UNION ALL SELECT seq_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'line 8: expected OFFSET, found ''OFSET''' FROM u WHERE seq_id % 5 = 0""",
+    "read_bvh_frames": _F + "CAST(frame AS INTEGER) AS frame, round((frame - 2) * 0.04::DOUBLE, 6) + 0.0 AS t, CAST(event_id AS DOUBLE) AS v0, CAST(frame AS DOUBLE) AS v1, frame / 4 AS v2, -150.0::DOUBLE AS v3, NULL AS error FROM frames WHERE seq_id % 5 <> 0 AND frame BETWEEN 2 AND 5 UNION ALL SELECT DISTINCT user_id, NULL::INTEGER, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'line 8: expected OFFSET, found ''OFSET''' FROM events WHERE user_id % 5 = 0",
 }

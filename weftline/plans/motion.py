@@ -170,7 +170,7 @@ def _motion_sql() -> str:
     return f"""WITH {_BODY}, c AS (SELECT *, CASE WHEN lag(frame) OVER o IS NULL THEN 0 ELSE -atan2(fx, fz) / 2 END AS h FROM b WINDOW o AS {_ORDER}),
 d AS (SELECT *, lead(h) OVER o AS h2, lead(vec) OVER o AS nxt FROM c WINDOW o AS {_ORDER}), e AS (SELECT * FROM d WHERE h2 IS NOT NULL),
 {_turning('e', [(0, 1, 'k1'), (0, 2, 'k2'), (1, 3, 'k3'), (2, 4, 'k4')])}
-SELECT seq_id, frame, {_r('asin(greatest(-1, least(1, sin(h2 - h))))', 'turn')}, {_r(_rx(moved[0], moved[2], 'cos(-2 * h2)', 'sin(-2 * h2)'), 'vx')}, {_r(_rz(moved[0], moved[2], 'cos(-2 * h2)', 'sin(-2 * h2)'), 'vz')}, {_r('vec[2]', 'height')},
+SELECT seq_id, frame, {_r('asin(greatest(-1, least(1, sin(h2 - h) * CASE WHEN cos(h2 - h) < 0 THEN -1 ELSE 1 END)))', 'turn')}, {_r(_rx(moved[0], moved[2], 'cos(-2 * h2)', 'sin(-2 * h2)'), 'vx')}, {_r(_rz(moved[0], moved[2], 'cos(-2 * h2)', 'sin(-2 * h2)'), 'vz')}, {_r('vec[2]', 'height')},
 {_named(_local(c, s, '0'), 'p')}, {_named(rotations, 'r')}, {_named(velocities, 'v')}, {contact(1)} AS c0, {contact(2)} AS c1 FROM k4"""
 
 

@@ -36,12 +36,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class BufferedStream(StatefulProcessor):
     """A stream's unfinished samples and the number of its next part, as state.
 
-    `step(tail, x, last)` gives the samples that are done and those that are held, for the
-    next chunk x. A stream that has been idle for `idle_ms` of event time is flushed by a
+    `step(tail, x, last)` gives the samples that are done (None: no part of them) and those
+    that are held, for the next chunk x. A stream that has been idle for `idle_ms` of event time is flushed by a
     timer, and its state cleared; so is one whose chunk is the last.
     """
 
-    def __init__(self, step: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]], key: str, idle_ms: int | None):
+    def __init__(self, step: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray | None, np.ndarray]], key: str, idle_ms: int | None):
         self.step, self.key, self.idle_ms = step, key, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -59,7 +59,7 @@ class BufferedStream(StatefulProcessor):
         out, ended, at = [], False, None
         for row in pd.concat(list(rows)).sort_values("seq").itertuples():
             done, tail = self.step(tail, np.array(row.samples, np.float64), bool(row.last))
-            if len(done):
+            if done is not None:
                 out.append((part, done))
                 part += 1
             ended = bool(row.last)
@@ -120,10 +120,10 @@ def split_at_silence(chunks: DataFrame, rate: int = 16000, silence: float = 0.1,
         split = ends[-1] - least
         return split + int(loud(x[split:]).argmax())
 
-    def step(tail: np.ndarray, x: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    def step(tail: np.ndarray, x: np.ndarray, last: bool) -> tuple[np.ndarray | None, np.ndarray]:
         x = np.concatenate((tail, x))
         cut = len(x) if last else boundary(x)
-        return x[:cut], x[cut:]
+        return x[:cut] if cut else None, x[cut:]
 
     return _buffered(chunks, step, idle, late)
 
