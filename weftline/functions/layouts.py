@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.rotations import _let
 from weftline.functions.tokens import hash_number, interleave
 
 
@@ -106,14 +107,22 @@ def noise_mask(length: Column, density: float, mean_span: float, key: Column, se
     starts = F.zip_with(other_ends, F.concat(F.array(F.lit(0)), noise_ends), lambda a, b: a + b)
     stops = F.zip_with(other_ends, noise_ends, lambda a, b: a + b)
     bounds = F.filter(F.arrays_zip(starts.alias("s"), stops.alias("e")), lambda x: x["s"].isNotNull() & x["e"].isNotNull())
-    return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.exists(bounds, lambda x: (i >= x["s"]) & (i < x["e"])))
+    # the spans one after the other: what is before each, and itself
+    run = lambda value, n: F.array_repeat(F.lit(value), F.greatest(n, F.lit(0)).cast("int"))
+    end = lambda b, i: F.coalesce(F.get(b, i - 1)["e"], F.lit(0))
+    spread = lambda b: F.concat(F.flatten(F.transform(b, lambda x, i: F.concat(run(False, x["s"] - end(b, i)), run(True, x["e"] - x["s"])))), run(False, length - F.coalesce(F.element_at(b, -1)["e"], F.lit(0))))
+    return F.slice(_let(bounds, spread), 1, F.greatest(length, F.lit(0)))
 
 
 def sentinels(mask: Column, first: int) -> Column:
     """Per place: first - k at the start of the k-th run of noise, -1 in the rest of it, 0 outside."""
-    starts = F.transform(mask, lambda m, i: (m & ((i == 0) | ~F.coalesce(F.get(mask, i - 1), F.lit(False)))).cast("int"))
-    number = lambda i: F.aggregate(F.slice(starts, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x)
-    return F.transform(mask, lambda m, i: F.when(F.get(starts, i) == 1, first - number(i)).when(m, -1).otherwise(0))
+    at = lambda m, i: F.coalesce(F.get(m, i), F.lit(False))
+    # the first places of runs in order, then the places behind them, run by run
+    begins = lambda m: F.filter(F.transform(m, lambda x, i: F.when(x & ~at(m, i - 1), i)), lambda i: i.isNotNull())
+    ends = lambda m: F.filter(F.transform(m, lambda x, i: F.when(x & ~at(m, i + 1), i + 1)), lambda i: i.isNotNull())
+    run = lambda value, n: F.array_repeat(F.lit(value), n.cast("int"))
+    pieces = lambda b, e, n: F.concat(F.flatten(F.transform(b, lambda s, k: F.concat(run(0, s - F.coalesce(F.get(e, k - 1), F.lit(0))), F.array(first - k - 1), run(-1, F.get(e, k) - s - 1)))), run(0, n - F.coalesce(F.element_at(e, -1), F.lit(0))))
+    return _let(mask, lambda m: _let(begins(m), lambda b: _let(ends(m), lambda e: F.when(F.size(b) > 0, pieces(b, e, F.size(m))).otherwise(run(0, F.size(m))))))
 
 
 def model_record(audio: Column, face: Column | None, length: int, offset: int = 1024, bos: int = 1, eos: int = 2, upsample: int = 1) -> Column:

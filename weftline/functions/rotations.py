@@ -208,6 +208,26 @@ def between(a: Column, b: Column) -> Column:
     return _let(a, lambda p: _let(b, lambda q: made(p, q)))
 
 
+def twist(q: Column, axis: tuple[float, float, float]) -> Column:
+    """The part of a rotation about a unit axis: of all turns about it, the nearest to q.
+
+    Half a turn about an axis across it has none; its twist is then half a turn about the
+    axis, backwards.
+    """
+
+    def made(p: Column) -> Column:
+        w, *v = _parts(p, 4)
+        along = _dot(v, [F.lit(float(a)) for a in axis])
+        return _let(F.array(w, along), lambda t: _let(F.sqrt(F.get(t, 0) * F.get(t, 0) + F.get(t, 1) * F.get(t, 1)), lambda n: F.when(n > 0, F.array(F.get(t, 0) / n, *[F.get(t, 1) / n * float(a) for a in axis])).otherwise(F.array(F.lit(0.0), *[F.lit(-float(a)) for a in axis]))))
+
+    return _let(q, made)
+
+
+def swing(q: Column, axis: tuple[float, float, float]) -> Column:
+    """What a rotation does after its twist about the axis: q is swing times twist."""
+    return _let(q, lambda p: multiply(p, invert(twist(p, axis))))
+
+
 def lerp(a: Column, b: Column, t: float | Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + t * (y - x))
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.words import CLASSES, LEXICON, one_hot
+from weftline.operators.shared import stored
+
 # The special words of a vocabulary, before the first real id.
 SPECIALS = {"<pad>": 0, "<sos>": 1, "<eos>": 2, "<unk>": 3}
 #: Words of a vocabulary that is broadcast.
@@ -97,7 +100,8 @@ def vocabulary(words: DataFrame, least: int = 1) -> DataFrame:
     """
     n = F.sum("n") if "n" in words.columns else F.count("*")
     place = F.col("doc_id").cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    seen = words.groupBy("word").agg(n.alias("n"), F.min(place.cast("decimal(38,0)")).alias("place")).where(F.col("n") >= least)
+    # stored: the bounds of the ranges, their sizes and the ids all read it
+    seen = stored(words.groupBy("word").agg(n.alias("n"), F.min(place.cast("decimal(38,0)")).alias("place")).where(F.col("n") >= least))
     out = ranked(seen, range_number(seen, F.col("place")), ["place"], "id")
     return out.select("word", "n", (F.col("id") + len(SPECIALS)).alias("id"))
 
@@ -120,6 +124,30 @@ def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return words.join(F.broadcast(known) if small else known, "word", "left").withColumn("id", F.coalesce("id", F.lit(SPECIALS["<unk>"])))
 
 
+def word_classes(words: DataFrame, known: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """Rows (word, tag, ...) with `word_class` and its one-hot vector `class_vec`.
+
+    A class of the lexicon (word, class; the domain's own by default) goes before the tag, a
+    tag that is no class and a word that `known` (word) lacks are OTHER. Of several classes of
+    a word the first in the order of CLASSES counts. Lists of up to BROADCAST_WORDS words go
+    to every task, larger ones are joined.
+    """
+    if lexicon is None:
+        rows = [(w, c) for c, ws in LEXICON.items() for w in ws]
+        lexicon = words.sparkSession.createDataFrame(rows, "word string, class string")
+    rank = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("class"))
+    first = lexicon.withColumn("_r", rank).where("_r > 0").groupBy("word").agg(F.min_by("class", "_r").alias("_own"))
+    small = lambda x: F.broadcast(x) if x.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else x
+    x = words.join(small(first), "word", "left")
+    if known is not None:
+        x = x.join(small(known.select("word").distinct().withColumn("_known", F.lit(True))), "word", "left")
+    else:
+        x = x.withColumn("_known", F.lit(True))
+    tagged = F.when(F.col("tag").isin(CLASSES), F.col("tag")).otherwise("OTHER")
+    name = F.when(F.col("_known"), F.coalesce("_own", tagged)).otherwise("OTHER")
+    return x.withColumn("word_class", name).withColumn("class_vec", one_hot(F.col("word_class"))).drop("_own", "_known")
+
+
 def with_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every row with every task, however many there are."""
     return rows.crossJoin(tasks)

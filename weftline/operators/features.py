@@ -53,6 +53,32 @@ def pad_batches(rows: DataFrame, batch: str, column: str) -> DataFrame:
     return rows.withColumn("length", F.size(column)).withColumn("_m", most).withColumn(column, F.concat(F.col(column).cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("_m") - F.col("length")))).drop("_m")
 
 
+def pad_nested(rows: DataFrame, batch: str, column: str, depth: int) -> DataFrame:
+    """Arrays of `depth` levels padded with zeros to their batch's size in every dimension.
+
+    `sizes` has each row's own size by level. Null arrays at any level are empty ones; the
+    largest sizes are an aggregate of one row a batch and level.
+    """
+
+    def size(x: Column, level: int) -> Column:
+        if level == 0:
+            return F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0))
+        return F.coalesce(F.array_max(F.transform(x, lambda y: size(y, level - 1))), F.lit(0))
+
+    def zeros(level: int) -> Column:
+        return F.lit(0.0) if level == depth else F.array_repeat(zeros(level + 1), F.get("_most", level))
+
+    def pad(x: Column, level: int) -> Column:
+        kind = "array<" * (depth - level) + "double" + ">" * (depth - level)
+        x = F.coalesce(x.cast(kind), F.array().cast(kind))
+        inner = x if level == depth - 1 else F.transform(x, lambda y: pad(y, level + 1))
+        return F.concat(inner, F.array_repeat(zeros(level + 1), F.get("_most", level) - F.size(x)))
+
+    x = rows.withColumn("sizes", F.array(*[size(F.col(column), k) for k in range(depth)]))
+    most = F.array(*[F.max(F.get("sizes", k)).over(Window.partitionBy(batch)) for k in range(depth)])
+    return x.withColumn("_most", most).withColumn(column, pad(F.col(column), 0)).drop("_most")
+
+
 def unpad(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.slice(column, 1, F.col("length")))
 

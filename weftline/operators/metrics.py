@@ -133,25 +133,31 @@ def retrieval(queries: DataFrame, items: DataFrame, group_size: int, most: int =
 
 
 def moments(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and sample covariance, from one Gram matrix a task; null vectors are left out."""
+    """Mean and sample covariance, from one Gram matrix a task.
+
+    Vectors that are null, empty or hold a null or non-finite component are left out, as are
+    those of another length than most have (of two such lengths, the longer counts).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, gram = 0, None, None
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            if len(x):
-                n += len(x)
-                total = x.sum(0) + (0 if total is None else total)
-                gram = x.T @ x + (0 if gram is None else gram)
-        if n:
-            flat = np.concatenate(([n], total, gram.reshape(-1)))
-            yield pa.record_batch({"i": pa.array(np.arange(len(flat)), pa.int64()), "x": flat})
-
-    parts = vectors.where("vec is not null").select(F.col("vec").cast("array<double>")).mapInArrow(run, "i long, x double")
-    flat = np.array([r.x for r in parts.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])  # 1 + d + d*d numbers
-    if not len(flat):
+            column = batch.column(0)
+            sizes = np.diff(np.asarray(column.offsets))
+            for d in np.unique(sizes).tolist():
+                x = column.filter(pa.array(sizes == d)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                sums[d] = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel())) + sums.get(d, 0)
+        for d, flat in sums.items():
+            yield pa.record_batch({"d": pa.array(np.full(len(flat), d), pa.int64()), "i": pa.array(np.arange(len(flat)), pa.int64()), "x": flat})
+
+    ok = (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    parts = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec").cast("array<double>")).mapInArrow(run, "d long, i long, x double")
+    sums = parts.groupBy("d", "i").agg(F.sum("x").alias("x"))
+    most = sums.where("i = 0").orderBy(F.desc("x"), F.desc("d")).first()
+    if most is None:
         return np.zeros(0), np.zeros((0, 0)), 0
-    d = int((np.sqrt(4 * len(flat) - 3) - 1) / 2)
+    d = most.d
+    flat = np.array([r.x for r in sums.where(F.col("d") == d).orderBy("i").collect()])  # 1 + d + d*d numbers
     n, mean, gram = flat[0], flat[1 : d + 1] / flat[0], flat[d + 1 :].reshape(d, d)
     return mean, (gram - n * np.outer(mean, mean)) / max(n - 1, 1), int(n)
 
@@ -307,6 +313,56 @@ def label_multimodality(vectors: DataFrame, quota: int, seeds: tuple[int, int] =
     return per.agg(F.avg("d").alias("multimodality"), F.count("*").alias("n_labels"))
 
 
+def _spectrum(n_fft: int, hop: int, window: int):
+    """The norm of a clip's short-time spectrum: frames around every hop-th sample, ends mirrored."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
+    left = (n_fft - window) // 2
+    weights = np.pad(hann, (left, n_fft - window - left))
+
+    def norm(x: np.ndarray) -> float:
+        if not len(x):
+            return 0.0
+        padded = np.pad(x, n_fft // 2, mode="reflect" if len(x) > 1 else "edge")
+        frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
+        total = 0.0
+        for i in range(0, len(frames), 4096):
+            total += float((np.abs(np.fft.rfft(frames[i : i + 4096] * weights, axis=1)) ** 2).sum())
+        return float(np.sqrt(total))
+
+    return norm
+
+
+def audio_statistics(clips: DataFrame, n_fft: int = 2048, hop: int = 256, window: int = 1200, channels: int = 1, key: str | None = None) -> DataFrame:
+    """(n_clips, n_seen, l1, l2, spec), of all clips or by key: what a corpus of audio is like.
+
+    `clips` has samples, an array with the channels of each moment side by side. l1 is the mean
+    of absolute samples, l2 the variance of samples, spec the mean over clips of the norm of the
+    short-time Fourier transform of the channels' mean (frames of `n_fft` under a Hann window
+    of `window`, every `hop` samples, centred). Each task adds up partial sums from Arrow
+    batches. Null clips and clips with null samples are left out; what is left over from
+    whole moments does not enter the spectrum.
+    """
+    norm = _spectrum(n_fft, hop, window)
+    by = [key] if key else []
+    kind = f"{key} {clips.schema[key].dataType.simpleString()}, " if key else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for cell in batch.column("samples"):
+                x = cell.values.to_numpy(zero_copy_only=False)
+                mono = x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
+                rows.append((len(x), float(np.abs(x).sum()), float(x.sum()), float((x * x).sum()), norm(mono)))
+            n, *sums = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.record_batch({**({key: batch.column(key)} if key else {}), "n": pa.array(n, pa.int64()), **{c: pa.array(v, pa.float64()) for c, v in zip(("a", "s", "q", "f"), sums, strict=True)}})
+
+    usable = F.col("samples").isNotNull() & ~F.exists("samples", lambda v: v.isNull())
+    x = clips.where(usable).select(*by, F.col("samples").cast("array<double>")).mapInArrow(run, f"{kind}n long, a double, s double, q double, f double")
+    n = F.sum("n")
+    sums = [F.count("*").alias("n_clips"), n.alias("n_seen"), F.try_divide(F.sum("a"), n).alias("l1"), (F.try_divide(F.sum("q"), n) - F.pow(F.try_divide(F.sum("s"), n), F.lit(2.0))).alias("l2"), F.avg("f").alias("spec")]
+    return x.groupBy(*by).agg(*sums) if by else x.agg(*sums)
+
+
 def chunk_statistics(chunks: DataFrame, sizes: dict[str, float]) -> DataFrame:
     """Totals over a corpus of chunks (bytes, seconds): chunks, mean bytes, bits a second, and
     for each named rate the share of it that is used."""

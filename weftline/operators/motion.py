@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import rotations as R
 from weftline.operators import kinematics as K
-from weftline.operators.skeleton import _between, _rotate, _times
+from weftline.operators.skeleton import _between, _rotate, _times, usable
 
 def _order():
     return Window.partitionBy("seq_id").orderBy("frame")
@@ -43,13 +43,6 @@ class Across(NamedTuple):
     left_shoulder: int
 
 
-def usable(frames: DataFrame, column: str, width: int) -> DataFrame:
-    """Frames whose array has the width, and no null or non-finite component."""
-    x = F.col(column)
-    ok = (F.size(x) == width) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return frames.withColumn(column, x.cast("array<double>")).where(F.coalesce(ok, F.lit(False)))
-
-
 def _side(positions: Column, across: Across, axis: int) -> Column:
     at = lambda j: F.get(positions, 3 * j + axis)
     return at(across.right_hip) - at(across.left_hip) + at(across.right_shoulder) - at(across.left_shoulder)

@@ -27,11 +27,25 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate((aw * bw - (av * bv).sum(-1, keepdims=True), aw * bv + bw * av + np.cross(av, bv)), -1)
 
 
+def usable(frames: DataFrame, column: str, width: int) -> DataFrame:
+    """Frames whose array has the width, and no null or non-finite component."""
+    x = F.col(column)
+    ok = (F.size(x) == width) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return frames.withColumn(column, x.cast("array<double>")).where(F.coalesce(ok, F.lit(False)))
+
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    """Unit quaternions; those of length 0 turn nothing."""
+    size = np.linalg.norm(q, axis=-1, keepdims=True)
+    return np.where(size > 0, q / np.where(size > 0, size, 1), np.array([1.0, 0.0, 0.0, 0.0]))
+
+
 def forward_kinematics(frames: DataFrame, parents: list[int], offsets: list[list[float]]) -> DataFrame:
     """(seq_id, frame, positions, rotations): flat global arrays of all joints.
 
     `frames` has root (3) and quats (4 a joint, local). Batches of frames go
-    through the chain joint by joint.
+    through the chain joint by joint. Frames without a whole root or pose are left
+    out; a quaternion of length 0 turns nothing.
     """
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     bones = np.array(offsets, np.float64)
@@ -40,7 +54,7 @@ def forward_kinematics(frames: DataFrame, parents: list[int], offsets: list[list
         for batch in batches:
             n = batch.num_rows
             q = batch.column("quats").flatten().to_numpy(zero_copy_only=False).reshape(n, -1, 4)
-            q = q / np.linalg.norm(q, axis=2, keepdims=True)
+            q = _unit(q)
             place, turn = np.empty((n, len(parents), 3)), np.empty((n, len(parents), 4))
             for j, p in enumerate(parents):
                 if p < 0:
@@ -51,7 +65,7 @@ def forward_kinematics(frames: DataFrame, parents: list[int], offsets: list[list
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (x.size // max(n, 1)), pa.int32()), pa.array(x.reshape(-1)))
             yield pa.record_batch({"seq_id": batch.column("seq_id"), "frame": batch.column("frame"), "positions": lists(place), "rotations": lists(turn)})
 
-    x = frames.select("seq_id", "frame", F.col("root").cast("array<double>"), F.col("quats").cast("array<double>"))
+    x = usable(usable(frames.select("seq_id", "frame", "root", "quats"), "root", 3), "quats", 4 * len(parents))
     return x.mapInArrow(run, f"seq_id {kinds['seq_id']}, frame {kinds['frame']}, positions array<double>, rotations array<double>")
 
 
@@ -158,7 +172,7 @@ def inverse_kinematics(frames: DataFrame, parents: list[int], offsets: list[list
             n = batch.num_rows
             place = batch.column("positions").flatten().to_numpy(zero_copy_only=False).reshape(n, -1, 3)
             head = batch.column("heading").flatten().to_numpy(zero_copy_only=False).reshape(n, 4)
-            head = head / np.linalg.norm(head, axis=1, keepdims=True)
+            head = _unit(head)
             whole, local = np.empty((n, len(parents), 4)), np.empty((n, len(parents), 4))
             for j, p in enumerate(parents):
                 before = head if p < 0 else whole[:, p]
@@ -172,7 +186,7 @@ def inverse_kinematics(frames: DataFrame, parents: list[int], offsets: list[list
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (x.size // max(n, 1)), pa.int32()), pa.array(x.reshape(-1)))
             yield pa.record_batch({"seq_id": batch.column("seq_id"), "frame": batch.column("frame"), "root": lists(np.ascontiguousarray(place[:, parents.index(-1)])), "quats": lists(local)})
 
-    x = frames.where("positions is not null and heading is not null").select("seq_id", "frame", F.col("positions").cast("array<double>"), F.col("heading").cast("array<double>"))
+    x = usable(usable(frames.select("seq_id", "frame", "positions", "heading"), "positions", 3 * len(parents)), "heading", 4)
     return x.mapInArrow(run, f"seq_id {kinds['seq_id']}, frame {kinds['frame']}, root array<double>, quats array<double>")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["dialogue", "tokens", "layouts", "sequences", "corpus", "vectors", "tracks", "rotation", "turning", "skeletons", "motion", "loaders", "files", "streams"]
+MODULES = ["dialogue", "tokens", "layouts", "sequences", "corpus", "vectors", "tracks", "rotation", "turning", "skeletons", "motion", "classes", "loaders", "files", "streams"]
 
 
 def collect(name: str) -> dict:
