@@ -116,3 +116,31 @@ def test_odd_poses_and_vectors_are_left_out(spark):
     mean, cov, n = metrics.moments(spark.createDataFrame([(v,) for v in vectors], "vec array<double>").repartition(4))
     assert n == 2 and mean.tolist() == [2.0, 4.0] and cov.tolist() == [[2.0, 4.0], [4.0, 8.0]]
     assert metrics.moments(spark.createDataFrame([(None,)], "vec array<double>"))[2] == 0
+
+
+def test_frechet_of_odd_sides(spark):
+    r = np.random.default_rng(8)
+    a, b = r.standard_normal((200, 3)), r.standard_normal((150, 3)) * [1, 2, 3] + 1
+    frame = lambda rows: spark.createDataFrame([(v if v is None else [float(x) for x in v],) for v in rows], "vec array<double>")
+    (m1, c1), (m2, c2) = [(x.mean(0), np.cov(x.T)) for x in (a, b)]
+    e = np.linalg.eigvals(c1 @ c2).real
+    want = ((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * np.sqrt(np.maximum(e, 0)).sum()
+    assert metrics.frechet(frame([*a, None, [1.0]]), frame([*b, [1.0, 2.0]])) == pytest.approx(want)
+    assert metrics.frechet(frame([None]), frame(b)) is None
+    flat = [[1.0, 2.0, 3.0]] * 5
+    assert metrics.frechet(frame(flat), frame(flat)) == pytest.approx(0)
+
+
+def test_derived_fields_and_reasons(spark):
+    x = spark.createDataFrame([(1, 5.0), (2, None)], "i int, a double")
+    d = corpus.Derived().field("b", ("a",), F.col("a") + 1).field("c", ("b", "i"), F.col("b") * F.col("i")).field("bad", ("worse",), F.lit(1)).field("worse", ("bad",), F.lit(1))
+    assert d.order(["c"], x.columns) == ["b", "c"]
+    assert [tuple(r) for r in d.select(x, "i", "c").orderBy("i").collect()] == [(1, 6.0), (2, None)]
+    with pytest.raises(ValueError, match="needs itself"):
+        d.select(x, "bad")
+    with pytest.raises(KeyError):
+        d.select(x, "none")
+    rules = [("low", F.col("a") < 9), ("odd", F.col("i") % 2 == 1)]
+    assert {r.i: r.reason for r in corpus.with_reasons(x, rules).collect()} == {1: "low", 2: "kept"}
+    r = spark.range(1).select(corpus.id_piece(F.lit("a_b.c.npz"), 1, ".npz").alias("p"), corpus.id_piece(F.lit("a_b"), 5).alias("n")).first()
+    assert (r.p, r.n) == ("b.c", None)

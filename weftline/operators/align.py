@@ -63,6 +63,18 @@ def beat_alignment(reference: DataFrame, beats: DataFrame, sigma: float) -> Data
     return nearest(reference, beats).groupBy("seq_id").agg(F.avg(F.coalesce(F.exp(-(d * d) / (2 * sigma * sigma)), F.lit(0.0))).alias("score"))
 
 
+def beat_alignment_of_joints(reference: DataFrame, beats: DataFrame, sigma: float) -> DataFrame:
+    """(seq_id, score): beat_alignment of each joint's beats, averaged over the joints.
+
+    `reference` has seq_id and t, `beats` seq_id, joint and t; every joint that has a beat
+    anywhere counts in every sequence, with 0 where it has none.
+    """
+    joints = beats.select("joint").distinct()  # the joints of a skeleton
+    own = reference.crossJoin(joints).select(F.struct("seq_id", "joint").alias("seq_id"), "t")
+    scores = beat_alignment(own, beats.select(F.struct("seq_id", "joint").alias("seq_id"), "t"), sigma)
+    return scores.groupBy("seq_id.seq_id").agg(F.avg("score").alias("score"))
+
+
 def spans_in_words(words: DataFrame, pieces: DataFrame, width: int = 64) -> DataFrame:
     """Pieces whose character span lies in a word's: (doc_id, idx, piece, at).
 

@@ -148,6 +148,76 @@ def word_classes(words: DataFrame, known: DataFrame | None = None, lexicon: Data
     return x.withColumn("word_class", name).withColumn("class_vec", one_hot(F.col("word_class"))).drop("_own", "_known")
 
 
+def with_reasons(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Rows with `reason`: the first rule (name, condition) that rejects them, or `kept`."""
+    reason = F.lit("kept")
+    for name, rejects in reversed(rules):
+        reason = F.when(F.coalesce(rejects, F.lit(False)), name).otherwise(reason)
+    return rows.withColumn("reason", reason)
+
+
+def rejections(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """(reason, n): how many rows each rule rejects first."""
+    return with_reasons(rows, rules).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def stored_or_computed(rows: DataFrame, stored_: DataFrame, keys: list[str], column: str, computed: Column) -> DataFrame:
+    """Rows with a column from a table of results that are there already, computed for the others."""
+    have = stored_.select(*keys, F.col(column).alias("_stored"))
+    return rows.withColumn("_own", computed).join(have, keys, "left").withColumn(column, F.coalesce("_stored", "_own")).drop("_stored", "_own")
+
+
+class Derived:
+    """Fields that are made of others only when they are asked for.
+
+    A field has a name, the names that it needs, and an expression; `select` puts what the
+    wanted ones need, directly or not, into the plan, and nothing else.
+    """
+
+    def __init__(self) -> None:
+        self.made: dict[str, tuple[tuple[str, ...], Column]] = {}
+
+    def field(self, name: str, needs: tuple[str, ...], value: Column) -> Derived:
+        self.made[name] = (needs, value)
+        return self
+
+    def order(self, wanted: list[str], have: list[str]) -> list[str]:
+        """The fields to make, each behind those that it needs; a circle is an error."""
+        out: list[str] = []
+
+        def visit(name: str, above: tuple[str, ...]) -> None:
+            if name in above:
+                raise ValueError(f"{name} needs itself: {' from '.join((*above, name))}")
+            if name in have or name in out:
+                return
+            if name not in self.made:
+                raise KeyError(f"no field {name}")
+            for need in self.made[name][0]:
+                visit(need, (*above, name))
+            out.append(name)
+
+        for name in wanted:
+            visit(name, ())
+        return out
+
+    def select(self, rows: DataFrame, *wanted: str) -> DataFrame:
+        x = rows
+        for name in self.order(list(wanted), rows.columns):
+            x = x.withColumn(name, self.made[name][1])
+        return x.select(*wanted)
+
+
+def id_piece(name: Column, k: int, suffix: str = "") -> Column:
+    """The k-th piece of an id between underscores, without its suffix."""
+    bare = F.regexp_replace(name, "\\Q" + suffix + "\\E$", "") if suffix else name
+    return F.get(F.split(bare, "_"), k)
+
+
+def color_key(name: Column) -> Column:
+    """A colour for a name: the first six digits of its MD5."""
+    return F.concat(F.lit("#"), F.substring(F.md5(name), 1, 6))
+
+
 def with_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every row with every task, however many there are."""
     return rows.crossJoin(tasks)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def channel_statistics(vectors: DataFrame) -> DataFrame:
-    """(i, mean, std, low, high, n) of each component of `vec`; population std."""
+    """(i, mean, std, variance, low, high, n) of each component of `vec`; population std, sample variance."""
     x = vectors.select(F.posexplode(F.col("vec").cast("array<double>")).alias("i", "x"))
-    return x.groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+    return x.groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.var_samp("x").alias("variance"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
 
 
 def standardize(vectors: DataFrame, stats: DataFrame, inverse: bool = False) -> DataFrame:

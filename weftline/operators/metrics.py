@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.corpus import hash_order
+from weftline.operators.shared import stored
 
 
 def norm(vec: Column) -> Column:
@@ -132,11 +132,11 @@ def retrieval(queries: DataFrame, items: DataFrame, group_size: int, most: int =
     return own.agg(F.avg("d").alias("matching"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"top{k}") for k in range(1, most + 1)], F.count("*").alias("n"))
 
 
-def moments(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and sample covariance, from one Gram matrix a task.
+def moment_sums(vectors: DataFrame) -> DataFrame:
+    """(d, i, x): number, sums and Gram matrix of vectors of each length d, one after the other.
 
-    Vectors that are null, empty or hold a null or non-finite component are left out, as are
-    those of another length than most have (of two such lengths, the longer counts).
+    Vectors that are null, empty or hold a null or non-finite component are left out. A task
+    sends one Gram matrix a length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,23 +152,81 @@ def moments(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     ok = (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     parts = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec").cast("array<double>")).mapInArrow(run, "d long, i long, x double")
-    sums = parts.groupBy("d", "i").agg(F.sum("x").alias("x"))
+    return parts.groupBy("d", "i").agg(F.sum("x").alias("x"))
+
+
+def _moments_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    d = int((np.sqrt(4 * len(flat) - 3) - 1) / 2)
+    n, mean, gram = flat[0], flat[1 : d + 1] / flat[0], flat[d + 1 :].reshape(d, d)
+    return mean, (gram - n * np.outer(mean, mean)) / max(n - 1, 1), int(n)
+
+
+def moments(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and sample covariance (see moment_sums) of the vectors of the length that most have.
+
+    Of two such lengths, the longer counts.
+    """
+    sums = moment_sums(vectors)
     most = sums.where("i = 0").orderBy(F.desc("x"), F.desc("d")).first()
     if most is None:
         return np.zeros(0), np.zeros((0, 0)), 0
-    d = most.d
-    flat = np.array([r.x for r in sums.where(F.col("d") == d).orderBy("i").collect()])  # 1 + d + d*d numbers
-    n, mean, gram = flat[0], flat[1 : d + 1] / flat[0], flat[d + 1 :].reshape(d, d)
-    return mean, (gram - n * np.outer(mean, mean)) / max(n - 1, 1), int(n)
+    return _moments_of(np.array([r.x for r in sums.where(F.col("d") == most.d).orderBy("i").collect()]))  # 1 + d + d*d numbers
+
+
+def _frechet_of(one: tuple, two: tuple, eps: float) -> float:
+    """The distance of two normal distributions; near-singular covariances get eps on the diagonal."""
+
+    def middle(c1: np.ndarray, c2: np.ndarray) -> float:
+        w, v = np.linalg.eigh(c1)
+        root = (v * np.sqrt(np.maximum(w, 0))) @ v.T
+        return float(np.sqrt(np.maximum(np.linalg.eigvalsh(root @ c2 @ root), 0)).sum())
+
+    (m1, c1, _), (m2, c2, _) = one, two
+    try:
+        trace = middle(c1, c2)
+    except np.linalg.LinAlgError:
+        trace = float("nan")
+    if not np.isfinite(trace):
+        offset = eps * np.eye(len(c1))
+        trace = middle(c1 + offset, c2 + offset)
+    return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * trace)
+
+
+def frechet_distance(a: DataFrame, b: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """(frechet): one row with the Frechet distance of two sets of vectors, as a lazy plan.
+
+    Both sides' sums are aggregates of 1 + d + d * d numbers; the last step is on d x d
+    matrices of the length that most vectors of both sides have. Null without two sides.
+    """
+
+    def last(rows: pa.Table) -> pa.Table:
+        side, d, i, x = (rows.column(c).to_numpy() for c in ("side", "d", "i", "x"))
+        sizes = {int(k): x[(d == k) & (i == 0)].sum() for k in np.unique(d) if len(np.unique(side[d == k])) == 2}
+        if not sizes:
+            return pa.table({"frechet": pa.array([None], pa.float64())})
+        k = max(sizes, key=lambda k: (sizes[k], k))
+        own = [(d == k) & (side == s) for s in (0, 1)]
+        return pa.table({"frechet": [_frechet_of(*[_moments_of(x[m][np.argsort(i[m])]) for m in own], eps)]})
+
+    both = moment_sums(a).withColumn("side", F.lit(0)).union(moment_sums(b).withColumn("side", F.lit(1)))
+    return both.groupBy().applyInArrow(last, "frechet double")
 
 
 def frechet(a: DataFrame, b: DataFrame) -> float:
-    """Frechet distance of two sets of vectors; the last step is on d x d matrices."""
-    (m1, c1, _), (m2, c2, _) = moments(a), moments(b)
-    w, v = np.linalg.eigh(c1)
-    root = (v * np.sqrt(np.maximum(w, 0))) @ v.T
-    middle = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ c2 @ root), 0)).sum()
-    return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * middle)
+    """Frechet distance of two sets of vectors as a number."""
+    return frechet_distance(a, b).first().frechet
+
+
+def leaning_clips(angles: DataFrame, top: float = 30.0, mean: float = 20.0) -> DataFrame:
+    """(clip, top, mean): clips whose spine angles (clip, angle, in degrees) exceed a limit at once or on average."""
+    x = angles.groupBy("clip").agg(F.max("angle").alias("top"), F.avg("angle").alias("mean"))
+    return x.where((F.col("top") > top) | (F.col("mean") > mean))
+
+
+def up_angle(direction: Column, axis: int = 1) -> Column:
+    """The angle in degrees of a direction, up or down, to an axis."""
+    share = F.abs(F.get(direction, axis)) / norm(direction)
+    return F.degrees(F.acos(F.greatest(F.least(share, F.lit(1.0)), F.lit(-1.0))))
 
 
 def covariance(vectors: DataFrame, dims: int) -> DataFrame:
@@ -183,10 +241,13 @@ def covariance(vectors: DataFrame, dims: int) -> DataFrame:
 def subsets(vectors: DataFrame, n_subsets: int, size: int, seed: int = 42) -> DataFrame:
     """(subset, vec_id, vec): for each subset, `size` vectors drawn from all of them.
 
-    The first of a hashed order of (vec_id, subset); a partial top list in each task.
+    The first of a hashed order of (vec_id, subset), in one scan: each task keeps its own
+    first ones of every subset. The draws are stored, as pairs of them are formed repeatedly.
     """
-    draws = [vectors.select(F.lit(i).alias("subset"), "vec_id", "vec").orderBy(hash_order(F.col("vec_id"), seed + i), "vec_id").limit(size) for i in range(n_subsets)]
-    return reduce(DataFrame.union, draws)
+    x = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))).alias("subset"), "vec_id", "vec")
+    x = x.withColumn("_h", F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(":"), (F.col("subset") + seed).cast("string"))))
+    rank = F.row_number().over(Window.partitionBy("subset").orderBy("_h", "vec_id"))
+    return stored(x.withColumn("_k", rank).where(F.col("_k") <= size).select("subset", "vec_id", "vec"))
 
 
 def kernel_distance(a: DataFrame, b: DataFrame, degree: int = 3) -> DataFrame:

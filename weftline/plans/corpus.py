@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import corpus as C
-from weftline.plans._tables import r6, table
+from weftline.operators import kinematics as K
+from weftline.plans._tables import FRAMES, frames, r6, table
 
 
 def deterministic_split(spark, sf_dir):
@@ -93,9 +94,26 @@ def utterance_join(spark, sf_dir):
 
 
 def rejection_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    reason = F.when(F.col("n_chars") < 200, "too short").when(F.col("n_chars") > 8000, "too long").when(F.col("lang") != "en", "language").otherwise("kept")
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    rules = [("too short", F.col("n_chars") < 200), ("too long", F.col("n_chars") > 8000), ("language", F.col("lang") != "en")]
+    return C.rejections(table(spark, sf_dir, "documents"), rules)
+
+
+def stored_contacts(spark, sf_dir):
+    """Contacts of frames: those that are stored already, others from the frames."""
+    f = frames(spark, sf_dir).select("seq_id", "frame", "value", "event_id")
+    done = f.where("event_id % 3 = 0").select("seq_id", "frame", (F.col("event_id") % 2 + 10).cast("int").alias("contact"))
+    return C.stored_or_computed(f, done, ["seq_id", "frame"], "contact", K.contact("value", 0.5)).select("seq_id", "frame", "contact")
+
+
+def derived_fields(spark, sf_dir):
+    """Of four fields only those that the wanted one needs are made."""
+    fields = C.Derived().field("words", ("n_chars",), F.col("n_chars") / 6).field("pages", ("words",), F.ceil(F.col("words") / 250)).field("sheets", ("pages",), F.ceil(F.col("pages") / 2)).field("unused", ("nothing",), F.col("nothing"))
+    return fields.select(table(spark, sf_dir, "documents"), "doc_id", "sheets", "pages")
+
+
+def id_pieces(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "lang", F.col("doc_id") % 7, F.concat("source", F.lit(".npz"))).alias("id"))
+    return d.select("doc_id", *[C.id_piece(F.col("id"), k, ".npz").alias(f"piece{k}") for k in range(4)])
 
 
 def range_labels(spark, sf_dir):
@@ -119,14 +137,18 @@ def two_level_means(spark, sf_dir):
 
 def color_keys(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select("source").distinct()
-    return s.select("source", F.concat(F.lit("#"), F.substring(F.md5("source"), 1, 6)).alias("color"), F.element_at(F.split("source", "c"), -1).alias("number"))
+    return s.select("source", C.color_key(F.col("source")).alias("color"), F.element_at(F.split("source", "c"), -1).alias("number"))
 
 
-QUERIES = {f.__name__: f for f in (deterministic_split, fraction_cap, split_rule, vocab_build, vocab_trim, vocab_merge, oov_encode, cross_tasks, variant_pick, mirrored_union, semi_missing, anti_done, union_last_wins, left_default, utterance_join, rejection_counts, range_labels, top_orders, two_level_means, color_keys)}
+QUERIES = {f.__name__: f for f in (deterministic_split, fraction_cap, split_rule, vocab_build, vocab_trim, vocab_merge, oov_encode, cross_tasks, variant_pick, mirrored_union, semi_missing, anti_done, union_last_wins, left_default, utterance_join, rejection_counts, range_labels, top_orders, two_level_means, color_keys, stored_contacts, derived_fields, id_pieces)}
 _WORDS = r"""w0 AS (SELECT doc_id, lang, list_filter(string_split_regex(translate(text, ',.?!', '    '), '[ \t\n\v\f\r]+'), lambda w: len(w) > 0) AS ws FROM documents),
 w AS (SELECT doc_id, lang, unnest(generate_series(0, len(ws) - 1)) AS pos, unnest(ws) AS word FROM w0)"""
 _VOCAB = "SELECT word, n, row_number() OVER (ORDER BY first) + 3 AS id FROM (SELECT word, COUNT(*) AS n, MIN(struct_pack(d := doc_id, p := pos)) AS first FROM w {where} GROUP BY word HAVING COUNT(*) >= {least})"
 ORACLE = {
+    "stored_contacts": f"""WITH {FRAMES} SELECT seq_id, CAST(frame AS INTEGER) AS frame, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 2 + 10 AS INTEGER)
+ELSE CAST(COALESCE(abs(lead(value) OVER (PARTITION BY seq_id ORDER BY frame) - value), 0) < 0.5 AS INTEGER) END AS contact FROM frames""",
+    "derived_fields": "SELECT doc_id, CAST(ceil(ceil(n_chars / 6 / 250) / 2) AS BIGINT) AS sheets, CAST(ceil(n_chars / 6 / 250) AS BIGINT) AS pages FROM documents",
+    "id_pieces": "SELECT doc_id, lang AS piece0, CAST(doc_id % 7 AS VARCHAR) AS piece1, source AS piece2, NULL AS piece3 FROM documents",
     "deterministic_split": """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) - 1 AS p, COUNT(*) OVER () AS n FROM documents)
 SELECT doc_id, CASE WHEN p < floor(n * 0.8) THEN 'train' WHEN p < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM a""",
     "fraction_cap": """WITH a AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, COUNT(*) OVER (PARTITION BY source) AS n FROM documents)

@@ -137,6 +137,14 @@ def beat_align(spark, sf_dir):
     return align.beat_alignment(a, b, 3.0).select("seq_id", r6(F.col("score")).alias("score"))
 
 
+def beat_align_joints(spark, sf_dir):
+    """Beats of three joints against one reference, averaged over the joints."""
+    f = frames(spark, sf_dir).withColumn("t", F.col("frame").cast("double"))
+    b = f.where("event_type = 'view'").select("seq_id", (F.col("event_id") % 3).alias("joint"), "t")
+    x = align.beat_alignment_of_joints(f.where("event_type = 'click'").select("seq_id", "t"), b, 3.0)
+    return x.select("seq_id", r6(F.col("score")).alias("score"))
+
+
 def subword_spans(spark, sf_dir):
     """All words of a text, and pieces of three characters inside them."""
     from weftline.functions.tokens import words
@@ -154,7 +162,7 @@ def subdivision(spark, sf_dir):
     return f.select("seq_id", "idx", align.subdivision(F.col("start") + F.pmod(F.col("idx"), F.lit(5)) + 0.25, F.col("start"), F.col("stop"), F.lit(3)).alias("part"))
 
 
-QUERIES = {f.__name__: f for f in (clip_slices, clip_slices_test, segment_or_whole, paired_chunks, cross_rate, fixed_chunks, restitch_chunks, keep_every_k, velocity_central, integrate, contact_flags, contact_features, local_minima, envelope, blank_fill, gaussian_smooth, sentinel_runs, quat_continuity, interval_first_match, span_default, span_containment, nearest_beat, beat_align, subword_spans, subdivision)}
+QUERIES = {f.__name__: f for f in (clip_slices, clip_slices_test, segment_or_whole, paired_chunks, cross_rate, fixed_chunks, restitch_chunks, keep_every_k, velocity_central, integrate, contact_flags, contact_features, local_minima, envelope, blank_fill, gaussian_smooth, sentinel_runs, quat_continuity, interval_first_match, span_default, span_containment, nearest_beat, beat_align, beat_align_joints, subword_spans, subdivision)}
 _CLIPS = "L AS (SELECT seq_id, CASE WHEN n < 5 THEN 5 ELSE n // 5 * 5 END AS l FROM n), c AS (SELECT seq_id, CAST(floor((l - 20) / 7) AS INTEGER) + 1 AS k FROM L), clips AS (SELECT seq_id, CAST(unnest(generate_series(0, k - 1)) AS INTEGER) AS clip FROM c WHERE k > 0), cl AS (SELECT seq_id, clip, clip * 7 AS start, clip * 7 + 20 AS stop FROM clips)"
 _PC = "SELECT seq_id, CAST(unnest(generate_series(0, {k} - 1)) AS INTEGER) AS clip, {st} AS stride, '{kind}' AS kind FROM n WHERE n >= 26 AND {k} > 0"
 _GW = [2.718281828459045 ** (-0.5 * i * i) for i in range(-4, 5)]
@@ -198,6 +206,9 @@ SELECT p.seq_id, p.t, COALESCE(arg_min(iv.value, iv.idx), 0.0) AS value FROM p L
     "span_containment": f"""WITH {FRAMES}, {_IV}, {N}, {_CLIPS}
 SELECT cl.seq_id, cl.clip, COALESCE(string_agg(iv.mark, ' ' ORDER BY iv.idx), '') AS words, COUNT(iv.idx) AS n_words FROM cl LEFT JOIN iv ON cl.seq_id = iv.seq_id AND iv.start >= cl.start AND iv.stop <= cl.stop GROUP BY cl.seq_id, cl.clip""",
     "nearest_beat": f"WITH {FRAMES}, {_NEAR} SELECT * FROM d",
+    "beat_align_joints": f"""WITH {FRAMES}, d AS (SELECT r.seq_id, r.frame, j.joint, MIN(abs(b.frame - r.frame)) AS d FROM frames r CROSS JOIN (SELECT unnest([0, 1, 2]) AS joint) j
+LEFT JOIN frames b ON b.seq_id = r.seq_id AND b.event_type = 'view' AND b.event_id % 3 = j.joint WHERE r.event_type = 'click' GROUP BY ALL),
+k AS (SELECT seq_id, joint, AVG(COALESCE(exp(-(d * d) / 18.0), 0)) AS s FROM d GROUP BY ALL) SELECT seq_id, round(AVG(s), 6) + 0.0 AS score FROM k GROUP BY seq_id""",
     "beat_align": f"WITH {FRAMES}, {_NEAR} SELECT seq_id, round(AVG(COALESCE(exp(-(distance * distance) / 18.0), 0)), 6) + 0.0 AS score FROM d GROUP BY 1",
     "subword_spans": f"""WITH a AS (SELECT doc_id, {_DW} AS ws FROM documents), b AS (SELECT doc_id, CAST(unnest(generate_series(0, len(ws) - 1)) AS INTEGER) AS idx, unnest(ws) AS w FROM a)
 SELECT doc_id, idx, substr(w, k * 3 + 1, 3) AS piece, CAST(k AS INTEGER) AS at FROM (SELECT doc_id, idx, w, unnest(generate_series(0, (len(w) - 1) // 3)) AS k FROM b)""",

@@ -66,7 +66,7 @@ def standardize(spark, sf_dir):
 
 def channel_stats(spark, sf_dir):
     s = V.channel_statistics(vectors(spark, sf_dir, 12))
-    return s.select("i", *[r6(F.col(c)).alias(c) for c in ("mean", "std", "low", "high")], "n")
+    return s.select("i", *[r6(F.col(c)).alias(c) for c in ("mean", "std", "variance", "low", "high")], "n")
 
 
 def constant_channels(spark, sf_dir):
@@ -184,8 +184,7 @@ def mean_cov(spark, sf_dir):
 
 def frechet(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    value = M.frechet(v.where("label < 5"), v.where("label >= 5"))
-    return spark.createDataFrame([(round(value, 6),)], "frechet double")
+    return M.frechet_distance(v.where("label < 5"), v.where("label >= 5")).select(r6(F.col("frechet")).alias("frechet"))
 
 
 def kid(spark, sf_dir):
@@ -212,9 +211,8 @@ def soft_entropy(spark, sf_dir):
 def spine_angles(spark, sf_dir):
     """Clips whose spine leans more than a limit, by the angle to the up axis."""
     v = vectors(spark, sf_dir, 3)
-    a = F.degrees(F.acos(F.greatest(F.least(F.abs(F.get("vec", 1)) / M.norm(F.col("vec")), F.lit(1.0)), F.lit(-1.0))))
-    x = v.select(F.floor(F.col("vec_id") / 5).alias("clip"), a.alias("angle")).groupBy("clip").agg(F.max("angle").alias("top"), F.avg("angle").alias("mean"))
-    return x.where("top > 60 or mean > 50").select("clip", r6(F.col("top")).alias("top"), r6(F.col("mean")).alias("mean"))
+    x = M.leaning_clips(v.select(F.floor(F.col("vec_id") / 5).alias("clip"), M.up_angle(F.col("vec")).alias("angle")), 60, 50)
+    return x.select("clip", r6(F.col("top")).alias("top"), r6(F.col("mean")).alias("mean"))
 
 
 def neighbour_rank(spark, sf_dir):
@@ -247,7 +245,7 @@ SELECT code, i, {_R.format(x='count', n='count')}, round(CASE WHEN count >= 1.5
     "code_lookup": f"WITH {_CODES} SELECT cd.vec_id, cd.code, round(v.vec[1], 6) + 0.0 AS first, len(v.vec) AS width FROM cd JOIN v ON v.vec_id = cd.code",
     "sign_codes": f"WITH {VECTORS} SELECT vec_id, CAST(list_sum(list_transform(vec[1:16], lambda x, i: CASE WHEN x > 0 THEN 1 << (16 - i)::INTEGER ELSE 0 END)) AS BIGINT) AS code, CASE WHEN vec[1] > 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END AS bit FROM vectors",
     "standardize": f"WITH {VECTORS}, s AS (SELECT " + ", ".join(f"AVG(vec[{i}]) AS m{i}, stddev_pop(vec[{i}]) AS s{i}" for i in (1, 2, 3)) + " FROM vectors) SELECT vec_id, " + ", ".join(f"round((vec[{i}] - m{i}) / s{i}, 6) + 0.0 AS z{i - 1}" for i in (1, 2, 3)) + ", round(vec[2], 6) + 0.0 AS back FROM vectors, s",
-    "channel_stats": f"WITH {VECTORS}, {_x(12)} SELECT i, round(AVG(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS std, round(MIN(x), 6) + 0.0 AS low, round(MAX(x), 6) + 0.0 AS high, COUNT(*) AS n FROM x GROUP BY i",
+    "channel_stats": f"WITH {VECTORS}, {_x(12)} SELECT i, round(AVG(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS std, round(var_samp(x), 6) + 0.0 AS variance, round(MIN(x), 6) + 0.0 AS low, round(MAX(x), 6) + 0.0 AS high, COUNT(*) AS n FROM x GROUP BY i",
     "constant_channels": "SELECT CAST(unnest([0, 3, 6, 9]) AS INTEGER) AS i",
     "mask_select": f"WITH {VECTORS} SELECT vec_id, CAST(4 AS BIGINT) AS n, round(vec[4], 6) + 0.0 AS second, round(vec[4], 6) + 0.0 AS back, 0.0::DOUBLE AS zero, vec[1] <> 0 OR vec[4] <> 0 OR vec[5] <> 0 OR vec[7] <> 0 AS has_signal FROM vectors",
     "zero_pad": f"WITH {VECTORS} SELECT vec_id, CAST(100 AS BIGINT) AS wide, 0.0::DOUBLE AS pad, CAST(16 AS BIGINT) AS narrow FROM vectors",
