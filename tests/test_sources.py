@@ -270,3 +270,32 @@ def test_clips_meet_their_frames(spark):
     spans = [(s, c, a, min(a + n, 50 * (s + 1))) for s in range(3) for c, (a, n) in enumerate([(0, 1), (0, 64), (63, 2), (40, 100), (10, 0)]) if a < 50 * (s + 1)]
     got = corpora._arrays(frames, spark.createDataFrame(spans, "seq_id int, clip int, start int, stop int"), ["x"], ["seq_id", "clip"]).collect()
     assert {(r.seq_id, r.clip): r.x for r in got} == {(s, c): [float(1000 * s + f) for f in range(a, b)] for s, c, a, b in spans if b > a}
+
+
+def test_hierarchy_round_trip_and_listed_clips(spark, tmp_path):
+    from weftline.sources import bvh, corpora
+
+    bones = [bvh.Bone("r", None, [0.0, 1.5, 0.0], ["Xposition", "Zrotation"]), bvh.Bone("a", "r", [1.0, 0.0, 0.0], ["Yrotation"]), bvh.Bone("a_Nub", "a", [0.0, 0.5, 0.0]), bvh.Bone("b", "r", [0.0, 0.0, 1.0], [])]
+    frames = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (1, 1, [4.0, 5.0, 6.5]), (2, 0, [0.0] * 3), (2, 1, [0.0] * 2), (3, 0, None)], "seq_id int, frame int, values array<double>")
+    writers.write_bvh(frames, bones, f"{tmp_path}/m", 0.02)
+    joints = bvh.bvh_hierarchy(spark, f"{tmp_path}/m/*").where("file LIKE '%seq_id=1/%'").collect()
+    assert [(j.joint, j.parent, j.offset, j.channels, j.error) for j in joints] == [(b.name, b.parent, b.offset, b.channels, None) for b in bones]
+    rows = bvh.bvh_frames(spark, f"{tmp_path}/m/*").collect()
+    assert sorted((r.frame, r.values, r.error) for r in rows) == [(0, [0.0] * 3, None), (0, [1.0, 2.0, 3.0], None), (1, [4.0, 5.0, 6.5], None)]
+    clips = spark.createDataFrame([("a", [1]), ("b", [2]), ("a", []), ("c", None)], "seq_id string, x array<int>")
+    ids = spark.createDataFrame([("M_a",), ("M_c",), ("M_a",), ("none",)], "id string")
+    assert [(r.seq_id, r.x) for r in corpora.listed_clips(clips, ids, "M_", ["x"]).collect()] == [("a", [1])]
+
+
+def test_stages_go_and_come_back(spark):
+    from weftline.operators import stages
+
+    v = spark.createDataFrame([(i, [float(i), 2.0, float(i * i)]) for i in range(6)], "vec_id int, vec array<double>")
+    chain = stages.Chain((stages.Standardized(), stages.Masked((1, 0, 1)))).fit(v)
+    back = {r.vec_id: r.vec for r in chain.inverse(chain.transform(v)).collect()}
+    assert all(abs(a - b) < 1e-9 for i in range(6) for a, b in zip(back[i], [i, 2.0, i * i], strict=True))
+    t = spark.createDataFrame([(0, f, c, float(f * k)) for f in range(4) for k, c in enumerate(("Hips_Xposition", "Hips_Yposition", "Leg_Zrotation"))], "track int, frame int, channel string, value double")
+    chain = stages.Chain((stages.WithoutConstants(), stages.RootDeltas())).fit(t)
+    there = chain.transform(t)
+    assert {r.channel for r in there.collect()} == {"Hips_Yposition", "Leg_Zrotation"}
+    assert sorted(map(tuple, chain.inverse(there).select("track", "frame", "channel", "value").collect())) == sorted(map(tuple, t.collect()))

@@ -196,13 +196,25 @@ def read_hierarchy(spark, sf_dir):
     return x.select(_key(), "joint", "parent", *[F.get("offset", i).alias(f"o{i}") for i in range(3)], F.array_join("channels", " ").alias("channels"), "rotation_order", "error")
 
 
+def write_hierarchy(spark, sf_dir):
+    """Motion files of users, written with a hierarchy and read again by the grammar."""
+    bones = [bvh.Bone("Hips", None, [0, 1, 0.5], ["Xposition", "Yrotation"]), bvh.Bone("Leg", "Hips", [0, -1, 0], ["Zrotation"]), bvh.Bone("Leg_Nub", "Leg", [0, -1, 0]), bvh.Bone("Arm", "Hips", [1, 0, 0], [])]
+    path = _folder(spark)
+    f = frames(spark, sf_dir).select("seq_id", "frame", F.array(F.col("event_id"), F.col("frame") / 4, F.col("value")).alias("values"))
+    writers.write_bvh(f, bones, path, 0.04)
+    user = F.regexp_extract("file", r"seq_id=(\d+)", 1).cast("long").alias("seq_id")
+    joints = bvh.bvh_hierarchy(spark, f"{path}/*").groupBy(user).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("<", "joint", "parent"))), " ").alias("joints"))
+    rows = bvh.bvh_frames(spark, f"{path}/*").select(user, "frame", *[r6(F.get("values", i)).alias(f"v{i}") for i in range(3)], "error")
+    return rows.join(joints, "seq_id")
+
+
 def read_bvh_frames(spark, sf_dir):
     """Frames 2 to 5 of motion files, and what is wrong with those that have none."""
     x = bvh.bvh_frames(spark, _bvh(spark, sf_dir), 2, 6)
     return x.select(_key(), "frame", r6(F.col("t")).alias("t"), *[F.get("values", i).alias(f"v{i}") for i in range(4)], "error")
 
 
-QUERIES = {f.__name__: f for f in (read_jsonl, read_ids, read_rules, read_word_vectors, read_semantic, read_intervals, read_faces, read_motion, read_raw_motion, read_captions, read_transcripts, read_structure, write_keyed, write_cache, write_resumed, write_id_list, write_motion, write_dump, read_arrays, recursive_files, read_hierarchy, read_bvh_frames)}
+QUERIES = {f.__name__: f for f in (read_jsonl, read_ids, read_rules, read_word_vectors, read_semantic, read_intervals, read_faces, read_motion, read_raw_motion, read_captions, read_transcripts, read_structure, write_keyed, write_cache, write_resumed, write_id_list, write_motion, write_dump, read_arrays, recursive_files, read_hierarchy, read_bvh_frames, write_hierarchy)}
 _F = f"WITH {FRAMES} SELECT seq_id, "
 ORACLE = {
     "read_jsonl": "SELECT 'conv_' || conv_id || '-' || turn AS sample_id, conv_id || '-' || turn AS conv_id, md5(text) AS text_md5 FROM conversations",
@@ -225,6 +237,7 @@ ORACLE = {
     "write_dump": "WITH v AS (SELECT '== ' || doc_id || ' ==' AS value FROM documents UNION ALL SELECT lang || '/' || source FROM documents) SELECT value, substr(md5(value || ':1'), 1, 6) AS h FROM v",
     "read_arrays": f"""WITH {VECTORS}, v AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS "at" FROM vectors)
 SELECT CAST(label AS BIGINT) AS label, "at", CAST(64 AS BIGINT) AS width, CAST(len(vec) AS BIGINT) AS n, round(vec[1], 6) + 0.0 AS v0, round(vec[32], 6) + 0.0 AS v31, round(vec[64], 6) + 0.0 AS v63 FROM v WHERE vec_id % 2 = 1""",
+    "write_hierarchy": _F + "CAST(frame AS INTEGER) AS frame, CAST(event_id AS DOUBLE) AS v0, frame / 4 AS v1, round(value, 6) + 0.0 AS v2, NULL AS error, 'Arm<Hips Hips Leg<Hips Leg_Nub<Leg' AS joints FROM frames",
     "recursive_files": "SELECT DISTINCT user_id AS seq_id, TRUE AS named, TRUE AS bare FROM events",
     "read_hierarchy": """WITH u AS (SELECT DISTINCT user_id AS seq_id FROM events)
 SELECT seq_id, 'Hips' AS joint, NULL AS parent, 0.0::DOUBLE AS o0, CAST(seq_id AS DOUBLE) AS o1, 0.5::DOUBLE AS o2, 'Xposition Zrotation Yrotation' AS channels, 'ZY' AS rotation_order, NULL AS error FROM u WHERE seq_id % 5 <> 0

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import features
-from weftline.plans._tables import FRAMES, frames, r6, table
+from weftline.operators import features, stages
+from weftline.plans._tables import FRAMES, VECTORS, frames, r6, table, vectors
 from weftline.plans.tokens import STREAMS, _joined, _streams
 from weftline.sources import corpora
 
@@ -96,7 +96,23 @@ def load_dialogue(spark, sf_dir):
     return x.select("conv_id", "speaker", "clip", _joined(F.col("audio"), "audio"), _joined(F.col("face"), "face"), "dataset", "fps")
 
 
-QUERIES = {f.__name__: f for f in (load_train, load_test, load_normalised, load_segments, load_pairs, load_utterances, load_transcribed, load_captioned, load_dialogue)}
+def load_listed(spark, sf_dir):
+    """Clips of the sequences that an id list names, as a reader gives it."""
+    clips_ = frames(spark, sf_dir).select("seq_id", F.floor(F.col("frame") / 20).alias("clip"), "event_id").groupBy("seq_id", "clip").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    ids = spark.range(0, 400, 3).select(F.concat(F.lit("M_"), F.col("id").cast("string")).alias("id"))
+    return corpora.listed_clips(clips_, ids, "M_", ["ids"]).select("seq_id", "clip", F.size("ids").cast("long").alias("n"), F.get("ids", 0).alias("first"))
+
+
+def staged(spark, sf_dir):
+    """Vectors standardised and masked by a fitted chain, and back."""
+    v = vectors(spark, sf_dir, 6)
+    chain = stages.Chain((stages.Standardized(), stages.Masked((1, 0, 1, 1, 0, 0)))).fit(v)
+    there = chain.transform(v)
+    back = chain.inverse(there)
+    return there.select("vec_id", *[r6(F.get("vec", i)).alias(f"z{i}") for i in range(3)]).join(back.select("vec_id", *[r6(F.get("vec", i)).alias(f"b{i}") for i in range(6)]), "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (load_train, load_test, load_normalised, load_segments, load_pairs, load_utterances, load_transcribed, load_captioned, load_dialogue, load_listed, staged)}
 _M = f"{FRAMES}, m AS (SELECT (seq_id % 10) || '_' || seq_id AS seq_id, seq_id AS u, frame, value, event_id FROM frames)"
 _KIND = "CASE WHEN u % 5 = 0 THEN 'test' WHEN u % 7 = 0 THEN 'additional' ELSE 'train' END"
 _CLIPS = "n AS (SELECT seq_id, CASE WHEN COUNT(*) < 5 THEN 5 ELSE COUNT(*) // 5 * 5 END AS n FROM m {where} GROUP BY 1), c AS (SELECT seq_id, unnest(generate_series(0, CAST(floor((n - 20) / {stride}) AS BIGINT))) AS clip FROM n WHERE n >= 20)"
@@ -126,4 +142,7 @@ SELECT seq_id, line, caption, array_to_string(t, ',') AS tokens FROM x WHERE len
     "load_dialogue": f"""WITH {STREAMS}, x AS (SELECT user_id // 2 AS conv_id, user_id % 2 AS speaker, a, b FROM s WHERE len(a) > 0 AND len(b) > 0 AND ((user_id // 2) % 9 <> 0 OR user_id % 2 = 0)),
 k AS (SELECT *, COUNT(*) OVER (PARTITION BY conv_id) AS sides, least(len(a), 2 * len(b)) AS n FROM x), c AS (SELECT *, unnest(generate_series(0, (n - 12) // 6)) AS clip FROM k WHERE sides = 2 AND n >= 12)
 SELECT conv_id, speaker, CAST(clip AS INTEGER) AS clip, array_to_string(a[clip * 6 + 1 : clip * 6 + 12], ',') AS audio, array_to_string(b[clip * 3 + 1 : clip * 3 + 6], ',') AS face, 'users' AS dataset, 25 AS fps FROM c""",
+    "load_listed": f"WITH {FRAMES} SELECT seq_id, frame // 20 AS clip, COUNT(*) AS n, MIN(event_id) AS first FROM frames WHERE seq_id % 3 = 0 AND seq_id < 400 GROUP BY ALL",
+    "staged": f"""WITH {VECTORS}, s AS (SELECT {', '.join(f'AVG(vec[{i}]) AS m{i}, stddev_pop(vec[{i}]) AS d{i}' for i in range(1, 7))} FROM vectors)
+SELECT vec_id, {', '.join(f'round((vec[{i}] - m{i}) / d{i}, 6) + 0.0 AS z{k}' for k, i in enumerate((1, 3, 4)))}, {', '.join(f'round({f"vec[{i}]" if i in (1, 3, 4) else f"m{i}"}, 6) + 0.0 AS b{i - 1}' for i in range(1, 7))} FROM vectors, s""",
 }

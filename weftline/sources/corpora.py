@@ -51,6 +51,18 @@ def motion_clips(frames: DataFrame, rules: DataFrame, split: str, speakers: list
     return _arrays(x, clips.clip_slices(sizes, fps, length, stride, train=split in ("train", "additional")), columns, ["seq_id", "clip"])
 
 
+def listed_clips(clips_: DataFrame, ids: DataFrame, prefix: str = "", required: list[str] | None = None) -> DataFrame:
+    """Clips (seq_id, ...) whose sequence an id list names, without a prefix of the list's ids.
+
+    Clips without one of the `required` arrays are dropped, as are ids without clips.
+    """
+    wanted = ids.select(F.regexp_replace("id", "^\\Q" + prefix + "\\E", "").alias("seq_id") if prefix else F.col("id").alias("seq_id")).distinct()
+    x = clips_.join(wanted, clips_.seq_id.cast("string") == wanted.seq_id, "left_semi")
+    for c in required or []:
+        x = x.where(F.size(c) > 0)
+    return x
+
+
 def segment_sequences(frames: DataFrame, columns: list[str], most: int = 500, stride: int = 250, least: int = 10) -> DataFrame:
     """(seq_id, clip, start, stop, columns...): long sequences in segments, shorter ones whole, those of up to `least` frames not at all."""
     sizes = frames.groupBy("seq_id").agg(F.count("*").alias("n")).where(F.col("n") > least)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.corpus import not_done, range_number, ranked
+from weftline.sources.bvh import Bone
 
 
 def write_cache(rows: DataFrame, path: str) -> None:
@@ -51,3 +52,38 @@ def write_responses(rows: DataFrame, path: str) -> None:
     """A text dump of (id, response): a header line with the id, then the response, an empty line after."""
     line = F.concat(F.lit("== "), F.col("id").cast("string"), F.lit(" ==\n"), F.coalesce("response", F.lit("")), F.lit("\n"))
     rows.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def bvh_head(bones: list[Bone]) -> str:
+    """The hierarchy of a motion file; joints come parents first, end sites end in `_Nub`."""
+    below: dict[str | None, list[Bone]] = {}
+    for b in bones:
+        below.setdefault(b.parent, []).append(b)
+    lines, open_ = ["HIERARCHY"], [(b, 0) for b in reversed(below.get(None, []))]
+    while open_:  # depth first, without recursion
+        item, depth = open_.pop()
+        pad = "  " * depth
+        if item is None:
+            lines.append(f"{pad}}}")
+            continue
+        end = item.name == f"{item.parent}_Nub"
+        lines += [f"{pad}{'ROOT ' + item.name if item.parent is None else 'End Site' if end else 'JOINT ' + item.name}", f"{pad}{{", f"{pad}  OFFSET {' '.join(repr(float(x)) for x in item.offset)}"]
+        if not end:
+            lines.append(f"{pad}  CHANNELS {len(item.channels)} {' '.join(item.channels)}".rstrip())
+        open_.append((None, depth))
+        open_ += [(b, depth + 1) for b in reversed(below.get(item.name, []))]
+    return "\n".join(lines)
+
+
+def write_bvh(frames: DataFrame, bones: list[Bone], path: str, dt: float) -> None:
+    """A motion file a sequence: its hierarchy, then a line a frame with all channels in its order.
+
+    `frames` has seq_id, frame and values; a file's folder is named by the sequence. Frames
+    with another number of values than the hierarchy has channels are left out.
+    """
+    width = sum(len(b.channels) for b in bones)
+    line = F.array_join(F.transform("values", lambda x: F.format_string("%.6f", x.cast("double"))), " ")
+    x = frames.where(F.size("values") == width).select("seq_id", "frame", line.alias("line"))
+    rows = F.array_sort(F.collect_list(F.struct("frame", "line")))
+    text = F.concat(F.lit(bvh_head(bones) + "\nMOTION\nFrames: "), F.count("*").cast("string"), F.lit(f"\nFrame Time: {dt}\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n"))
+    x.groupBy("seq_id").agg(text.alias("value")).repartition("seq_id").write.mode("overwrite").partitionBy("seq_id").text(path)
