@@ -464,7 +464,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, giant: int =
 def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns with `decoded`, the text of the ids; null ids give an empty text."""
     names = [c for c in tokens.columns if not clash(c, [out_col])]
-    carried = tokens.select(packed(names), F.col(ids_col).alias("ids"))
+    others = [c for c in names if c != ids_col]
+    carried = tokens.select(packed(others), F.col(ids_col).alias("ids"))
     row_type = carried.schema["row"].dataType.simpleString()
 
     def texts(m: Model, ids: pa.ListArray) -> list[str]:
@@ -480,7 +481,8 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col:
                 yield pa.record_batch({"row": batch.column("row"), "ids": batch.column("ids"), "out": pa.array(texts(m, batch.column("ids")), pa.string())})
 
     done = carried.mapInArrow(run, f"row {row_type}, ids array<int>, out string")
-    return done.select(*unpacked(names), F.col("out").alias(out_col))
+    own = dict(zip(others, unpacked(others), strict=True))
+    return done.select(*[own.get(n, F.col("ids").alias(n)) for n in names], F.col("out").alias(out_col))
 
 
 def encoded_summary(docs: DataFrame, model: str = MODEL) -> DataFrame:
