@@ -50,13 +50,13 @@ def velocity_position(spark, sf_dir):
 
 
 def prompt_blocks(spark, sf_dir):
-    """Blocks of sixteen tokens with where their prompts begin; the prompt itself of each stream's last block."""
+    """Blocks of sixteen tokens, each with all earlier tokens as its prompt."""
     t = frames(spark, sf_dir).select(F.col("seq_id").alias("stream_id"), F.col("frame").alias("at"), (F.col("event_id") % 512).alias("token"))
-    x = windows.growing_prompts(windows.token_blocks(t, 16), 100)
-    last = x.groupBy("stream_id").agg(F.max("block").alias("block"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
-    made = windows.prompt_of(x, last).select("stream_id", "block", total(F.col("prompt")).alias("prompt_total"), F.size("prompt").cast("long").alias("made"))
-    return x.join(made, ["stream_id", "block"], "left").select("stream_id", "block", F.size("tokens").cast("long").alias("n"), F.col("prompt_start").cast("long").alias("prompt_start"), F.col("n_prompt").cast("long").alias("n_prompt"), total(F.col("tokens")).alias("total"), "prompt_total", "made")
+    total = F.aggregate("tokens", F.lit(None).cast("long"), lambda s, v: F.coalesce(s + v, s, v))
+    known = F.transform("tokens", lambda v: F.coalesce(v, F.lit(0)))  # a null adds nothing to a sum
+    x = windows.token_blocks(t, 16).select("stream_id", "block", F.size("tokens").cast("long").alias("n"), total.alias("total"), known.alias("tokens"))
+    x = windows.over_prompts(x, lambda prompt: (len(prompt), int(prompt.sum())), ["n_prompt", "prompt_total"])
+    return x.select("stream_id", "block", "n", "n_prompt", "total", "prompt_total")
 
 
 QUERIES = {f.__name__: f for f in (chain_positions, chain_inverse, root_path, pose_parts, velocity_position, prompt_blocks)}
@@ -75,8 +75,6 @@ g AS (SELECT *, cos(-2 * angle) * vx + sin(-2 * angle) * vz AS dx, -sin(-2 * ang
 SELECT seq_id, CAST(frame AS INTEGER) AS frame, {_r('angle', 'angle')}, {_r(f'COALESCE(SUM(dx) {_BEFORE}, 0)', 'x')}, 1.5::DOUBLE AS y, {_r(f'COALESCE(SUM(dz) {_BEFORE}, 0)', 'z')} FROM g""",
     "pose_parts": f"WITH {VECTORS} SELECT vec_id, " + ", ".join(_r(x, f"c{i}") for i, x in enumerate(["vec[1]", "vec[2]", "vec[6]", "vec[3]", "vec[4]", "vec[5] + vec[7]", "vec[8]", "vec[9]"])) + " FROM vectors",
     "velocity_position": f"WITH {FRAMES} SELECT seq_id, CAST(frame AS INTEGER) AS frame, {_r(f'2.0::DOUBLE + 0.5::DOUBLE * COALESCE(SUM(value) {_BEFORE}, 0)', 'position')} FROM frames",
-    "prompt_blocks": f"""WITH {FRAMES}, b AS (SELECT seq_id AS stream_id, frame // 16 AS block, COUNT(*) AS n, CAST(SUM(event_id % 512) AS BIGINT) AS total FROM frames GROUP BY ALL),
-w AS (SELECT *, greatest(16 * block - 100, 0) AS low, block = MAX(block) OVER (PARTITION BY stream_id) AS is_last FROM b),
-p AS (SELECT w.stream_id, COUNT(f.frame) AS made, CAST(COALESCE(SUM(f.event_id % 512), 0) AS BIGINT) AS prompt_total FROM w LEFT JOIN frames f ON f.seq_id = w.stream_id AND f.frame >= w.low AND f.frame < 16 * w.block WHERE w.is_last GROUP BY w.stream_id)
-SELECT w.stream_id, w.block, w.n, CAST(w.low AS BIGINT) AS prompt_start, CAST(16 * w.block - w.low AS BIGINT) AS n_prompt, w.total, CASE WHEN w.is_last THEN p.prompt_total END AS prompt_total, CASE WHEN w.is_last THEN p.made END AS made FROM w JOIN p ON p.stream_id = w.stream_id""",
+    "prompt_blocks": f"""WITH {FRAMES}, b AS (SELECT seq_id AS stream_id, frame // 16 AS block, COUNT(*) AS n, CAST(SUM(event_id % 512) AS BIGINT) AS total FROM frames GROUP BY ALL), w AS (SELECT *, SUM(n) OVER w AS m, SUM(total) OVER w AS t FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT stream_id, block, n, CAST(COALESCE(m, 0) AS BIGINT) AS n_prompt, total, CAST(COALESCE(t, 0) AS BIGINT) AS prompt_total FROM w""",
 }

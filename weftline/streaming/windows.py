@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def activity_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -208,6 +210,37 @@ def prompt_of(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.select("stream_id", F.col("_b").alias("block")).join(made, ["stream_id", "block"], "left").withColumn("prompt", F.coalesce("prompt", F.array().cast(kind)))
 
 
+def over_prompts(blocks: DataFrame, step: Callable[[np.ndarray], tuple[int, ...]], made: list[str]) -> DataFrame:
+    """Blocks (stream_id, block, tokens, ...) without tokens, with the long columns `made` of step(prompt).
+
+    A prompt is all tokens of the stream's blocks before, however many. It is a view of one growing
+    buffer, as in a decoder's loop, so no row carries its prompt: a stream's tokens are exchanged
+    once, and a task holds one stream's, 8 bytes each. Tokens are integers and not null.
+    """
+    rest = [c for c in blocks.columns if c != "tokens"]
+
+    def loop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, held, n = object(), np.empty(1024, np.int64), 0
+        for batch in batches:
+            lists = batch.column("tokens")
+            if lists.values.null_count:
+                raise ValueError("a token is null")
+            ends, flat, out = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False), []
+            for key, low, high in zip(batch.column("stream_id").to_pylist(), ends, ends[1:], strict=False):
+                if key != stream:
+                    stream, n = key, 0
+                out.append(step(held[:n]))
+                if n + high - low > len(held):
+                    held = np.concatenate((held[:n], np.empty(n + high - low, np.int64)))
+                held[n : n + high - low] = flat[low:high]
+                n += high - low
+            new = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * len(made)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + new, names=rest + made)
+
+    kinds = StructType([blocks.schema[c] for c in rest] + [StructField(c, LongType()) for c in made])
+    return blocks.repartition("stream_id").sortWithinPartitions("stream_id", "block").mapInArrow(loop, kinds)
+
+
 def token_blocks(tokens: DataFrame, size: int) -> DataFrame:
     """A stream's tokens (stream_id, at, token) in blocks of `size`, as a decoder takes them."""
     rows = F.array_sort(F.collect_list(F.struct("at", "token")))
