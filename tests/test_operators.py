@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,24 @@ def test_ranks_agree_in_every_evaluation(spark):
     want = {g: sorted(i * 7919 % 1000 for i in range(g, 1000, 3))[: round(len(range(g, 1000, 3)) * 0.3)] for g in range(3)}
     got = {g: sorted(r.k for r in capped.where(f"g = {g}").collect()) for g in range(3)}
     assert got == want
+
+
+def test_fraction_cap_when_rows_come_in_another_order(spark):
+    """Each evaluation meets the rows in another order, as with shuffles between executors; ranges stay the same."""
+    n = 600_000
+
+    def shuffled(batches):
+        yield pd.concat(batches).sample(frac=1)
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(n).mapInPandas(shuffled, "id long").select(F.lit("a").alias("g"), F.col("id").alias("k"))
+        got = corpus.fraction_cap(rows, "g", "k", 0.3).agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys"), F.max("k").alias("last")).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert (got.n, got["keys"], got["last"]) == (n * 3 // 10, n * 3 // 10, n * 3 // 10 - 1)
+
+
+def test_fraction_cap_of_missing_keys(spark):
+    rows = spark.createDataFrame([("a", None), ("a", 2), ("a", 1), ("a", None), ("b", None), ("b", None)], "g string, k int")
+    assert sorted(corpus.fraction_cap(rows, "g", "k", 0.5).collect(), key=str) == [("a", 1), ("a", 2), ("b", None)]

@@ -59,18 +59,21 @@ def ranked(rows: DataFrame, number: Column, order: list[str], name: str) -> Data
 
 
 def fraction_cap(rows: DataFrame, group: str, key: str, rate: float, parts: int = 64) -> DataFrame:
-    """The first round(n * rate) rows of each group, in the order of a numeric key.
+    """The first round(n * rate) rows of each group, in the order of a numeric key, nulls last.
 
     A group is cut into ranges of its key that are counted first, so that no task
     ranks a whole group.
     """
     number = F.col(key).cast("double")
     bounds = rows.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], F.lit(10_000)).alias("_bounds"), F.count("*").alias("_n"))
-    x = rows.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_p", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < number)))
+    # stored: percentiles depend on the order in which tasks are merged, and the counts and the ranks must have the same ranges
+    bounds = stored(bounds)
+    inner = F.array_distinct(F.coalesce("_bounds", F.array().cast("array<double>")))
+    x = rows.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_p", F.when(number.isNull(), parts).otherwise(F.size(F.filter(inner, lambda b: b < number))))
     counts = x.groupBy("_g", "_p").agg(F.count("*").alias("_m"))
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("_g").alias("_h"), F.col("_p").alias("_q"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
-    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(key)))
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(F.col(key).asc_nulls_last())))
     out = x.join(offsets, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q")))
     return out.where(F.col("_o") + F.col("_k") <= F.bround(F.col("_n") * rate)).select(*rows.columns)
 
