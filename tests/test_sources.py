@@ -299,3 +299,11 @@ def test_stages_go_and_come_back(spark):
     there = chain.transform(t)
     assert {r.channel for r in there.collect()} == {"Hips_Yposition", "Leg_Zrotation"}
     assert sorted(map(tuple, chain.inverse(there).select("track", "frame", "channel", "value").collect())) == sorted(map(tuple, t.collect()))
+
+
+def test_word_vectors_round_as_floats(spark, tmp_path):
+    from weftline import plans
+
+    values = [-0.2765, 0.2765, 0.0125, 0.0]  # as floats, each of the first two times 1000 is a half
+    spark.createDataFrame([(1, values), (5, values)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in plans.queries()["read_word_vectors"](spark, str(tmp_path)).collect()] == [("w1", -277, 277, 13, 0)]

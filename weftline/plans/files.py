@@ -62,7 +62,8 @@ def read_rules(spark, sf_dir):
 
 def read_word_vectors(spark, sf_dir):
     """Lines of a word and four numbers; every fifth line lacks one and is skipped."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x * 1000).cast("long").cast("string")).alias("n"))
+    # times a float: a float times a whole number is a double in Spark, which rounds the other way where the float's product is a half
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x * F.lit(1000).cast("float")).cast("long").cast("string")).alias("n"))
     line = F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "), F.array_join(F.when(F.col("vec_id") % 5 == 0, F.slice("n", 1, 3)).otherwise(F.col("n")), " "))
     return readers.word_vectors(spark, _lines(spark, v.select(line.alias("value"))), 4).select("word", *[F.get("vec", i).cast("long").alias(f"v{i}") for i in range(4)])
 
