@@ -297,3 +297,35 @@ def test_fraction_cap_when_rows_come_in_another_order(spark):
 def test_fraction_cap_of_missing_keys(spark):
     rows = spark.createDataFrame([("a", None), ("a", 2), ("a", 1), ("a", None), ("b", None), ("b", None)], "g string, k int")
     assert sorted(corpus.fraction_cap(rows, "g", "k", 0.5).collect(), key=str) == [("a", 1), ("a", 2), ("b", None)]
+
+
+def _cut_texts(n=60):
+    """(doc_id, words, pieces): pieces of any length, of which some go over the end of a word."""
+    draw, texts = random.Random(3), []
+    for i in range(n):
+        words = ["".join(draw.choice("abéß漢𝄞") for _ in range(draw.randint(1, 9))) for _ in range(draw.randint(0, 12))]
+        whole, pieces = "".join(words), []
+        while whole:
+            k = draw.randint(1, 4)
+            pieces, whole = [*pieces, whole[:k]], whole[k:]
+        texts.append((i, words, pieces))
+    return [*texts, (n, None, None), (n + 1, ["abc"], None), (n + 2, ["abc"], ["ab"]), (n + 3, ["abc", "d"], ["abc", "d"])]
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 250_000])
+def test_pieces_lie_in_words_as_spans_do(spark, monkeypatch, at_once):
+    monkeypatch.setattr(align, "PIECES_AT_ONCE", at_once)
+    data = _cut_texts()
+    spans = lambda parts: [(sum(map(len, parts[:k])), sum(map(len, parts[: k + 1])), p) for k, p in enumerate(parts)]
+    words = [(d, k, a, b) for d, w, _ in data for k, (a, b, _) in enumerate(spans(w or []))]
+    pieces = [(d, a, b, p) for d, _, x in data for a, b, p in spans(x or [])]
+    got = align.pieces_in_words(spark.createDataFrame(data, "doc_id long, words array<string>, pieces array<string>").coalesce(2))
+    want = align.spans_in_words(spark.createDataFrame(words, "doc_id long, idx int, start int, stop int"), spark.createDataFrame(pieces, "doc_id long, start int, stop int, piece string"))
+    assert got.dtypes == want.dtypes
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_subword_spans_exchange_nothing(spark, data):
+    from weftline import plans
+
+    assert "Exchange" not in plans.queries()["subword_spans"](spark, data)._jdf.queryExecution().executedPlan().toString()

@@ -149,12 +149,9 @@ def subword_spans(spark, sf_dir):
     """All words of a text, and pieces of three characters inside them."""
     from weftline.functions.tokens import words
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("idx", "w"))
-    before = F.coalesce(F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = d.withColumn("start", before).withColumn("stop", F.col("start") + F.length("w"))
-    p = w.select("doc_id", "start", "stop", "w", F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 3))).alias("k"))
-    p = p.select("doc_id", (F.col("start") + F.col("k") * 3).alias("start"), F.least(F.col("start") + F.col("k") * 3 + 3, F.col("stop")).alias("stop"), F.col("w").substr((F.col("k") * 3 + 1).cast("int"), F.lit(3)).alias("piece"))
-    return align.spans_in_words(w, p)
+    d = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / 3).cast("int")), lambda k: w.substr(k * 3 + 1, F.lit(3)))
+    return align.pieces_in_words(d.select("doc_id", "words", F.flatten(F.transform("words", cut)).alias("pieces")))
 
 
 def subdivision(spark, sf_dir):
