@@ -307,3 +307,27 @@ def test_word_vectors_round_as_floats(spark, tmp_path):
     values = [-0.2765, 0.2765, 0.0125, 0.0]  # as floats, each of the first two times 1000 is a half
     spark.createDataFrame([(1, values), (5, values)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in plans.queries()["read_word_vectors"](spark, str(tmp_path)).collect()] == [("w1", -277, 277, 13, 0)]
+
+
+def test_texts_lie_where_spark_puts_them(spark, tmp_path):
+    """The folders of partitionBy, one file each; a second run replaces the first."""
+    rows = spark.createDataFrame([("a/b:c", "1\n2"), ("é %=?", "3"), ("x", ""), (None, "4"), ("", "5"), ("none", None)], "k string, value string")
+    for path in (f"{tmp_path}/a folder", f"file:{tmp_path}/b", f"file://{tmp_path}/c/"):
+        writers.write_texts(rows.withColumn("value", F.lit("old")).unionByName(spark.createDataFrame([("gone", "x")], rows.schema)), "k", path)
+        writers.write_texts(rows, "k", path)
+        got = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").collect()
+        rows.where("value IS NOT NULL").write.mode("overwrite").partitionBy("k").text(f"{tmp_path}/spark")
+        want = spark.read.text(f"{tmp_path}/spark", wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").collect()
+        assert sorted((r.file.split("/")[-2], r.value) for r in got) == sorted((r.file.split("/")[-2], r.value) for r in want)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a folder", "b", "c", "spark"]
+    assert not list((tmp_path / "b").rglob("*.crc"))
+
+
+def test_motion_files_are_listed_once(spark, tmp_path, monkeypatch):
+    from weftline.plans import files
+    from weftline.sources import bvh
+
+    texts, read = bvh.texts, []
+    monkeypatch.setattr(bvh, "texts", lambda *a: read.append(a) or texts(*a))
+    assert files.write_hierarchy(spark, "/root/testdata/sf0.001").count() == 1000
+    assert len(read) == 1

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators.corpus import hash_order
+from weftline.operators.shared import stored
 from weftline.plans._tables import FRAMES, VECTORS, frames, r6, table
 from weftline.sources import arrays, bvh, readers, writers
 
@@ -203,9 +204,10 @@ def write_hierarchy(spark, sf_dir):
     path = _folder(spark)
     f = frames(spark, sf_dir).select("seq_id", "frame", F.array(F.col("event_id"), F.col("frame") / 4, F.col("value")).alias("values"))
     writers.write_bvh(f, bones, path, 0.04)
+    texts = stored(bvh.texts(spark, f"{path}/*"))  # files are many and small, so opening them once counts
     user = F.regexp_extract("file", r"seq_id=(\d+)", 1).cast("long").alias("seq_id")
-    joints = bvh.bvh_hierarchy(spark, f"{path}/*").groupBy(user).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("<", "joint", "parent"))), " ").alias("joints"))
-    rows = bvh.bvh_frames(spark, f"{path}/*").select(user, "frame", *[r6(F.get("values", i)).alias(f"v{i}") for i in range(3)], "error")
+    joints = bvh.bvh_hierarchy(spark, texts).groupBy(user).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("<", "joint", "parent"))), " ").alias("joints"))
+    rows = bvh.bvh_frames(spark, texts).select(user, "frame", *[r6(F.get("values", i)).alias(f"v{i}") for i in range(3)], "error")
     return rows.join(joints, "seq_id")
 
 

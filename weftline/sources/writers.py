@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.corpus import not_done, range_number, ranked
 from weftline.sources.bvh import Bone
 
+# What Spark writes as %XX in the name of a folder.
+ESCAPED = {chr(i) for i in range(1, 32)} | set("\"#%'*/:=?\\\x7f{[]^")
+
 
 def write_cache(rows: DataFrame, path: str) -> None:
     """A compressed Parquet table; maps become JSON text."""
@@ -86,4 +96,46 @@ def write_bvh(frames: DataFrame, bones: list[Bone], path: str, dt: float) -> Non
     x = frames.where(F.size("values") == width).select("seq_id", "frame", line.alias("line"))
     rows = F.array_sort(F.collect_list(F.struct("frame", "line")))
     text = F.concat(F.lit(bvh_head(bones) + "\nMOTION\nFrames: "), F.count("*").cast("string"), F.lit(f"\nFrame Time: {dt}\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n"))
-    x.groupBy("seq_id").agg(text.alias("value")).repartition("seq_id").write.mode("overwrite").partitionBy("seq_id").text(path)
+    write_texts(x.groupBy("seq_id").agg(text.alias("value")), "seq_id", path)
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system has it, if that is where Spark writes it."""
+    scheme, _, at = path.rpartition(":/")
+    if not scheme and not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:"):
+        return None
+    return os.path.abspath(re.sub("^/+", "/", f"/{at}") if scheme else path) if scheme in ("", "file") else None
+
+
+def write_texts(rows: DataFrame, key: str, path: str) -> None:
+    """A file a row with its `value`, in a folder named by its key; keys are unique.
+
+    What stands at the path is replaced once all is written. Where Spark writes through
+    Hadoop's local files, each folder, file and checksum starts processes that set its
+    rights, which takes longer than all else; so tasks write there on their own.
+    """
+    at = _local(rows.sparkSession, path)
+    if at is None:
+        rows.select(key, "value").repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+        return
+    fs, new = pafs.LocalFileSystem(), f"{at}-{uuid.uuid4().hex}"
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs = pafs.LocalFileSystem()
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                folder = f"{new}/{key}={''.join(f'%{ord(c):02X}' if c in ESCAPED else c for c in name) if name else '__HIVE_DEFAULT_PARTITION__'}"
+                file = f"part-{'00001' if name == '' else '00000'}.txt"  # an empty name has the folder of none
+                fs.create_dir(folder)
+                with fs.open_output_stream(part := f"{folder}/.{file}-{uuid.uuid4().hex}") as out:
+                    out.write(f"{value}\n".encode())
+                fs.move(part, f"{folder}/{file}")  # whole, also when a task is tried again
+            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+
+    fs.create_dir(new)
+    rows.where(F.col("value").isNotNull()).select(F.col(key).cast("string").alias("name"), "value").mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    with fs.open_output_stream(f"{new}/_SUCCESS"):
+        pass
+    if fs.get_file_info(at).type != pafs.FileType.NotFound:
+        fs.delete_dir(at)
+    fs.move(new, at)
